@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.llm.chat_format import format_reply_trees, masked_text, read_back
+from trackloom.llm.html_extract import extract_html
 from trackloom.llm.license_scan import known_licenses, license_scan
 from trackloom.llm.line_dedup import line_dedup
 from trackloom.llm.media_audio import audio_columns
@@ -58,6 +59,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(_table(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"), known_licenses(spark))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_license_scan": op5_license_scan,
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_classifier": op7_quality_classifier,
