@@ -49,7 +49,8 @@ def wcon_data(df: DataFrame, keys: Sequence[str], time: Column, points: str = "s
         ring = F.concat(F.col(ventral), F.reverse(F.col(dorsal)))
         row |= {"px": F.transform(ring, lambda p: p["x"]), "py": F.transform(ring, lambda p: p["y"])}
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*(v.alias(k) for k, v in row.items())))).alias("r"))
-    fields = [F.array_join(F.array(*(F.col(k).cast("string") for k in keys)), "/").alias("id"), *(F.transform("r", lambda r, k=k: r[k]).alias(k) for k in row)]
+    pick = lambda k: F.transform("r", lambda r: r[k]).alias(k)
+    fields = [F.array_join(F.array(*(F.col(k).cast("string") for k in keys)), "/").alias("id"), *(pick(k) for k in row)]
     return rows.select(*keys, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
 
 
