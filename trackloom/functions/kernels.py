@@ -259,3 +259,102 @@ def three_regions(x: np.ndarray, low: float, high: float, smooth: int, min_rows:
         elif len(kinds) == 2:
             flag[a : b + 1] = pd.Series(piece).replace(0, np.nan).ffill().bfill().to_numpy()
     return flag
+
+
+def wide_gradient(x: np.ndarray, width: int) -> np.ndarray:
+    """Difference over ``width`` samples on both sides; the stencil narrows towards the ends, which are one-sided."""
+    x = np.asarray(x, float)
+    n, i = len(x), np.arange(len(x))
+    if n < 2:
+        return np.zeros(n)
+    reach = np.minimum(np.minimum(i, n - 1 - i), width)
+    left, right = np.where(reach > 0, i - reach, np.maximum(i - 1, 0)), np.where(reach > 0, i + reach, np.minimum(i + 1, n - 1))
+    return (x[right] - x[left]) / (right - left)
+
+
+def zero_crossings(x: np.ndarray, apart: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each sample the nearest sign change at least ``apart`` samples before and after it; -1 where there is none."""
+    x = np.asarray(x, float)
+    s = np.sign(x)
+    at = np.flatnonzero((s[1:] != s[:-1]) & (s[1:] != 0)) + 1
+    i = np.arange(len(x))
+    a, b = np.searchsorted(at, i - apart, "right") - 1, np.searchsorted(at, i + apart, "left")
+    padded = np.concatenate((at, [-1]))
+    return np.where(a >= 0, padded[a], -1), np.where(b < len(at), padded[np.minimum(b, len(at))], -1)
+
+
+def skeleton_from_sides(left: np.ndarray, right: np.ndarray, n: int = 49) -> tuple[np.ndarray, np.ndarray]:
+    """Middle line and widths of two contour sides from head to tail, both resampled to ``n`` points."""
+    a, b = resample_curve(left, n), resample_curve(right, n)
+    return (a + b) / 2, np.hypot(*(a - b).T)
+
+
+def straighten(image: np.ndarray, skeleton: np.ndarray, half_width: float, across: int = 15) -> np.ndarray:
+    """Intensities along normals of a skeleton (points, across), bilinear, 0 outside of the image."""
+    step = np.gradient(np.asarray(skeleton, float), axis=0)
+    normal = np.column_stack((-step[:, 1], step[:, 0])) / np.maximum(np.hypot(*step.T), 1e-12)[:, None]
+    at = skeleton[:, None, :] + np.linspace(-half_width, half_width, across)[None, :, None] * normal[:, None, :]
+    x, y = at[..., 0], at[..., 1]
+    p = np.pad(np.asarray(image, float), 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    get = lambda yy, xx: p[np.clip(yy + 1, 0, p.shape[0] - 1), np.clip(xx + 1, 0, p.shape[1] - 1)]
+    fx, fy = x - x0, y - y0
+    return (get(y0, x0) * (1 - fx) + get(y0, x0 + 1) * fx) * (1 - fy) + (get(y0 + 1, x0) * (1 - fx) + get(y0 + 1, x0 + 1) * fx) * fy
+
+
+def orientation_score(profiles: np.ndarray) -> np.ndarray:
+    """How much nearer each intensity profile (rows) is to the median profile than its reverse is; negative: reversed."""
+    p = np.asarray(profiles, float)
+    p = p - np.nanmedian(p, axis=1, keepdims=True)
+    middle = np.nanmedian(p, axis=0)
+    return np.nanmean(np.abs(p[:, ::-1] - middle), axis=1) - np.nanmean(np.abs(p - middle), axis=1)
+
+
+def refine_blocks(score: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs of negative scores of at least ``least`` rows, as (first, past last); missing scores take the one before."""
+    s = pd.Series(np.asarray(score, float)).ffill().bfill().to_numpy()
+    edge = np.diff(np.concatenate(([0], (s < 0).astype(int), [0])))
+    return [(a, b) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if b - a >= least]
+
+
+def align_stage(variance: np.ndarray, fps: float, moves: np.ndarray) -> np.ndarray:
+    """The frame of each logged stage move: the highest unused peak of frame-difference variance near its time.
+
+    The window is a second on both sides, after the median lag of the moves matched so far; -1 where nothing stands out.
+    """
+    v = np.asarray(variance, float)
+    limit = np.nanmedian(v) + 5 * (np.nanmedian(np.abs(v - np.nanmedian(v))) + 1e-12)
+    out, lags, used = np.full(len(moves), -1), [], -1
+    for k, t in enumerate(np.asarray(moves, float) * fps):
+        centre = t + (np.median(lags) if lags else 0)
+        a, b = max(used + 1, int(np.floor(centre - fps))), min(len(v), int(np.ceil(centre + fps)) + 1)
+        if a < b and np.isfinite(v[a:b]).any():
+            at = a + int(np.nanargmax(v[a:b]))
+            if v[at] > limit:
+                out[k], used = at, at
+                lags.append(at - t)
+    return out
+
+
+def single_animal(frames: np.ndarray, x: np.ndarray, y: np.ndarray, area: np.ndarray, centre: tuple[float, float], max_distance: float) -> np.ndarray:
+    """Mask of one detection a frame: from the largest near the centre in the first frame, the nearest to the one before.
+
+    Detections farther than ``max_distance`` from it are skipped; frames without one have none.
+    """
+    frames, x, y, area = (np.asarray(v) for v in (frames, x, y, area))
+    out = np.zeros(len(frames), bool)
+    if not len(frames):
+        return out
+    order = np.argsort(frames, kind="stable")
+    cuts = np.flatnonzero(np.diff(frames[order])) + 1
+    groups = np.split(order, cuts)
+    first = groups[0]
+    far = np.hypot(x[first] - centre[0], y[first] - centre[1])
+    seed = first[int(np.argmin(far / np.sqrt(np.maximum(area[first], 1e-9))))]
+    out[seed], at = True, (x[seed], y[seed])
+    for g in groups[1:]:
+        d = np.hypot(x[g] - at[0], y[g] - at[1])
+        k = int(np.argmin(d))
+        if d[k] <= max_distance:
+            out[g[k]], at = True, (x[g[k]], y[g[k]])
+    return out

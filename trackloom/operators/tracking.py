@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom.functions import kernels
 from trackloom.functions.timeseries import Track, ffill, rolling_std, unwrap
 from trackloom.operators.islands import sessions
 from trackloom.operators.joins import gap_links, nearest_links
@@ -122,3 +125,50 @@ def consistent_flips(df: DataFrame, track: Track, pose: str, name: str = "flip")
 
     df = df.withColumn("_turn", F.coalesce((distance(F.reverse(pose), before) < distance(F.col(pose), before)).cast("int"), F.lit(0)))
     return df.withColumn(name, F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1).drop("_turn")
+
+
+def pick_single_animal(points: DataFrame, keys: Sequence[str] = ("file_id",), frame: str = "frame_number", row: str = "row_id", centre: tuple[float, float] = (0.0, 0.0), max_distance: float = 50.0) -> DataFrame:
+    """The detections of one animal in every file, by :func:`kernels.single_animal`."""
+
+    def run(pdf):
+        return {"is_animal": kernels.single_animal(pdf[frame], pdf["coord_x"].to_numpy(float), pdf["coord_y"].to_numpy(float), pdf["area"].to_numpy(float), centre, max_distance)}
+
+    picked = kernels.per_track(points, keys, (frame, row), ["coord_x", "coord_y", "area"], run, {"is_animal": "boolean"})
+    return points.join(picked.where("is_animal").select(*keys, row), [*keys, row], "left_semi")
+
+
+def orient_by_intensity(df: DataFrame, track: Track, profile: str, min_rows: int) -> DataFrame:
+    """Adds is_switched: the row lies in a block of at least ``min_rows`` whose profiles fit the reversed median better."""
+
+    def run(pdf):
+        flag = np.zeros(len(pdf), bool)
+        good = np.array([p is not None for p in pdf[profile]])
+        if good.sum() > 1:
+            score = np.full(len(pdf), np.nan)
+            score[good] = kernels.orientation_score(np.stack([np.asarray(p, float) for p in pdf[profile][good]]))
+            for a, b in kernels.refine_blocks(score, min_rows):
+                flag[a:b] = True
+        return {"is_switched": flag}
+
+    made = kernels.per_track(df, track.keys, track.order, [profile], run, {"is_switched": "boolean"})
+    return df.join(made, [*track.keys, *track.order])
+
+
+def orientation_probability(movement: Column, bottom: Column, top: Column) -> Column:
+    """Weighted probability that a pose is oriented rightly, from movement and the two ends' evidence."""
+    return 0.75 * movement + 0.15 * bottom + 0.10 * top
+
+
+def align_stage_moves(frames: DataFrame, moves: DataFrame, fps: float, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """(keys, move, frame): frames (keys, frame, variance) in which logged stage moves (keys, move, seconds) happen."""
+
+    def run(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("frame"), b.sort_values("seconds")
+        at = kernels.align_stage(a["variance"].to_numpy(float), fps, b["seconds"].to_numpy(float)) if len(a) else np.full(len(b), -1)
+        found = a["frame"].to_numpy()[at] if len(a) else np.full(len(b), -1)
+        return b[[*keys, "move"]].assign(frame=np.where(at >= 0, found, -1))
+
+    kinds = {f.name: f.dataType.simpleString() for f in moves.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "move")) + ", frame bigint"
+    out = frames.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(run, schema)
+    return out.withColumn("frame", F.nullif("frame", F.lit(-1)))
