@@ -36,3 +36,17 @@ def test_extraction(spark):
         assert "Text 1 of the page" in got[11] and "Home" not in got[11] and "Always" not in got[11]
         assert all(r.n_chars == len(r.text) for r in out)
     assert extract_html(pages.limit(0)).count() == 0
+
+
+def test_elements_without_end_tags_hide_no_text_after_them():
+    def texts(source):
+        return [text for _, _, text, _ in Page(source).blocks]
+
+    assert texts("<head><title>t</title><meta charset=x><body><article><p>a</p></article>") == ["a"]
+    for tag in ("button", "option", "object", "svg", "canvas", "video", "audio", "select", "noscript"):
+        assert texts(f"<article><p>a</p><{tag}>no<p>b</p></article><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<div><p>a <{tag}>no</p><p>b</p></div><{tag}>no</{tag}><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a <{tag}>no</{tag}> b</p>") == ["a b"]
+        assert texts(f"<{tag}><p>no</p></{tag}><p>b</p>") == ["b"]
+    assert texts("<div><video><p>no</div><p>b</p></video><p>c</p>") == ["b", "c"]
+    assert texts("<p>a<select><option>1<option>2</select> b</p><object><object>no</object>no</object><script>x<p>no") == ["a b"]

@@ -24,7 +24,9 @@ from trackloom.llm._shared import Scratch
 from trackloom.llm._text import slices
 
 # HTML element names by role.
-_HIDDEN = "head|script|style|noscript|template|svg|math|iframe|object|textarea|select|button|audio|video|canvas|title|option"
+_RAW = "script|style|textarea|title|iframe"  # text up to the end tag, or the end of the page
+_HIDDEN = frozenset("noscript template svg math object select datalist button audio video canvas option".split())
+_UNNESTED = frozenset("select datalist button option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OUT_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -34,7 +36,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _CLOSES_TO = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{_HIDDEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=hidden)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
@@ -57,6 +59,22 @@ def _label(tag: str, attrs: str) -> tuple[str, str]:
     return label, MAIN if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") else OTHER
 
 
+def _ended(tokens: list[re.Match]) -> set[int]:
+    """Where those hidden elements start that have an end tag."""
+    out: set[int] = set()
+    opened: dict[str, list[int]] = {}
+    for m in tokens:
+        if (tag := (m["tag"] or "").lower()) in _HIDDEN:
+            starts = opened.setdefault(tag, [])
+            if not m["close"]:
+                if tag in _UNNESTED:
+                    starts.clear()
+                starts.append(m.start())
+            elif starts:
+                out.add(starts.pop())
+    return out
+
+
 class Page:
     """The blocks of a page in order: (path, role, text, characters in links), and its tree of elements and slots."""
 
@@ -66,19 +84,56 @@ class Page:
         self._stack: list[tuple[str, str, str, list]] = [("", "", OTHER, self.tree)]  # tag, path, role, children
         self._parts: list[str] = []
         self._links = self._link = 0
-        at = 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
+        self._unseen: list[str] = []  # a hidden element, and what is open inside it
+        self._ends = False  # whether it has an end tag
+        tokens = list(_TOKEN.finditer(source))
+        ended, at = _ended(tokens), 0
+        for m in tokens:
+            if m.start() > at and not self._unseen:
                 self._text(source[at : m.start()])
             at = m.end()
-            if tag := m["tag"]:
-                (self._close if m["close"] else self._open)(tag.lower(), m["attrs"])
-            elif m["hidden"] and m["hidden"].lower() in _BLOCK:
-                self._flush()
-        if at < len(source):
+            if tag := (m["tag"] or "").lower():
+                if self._unseen and self._hides(tag, bool(m["close"])):
+                    continue
+                if tag in _HIDDEN and not m["close"]:
+                    if not (tag in ("svg", "math") and m["attrs"].rstrip().endswith("/")):
+                        self._unseen, self._ends = [tag], m.start() in ended
+                    continue
+                (self._close if m["close"] else self._open)(tag, m["attrs"])
+        if at < len(source) and not self._unseen:
             self._text(source[at:])
         self._flush()
 
+    def _hides(self, tag: str, close: bool) -> bool:
+        """Whether a tag belongs to the hidden element that is open; if not, the element has ended.
+
+        It ends with its end tag or with the element around it.  Without an end tag it ends at the next block.
+        """
+        inside = self._unseen
+        if close:
+            if tag in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(tag) :]
+                return True
+            outside = tag in _BLOCK and (tag in ("html", "body") or any(x[0] == tag for x in self._stack))
+            if outside or (tag in _BLOCK and not self._ends):
+                inside.clear()
+                return False
+            return True
+        if tag in _BLOCK:
+            ends = not self._ends or tag == "body"
+            if tag in _CLOSES and not any(t in _CLOSES_TO[tag] for t in inside):
+                up = next((x[0] for x in reversed(self._stack) if x[0] in _CLOSES[tag] | _CLOSES_TO[tag]), "")
+                ends |= up in _CLOSES[tag]
+            if ends:
+                inside.clear()
+                return False
+        elif tag in _UNNESTED and tag == inside[0] and not self._ends:
+            inside.clear()
+            return False
+        if (tag in _BLOCK and tag not in ("html", "hr")) or tag in _HIDDEN:
+            inside.append(tag)
+        return True
+
     def _text(self, text: str) -> None:
         text = html.unescape(text) if "&" in text else text
         self._parts.append(text)
