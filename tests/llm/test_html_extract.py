@@ -1,4 +1,4 @@
-from trackloom.llm.html_extract import Page, align, expression, extract_html, skeleton, slot_paths
+from trackloom.llm.html_extract import Matcher, Page, align, expression, extract_html, skeleton, slot_paths
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header>Top</header><nav><ul><li><a href="/">Home</a></li><li><a href="/x">X</a></li></ul></nav>
@@ -50,3 +50,18 @@ def test_elements_without_end_tags_hide_no_text_after_them():
         assert texts(f"<{tag}><p>no</p></{tag}><p>b</p>") == ["b"]
     assert texts("<div><video><p>no</div><p>b</p></video><p>c</p>") == ["b", "c"]
     assert texts("<p>a<select><option>1<option>2</select> b</p><object><object>no</object>no</object><script>x<p>no") == ["a b"]
+
+
+def test_wrapper_chooses_slots(spark):
+    wrapper = skeleton(Page("<p>a</p><dl><dt>a<dd>b<dt>c<dd>d</dl><p>b</p>").tree)
+    matcher = Matcher(align(wrapper, skeleton(Page("<p>a</p><h2>x</h2><p>b</p>").tree)))
+    assert expression(align(wrapper, wrapper)) == "<p>#</p><dl>(<dt>#</dt><dd>#</dd>)+</dl><p>#</p>"
+    slots = matcher.slots(Page("<p>a</p><dl><dt>a<dd>b<dt>c<dd>d</dl><p>b</p>").tree)
+    assert slots[1:3] == slots[3:5] and len({slots[0], slots[1], slots[2], slots[5]}) == 4
+    # The same path twice: the first paragraph is template text, the second is not; teasers are a list of links as a whole.
+    page = "<div><p>Read this {1}</p><h2>T {0}</h2><p>Text {0}</p></div><ul>" + "<li><p><a href=/>a long link {0}</a></p><h3>by {0}</h3></li>" * 3 + "</ul>{2}"
+    inside = "<article><p>Please subscribe</p><h1>T {0}</h1><p>Text {0}</p></article>"
+    rows = [(k, f"http://a.example/{k}", page.format(k, "first", "<table><tr><td>Old page</table>" if k % 2 else "")) for k in range(6)]
+    rows += [(10 + k, f"http://b.example/{k}", inside.format(k)) for k in range(4)]
+    out = {r.page_id: r.text for r in extract_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"T {k}\n\nText {k}" for k in range(6)} | {10 + k: f"T {k}\n\nText {k}" for k in range(4)}

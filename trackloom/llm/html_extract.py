@@ -3,17 +3,23 @@
 A page becomes a tree of block elements and text slots, in which neighbours that repeat are one repeated group.  Equal
 trees of a host are counted before anything is shuffled.  The distinct trees of a host are then aligned one after
 another: what only some have becomes an optional group, what repeats a repeated group, and texts become slots.  The
-result, a union-free regular expression, is the host's wrapper.  Its slots are split into article and other, by element
-and class names and, for hosts without article elements, by the text that slots hold over all pages of the host.
-Pages are read through their host's slots.
+result, a union-free regular expression, is the host's wrapper.
+
+Pages are read by matching them to their host's wrapper, which gives each text its slot.  A slot with one and the same
+text on all pages that have it is template text, and the slots of a repeated group that holds mostly links are a list of
+links; neither is article.  Names of elements and classes decide what alignment cannot see: advertisements, comments and
+the like vary as articles do, so elements named so are left out, and article elements, if a page has any, bound its
+article.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -268,102 +274,229 @@ def slot_paths(wrapper: list, path: str = "", again: bool = False) -> dict[str,
     return out
 
 
+class Matcher:
+    """A wrapper as pages are matched to it; slots are numbered in order."""
+
+    def __init__(self, wrapper: list):
+        #: For each slot, the number of the innermost repeated item or group around it, or a negative number of its own.
+        self.groups: list[int] = []
+        self._n = 0
+        self._top = self._level(wrapper, None)
+
+    def _level(self, items: list, group: int | None) -> list:
+        """The items of one level, groups spelled out: [name, repeated, bounds of the innermost repeated group, inside]."""
+        flat: list = []
+
+        def add(items: list, group: int | None) -> None:
+            for name, children, _, again in items:
+                inner = group
+                if again:
+                    self._n += 1
+                    inner = self._n
+                if name == "#":
+                    self.groups.append(-1 - len(self.groups) if inner is None else inner)
+                    flat.append([name, again, None, len(self.groups) - 1])
+                elif name:
+                    flat.append([name, again, None, self._level(children, inner)])
+                else:
+                    start = len(flat)
+                    add(children, inner)
+                    for x in flat[start:]:
+                        x[2] = x[2] or (start, len(flat))
+
+        add(items, group)
+        return flat
+
+    def slots(self, tree: list) -> list[int]:
+        """The slot of each of a page's blocks in order; -1 for those that the wrapper has no place for."""
+        out: list[int] = []
+        self._match(self._top, tree, out)
+        return out
+
+    def _match(self, flat: list, children: list, out: list[int]) -> None:
+        last = -1
+        for c in children:
+            name = "#" if c == "#" else c[0]
+            if last < 0 or not (flat[last][1] and flat[last][0] == name):
+                last = next((i for i in self._ways(flat, last) if flat[i][0] == name), -1) if flat else -1
+            if name == "#":
+                out.append(-1 if last < 0 else flat[last][3])
+            else:
+                self._match([] if last < 0 else flat[last][3], c[1], out)
+
+    @staticmethod
+    def _ways(flat: list, last: int) -> Iterator[int]:
+        """Where a match may go on: in its repeated group, once more from the group's start, after it, anywhere."""
+        if last >= 0 and flat[last][2]:
+            start, end = flat[last][2]
+            yield from range(last + 1, end)
+            yield from range(start, last + 1)
+        yield from range(last + 1, len(flat))
+        yield from range(last + 1)
+
+
+@lru_cache(1024)
+def _matcher(wrapper: str) -> Matcher:
+    return Matcher(json.loads(wrapper))
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def host_wrappers(pages: DataFrame, scratch: Scratch, salts: int = 16) -> DataFrame:
-    """(host, n_pages, wrapper, slots) with slots (path, role, repeated, chars, link_chars, constant) of every host.
+def _by_host(rows: DataFrame, rules: DataFrame, columns: list[str], small: bool, part: Column, copies: int) -> tuple[DataFrame, dict | None]:
+    """Rows with their host's ``columns`` of ``rules``, or, if ``small``, rows as they are and the rules by host.
 
-    A host's distinct trees are folded in ``salts`` parts, and the parts' wrappers once more, so that a large host is
-    not one task's work.  ``constant`` says that a slot holds one and the same text on all pages, at least 3, of a host.
+    Small rules are broadcast once to each executor; others are joined by host, every host in ``copies`` parts.
     """
+    if small:
+        return rows, {r["host"]: tuple(r[c] for c in columns) for r in rules.select("host", *columns).collect()}
+    rules = rules.select("host", *columns).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return rows.withColumn("_part", F.pmod(part, F.lit(copies)).cast("int")).join(rules, ["host", "_part"], "left").drop("_part"), None
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "html"):
-                hosts, trees, slots = batch.column("host"), [], []
-                for source in batch.column("html").to_pylist():
-                    page = Page(source or "")
-                    trees.append(json.dumps(skeleton(page.tree), separators=(",", ":")))
-                    own: dict[str, list] = {}
-                    for path, role, text, links in page.blocks:
-                        x = own.setdefault(path, [role, 0, 0, []])
-                        x[1] += len(text)
-                        x[2] += links
-                        x[3].append(text)
-                    slots.append([{"path": p, "role": r, "chars": c, "links": n, "text": "\n".join(t)} for p, (r, c, n, t) in own.items()])
-                kind = pa.list_(pa.struct([("path", pa.string()), ("role", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("text", pa.string())]))
-                yield pa.RecordBatch.from_arrays([hosts, pa.array(trees), pa.array(slots, kind)], ["host", "tree", "slots"])
-
-    scanned = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(scan, "host string, tree string, slots array<struct<path: string, role: string, chars: bigint, links: bigint, text: string>>")
-    slim = F.transform("slots", lambda s: F.struct(s["path"].alias("path"), s["role"].alias("role"), s["chars"].alias("chars"), s["links"].alias("links"), F.xxhash64(s["text"]).alias("text")))
-    scanned = scratch.save(scanned.select("host", "tree", slim.alias("slots")), "scanned")
-    trees = scanned.groupBy("host", "tree").agg(F.count("*").alias("n"))
+
+def _wrappers(scanned: DataFrame, salts: int) -> DataFrame:
+    """(host, tree): the wrapper of each host's pages.
+
+    A host's distinct trees are folded in ``salts`` parts, and the parts' wrappers once more, so that a large host is
+    not one task's work.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper: list | None = None
         for tree in sorted(pdf["tree"]):
             wrapper = json.loads(tree) if wrapper is None else align(wrapper, json.loads(tree))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tree": [json.dumps(wrapper, separators=(",", ":"))], "n": [int(pdf["n"].sum())]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tree": [json.dumps(wrapper, separators=(",", ":"))]})
 
     part = F.pmod(F.xxhash64("tree"), F.lit(salts)).alias("part")
-    trees = trees.groupBy("host", part).applyInPandas(fold, "host string, tree string, n bigint").groupBy("host").applyInPandas(fold, "host string, tree string, n bigint")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            wrappers = [json.loads(x) for x in pdf["tree"]]
-            rows = [(h, n, expression(w), p, r) for h, n, w in zip(pdf["host"], pdf["n"], wrappers, strict=True) for p, r in slot_paths(w).items()]
-            yield pd.DataFrame(rows, columns=["host", "n_pages", "wrapper", "path", "repeated"])
+    return scanned.groupBy("host", "tree").agg(F.count("*").alias("n")).groupBy("host", part).applyInPandas(fold, "host string, tree string").groupBy("host").applyInPandas(fold, "host string, tree string")
 
-    paths = trees.mapInPandas(read, "host string, n_pages bigint, wrapper string, path string, repeated boolean")
-    held = scanned.select("host", F.explode("slots").alias("s")).groupBy("host", F.col("s.path").alias("path"))
-    held = held.agg(F.min("s.role").alias("role"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("link_chars"), F.count("*").alias("n"), (F.min("s.text") == F.max("s.text")).alias("same"))
-    out = paths.join(held, ["host", "path"])
-    constant = F.col("same") & (F.col("n") == F.col("n_pages")) & (F.col("n_pages") >= 3)
-    out = out.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.first("wrapper").alias("wrapper"), F.sort_array(F.collect_list(F.struct("path", "role", "repeated", "chars", "link_chars", constant.alias("constant")))).alias("slots"))
-    return scratch.save(out, "wrappers")
 
+def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies: int, salts: int = 16) -> DataFrame:
+    """(host, tree, template, links): each host's wrapper, its slots of template text and those of lists of links.
 
-def article_paths(slots: Column) -> Column:
-    """The slots that hold article text.
+    Template slots hold one and the same text on all pages that have them; pages that agree in all text outside of menus
+    and the like count as one, and there must be 3.
+    """
 
-    Those in article elements, if the host has any.  Otherwise those outside of menus and the like that are not
-    constant on the host and hold more text outside of links than in links.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                out: list[list] = [[], [], [], []]
+                for source in batch.column("html").to_pylist():
+                    page = Page(source or "")
+                    out[0].append(json.dumps(skeleton(page.tree), separators=(",", ":")))
+                    out[1].append(json.dumps(page.tree, separators=(",", ":")))
+                    out[2].append(_digest("\n".join(text for _, role, text, _ in page.blocks if role != OUT)))
+                    out[3].append(json.dumps([(_digest(text), len(text), links) for _, _, text, links in page.blocks], separators=(",", ":")))
+                yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["host", "tree", "page", "content", "blocks"])
+
+    pages = pages.select(_host(F.col("url")).alias("host"), "html").where("host <> ''")
+    scanned = scratch.save(pages.mapInArrow(scan, "host string, tree string, page string, content bigint, blocks string"), "scanned")
+    wrappers = scratch.save(_wrappers(scanned, salts), "wrappers")
+    taken = wrappers.agg(F.sum(F.length("host") + F.length("tree") + 64)).first()[0] or 0
+    rows, known = _by_host(scanned.select("host", "page", "content", "blocks"), wrappers, ["tree"], taken <= broadcast_bytes, F.xxhash64("content"), copies)
+    shared = None if known is None else pages.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts = batch.column("host").to_pylist()
+            trees = batch.column("tree").to_pylist() if shared is None else [shared.value[h][0] for h in hosts]
+            found: dict[tuple[str, int], list] = {}
+            for host, tree, page, content, blocks in zip(hosts, trees, batch.column("page").to_pylist(), batch.column("content").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+                own: dict[int, list] = {}
+                for slot, (text, chars, links) in zip(_matcher(tree).slots(json.loads(page)), json.loads(blocks), strict=True):
+                    x = own.setdefault(slot, [[], 0, 0])
+                    x[0].append(text)
+                    x[1] += chars
+                    x[2] += links
+                for slot, (texts, chars, links) in own.items():
+                    text = texts[0] if len(texts) == 1 else _digest(json.dumps(texts))
+                    x = found.setdefault((host, slot), [text, text, 0, 0, set()])
+                    x[0], x[1], x[2], x[3] = min(x[0], text), max(x[1], text), x[2] + chars, x[3] + links
+                    if len(x[4]) < 3:
+                        x[4].add(content)
+            keys, values = list(found), list(found.values())
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
+            columns += [pa.array([v[i] for v in values], pa.int64()) for i in range(4)] + [pa.array([sorted(v[4]) for v in values], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "least", "most", "chars", "links", "contents"])
+
+    slots = rows.mapInArrow(count, "host string, slot bigint, least bigint, most bigint, chars bigint, links bigint, contents array<bigint>")
+    several = F.size(F.array_distinct(F.flatten(F.collect_list("contents")))) >= 3
+    slots = slots.groupBy("host", "slot").agg(((F.min("least") == F.max("most")) & several).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "same", "chars", "links")).alias("slots")).join(wrappers, "host")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            template, linked = [], []
+            for tree, slots in zip(pdf["tree"], pdf["slots"], strict=True):
+                groups = _matcher(tree).groups
+                sums: dict[int, list[int]] = {}
+                for x in slots:
+                    if x["slot"] >= 0:
+                        y = sums.setdefault(groups[x["slot"]], [0, 0])
+                        y[0] += x["chars"]
+                        y[1] += x["links"]
+                template.append(sorted(x["slot"] for x in slots if x["slot"] >= 0 and x["same"]))
+                linked.append([i for i, g in enumerate(groups) if g in sums and 2 * sums[g][1] > sums[g][0]])
+            yield pd.DataFrame({"host": pdf["host"], "tree": pdf["tree"], "template": template, "links": linked})
+
+    return scratch.save(slots.select("host", "tree", "slots").mapInPandas(decide, "host string, tree string, template array<bigint>, links array<bigint>"), "rules")
+
+
+def article(page: Page, rule: tuple | None) -> list[str]:
+    """The article's blocks of a page, read by its host's rule (wrapper, template slots, link slots), if it has one.
+
+    A page with article elements is read inside of them.  Any other page is read outside of menus and the like and
+    lists of links.  Template text is left out, unless an article element holds nothing else.
     """
-    main = F.filter(slots, lambda s: s["role"] == MAIN)
-    other = F.filter(slots, lambda s: (s["role"] == OTHER) & ~s["constant"] & (2 * s["link_chars"] <= s["chars"]))
-    return F.transform(F.when(F.size(main) > 0, main).otherwise(other), lambda s: s["path"])
+    blocks = page.blocks
+    inside = [i for i, b in enumerate(blocks) if b[1] == MAIN]
+    if rule is None:
+        if not inside:
+            sums: dict[str, list[int]] = {}
+            for path, _, text, links in blocks:
+                x = sums.setdefault(path, [0, 0])
+                x[0] += len(text)
+                x[1] += links
+            inside = [i for i, b in enumerate(blocks) if b[1] == OTHER and 2 * sums[b[0]][1] <= sums[b[0]][0]]
+        return [blocks[i][2] for i in inside]
+    slots, template = _matcher(rule[0]).slots(page.tree), set(rule[1])
+    if inside:
+        return [blocks[i][2] for i in [i for i in inside if slots[i] not in template] or inside]
+    out = template | set(rule[2])
+    return [b[2] for b, slot in zip(blocks, slots, strict=True) if b[1] == OTHER and slot not in out]
 
 
 def extract_html(pages: DataFrame, broadcast_bytes: int = 8 << 20, copies: int = 64) -> DataFrame:
     """page_id, url, text and n_chars (code points) of the main text of every page.
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
-    two line breaks.  Pages without main text, and null html, give an empty text.  Null urls and urls without a host
-    share one wrapper; repeated rows give equal results; an empty table gives an empty result.  The slots of all hosts
-    are broadcast if they take at most ``broadcast_bytes``; otherwise pages are joined with them by host, every host
-    in ``copies`` parts.
+    two line breaks.  Pages without main text, and null html, give an empty text.  Pages with null urls or urls without
+    a host are read one by one, without a wrapper; repeated rows give equal results; an empty table gives an empty
+    result.  The wrappers of all hosts are broadcast if they take at most ``broadcast_bytes``; otherwise pages are joined
+    with them by host, every host in ``copies`` parts.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    rules = host_wrappers(pages, scratch).select("host", article_paths(F.col("slots")).alias("_paths"))
-    rules = scratch.save(rules, "rules")
-    taken = rules.agg(F.sum(F.length("host") + F.length(F.array_join("_paths", ",")) + 64)).first()[0] or 0
+    rules = host_rules(pages, scratch, broadcast_bytes, copies)
+    taken = rules.agg(F.sum(F.length("host") + F.length("tree") + 32 * (F.size("template") + F.size("links")) + 64)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    if taken <= broadcast_bytes:
-        rows = rows.join(F.broadcast(rules), "host", "left")
-    else:
-        part = F.pmod(F.xxhash64("page_id", "url"), F.lit(copies)).cast("int")
-        rules = rules.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        rows = rows.withColumn("_part", part).join(rules, ["host", "_part"], "left")
+    columns = ["tree", "template", "links"]
+    rows, known = _by_host(rows, rules, columns, taken <= broadcast_bytes, F.xxhash64("page_id", "url"), copies)
+    shared = None if known is None else pages.sparkSession.sparkContext.broadcast(known)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                texts = []
-                for source, paths in zip(batch.column("html").to_pylist(), batch.column("_paths").to_pylist(), strict=True):
-                    inside = set(paths or ())
-                    texts.append("\n\n".join(text for path, role, text, _ in Page(source or "").blocks if path in inside and role != OUT))
+                if shared is None:
+                    given = [x if x[0] is not None else None for x in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+                else:
+                    given = [shared.value.get(h) for h in batch.column("host").to_pylist()]
+                texts = ["\n\n".join(article(Page(source or ""), rule)) for source, rule in zip(batch.column("html").to_pylist(), given, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "_paths").mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "host", *(columns if known is None else ())).mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint")
