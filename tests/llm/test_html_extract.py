@@ -65,3 +65,17 @@ def test_wrapper_chooses_slots(spark):
     rows += [(10 + k, f"http://b.example/{k}", inside.format(k)) for k in range(4)]
     out = {r.page_id: r.text for r in extract_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {k: f"T {k}\n\nText {k}" for k in range(6)} | {10 + k: f"T {k}\n\nText {k}" for k in range(4)}
+
+
+def test_each_page_by_itself(spark):
+    story = "<article><p>Story {0}</p></article>"
+    other = "<div class=menu>Menu</div><div class=content><p>Body {0}</p></div>"
+    same = "<div class=content><p>One text</p></div>"
+    rows = [(k, f"http://a.example/{k}", (other if k % 3 == 0 else story).format(k)) for k in range(9)]
+    rows += [(20 + k, f"http://copies.example/{k}", f"<nav>{k}</nav>{same}") for k in range(5)]
+    rows += [(30 + k, url, html) for k, (url, html) in enumerate([(None, story.format(1)), ("/x", same), ("no host", same), (None, same), (None, other.format(2))])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: f"Body {k}" if k % 3 == 0 else f"Story {k}" for k in range(9)} | {20 + k: "One text" for k in range(5)}
+    want |= {30: "Story 1", 31: "One text", 32: "One text", 33: "One text", 34: "Body 2"}
+    for limit in (8 << 20, 0):
+        assert {r.page_id: r.text for r in extract_html(pages, broadcast_bytes=limit).collect()} == want
