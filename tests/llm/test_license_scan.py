@@ -1,3 +1,7 @@
+import textwrap
+from pathlib import Path
+
+from trackloom.llm import license_scan as module
 from trackloom.llm.license_scan import KNOWN, known_licenses, license_scan
 
 
@@ -10,3 +14,17 @@ def test_whole_texts_and_lines(spark, make_docs):
     assert license_scan(docs.limit(0), known_licenses(spark)).count() == 0
     twice = known_licenses(spark, {"b": "same text", "a": "Same, text!", "e": "..."})
     assert [r.license_id for r in license_scan(make_docs([(1, "SAME TEXT")]), twice).collect()] == ["a"]
+
+
+def test_files_with_titles_and_full_texts(spark, make_docs):
+    full = {p.stem: p.read_text(encoding="utf-8") for p in (Path(module.__file__).parent / "licenses").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"} <= set(full)
+    files = [(n, t) for n, t in full.items()] + [(n, "\n\n".join(textwrap.fill(x, 66) for x in t.split("\n\n"))) for n, t in full.items() if n.startswith("BSD")]
+    owner = "\n\nCopyright (c) 2020 Someone\nAll rights reserved.\n\n"
+    wrapped = textwrap.fill(KNOWN["MIT"], 40) + "\n"
+    files += [("MIT", "The MIT Licence\n" + "Copyright (c) 2020 Someone\n\n" + KNOWN["MIT"]), ("MIT", "MIT License" + owner + wrapped), ("ISC", "ISC License" + owner + KNOWN["ISC"]), ("BSD-3-Clause", "BSD 3-Clause License" + owner + full["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    files += [("Apache-2.0", full["Apache-2.0"].split("   APPENDIX")[0]), ("GPL-3.0", full["GPL-3.0"].replace("https:", "http:"))]
+    # A licence's own words about copyright stay, wherever a line is broken.
+    files += [("BSD-2-Clause", full["BSD-2-Clause"].replace(" COPYRIGHT", "\nCOPYRIGHT").replace(" copyright", "\ncopyright")), (None, full["BSD-2-Clause"].replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT", "\n"))]
+    out = {r.doc_id: r.license_id for r in license_scan(make_docs(list(enumerate(t for _, t in files))), known_licenses(spark)).collect()}
+    assert out == {k: n for k, (n, _) in enumerate(files)}

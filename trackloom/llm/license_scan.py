@@ -2,11 +2,14 @@
 
 A text becomes canonical: copyright lines go, letters become lower case, equivalent spellings become one, and
 everything that is no letter or digit becomes a single space.  Digests of whole canonical texts are hash-joined with
-those of the known licences.
+those of the known licences, each with and without its title, clause numbers and appendix.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
     "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled", "capitalisations": "capitalizations", "catalogue": "catalog",
     "categorise": "categorize", "centre": "center", "colour": "color", "copyright holder": "copyright owner", "emphasised": "emphasized",
-    "favour": "favor", "favourite": "favorite", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment",
+    "favour": "favor", "favourite": "favorite", "fulfilment": "fulfillment", "https": "http", "initialise": "initialize", "judgement": "judgment",
     "labelling": "labeling", "labour": "labor", "licence": "license", "maximise": "maximize", "merchantability": "merchantability",
     "modelled": "modeled", "non commercial": "noncommercial", "offence": "offense", "optimise": "optimize", "organisation": "organization",
     "organise": "organize", "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize",
@@ -49,7 +52,24 @@ Permission is granted to anyone to use this software for any purpose, including
     "MIT-notice": "Released under the MIT License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
-_COPYRIGHT = r"(?im)^[^\p{L}\p{N}©\n]*(?:copyright\b(?! notice)|©|\(c\)).*$"
+
+# Lines that often stand above a licence's text.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD", "0BSD"),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "The BSD 2-Clause License", "The BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "The BSD 3-Clause License", "The BSD License", "BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "License: MIT", "(The MIT License)"),
+    "Unlicense": ("The Unlicense", "Unlicense", "UNLICENSE"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"),
+}
+# A line that only names an owner or a year.  Licences speak of copyright too, and may be wrapped anywhere.
+_COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}©\n]*(?:©|(?i:copyright)[\s:,]*(?:©|(?i:\(c\))|[\[<{(]?(?:[12]\d{3}|(?i:yyyy|year)))|(?i:\(c\))[ \t]*(?:[\[<{]?(?:[12]\d{3}|(?i:yyyy|year))|(?i:copyright))"
+    r"|Copyright(?:[ \t]+by)?[ \t]+(?!Holder|Owner|Notice|Licen|Law|Disclaimer)[\p{Lu}\[<{]|(?i:all[ \t]+rights[ \t]+reserved)[^\p{L}\p{N}\n]*$).*$"
+)
+_END = "END OF TERMS AND CONDITIONS"
 
 
 def canonical(text: Column) -> Column:
@@ -63,8 +83,27 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, text), by default of ``KNOWN``."""
-    return spark.createDataFrame(sorted((texts or KNOWN).items()), "license_id string, text string")
+    """(license_id, text) of ``texts``, by default of ``KNOWN`` and the texts of folder ``licenses``, in all their forms.
+
+    An id may have several rows.
+    """
+    given = list((texts or KNOWN).items())
+    if not texts:
+        given += [(path.stem, path.read_text(encoding="utf-8")) for path in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+    rows = {(name, form) for name, text in given for form in (forms(name, text) if not texts else [text])}
+    return spark.createDataFrame(sorted(rows), "license_id string, text string")
+
+
+def forms(name: str, text: str) -> list[str]:
+    """A licence's text as it stands in files: without the appendix or clause numbers, and below each of its titles."""
+    if "\n" not in text:
+        return [text]
+    out = [text]
+    if _END in text:
+        terms = text[: text.index(_END)]
+        out += [terms, terms + _END]
+    out += [x for x in (re.sub(r"(?m)^[ \t]*\d+\.(?=\s)", "", y) for y in list(out)) if x not in out]
+    return out + [f"{title}\n\n{x}" for title in TITLES.get(name, ()) for x in out]
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
