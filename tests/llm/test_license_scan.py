@@ -28,3 +28,6 @@ def test_files_with_titles_and_full_texts(spark, make_docs):
     files += [("BSD-2-Clause", full["BSD-2-Clause"].replace(" COPYRIGHT", "\nCOPYRIGHT").replace(" copyright", "\ncopyright")), (None, full["BSD-2-Clause"].replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT", "\n"))]
     out = {r.doc_id: r.license_id for r in license_scan(make_docs(list(enumerate(t for _, t in files))), known_licenses(spark)).collect()}
     assert out == {k: n for k, (n, _) in enumerate(files)}
+    mixed = [(0, "Copyright 2020 me\rReleased under the MIT License."), (1, "(c) 2020 me\n \n*** Released under the MIT Licence"), (2, "All rights reserved\nReleased under the MIT License"), (3, "Re-released under the MIT License")]
+    assert sorted((r.doc_id, r.license_id) for r in license_scan(make_docs(mixed), known_licenses(spark)).collect()) == [(0, "MIT-notice"), (1, "MIT-notice"), (2, "MIT-notice"), (3, None)]
+    assert all(a[:3] == b[:3] for a, b in module.SPELLINGS.items())

@@ -82,6 +82,20 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def _start(lowered: Column) -> Column:
+    """The first one to three letters or digits; no spelling in ``SPELLINGS`` changes these."""
+    return F.regexp_extract(lowered, r"[\p{L}\p{N}]{1,3}", 0)
+
+
+def _may_be_known(text: Column, starts: list[str]) -> Column:
+    """False only for texts that cannot be known: they start otherwise, and no line of theirs can be a copyright line."""
+    lowered = F.lower(text)
+    out = _start(lowered).isin(starts)
+    for word in ("copyright", "©", "(c)", "rights"):
+        out |= F.contains(lowered, F.lit(word))
+    return out
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license_id, text) of ``texts``, by default of ``KNOWN`` and the texts of folder ``licenses``, in all their forms.
 
@@ -115,12 +129,14 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """
     known = known.withColumn("canonical", canonical(F.col("text"))).where("canonical <> ''")
     table = known.groupBy(F.sha2("canonical", 256).alias("digest")).agg(F.min("license_id").alias("license"))
+    starts = [r[0] for r in known.select(_start(F.col("canonical"))).distinct().collect()]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("_text"), F.xxhash64(text).alias("_hash"))
-    whole = rows.select("doc_id", "_hash", F.sha2(canonical(F.col("_text")), 256).alias("digest"))
+    # What is no digest matches nothing; it only deals such rows evenly.
+    whole = rows.select("doc_id", "_hash", F.when(_may_be_known(F.col("_text"), starts), F.sha2(canonical(F.col("_text")), 256)).otherwise(F.xxhash64("doc_id", "_hash").cast("string")).alias("digest"))
     whole = whole.join(table, "digest", "left").select("doc_id", "_hash", F.col("license").alias("license_id"))
     lines = rows.select("doc_id", "_hash", F.explode(F.split("_text", "\n", -1)).alias("_line"))
-    lines = lines.select("doc_id", "_hash", F.sha2(canonical(F.col("_line")), 256).alias("digest")).join(table, "digest")
+    lines = lines.where(_may_be_known(F.col("_line"), starts)).select("doc_id", "_hash", F.sha2(canonical(F.col("_line")), 256).alias("digest")).join(table, "digest")
     # Only the few lines that are known reach this shuffle; repeated rows share a key and give one list.
     lines = lines.groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_set("license")).alias("_found")).withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
     out = whole.join(lines, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
