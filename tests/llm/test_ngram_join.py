@@ -6,7 +6,7 @@ import pytest
 
 from trackloom.llm._graph import components
 from trackloom.llm._shared import Scratch
-from trackloom.llm.ngram_join import ngram_join
+from trackloom.llm.ngram_join import ngram_join, ngram_links
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -63,3 +63,19 @@ def test_components_of_long_paths(spark):
     edges = [(order[i], order[i + 1]) for i in range(59)] + [(100, 101), (102, 101), (103, 103)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect())
     assert {got[i] for i in range(60)} == {0} and got[100] == got[101] == got[102] == 100
+
+
+def test_every_link_between_distinct_sets(spark, make_docs, monkeypatch):
+    monkeypatch.setattr("trackloom.llm.ngram_join._LIST", 4)
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(w if j != 5 * k else f"new{k}" for j, w in enumerate(base))) for k in range(12)]
+    rows += [(20, rows[0][1].upper()), (21, " ".join(f"v{rng.randrange(90)}" for _ in range(50))), (22, None)]
+    sets = {d: frozenset(zip(*(t.lower().split()[i:] for i in range(3)))) for d, t in rows if t}
+    alike = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    links, members = ngram_links(make_docs(rows), 3, 80)
+    want = {(a, b) for a, b in alike if 20 not in (a, b)}
+    assert len(want) == 66 and sorted(map(tuple, links.collect())) == sorted(want)
+    assert dict(map(tuple, members.collect())) == {d: 0 if d == 20 else d for d in sets}
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join(make_docs(rows), 3, 80).collect()}
+    assert got == {k: (0, 11) for k in [*range(12), 20]} | {21: (21, 0), 22: (22, 0)}

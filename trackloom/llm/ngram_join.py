@@ -7,9 +7,11 @@
 3. Classes whose prefixes under the first order share a shingle are candidates, if their sizes and the shingle's places
    in both sets leave room for the overlap that a link needs.  A candidate must also share prefix
    shingles under the other orders; the intersection of these filters goes to verification with the whole sets.
-4. Links between groups that are already joined decide nothing.  So each posting list first compares its members with
-   one hub each; the pairs that still lie in different groups follow in full.  The groups are exactly those of all
-   links, although a group of n near copies costs about n comparisons in place of n * n.
+4. The join verifies every candidate pair, each once; long posting lists are dealt in parts.  A group of n near copies
+   that are all alike has n * (n - 1) / 2 links.
+5. Where only the groups are asked for, links between groups that are already joined decide nothing.  So each posting
+   list first compares its members with one hub each; the pairs that still lie in different groups follow in full.  The
+   groups are exactly those of all links, although a group of n near copies costs about n comparisons in place of n * n.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from trackloom.llm._text import Texts, distinct, mix, slices, windows
 
 ORDERS = 3
 _BLOCK = 1 << 12
+_LIST = 256
 _NO_ID = -(1 << 63)
 
 
@@ -106,18 +109,44 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
     return sizes & ((100 + percent) * F.least(a["n"] - a["at"], b["n"] - b["at"]) >= percent * (a["n"] + b["n"]))
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, hub_rounds: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, hub_rounds: int = 2, broadcast_rows: int = 1_000_000, every_link: bool = True) -> DataFrame:
     """Groups of documents whose shingle sets are alike.
 
     The words of a text are lower-cased in A-Z; its set holds the distinct ``n``-word shingles, or the whole sequence
     of words if it is shorter.  Two documents link when 100 * intersection >= ``percent`` * union.  Returns one row for
     each row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and
-    n_links (links of its class with other classes that were verified; links that decide nothing are not sought).
+    n_links (links of its class of equal sets with other classes).  Without ``every_link`` there is no n_links, and only
+    links that decide groups are sought, in ``hub_rounds`` rounds of hubs and one of the pairs that remain.
     Null texts and texts without words have empty sets and are alone, as is a row with null doc_id and an empty set;
     other null ids take part as one document, below all others.  Rows with one doc_id each keep a row; they count as one
     document, which links if any of its texts does.
     ``broadcast_rows`` bounds the ids that are broadcast to pick candidates' texts; beyond it they are joined.
     """
+    sets, names, links, groups = _linked(docs, n, percent, buckets, 0 if every_link else hub_rounds, broadcast_rows, every_link)
+    moved = groups.select(F.col("node").alias("id"), "root")
+    names = names.join(moved, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if every_link:
+        degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+        names = names.join(degrees, "id", "left")
+    # Classes of one document that nothing joins need no row here; copies and linked classes do.
+    out = sets.select("doc_id", "n", "d1", "d2").join(names.drop("id"), ["d1", "d2"], "left")
+    root = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
+    counts = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if every_link else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(root, F.lit(_NO_ID)).alias("component_id"), *counts)
+
+
+def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """All links of :func:`ngram_join` between classes of equal sets, as (a, b) with a < b, each once; and (doc_id, class).
+
+    A class is named by its smallest doc_id, null as that; classes of different texts of one doc_id may share a name.
+    """
+    sets, names, links, _ = _linked(docs, n, percent, buckets, 0, broadcast_rows, True)
+    a, b, own = (F.nullif(F.col(c), F.lit(_NO_ID)).alias(x) for c, x in (("a", "a"), ("b", "b"), ("id", "class")))
+    return links.select(a, b), sets.where("n > 0").join(names, ["d1", "d2"]).select("doc_id", own)
+
+
+def _linked(docs: DataFrame, n: int, percent: int, buckets: int | None, hub_rounds: int, broadcast_rows: int, every_link: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets (doc_id, n, d1, d2), class names (d1, d2, id), verified links (a, b) and groups (node, root)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -152,7 +181,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | No
     sets = scratch.save(sets.select("doc_id", "n", "d1", "d2"), "slim-sets")
     scratch.drop("sets")
     postings = classes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    postings = postings.withColumn("_size", F.count("*").over(Window.partitionBy("token"))).where("_size > 1").drop("_size")
+    postings = postings.withColumn("_size", F.count("*").over(Window.partitionBy("token"))).where("_size > 1")
     postings = scratch.save(postings, "postings")
     scratch.drop("classes")
 
@@ -198,6 +227,15 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | No
         inter, total = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
         return scratch.save(both.where((100 + percent) * inter >= percent * total).select("a", "b").distinct(), f"links-{k}")
 
+    # The classes that one doc_id occurs in belong together.
+    owned = sets.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
+    owned = scratch.save(owned, "owned")
+    same = None
+    if not owned.isEmpty():
+        ids = sets.where("n > 0").join(owned, "doc_id").join(names, ["d1", "d2"]).select("doc_id", "id").distinct()
+        same = ids.join(ids.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+        same = scratch.save(same, "same")
+
     token = Window.partitionBy("token")
     groups, links, tested = None, None, None
     for k in range(hub_rounds + 1):
@@ -206,9 +244,15 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | No
             few = groups.count() <= broadcast_rows
             moved = groups.select(F.col("node").alias("id"), F.col("root").alias("_root"))
             members = postings.join(F.broadcast(moved) if few else moved, "id", "left").withColumn("root", F.coalesce("_root", "id"))
-        members = members.select("token", "id", "root", F.struct("n", "at").alias("p"))
+        members = members.select("token", "id", "root", F.struct("n", "at").alias("p"), "_size")
         several = F.min("root").over(token) < F.max("root").over(token)
-        if k < hub_rounds:
+        if every_link:
+            # A long list's members meet in parts: each lies in one part as first, and in all as second.
+            parts = F.ceil(F.col("_size") / _LIST).cast("int")
+            one = members.select("token", "id", "p", F.pmod(F.xxhash64("id"), parts).cast("int").alias("_part"))
+            two = members.select("token", F.col("id").alias("id2"), F.col("p").alias("p2"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+            pairs = one.join(two, ["token", "_part"]).where("id < id2")
+        elif k < hub_rounds:
             # The member with the fewest rarer tokens is the likeliest to be what the others are copies of.
             first = [F.col("p.at"), F.xxhash64("id")] if k == 0 else [F.xxhash64("id", "token"), F.lit(0).cast("bigint")]
             hub = F.min(F.struct(first[0].cast("bigint").alias("x"), first[1].alias("y"), "id", "root", "p")).over(token)
@@ -224,11 +268,5 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | No
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = verified(pairs, k)
         links = new if links is None else links.unionByName(new)
-        groups = components(links, scratch, f"groups-{k}")
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    moved = groups.join(degrees, "node", "left").select(F.col("node").alias("id"), "root", "n_links")
-    names = names.join(moved, "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("root"), "n_links")
-    # Classes of one document that nothing joins need no row here; copies and linked classes do.
-    out = sets.select("doc_id", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
-    root = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(root, F.lit(_NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        groups = components(links if same is None else links.unionByName(same), scratch, f"groups-{k}")
+    return sets, names, links, groups
