@@ -79,3 +79,12 @@ def test_every_link_between_distinct_sets(spark, make_docs, monkeypatch):
     assert dict(map(tuple, members.collect())) == {d: 0 if d == 20 else d for d in sets}
     got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join(make_docs(rows), 3, 80).collect()}
     assert got == {k: (0, 11) for k in [*range(12), 20]} | {21: (21, 0), 22: (22, 0)}
+
+
+@pytest.mark.parametrize("every_link", [True, False])
+def test_repeated_ids_with_different_texts(spark, make_docs, every_link):
+    x, y, z = ("a b c d e f", "g h i j k l", "m n o p q r")
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, z), (9, y), (11, "s t u v w"), (12, "s t u v w"), (2, "q w e r t y"), (2, "u i o p a s")]
+    out = ngram_join(make_docs(rows), 3, 90, every_link=every_link)
+    assert ("n_links" in out.columns) is every_link
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == brute(rows, 3, 90)
