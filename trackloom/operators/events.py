@@ -151,7 +151,10 @@ def legacy_velocity(df: DataFrame, track: Track, x: str, y: str, body: str, fps:
 
 
 def foraging(df: DataFrame, track: Track, nose: str, neck: str, fps: float) -> DataFrame:
-    """Adds foraging_amplitude, the nose's bend from the neck in degrees, and foraging_speed, its change a second."""
+    """Adds foraging_amplitude, the nose's bend from the neck in degrees, and foraging_speed, its change a second.
+
+    Simplified: angles are not smoothed, and rows keep their own bend in place of their stretch's extremum (SURVEY EVT-15).
+    """
     w = track.window()
     angle = wrap_degrees(F.degrees(F.col(nose) - F.col(neck)))
     df = df.withColumn("foraging_amplitude", angle)
@@ -197,9 +200,10 @@ def coils(df: DataFrame, track: Track, code: str, fps: float, codes: Sequence[in
 
 
 def omega_turns(df: DataFrame, track: Track, angle: str, fps: float, bend: float = 60.0, seconds: float = 2.0) -> DataFrame:
-    """(keys, start, end, is_ventral): stretches where the body's bend passes ``bend`` degrees while the path reverses.
+    """(keys, start, end, is_ventral): stretches where the body's bend passes ``bend`` degrees.
 
-    The sign of the mean bend tells the side.
+    The sign of the mean bend tells the side.  Simplified: the path is not looked at, so that a lasting bend without a
+    reversal counts too, and upsilon turns are neither found nor excluded (SURVEY EVT-09, EVT-10).
     """
     runs = find_events(df.withColumn("_abs", F.abs(angle)), track, "_abs", track.order[-1], Finder(low=bend, max_gap=round(fps / 4), min_rows=max(1, round(fps * seconds / 4))))
     side = runs.join(df.select(*track.keys, F.col(track.order[-1]).alias("_at"), angle), list(track.keys)).where(F.col("_at").between(F.col("start"), F.col("end")))
