@@ -66,7 +66,7 @@ def test_components_of_long_paths(spark):
 
 
 def test_every_link_between_distinct_sets(spark, make_docs, monkeypatch):
-    monkeypatch.setattr("trackloom.llm.ngram_join._LIST", 4)
+    monkeypatch.setattr("trackloom.llm.ngram_join._CELL_SETS", 4)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(100)]
     rows = [(k, " ".join(w if j != 5 * k else f"new{k}" for j, w in enumerate(base))) for k in range(12)]
@@ -88,3 +88,15 @@ def test_repeated_ids_with_different_texts(spark, make_docs, every_link):
     out = ngram_join(make_docs(rows), 3, 90, every_link=every_link)
     assert ("n_links" in out.columns) is every_link
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == brute(rows, 3, 90)
+
+
+def test_links_between_sets_of_different_sizes(spark, make_docs, monkeypatch):
+    monkeypatch.setattr("trackloom.llm.ngram_join._CELL_SETS", 3)
+    base = [f"w{i}" for i in range(140)]
+    rows = [(k, " ".join(base[: 60 + k])) for k in range(80)]  # prefixes of one text: sizes near each other link
+    sets = {d: frozenset(zip(*(t.split()[i:] for i in range(3)))) for d, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    links, _ = ngram_links(make_docs(rows), 3, 90)
+    assert sorted(map(tuple, links.collect())) == sorted(alike)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join(make_docs(rows), 3, 90).collect()}
+    assert got == {d: (0, sum(d in pair for pair in alike)) for d in sets}
