@@ -32,7 +32,7 @@ from trackloom.llm._text import Texts, distinct, mix, slices, windows
 
 ORDERS = 3
 _BLOCK = 1 << 12
-_CELL_SETS, _CELL_TOKENS = 256, 1 << 18
+_CELL_SETS, _CELL_TOKENS = 128, 1 << 17
 _NO_ID = -(1 << 63)
 
 
