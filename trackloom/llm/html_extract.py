@@ -18,6 +18,8 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,14 +43,17 @@ _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead"}}
 _CLOSES_TO = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}}
 
+# A tag ends before the next "<" outside of quotes, so that markup without ">" is read in linear time.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<[!?][^<>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 MAIN, OUT, OTHER = "article", "out", "other"
+_DEEP = 100  # deeper elements belong to the one around them, in paths and trees; their texts are read like others
+_ALIGN = 1 << 18  # above so many pairs of items, alignment takes the next equal item in place of the longest sequence
 
 
 def _label(tag: str, attrs: str) -> tuple[str, str]:
@@ -88,6 +93,7 @@ class Page:
         self.blocks: list[tuple[str, str, str, int]] = []
         self.tree: list = []
         self._stack: list[tuple[str, str, str, list]] = [("", "", OTHER, self.tree)]  # tag, path, role, children
+        self._open_tags: Counter[str] = Counter()
         self._parts: list[str] = []
         self._links = self._link = 0
         self._unseen: list[str] = []  # a hidden element, and what is open inside it
@@ -120,7 +126,7 @@ class Page:
             if tag in inside:
                 del inside[len(inside) - 1 - inside[::-1].index(tag) :]
                 return True
-            outside = tag in _BLOCK and (tag in ("html", "body") or any(x[0] == tag for x in self._stack))
+            outside = tag in _BLOCK and (tag in ("html", "body") or self._open_tags[tag] > 0)
             if outside or (tag in _BLOCK and not self._ends):
                 inside.clear()
                 return False
@@ -157,6 +163,7 @@ class Page:
 
     def _pop(self, depth: int) -> None:
         self._flush()
+        self._open_tags.subtract(x[0] for x in self._stack[depth:])
         del self._stack[depth:]
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -179,6 +186,10 @@ class Page:
         label, role = _label(tag, attrs)
         _, path, above, children = self._stack[-1]
         role = OUT if OUT in (above, role) else MAIN if MAIN in (above, role) else OTHER
+        self._open_tags[tag] += 1
+        if len(self._stack) > _DEEP:
+            self._stack.append((tag, path, role, children))
+            return
         mine: list = []
         children.append([label, mine])
         self._stack.append((tag, f"{path}/{label}", role, mine))
@@ -189,6 +200,8 @@ class Page:
         if tag not in _BLOCK:
             return
         self._flush()
+        if not self._open_tags[tag]:
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
                 self._pop(i)
@@ -224,26 +237,48 @@ def _join(a: list, b: list) -> list:
     return [a[0], align(a[1], b[1]), a[2] or b[2], a[3] or b[3]]
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of both: a longest common subsequence by name is joined, the rest becomes optional."""
-    if a == b:
-        return a
-    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of very long lists, of a common subsequence that takes the next equal item."""
+    pairs: list[tuple[int, int]] = []
+    if len(a) * len(b) > _ALIGN:
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(a):
+            places.setdefault(x, []).append(i)
+        at = 0
+        for j, x in enumerate(b):
+            own = places.get(x, [])
+            k = bisect_left(own, at)
+            # An item far ahead would leave out all between.
+            if k < len(own) and own[k] - at <= 1 + len(a) // 8:
+                pairs.append((own[k], j))
+                at = own[k] + 1
+        return pairs
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and ka[i] == kb[j]:
-            out.append(_join(a[i], b[j]))
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([*a[i][:2], True, a[i][3]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([*b[j][:2], True, b[j][3]])
             j += 1
+    return pairs
+
+
+def align(a: list, b: list) -> list:
+    """The wrapper of both: a longest common subsequence by name is joined, the rest becomes optional."""
+    if a == b:
+        return a
+    out, i, j = [], 0, 0
+    for x, y in [*_common([_key(x) for x in a], [_key(x) for x in b]), (len(a), len(b))]:
+        out += [[*item[:2], True, item[3]] for item in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_join(a[x], b[y]))
+        i, j = x + 1, y + 1
     return _fold(out)
 
 
@@ -359,11 +394,11 @@ def _by_host(rows: DataFrame, rules: DataFrame, columns: list[str], small: bool,
     return rows.withColumn("_part", F.pmod(part, F.lit(copies)).cast("int")).join(rules, ["host", "_part"], "left").drop("_part"), None
 
 
-def _wrappers(scanned: DataFrame, salts: int) -> DataFrame:
+def _wrappers(scanned: DataFrame, scratch: Scratch, fan: int) -> DataFrame:
     """(host, tree): the wrapper of each host's pages.
 
-    A host's distinct trees are folded in ``salts`` parts, and the parts' wrappers once more, so that a large host is
-    not one task's work.
+    A host's distinct trees are folded in parts of about ``fan``, and the parts' wrappers once more, until one is left,
+    so that a large host is not one task's work.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -372,11 +407,19 @@ def _wrappers(scanned: DataFrame, salts: int) -> DataFrame:
             wrapper = json.loads(tree) if wrapper is None else align(wrapper, json.loads(tree))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tree": [json.dumps(wrapper, separators=(",", ":"))]})
 
-    part = F.pmod(F.xxhash64("tree"), F.lit(salts)).alias("part")
-    return scanned.groupBy("host", "tree").agg(F.count("*").alias("n")).groupBy("host", part).applyInPandas(fold, "host string, tree string").groupBy("host").applyInPandas(fold, "host string, tree string")
+    trees, k = scratch.save(scanned.select("host", "tree").distinct(), "trees-0"), 0
+    while True:
+        parts = trees.groupBy("host").agg(F.ceil(F.count("*") / fan).alias("parts"))
+        most = parts.agg(F.max("parts")).first()[0] or 1
+        part = F.pmod(F.xxhash64("tree", F.lit(k)), F.col("parts")).alias("part")
+        k += 1
+        trees = scratch.save(trees.join(parts, "host").groupBy("host", part).applyInPandas(fold, "host string, tree string"), f"trees-{k}")
+        scratch.drop(f"trees-{k - 1}")
+        if most == 1:
+            return trees
 
 
-def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies: int, salts: int = 16) -> DataFrame:
+def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies: int, fan: int = 256) -> DataFrame:
     """(host, tree, template, links): each host's wrapper, its slots of template text and those of lists of links.
 
     Template slots hold one and the same text on all pages that have them; pages that agree in all text outside of menus
@@ -397,7 +440,7 @@ def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies:
 
     pages = pages.select(_host(F.col("url")).alias("host"), "html").where("host <> ''")
     scanned = scratch.save(pages.mapInArrow(scan, "host string, tree string, page string, content bigint, blocks string"), "scanned")
-    wrappers = scratch.save(_wrappers(scanned, salts), "wrappers")
+    wrappers = _wrappers(scanned, scratch, fan)
     taken = wrappers.agg(F.sum(F.length("host") + F.length("tree") + 64)).first()[0] or 0
     rows, known = _by_host(scanned.select("host", "page", "content", "blocks"), wrappers, ["tree"], taken <= broadcast_bytes, F.xxhash64("content"), copies)
     shared = None if known is None else pages.sparkSession.sparkContext.broadcast(known)
@@ -478,7 +521,7 @@ def extract_html(pages: DataFrame, broadcast_bytes: int = 8 << 20, copies: int =
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
     two line breaks.  Pages without main text, and null html, give an empty text.  Pages with null urls or urls without
     a host are read one by one, without a wrapper; repeated rows give equal results; an empty table gives an empty
-    result.  The wrappers of all hosts are broadcast if they take at most ``broadcast_bytes``; otherwise pages are joined
+    result.  Long pages are read whole; elements nested over 100 deep count as part of those around them.  The wrappers of all hosts are broadcast if they take at most ``broadcast_bytes``; otherwise pages are joined
     with them by host, every host in ``copies`` parts.
     """
     scratch = Scratch(pages.sparkSession, "html")
