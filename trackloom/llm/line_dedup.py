@@ -125,14 +125,15 @@ def line_index(lines: DataFrame, scratch: Scratch, keys_per_shard: int = 100_000
     return scratch.save(index, "index"), n_shards
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, probes_per_task: int = 400_000, keys_per_shard: int = 100_000) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, probes_per_task: int = 400_000, keys_per_shard: int = 100_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Documents without the lines that many documents share.
 
     A line's key is :func:`line_key`.  Keys of at least ``min_chars`` code points that occur in at least ``min_docs``
     documents lose all their lines, except in the document with the largest id that holds the key.  Returns the columns
     of ``docs`` with the new text, plus ``n_lines`` (before) and ``n_dropped`` (these replace columns of the same name).
     A null text is one empty line; rows with one doc_id count as one document; null ids count together as one document
-    below all others; an empty table gives an empty result.
+    below all others; an empty table gives an empty result.  Long texts are split like others, and only hashes of their
+    lines move.  ``broadcast_rows`` bounds the list of crowded shards that is broadcast; beyond it it is joined.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
@@ -147,13 +148,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, probes_p
 
     index, n_shards = line_index(found, scratch, keys_per_shard)
     found = found.withColumn("shard", F.pmod("h1", F.lit(n_shards)))
-    per_shard = found.groupBy("shard").agg(F.ceil(F.count("*") / probes_per_task).cast("int").alias("copies")).where("copies > 1")
-    # Shards beyond the limit hold over probes_per_task lines each; only these are listed.
-    crowded = {int(r[0]): int(r[1]) for r in per_shard.collect()}
-    copies = F.lit(1)
-    if crowded:
-        listed = F.create_map(*(F.lit(x) for kv in crowded.items() for x in kv))
-        copies = F.coalesce(F.try_element_at(listed, F.col("shard").cast("int")), F.lit(1))
+    # Shards that hold over probes_per_task lines are crowded; few enough of them are broadcast, more are joined.
+    crowded = found.groupBy("shard").agg(F.ceil(F.count("*") / probes_per_task).cast("int").alias("copies")).where("copies > 1")
+    crowded = scratch.save(crowded, "crowded")
+    n_crowded = crowded.count()
+    if n_crowded:
+        hint = F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded
+        found, index = (x.join(hint, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1))) for x in (found, index))
+    copies = F.col("copies") if n_crowded else F.lit(1)
     probes = found.withColumn("copy", F.pmod(F.xxhash64("doc", "pos"), copies).cast("int"))
     arrays = index.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
 
