@@ -21,6 +21,7 @@ from trackloom.llm.mixing import n_words
 
 _NO_ID = -(1 << 63)
 CAPACITIES = (512, 1024, 2048, 4096)
+_RUN = 1000
 
 
 def sequence_cost(capacity: int) -> float:
@@ -66,7 +67,8 @@ def best_fit_packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
 
     Sizes are words.  ``copy`` counts rows with an equal doc_id and size from 1; ``slot`` and ``start_in_bin`` place a
     piece in its sequence.  A null text or one without words is one piece of 0 words in no bin (nulls).  No piece is
-    dropped; an empty table gives an empty result.
+    dropped; a very long text is many pieces; other columns are not looked at; equal sizes go by doc_id, copy and piece;
+    an empty table gives an empty result.
     """
     caps = tuple(sorted(set(capacities)))
     if not caps or caps[0] < 1:
@@ -74,7 +76,12 @@ def best_fit_packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
     largest = caps[-1]
     scratch = Scratch(docs.sparkSession, "packing")
     sizes = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), n_words(F.col("text")).alias("size")).groupBy("doc_id", "size").agg(F.count("*").alias("n"))
-    pieces = sizes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    # Copies come in runs of bounded length, which are dealt evenly: one id may hold a large part of all rows.
+    run = F.lit(_RUN).cast("bigint")
+    few = sizes.where(F.col("n") <= run).withColumn("run", F.lit(0).cast("bigint"))
+    many = sizes.where(F.col("n") > run).withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / run)))).repartition("doc_id", "size", "run")
+    first = F.col("run") * run + 1
+    pieces = few.unionByName(many).withColumn("copy", F.explode(F.sequence(first, F.least(F.col("n"), first + run - 1))))
     pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.col("size") / largest) - 1))))
     pieces = pieces.withColumn("start_word", F.col("piece") * largest).select("doc_id", "copy", "piece", "start_word", F.least(F.lit(largest), F.col("size") - F.col("start_word")).cast("bigint").alias("n_words"))
     pieces = scratch.save(pieces, "pieces")
