@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds, without sorting documents.
 
-Every document has a 60-bit hash of its id.  Sizes are summed by source and hash bucket; the bucket in which a source's
+Every document has a 60-bit hash of its id and text.  Sizes are summed by source and hash bucket; the bucket in which a source's
 budget ends is found from running sums, and only that bucket is split further, until it holds a single hash.  What is
 left is one threshold for each source, so that a document is chosen by a comparison.  Budgets nest: a source that
 needs more than all its documents takes all once, and those under its threshold once more.
@@ -23,9 +23,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def id_hash(doc_id: Column, seed: str) -> Column:
-    """60 bits of an MD5 digest, so that any engine finds the same numbers."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def id_hash(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 bits of an MD5 digest of id and text, so that any engine finds the same numbers."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
@@ -92,13 +92,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     Returns doc_id, size (words), source_size, target and taken (size times the number of times the document is taken,
     at most 2 with the default cap).  With ``rows`` it returns the taken documents with their own columns, a document
-    taken twice as two rows.  Null texts have size 0, null sources are a source of their own, documents with equal ids
-    share their hash and are taken together, an empty table gives an empty result.  ``cap`` must be at most 2.
+    taken twice as two rows.  Null texts have size 0, null sources are a source of their own, rows equal in id and text
+    share their hash and are taken together, long texts count like others, an empty table gives an empty result.  Columns
+    of other names are only passed on (``_mix`` is taken).  ``cap`` must be at most 2.
     """
     if not 0 < cap <= 2:
         raise ValueError("cap must be above 0 and at most 2")
     scratch = Scratch(docs.sparkSession, "mixing")
-    hashed = id_hash(F.col("doc_id"), seed)
+    hashed = id_hash(F.col("doc_id"), F.col("text"), seed)
     sizes = scratch.save(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), hashed.alias("hash")), "sizes")
     found = thresholds(sizes, source_targets(sizes, weights, share, cap), scratch)
     times = F.col("epochs") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
