@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 class Scratch:
     """Intermediate tables in the shared folder that ``spark.checkpoint.dir`` names.
 
-    A folder of this machine is used only where the setting is absent (local runs and tests).  The tables go when
-    the application ends; :meth:`drop` removes one earlier.
+    Only a local session, as in tests, may leave the setting out: it then uses a folder of this machine.  The tables go
+    when the application ends; :meth:`drop` removes one earlier.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/trackloom-scratch"
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            top = f"file://{tempfile.gettempdir()}/trackloom-scratch"
         self.path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -38,8 +42,9 @@ class Scratch:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int, where: str = "true") -> DataFrame:
     """At most ``rows`` labelled documents as (doc_id, text, label), chosen by a hash of the id.
 
-    The chosen ids are bounded by ``rows`` and broadcast, so that the texts are never shuffled.  A document with
-    contradicting labels gets the largest; null ids and labels are skipped.
+    The chosen ids are bounded by ``rows`` and broadcast, so that other texts are never shuffled.  Of rows with one id,
+    the one with the least text hash is taken, so that the bound holds for rows too.  A document with contradicting
+    labels gets the largest; null ids and labels are skipped.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -49,4 +54,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
