@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences, in stages that each work on all that the one before kept."""
+"""From raw documents to packed sequences, in stages that each work on all that the one before kept.
+
+Rows with null or empty texts fail the quality rules.  Rows of one doc_id, null included, are one document to line
+deduplication and the n-gram join: if another document of its group stays, all of them go.  Repeated rows are mixed and
+packed one by one.  Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

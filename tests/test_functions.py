@@ -65,16 +65,6 @@ def test_splines_resampling_hull_and_peaks():
     assert K.median_filter(np.array([1, 9, 2, 3]), 3).tolist() == [1, 2, 3, 3]
 
 
-def test_curvature_of_a_circle():
-    a = np.linspace(0, 3, 49)
-    pose = 50 * np.column_stack((np.cos(a), np.sin(a)))[None]
-    np.testing.assert_allclose(K.curvature_gradient(pose)[0, 5:-5], 1 / 50, rtol=1e-2)
-    np.testing.assert_allclose(K.curvature_angle(pose)[0, 10:-10], 1 / 50, rtol=0.3)
-    a = np.linspace(0, 3, 900)
-    x, y = 50 * np.cos(a), 50 * np.sin(a)
-    np.testing.assert_allclose(K.path_curvature(x, y, 3.0, 7)[60:-60], 1 / 50, rtol=2e-2)
-
-
 def test_robust_covariance_ignores_outliers():
     rng = np.random.default_rng(3)
     x = np.vstack((rng.normal(size=(200, 2)), rng.normal(30, 1, size=(40, 2))))
@@ -103,6 +93,37 @@ def test_pose_geometry(spark):
     assert np.allclose(np.array(G.cosine_basis(48, 7)) @ np.array(G.cosine_basis(48, 7)).T, np.eye(7))
 
 
+def test_savgol_columns_equal_the_kernel(spark):
+    x = np.random.default_rng(5).normal(size=40)
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)] + [(1, i, float(i * i)) for i in range(4)], "k int, i int, x double")
+    got = [r.o for r in df.withColumn("o", S.savgol(F.col("x"), S.Track(("k",), ("i",)), 9)).orderBy("k", "i").collect()]
+    np.testing.assert_allclose(got[:40], K.savgol(x, 9), atol=1e-9)
+    assert got[40:] == [0, 1, 4, 9]
+
+
+def test_windowed_spectra_equal_single_ones():
+    x = np.sin(np.arange(200) / 3) + np.random.default_rng(1).normal(0, 0.1, 200)
+    freq, amp = K.short_time_peak(x, 25.0, 31, 0.5, 10.0, 0.1, block=37)
+    for i in (15, 16, 99, 184):
+        f, a = K.fft_peak(x[i - 15 : i + 16], 25.0, 0.5, 10.0, 0.1)
+        np.testing.assert_allclose((freq[i], amp[i]), (f, a))
+    assert np.isnan(freq[:15]).all() and np.isnan(freq[185:]).all()
+
+
+def test_polygons_waves_and_coils():
+    a = np.linspace(0, 2 * np.pi, 200)
+    ring = np.column_stack((np.cos(a), np.sin(a))) * 100 + np.random.default_rng(0).normal(0, 1, (200, 2))
+    smooth = K.smooth_polygon(ring)
+    assert smooth.shape == (1000, 2) and np.abs(np.hypot(*smooth.T) - 100).max() < 4
+    x = np.linspace(480, 0, 49)
+    wave = np.column_stack((x, 20 * np.sin(2 * np.pi * x / 160)))
+    first, second = K.wavelengths(wave)
+    assert abs(first - 160) < 25 and np.isfinite(second)
+    side = np.column_stack((x, np.full(49, 5.0)))
+    flat = np.full(49, 10.0)
+    assert not K.is_coil(flat, side, side * [1, -1]) and K.is_coil(np.where(np.arange(49) // 17 == 1, 30.0, 10.0), side, side * [1, -1])
+
+
 def test_savgol_needs_a_window():
     with pytest.raises(ValueError):
         K.savgol(np.arange(3.0), 5)

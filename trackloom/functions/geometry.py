@@ -37,10 +37,11 @@ def length(pose: Column) -> Column:
 
 
 def area(ventral: Column, dorsal: Column) -> Column:
-    """Area between two contour sides (shoelace), positive."""
+    """Size of the area between two contour sides, head to tail: a shoelace sum that leaves out the closing edge."""
     ring = F.concat(ventral, F.reverse(dorsal))
-    nxt = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-    return F.abs(F.aggregate(F.zip_with(ring, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)) / 2
+    n = F.size(ring)
+    turns = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.abs(_sum(turns)) / 2
 
 
 def shoelace(xs: Column, ys: Column) -> Column:
@@ -87,8 +88,8 @@ def angle_of(v: Column) -> Column:
 
 
 def tangent_angles(pose: Column) -> Column:
-    """Unwrapped tangent angles along a pose, less their mean."""
-    raw = F.transform(steps(pose), lambda v: F.atan2(v["y"], v["x"]))
+    """Unwrapped tangent angles atan2(x, y) along a pose, less their mean."""
+    raw = F.transform(steps(pose), lambda v: F.atan2(v["x"], v["y"]))
 
     def add(acc: Column, a: Column) -> Column:
         last = F.coalesce(F.try_element_at(acc, F.lit(-1)), a)
@@ -96,7 +97,22 @@ def tangent_angles(pose: Column) -> Column:
         return F.concat(acc, F.array(last + turn))
 
     angles = F.aggregate(raw, F.array().cast("array<double>"), add)
-    return F.transform(angles, lambda a: a - mean(angles))
+    # One mean for the whole array: inside of a lambda it would be computed for each element.
+    return F.zip_with(angles, F.array_repeat(mean(angles), F.size(pose) - 1), lambda a, m: a - m)
+
+
+def gradient(values: Column, width: int) -> Column:
+    """Difference over ``width`` values on both sides, by its span; towards the ends the stencil is cut off.
+
+    ``values`` must be a column of its own, since it is looked up for each element.
+    """
+    n = F.size(values)
+
+    def at(_: Column, i: Column) -> Column:
+        low, high = F.greatest(i - width, F.lit(0)), F.least(i + width, n - 1)
+        return (F.element_at(values, high + 1) - F.element_at(values, low + 1)) / (F.lit(width) + F.least(i, n - 1 - i, F.lit(width)))
+
+    return F.transform(values, at)
 
 
 def mean_angle(pose: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,6 +27,29 @@ def per_track(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
 
 
+def with_tracks(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], kernel: Callable[[pd.DataFrame], dict[str, np.ndarray]], out: dict[str, str]) -> DataFrame:
+    """``df`` with the columns that ``kernel`` makes of each track.
+
+    Flat rows travel through the kernel as they are, so that nothing is shuffled twice and rows with equal order stay
+    apart.  Rows with arrays or structs are joined with the result by keys and order, which must then be unique.
+    """
+    others = [c for c in df.columns if c not in out]
+    if any(isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) for f in df.schema if f.name in others):
+        return df.drop(*out).join(per_track(df, keys, order, columns, kernel, out), [*keys, *order], "left")
+    schema = T.StructType([f for f in df.schema if f.name in others] + [T.StructField(c, T._parse_datatype_string(t)) for c, t in out.items()])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        made = kernel(table.select(list(dict.fromkeys([*keys, *order, *columns]))).to_pandas())
+        for c in out:
+            values = made[c]
+            kind = pa.from_numpy_dtype(values.dtype) if isinstance(values, np.ndarray) and values.dtype != object else None
+            table = table.append_column(c, pa.array(values, from_pandas=True) if kind is None else pa.array(values, kind, from_pandas=True))
+        return table
+
+    return df.select(*others).groupBy(*keys).applyInArrow(run, schema)
+
+
 def savgol_weights(window: int, order: int, derivative: int = 0) -> np.ndarray:
     """Weights of a Savitzky-Golay filter at every position of its window: row k evaluates the fit at position k."""
     half = window // 2
@@ -55,24 +79,52 @@ def savgol(x: np.ndarray, window: int, order: int = 3, derivative: int = 0, axis
 
 
 def cubic_spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Not-a-knot cubic spline through (t, y), t ascending; fewer than four points give lower degrees."""
+    """Not-a-knot cubic spline through (t, y), t ascending; fewer than four points give lower degrees.
+
+    The second derivatives come from a tridiagonal system, whose two end conditions are put into its outer rows.
+    """
     t, y, at = (np.asarray(v, float) for v in (t, y, at))
     n = len(t)
     if n < 4:
         return np.polyval(np.polyfit(t, y, n - 1), at) if n else np.full(len(at), np.nan)
     h, d = np.diff(t), np.diff(y) / np.diff(t)
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    i = np.arange(1, n - 1)
-    a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    b[1:-1] = 6 * np.diff(d)
-    a[0, :3], a[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
-    m = np.linalg.solve(a, b)
+    low, mid, high, rest = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d)
+    mid[0] += h[0] * (h[0] + h[1]) / h[1]
+    high[0] -= h[0] ** 2 / h[1]
+    mid[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+    low[-1] -= h[-1] ** 2 / h[-2]
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * high[i - 1]
+        rest[i] -= f * rest[i - 1]
+    m = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        m[i + 1] = (rest[i] - (high[i] * m[i + 2] if i < n - 3 else 0.0)) / mid[i]
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
     k = np.clip(np.searchsorted(t, at, "right") - 1, 0, n - 2)
     u, v = at - t[k], t[k + 1] - at
     return m[k] * v**3 / (6 * h[k]) + m[k + 1] * u**3 / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * v + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u
 
 
+def fill_inner_cubic(x: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Gaps between values filled by a cubic spline, ends left missing; and whether that could be done.
+
+    A series with missing values needs four others, unless it has none at all.
+    """
+    x = np.asarray(x, float).copy()
+    good = np.flatnonzero(~np.isnan(x))
+    if len(good) in (0, len(x)):
+        return x, True
+    if len(good) < 4:
+        return x, False
+    gaps = np.flatnonzero(np.isnan(x))
+    gaps = gaps[(gaps > good[0]) & (gaps < good[-1])]
+    if len(gaps):
+        x[gaps] = cubic_spline(good, x[good], gaps)
+    return x, True
+
+
 def fill_cubic(x: np.ndarray) -> np.ndarray:
     """Fills inner gaps by a cubic spline over the values present; ends keep the nearest value."""
     x = np.asarray(x, float).copy()
@@ -98,26 +150,49 @@ def resample_curve(points: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([np.interp(at, along, c) for c in points.T])
 
 
-def curvature_gradient(pose: np.ndarray, window: int = 7) -> np.ndarray:
-    """Signed curvature along poses (frames, points, 2), from smoothed derivatives."""
-    d1 = savgol(pose, window, 3, 1, axis=-2)
-    d2 = savgol(pose, window, 3, 2, axis=-2)
-    return (d1[..., 0] * d2[..., 1] - d1[..., 1] * d2[..., 0]) / np.maximum((d1**2).sum(-1), 1e-12) ** 1.5
+def _turn(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (d1[..., 0] * d2[..., 1] - d1[..., 1] * d2[..., 0]) / (d1**2).sum(-1) ** 1.5
 
 
-def curvature_angle(pose: np.ndarray, lag: int = 4) -> np.ndarray:
-    """Turn between the steps ``lag`` apart over the distance between them; NaN near the ends."""
-    step = np.diff(pose, axis=-2)
-    angle = np.unwrap(np.arctan2(step[..., 1], step[..., 0]), axis=-1)
-    size = np.hypot(step[..., 0], step[..., 1])
-    out = np.full(pose.shape[:-1], np.nan)
-    half = lag // 2
-    along = np.cumsum(size, axis=-1)
-    out[..., half + 1 : half + 1 + angle.shape[-1] - lag] = (angle[..., lag:] - angle[..., :-lag]) / np.maximum(along[..., lag:] - along[..., :-lag], 1e-12)
+def windowed_gradient(x: np.ndarray, width: int, axis: int) -> np.ndarray:
+    """Difference over ``width`` samples on both sides, by its span; towards the ends the stencil is cut off."""
+    x = np.moveaxis(np.asarray(x, float), axis, 0)
+    i = np.arange(len(x))
+    span = width + np.minimum(np.minimum(i, len(x) - 1 - i), width)
+    out = (x[np.minimum(i + width, len(x) - 1)] - x[np.maximum(i - width, 0)]) / span.reshape(-1, *[1] * (x.ndim - 1))
+    return np.moveaxis(out, 0, axis)
+
+
+def curvature_gradient(pose: np.ndarray, points: int = 1) -> np.ndarray:
+    """Signed curvature along poses (frames, vertices, 2) from windowed differences; NaN on 4 * ``points`` outer vertices."""
+    d1 = windowed_gradient(pose, 2 * points, -2)
+    out = _turn(d1, windowed_gradient(d1, 2 * points, -2))
+    out[..., : 4 * points] = np.nan
+    out[..., out.shape[-1] - 4 * points :] = np.nan
     return out
 
 
-CURVATURES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"gradient": curvature_gradient, "angle": curvature_angle}
+def curvature_savgol(pose: np.ndarray, window: int = 7) -> np.ndarray:
+    """Signed curvature along poses from the derivatives of a cubic Savitzky-Golay filter."""
+    return _turn(savgol(pose, window, 3, 1, axis=-2), savgol(pose, window, 3, 2, axis=-2))
+
+
+def curvature_angle(pose: np.ndarray, window: int = 7) -> np.ndarray:
+    """Turn between the chords over half a window before and after each vertex, by the length that they span.
+
+    The result has as many vertices less as the chords reach over the ends; angles are unwrapped along the body and in time.
+    """
+    reach = int(round(window / 2))
+    mid, left, right = pose[:, reach:-reach], pose[:, : -2 * reach], pose[:, 2 * reach :]
+    a, b = left - mid, mid - right
+    turn = np.unwrap(np.arctan2(b[..., 1], b[..., 0]) - np.arctan2(a[..., 1], a[..., 0]), axis=1)
+    turn = np.unwrap(turn, axis=0)
+    length = np.hypot(*np.moveaxis(np.diff(pose, axis=1), -1, 0)).sum(1)
+    return turn / (2 * (reach - 1) / (pose.shape[1] - 2) * length)[:, None]
+
+
+CURVATURES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"gradient": curvature_gradient, "angle": curvature_angle, "savgol": curvature_savgol}
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -170,12 +245,29 @@ def fft_peak(x: np.ndarray, rate: float, low: float, high: float, min_energy: fl
     return float(freq[k]), float(2 * np.sqrt(power[k]) / np.hanning(len(x)).sum())
 
 
-def short_time_peak(x: np.ndarray, rate: float, window: int, low: float, high: float, min_energy: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`fft_peak` on a centred window of every position; NaN where the window does not fit."""
+def short_time_peak(x: np.ndarray, rate: float, window: int, low: float, high: float, min_energy: float = 0.3, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fft_peak` on a centred window of every position, in blocks of windows; NaN where the window does not fit."""
+    x = np.asarray(x, float)
     n, half = len(x), window // 2
     freq, amp = np.full(n, np.nan), np.full(n, np.nan)
-    for i in range(half, n - half):
-        freq[i], amp[i] = fft_peak(x[i - half : i + half + 1], rate, low, high, min_energy)
+    size = 2 * half + 1
+    if n < size or size < 4:
+        return freq, amp
+    views, taper, bins = np.lib.stride_tricks.sliding_window_view(x, size), np.hanning(size), np.fft.rfftfreq(size, 1 / rate)
+    band = np.flatnonzero((bins >= low) & (bins <= high))
+    if not len(band):
+        return freq, amp
+    for start in range(0, len(views), block):
+        part = views[start : start + block]
+        power = np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * taper, axis=1)) ** 2
+        total = power.sum(axis=1)
+        k = band[np.argmax(np.nan_to_num(power[:, band]), axis=1)]
+        padded = np.pad(power, ((0, 0), (1, 1)))
+        rows = np.arange(len(part))
+        around = padded[rows, k] + padded[rows, k + 1] + padded[rows, k + 2]
+        good = np.isfinite(total) & (total > 0) & (around >= min_energy * total)
+        at = start + half + rows[good]
+        freq[at], amp[at] = bins[k[good]], 2 * np.sqrt(power[rows[good], k[good]]) / taper.sum()
     return freq, amp
 
 
@@ -188,24 +280,25 @@ def greedy_peaks(x: np.ndarray, apart: int) -> np.ndarray:
     return np.array(sorted(taken), int)
 
 
-def path_curvature(x: np.ndarray, y: np.ndarray, step: float, window: int = 5) -> np.ndarray:
-    """Curvature of a path at equal arc lengths of ``step``, read back at the path's own points."""
-    good = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
+def path_curvature(x: np.ndarray, y: np.ndarray, step: float, width: int = 5) -> np.ndarray:
+    """Curvature of a path at equal arc lengths of ``step``, read back at the path's own times.
+
+    Missing positions are interpolated, ends hold; a path of up to 4 * ``width`` steps has none.
+    """
     out = np.full(len(x), np.nan)
-    if len(good) < 3:
+    good = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
+    if not len(good):
         return out
-    p = np.column_stack((x[good], y[good]))
+    t = np.arange(len(x))
+    p = np.column_stack([np.interp(t, good, np.asarray(c, float)[good]) for c in (x, y)])
     along = np.concatenate(([0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))))
-    n = int(along[-1] / step)
-    if n < window + 1:
+    at = np.arange(0, along[-1], step)
+    if len(at) <= 4 * width:
         return out
-    keep = np.concatenate(([True], np.diff(along) > 0))
-    at = np.arange(n + 1) * step
-    even = np.column_stack([np.interp(at, along[keep], c[keep]) for c in p.T])
-    d1, d2 = savgol(even, window, 3, 1), savgol(even, window, 3, 2)
-    k = (d1[:, 0] * d2[:, 1] - d1[:, 1] * d2[:, 0]) / np.maximum((d1**2).sum(1), 1e-12) ** 1.5
-    out[good] = np.interp(along, at, k)
-    return out
+    even = np.column_stack([np.interp(at, along, c) for c in p.T])
+    d1 = windowed_gradient(even, 2 * width, 0)
+    k = _turn(d1, windowed_gradient(d1, 2 * width, 0))
+    return np.interp(t, np.interp(at, along, t), k)
 
 
 def robust_covariance(x: np.ndarray, share: float = 0.75, starts: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -358,3 +451,56 @@ def single_animal(frames: np.ndarray, x: np.ndarray, y: np.ndarray, area: np.nda
         if d[k] <= max_distance:
             out[g[k]], at = True, (x[g[k]], y[g[k]])
     return out
+
+
+def smooth_polygon(points: np.ndarray, n: int = 1000, window: int | None = None) -> np.ndarray:
+    """A closed polygon resampled to ``n`` points and smoothed by a cubic Savitzky-Golay filter that wraps around."""
+    points = np.asarray(points, float)
+    if points.ndim != 2 or points.shape[1] != 2 or len(points) < 2:
+        return points
+    window = n // 20 if window is None else window
+    window += window % 2 == 0
+    even, half = resample_curve(points, n), window // 2
+    weights = savgol_weights(window, 3)[half]
+    around = np.vstack((even[-half:], even, even[:half]))
+    return np.tensordot(np.lib.stride_tricks.sliding_window_view(around, window, axis=0), weights, (2, 0))
+
+
+def wavelengths(pose: np.ndarray, n: int = 512) -> tuple[float, float]:
+    """(primary, secondary) wavelength of a body: of the highest and second highest peak of its spectrum along the body
+    axis, at most two lengths; NaN where there is no such peak."""
+    pose = np.asarray(pose, float)
+    v = pose[0] - pose[-1]
+    c, s = v / max(np.hypot(*v), 1e-12)
+    q = pose - pose.mean(0)
+    along, across = q[:, 0] * c + q[:, 1] * s, -q[:, 0] * s + q[:, 1] * c
+    length = float(np.hypot(*np.diff(pose, axis=0).T).sum())
+    order = np.argsort(along)
+    if np.ptp(along) == 0 or not np.isfinite(length):
+        return np.nan, np.nan
+    even = np.interp(np.linspace(along.min(), along.max(), len(pose)), along[order], across[order])
+    power = np.abs(np.fft.rfft(even, n))
+    inner = np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] >= power[2:])) + 1
+    inner = inner[np.argsort(-power[inner], kind="stable")][:2]
+    step = np.ptp(along) / (len(pose) - 1)
+    out = [min(n * step / k, 2 * length) for k in inner.tolist()] + [np.nan] * (2 - len(inner))
+    return float(out[0]), float(out[1])
+
+
+def is_coil(widths: np.ndarray, ventral: np.ndarray, dorsal: np.ndarray, width_ratio: float = 2.25, area_ratio: float = 6.0) -> bool:
+    """Whether a pose may be a coil: the midbody is too wide against the head or tail base, or the body's area too large
+    against the head's and tail's."""
+    def area(a: int, b: int) -> float:
+        ring = np.vstack((ventral[a:b], dorsal[a:b][::-1]))
+        x, y = ring.T
+        return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
+
+    n = len(widths)
+    part = lambda a, b: widths[round(a * n / 49) : round(b * n / 49)]
+    mid = float(np.median(part(16, 33)))
+    ends = [float(np.median(part(5, 8))), float(np.median(part(41, 44)))]
+    if any(e <= 0 or mid / e > width_ratio for e in ends):
+        return True
+    parts = [area(round(a * n / 49), round(b * n / 49)) for a, b in ((0, 8), (41, 49))]
+    body = area(round(8 * n / 49), round(41 * n / 49))
+    return any(p <= 0 or body / p > area_ratio for p in parts)

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from trackloom.functions.kernels import savgol_weights
+
 
 @dataclass(frozen=True)
 class Track:
@@ -133,6 +135,21 @@ def fir(x: Column, w: WindowSpec, weights: Sequence[float], zero_pad: bool = Fal
     return out
 
 
+def savgol(x: Column, track: Track, window: int, order: int = 3) -> Column:
+    """Savitzky-Golay filter of a track; at its ends the nearest full window's polynomial is evaluated.
+
+    Tracks shorter than the window stay as they are.  Neighbours come by lead and lag, so that no row leaves the JVM.
+    """
+    w, half, weights = track.window(), window // 2, savgol_weights(window, order)
+    at = lambda k: x if k == 0 else F.lead(x, k).over(w) if k > 0 else F.lag(x, -k).over(w)
+    term = lambda row, first: sum((at(first + k) * F.lit(float(v)) for k, v in enumerate(weights[row][1:], 1)), at(first) * F.lit(float(weights[row][0])))
+    i, n = F.row_number().over(w) - 1, F.count(F.lit(1)).over(track.whole())
+    out = F.when(n < window, x)
+    for r in range(half):
+        out = out.when(i == r, term(r, -r)).when(n - 1 - i == r, term(window - 1 - r, r + 1 - window))
+    return out.otherwise(term(half, -half))
+
+
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     half = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]

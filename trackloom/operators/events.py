@@ -13,43 +13,94 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import kernels
 from trackloom.functions.geometry import bend_angles
-from trackloom.functions.timeseries import Track, nearest_valid, wrap_degrees
-from trackloom.operators.islands import drop_near_runs, drop_short_runs, mask_runs, merge_runs, seeded_growth
+from trackloom.functions.timeseries import Track, fill_both, nearest_valid, rolling_max, rolling_mean, rolling_min, wrap_degrees
+from trackloom.operators.islands import drop_near_runs, drop_short_runs, mask_runs, merge_runs, with_run_id
 
 #: What the codes of the event columns mean.
 MOTION = {-1: "backward", 0: "paused", 1: "forward"}
 FOOD = {-1: "outside", 0: "edge", 1: "inside"}
-TURN = {0: "none", 1: "inter"}
+TURN = {1: "inter", 0: "intra"}
 
 
-def flag_regions(df: DataFrame, track: Track, x: str, scale: str, low: float, high: float, smooth: int, min_rows: int, out: str, absolute: bool = False) -> DataFrame:
-    """Adds a flag -1, 0, 1 with hysteresis; thresholds are shares of the track's median ``scale`` (unless absolute)."""
+def flag_regions(df: DataFrame, track: Track, x: str, scale: str, low: float, high: float, smooth: int, min_rows: float, out: str, absolute: bool = False) -> DataFrame:
+    """Adds a flag -1, 0, 1 with hysteresis; thresholds are shares of the track's median ``scale`` (unless absolute).
 
-    def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        by = 1.0 if absolute else float(np.nanmedian(pdf[scale])) if pdf[scale].notna().any() else np.nan
-        return {out: kernels.three_regions(pdf[x].to_numpy(float), low * by, high * by, smooth, min_rows)}
-
-    flags = kernels.per_track(df, track.keys, track.order, [x, scale], run, {out: "int"})
-    return df.join(flags, [*track.keys, *track.order], "left")
+    Values are filled and averaged over a centred full window.  Runs of small values (under ``low``) that last over
+    ``min_rows`` are cuts.  Between two cuts, from the last row of the one to the row before the other, a stretch takes
+    its only extreme label (beyond ``high``) throughout; with both labels its zeros are filled forward, then backward;
+    with none it stays 0.  Window functions over one sort of each track do all of it.
+    """
+    w, whole = track.window(), track.whole()
+    by = F.lit(1.0) if absolute else F.median(scale).over(whole)
+    df = df.withColumns({"_by": by, "_fill": fill_both(F.col(x), w)})
+    df = df.withColumns({"_mean": rolling_mean(F.col("_fill"), w, smooth), "_at": F.row_number().over(w) - 1})
+    small = F.coalesce((F.col("_mean") > -low * F.col("_by")) & (F.col("_mean") < low * F.col("_by")), F.lit(False))
+    extreme = F.when(F.col("_mean") < -high * F.col("_by"), -1).when(F.col("_mean") > high * F.col("_by"), 1)
+    df = with_run_id(df.withColumns({"_small": small, "_extreme": extreme}), F.col("_small"), track, "_run")
+    run = Window.partitionBy(*track.keys, "_run")
+    df = df.withColumns({"_first": F.min("_at").over(run), "_last": F.max("_at").over(run)})
+    df = df.withColumn("_cut", F.col("_small") & (F.col("_last") - F.greatest(F.col("_first") - 1, F.lit(0)) > min_rows))
+    ends = F.col("_cut") & (F.col("_at") == F.col("_last"))
+    df = df.withColumn("_stretch", F.sum(ends.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(*track.keys, "_stretch")
+    ordered = inside.orderBy(*track.order)
+    forward = F.last("_extreme", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    backward = F.first("_extreme", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    df = df.withColumns({"_least": F.min("_extreme").over(inside), "_most": F.max("_extreme").over(inside), "_near": F.coalesce(forward, backward)})
+    flag = F.when((F.col("_cut") & ~ends) | F.col("_least").isNull(), 0).when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(F.col("_near"))
+    return df.withColumn(out, flag.cast("int")).drop("_by", "_fill", "_mean", "_at", "_small", "_extreme", "_run", "_first", "_last", "_cut", "_stretch", "_least", "_most", "_near")
+
+
+def _odd(rows: int) -> int:
+    return rows if rows % 2 else rows + 1
 
 
 def motion_mode(df: DataFrame, track: Track, fps: float, speed: str = "speed", length: str = "length") -> DataFrame:
-    """Adds motion_mode: paused under 2.5 % of the length a second, moving over 5 %; pauses last at least 3 s."""
-    smooth = 2 * (round(fps / 4) // 2) + 1
-    return flag_regions(df, track, speed, length, 0.025, 0.05, max(1, smooth), round(fps * 3), "motion_mode")
+    """Adds motion_mode: paused under 2.5 % of the length a second, moving over 5 %; pauses last over 3 s; means of 0.5 s."""
+    return flag_regions(df, track, speed, length, 0.025, 0.05, _odd(round(fps * 0.5)), fps * 3, "motion_mode")
 
 
 def food_region(df: DataFrame, track: Track, fps: float, distance: str = "dist_from_food_edge", length: str = "length") -> DataFrame:
-    """Adds food_region from the distance to the food's edge: within half a length is the edge."""
-    smooth = 2 * (round(fps / 4) // 2) + 1
-    return flag_regions(df, track, distance, length, 0.5, 0.5, max(1, smooth), round(fps), "food_region")
+    """Adds food_region: the edge is within half a length for over 1 s, inside and outside lie beyond a whole length."""
+    return flag_regions(df, track, distance, length, 0.5, 1.0, _odd(round(fps * 0.5)), fps, "food_region")
 
 
-def turns(df: DataFrame, track: Track, head_tail: str, angle: str, fps: float, low: float = 0.3, high_angle: float = 0.8) -> DataFrame:
-    """Adds turn: runs of a small head-tail distance (against the track's 95th percentile) that hold a fast rotation."""
-    wide = F.percentile(head_tail, F.lit(0.95)).over(track.whole())
-    grown = seeded_growth(df.withColumn("_wide", wide), F.col(head_tail) < 2 * low * F.col("_wide"), (F.col(head_tail) < low * F.col("_wide")) & (F.abs(angle) > high_angle), track, "_turn")
-    return grown.withColumn("turn", F.col("_turn").cast("int")).drop("_turn", "_wide")
+def turns(df: DataFrame, track: Track, fps: float, head_tail: str = "head_tail_distance", axis: str = "major_axis", angle: str = "angular_velocity", bend: tuple[float, float] = (0.15, 0.075), rotation: tuple[float, float] = (0.75, 0.35), seconds: float = 0.5) -> DataFrame:
+    """Adds turn, 1 where a bent body turns fast.
+
+    The bend is 1 - head-tail distance / major axis, as the least of the last ``seconds``; the rotation is the largest
+    angular velocity of them; gaps of both are filled by cubic splines.  Rows over both first thresholds are seeds.  In
+    each of the two series, runs over the second threshold that hold a seed are turns, with the row before them.
+    Tracks with gaps and under four values give NULL.
+    """
+    w, size = track.window(), _odd(int(fps * seconds))
+    df = df.withColumns({"_bend": rolling_min(1 - F.try_divide(F.col(head_tail), F.col(axis)), w, size), "_spin": rolling_max(F.abs(angle), w, size)})
+
+    def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        (a, ok_a), (b, ok_b) = (kernels.fill_inner_cubic(pdf[c].to_numpy(float)) for c in ("_bend", "_spin"))
+        return {"_bent": a, "_spun": b, "_usable": np.full(len(pdf), ok_a and ok_b)}
+
+    df = kernels.with_tracks(df, track.keys, track.order, ["_bend", "_spin"], run, {"_bent": "double", "_spun": "double", "_usable": "boolean"})
+    seed = (F.col("_bent") > bend[0]) & (F.col("_spun") > rotation[0])
+    df = df.withColumns({"_seed": F.coalesce(seed, F.lit(False)), "_at": F.row_number().over(w)})
+    for name, over in (("_one", F.col("_bent") > bend[1]), ("_two", F.col("_spun") > rotation[1])):
+        df = with_run_id(df.withColumn("_over", F.coalesce(over, F.lit(False))), F.col("_over"), track, "_run")
+        inside = Window.partitionBy(*track.keys, "_run")
+        grown = F.col("_over") & (F.max(F.col("_seed").cast("int")).over(inside) == 1) & (F.max("_at").over(inside) > 1)
+        df = df.withColumn(name, grown)
+    either = F.col("_one") | F.col("_two") | F.coalesce(F.lead("_one").over(w), F.lit(False)) | F.coalesce(F.lead("_two").over(w), F.lit(False))
+    return df.withColumn("turn", F.when(F.col("_usable"), either.cast("int"))).drop("_bend", "_spin", "_bent", "_spun", "_usable", "_seed", "_at", "_over", "_run", "_one", "_two")
+
+
+def behaviour(df: DataFrame, track: Track, fps: float) -> DataFrame:
+    """Adds motion_mode, food_region and turn, as far as their inputs are there."""
+    if "speed" in df.columns:
+        df = motion_mode(df, track, fps)
+    if "dist_from_food_edge" in df.columns:
+        df = food_region(df, track, fps)
+    if {"head_tail_distance", "major_axis", "angular_velocity"} <= set(df.columns):
+        df = turns(df, track, fps)
+    return df
 
 
 def durations(df: DataFrame, track: Track, kinds: dict[str, Sequence[int]], min_rows: int = 0) -> DataFrame:
@@ -150,17 +201,6 @@ def legacy_velocity(df: DataFrame, track: Track, x: str, y: str, body: str, fps:
     return df.drop("_at", "_p", "_a", "_b", "_dir")
 
 
-def foraging(df: DataFrame, track: Track, nose: str, neck: str, fps: float) -> DataFrame:
-    """Adds foraging_amplitude, the nose's bend from the neck in degrees, and foraging_speed, its change a second.
-
-    Simplified: angles are not smoothed, and rows keep their own bend in place of their stretch's extremum (SURVEY EVT-15).
-    """
-    w = track.window()
-    angle = wrap_degrees(F.degrees(F.col(nose) - F.col(neck)))
-    df = df.withColumn("foraging_amplitude", angle)
-    return df.withColumn("foraging_speed", (F.lead("foraging_amplitude").over(w) - F.lag("foraging_amplitude").over(w)) * fps / 2)
-
-
 def kinks(pose: Column, least: float = 10.0) -> Column:
     """Number of bends: runs of equal sign whose largest angle is at least ``least`` degrees."""
     angles = F.filter(bend_angles(pose), lambda a: a.isNotNull())

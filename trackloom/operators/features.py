@@ -13,17 +13,27 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import geometry as G
 from trackloom.functions import kernels
-from trackloom.functions.timeseries import Track, central_difference, delta_frames, lerp, unwrap
-from trackloom.operators.joins import dense_fill, edge_distance, point_in_rectangle
+from trackloom.functions.timeseries import Track, central_difference, delta_frames, lerp
+from trackloom.operators.events import behaviour
+from trackloom.operators.joins import dense_fill, in_polygon, point_in_rectangle, small
+from trackloom.operators.selection import pad_columns
 
-BODY_PARTS = ("head_tip", "head_base", "tail_base", "tail_tip", "midbody")
-CURVATURE_POINTS = {"head": 4, "neck": 12, "midbody": 24, "hips": 36, "tail": 44}
+#: Vertices of 49 at which curvature is read, and the parts that velocities of a part are taken against.
+CURVATURE_POINTS = {"head": 5, "neck": 15, "midbody": 24, "hips": 33, "tail": 44}
+RELATIVE_TO = {
+    "body": ("head_tip", "neck", "hips", "tail_tip"), "neck": ("head_tip",), "head_base": ("head_tip",), "hips": ("tail_tip",),
+    "tail_base": ("tail_tip",), "midbody": (), "head_tip": (), "tail_tip": (),
+}
+PATH_PARTS = ("body", "tail", "midbody", "head")
 
 
 def morphology(df: DataFrame) -> DataFrame:
-    """length, area and the widths of head base, midbody and tail base."""
-    out = {"length": G.length(F.col("skeleton")), "area": G.area(F.col("ventral"), F.col("dorsal")), "width_midbody": G.width_of(F.col("widths"), "midbody")}
-    out |= {f"width_{p}": G.width_of(F.col("widths"), p) for p in ("head_base", "tail_base")}
+    """length, and, as far as contour sides and widths are there, area and the widths of head base, midbody and tail base."""
+    out = {"length": G.length(F.col("skeleton"))}
+    if {"ventral", "dorsal"} <= set(df.columns):
+        out["area"] = G.area(F.col("ventral"), F.col("dorsal"))
+    if "widths" in df.columns:
+        out |= {f"width_{p}": G.width_of(F.col("widths"), p) for p in ("head_base", "midbody", "tail_base")}
     return df.withColumns(out)
 
 
@@ -42,73 +52,108 @@ def posture(df: DataFrame, basis: Sequence[Sequence[float]] | None = None) -> Da
     return df.withColumns(out).drop("_box", "_angles")
 
 
-def curvature(df: DataFrame, method: str = "gradient") -> DataFrame:
-    """Curvature at five points, and its mean and deviation over five parts."""
-    kernel = kernels.CURVATURES[method]
+def curvature(df: DataFrame, method: str = "gradient", track: Track | None = None) -> DataFrame:
+    """Curvature at five points, and its mean and deviation over five parts.
 
-    @F.pandas_udf("array<double>")
-    def along(skeleton: pd.Series) -> pd.Series:
-        out = [None] * len(skeleton)
-        good = [i for i, s in enumerate(skeleton) if s is not None]
-        if good:
-            poses = np.array([[(p["x"], p["y"]) for p in skeleton.iloc[i]] for i in good])
-            for i, row in zip(good, kernel(poses), strict=True):
-                out[i] = [None if np.isnan(v) else float(v) for v in row]
-        return pd.Series(out)
-
-    df = df.withColumn("_k", along("skeleton"))
+    Method "gradient" is a column expression: differences over two points on both sides, NULL on the four outer points,
+    and, with ``track``, on tracks of up to four rows.  The others of ``kernels.CURVATURES`` run in numpy.
+    """
+    if method == "gradient":
+        df = df.withColumns({"_x": F.transform("skeleton", lambda p: p["x"]), "_y": F.transform("skeleton", lambda p: p["y"])})
+        df = df.withColumns({f"_g{a}": G.gradient(F.col(f"_{a}"), 2) for a in "xy"})
+        df = df.withColumns({f"_h{a}": G.gradient(F.col(f"_g{a}"), 2) for a in "xy"})
+        turn = F.zip_with(F.arrays_zip("_gx", "_gy"), F.arrays_zip("_hx", "_hy"), lambda g, h: F.try_divide(g["_gx"] * h["_hy"] - g["_gy"] * h["_hx"], F.pow(g["_gx"] * g["_gx"] + g["_gy"] * g["_gy"], F.lit(1.5))))
+        df = df.withColumn("_k", F.transform(turn, lambda k, i: F.when((i >= 4) & (i < F.size("_x") - 4), k)))
+        if track is not None:
+            df = df.withColumn("_k", F.when(F.count(F.lit(1)).over(track.whole()) > 4, F.col("_k")))
+        df = df.drop("_x", "_y", "_gx", "_gy", "_hx", "_hy")
+    else:
+        kernel = kernels.CURVATURES[method]
+
+        @F.pandas_udf("array<double>")
+        def along(skeleton: pd.Series) -> pd.Series:
+            out = [None] * len(skeleton)
+            good = [i for i, s in enumerate(skeleton) if s is not None]
+            if good:
+                poses = np.array([[(p["x"], p["y"]) for p in skeleton.iloc[i]] for i in good])
+                for i, row in zip(good, kernel(poses), strict=True):
+                    out[i] = [None if np.isnan(v) else float(v) for v in row]
+            return pd.Series(out)
+
+        df = df.withColumn("_k", along("skeleton"))
     known = lambda p: F.filter(G.part(F.col("_k"), p), lambda x: x.isNotNull())
-    out = {f"curvature_{p}": F.element_at("_k", i + 1) for p, i in CURVATURE_POINTS.items()}
+    out = {f"curvature_{p}": F.try_element_at("_k", F.lit(i + 1)) for p, i in CURVATURE_POINTS.items()}
     for p in CURVATURE_POINTS:
         some = F.size(known(p)) > 0
         out |= {f"curvature_mean_{p}": F.when(some, G.mean(known(p))), f"curvature_std_{p}": F.when(some, G.deviation(known(p)))}
     return df.withColumns(out).drop("_k")
 
 
-def part_velocity(df: DataFrame, track: Track, name: str, fps: float, seconds: float = 1 / 3) -> DataFrame:
-    """Adds speed_<name> (signed by the part's orientation), angular_velocity_<name> and the part's centre.
+def velocities(df: DataFrame, track: Track, fps: float, seconds: float = 1 / 3) -> DataFrame:
+    """Adds the 33 velocities: of each part, of parts in the frames of others, and of the midbody across the body.
 
-    Missing frames are bridged if at least three are known; results on them are NULL.
+    Centroids and head-to-tail vectors of parts are interpolated over missing frames if more than two are known.  Speed
+    has the sign of motion along the part's vector; it and the angular velocity of a part are NULL on missing frames.
+    All rows of a track meet in one sort, whose windows carry structs of all parts.
     """
-    w, delta = track.window(), delta_frames(fps, seconds)
-    piece = G.part(F.col("skeleton"), name)
-    at = F.col(track.order[-1])
-    raw = {"_x": G.centroid(piece)["x"], "_y": G.centroid(piece)["y"], "_vx": G.orientation(piece)["x"], "_vy": G.orientation(piece)["y"]}
-    df = df.withColumns({c: F.when(F.col("skeleton").isNotNull(), v) for c, v in raw.items()})
-    enough = F.count("_x").over(track.whole()) > 2
-    df = df.withColumns({f"_f{c}": F.when(enough, lerp(F.col(c), at, w)).otherwise(F.col(c)) for c in raw})
-    df = df.withColumns({"_dx": central_difference(F.col("_f_x"), w, delta, fps), "_dy": central_difference(F.col("_f_y"), w, delta, fps), "_a": F.atan2("_f_vx", "_f_vy")})
-    df = unwrap(df, "_a", track, "_u")
-    known = F.col("skeleton").isNotNull()
-    sign = F.signum(F.col("_dx") * F.col("_f_vx") + F.col("_dy") * F.col("_f_vy"))
-    df = df.withColumns({
-        f"speed_{name}": F.when(known, F.hypot("_dx", "_dy") * sign),
-        f"angular_velocity_{name}": F.when(known, central_difference(F.col("_u"), w, delta, fps)),
-        f"coord_x_{name}": F.col("_x"), f"coord_y_{name}": F.col("_y"),
-    })
-    return df.drop(*raw, *(f"_f{c}" for c in raw), "_dx", "_dy", "_a", "_u")
-
-
-def relative_velocity(df: DataFrame, track: Track, name: str, fps: float, seconds: float = 1 / 3) -> DataFrame:
-    """Adds the radial and angular velocity of a part in the frame of the midbody."""
-    w, delta = track.window(), delta_frames(fps, seconds)
-    mid = G.part(F.col("skeleton"), "midbody")
-    v = G.orientation(mid)
-    local = G.to_body_frame(F.array(G.centroid(G.part(F.col("skeleton"), name))), G.centroid(mid), F.atan2(v["y"], v["x"]))
-    df = df.withColumn("_q", F.element_at(local, 1)).withColumn("_r", F.hypot("_q.x", "_q.y")).withColumn("_a", F.atan2("_q.y", "_q.x"))
-    df = unwrap(df, "_a", track, "_u")
-    df = df.withColumns({f"relative_radial_velocity_{name}": central_difference(F.col("_r"), w, delta, fps), f"relative_angular_velocity_{name}": central_difference(F.col("_u"), w, delta, fps)})
-    return df.drop("_q", "_r", "_a", "_u")
-
-
-def velocities(df: DataFrame, track: Track, fps: float) -> DataFrame:
-    """Velocities of the body and its parts."""
-    df = part_velocity(df, track, "body", fps).withColumnsRenamed({"speed_body": "speed", "angular_velocity_body": "angular_velocity"})
-    for p in BODY_PARTS:
-        df = part_velocity(df, track, p, fps)
-    for p in ("head_tip", "tail_tip"):
-        df = relative_velocity(df, track, p, fps)
-    return df
+    w, delta, at = track.window(), delta_frames(fps, seconds), F.col(track.order[-1])
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    ahead, back, step = -(-delta // 2), delta // 2, delta / fps
+    known, parts = F.col("skeleton").isNotNull(), list(RELATIVE_TO)
+
+    def measured(name: str) -> Column:
+        piece = G.part(F.col("skeleton"), name)
+        c, v = G.centroid(piece), G.orientation(piece)
+        return F.struct(c["x"].alias("x"), c["y"].alias("y"), v["x"].alias("vx"), v["y"].alias("vy")).alias(name)
+
+    df = df.withColumn("_p", F.when(known, F.struct(at.alias("t"), *map(measured, parts))))
+    df = df.withColumns({"_a": F.last("_p", ignorenulls=True).over(before), "_b": F.first("_p", ignorenulls=True).over(after), "_many": F.count("_p").over(track.whole()) > 2})
+    share = F.try_divide(at - F.col("_a.t"), F.col("_b.t") - F.col("_a.t"))
+
+    def filled(name: str, field: str) -> Column:
+        a, b = F.col(f"_a.{name}.{field}"), F.col(f"_b.{name}.{field}")
+        return F.when(known, F.col(f"_p.{name}.{field}")).when(F.col("_many"), F.when(F.col("_a").isNull(), b).when(F.col("_b").isNull(), a).otherwise(a + (b - a) * share)).alias(field)
+
+    df = df.withColumn("_q", F.struct(*(F.struct(*(filled(p, f) for f in ("x", "y", "vx", "vy"))).alias(p) for p in parts)))
+    df = df.withColumn("_o", F.struct(*(F.atan2(f"_q.{p}.vx", f"_q.{p}.vy").alias(p) for p in parts)))
+
+    def local(frame: str, name: str) -> Column:
+        """The centroid of a part in the frame of another."""
+        dx, dy, o = F.col(f"_p.{name}.x") - F.col(f"_q.{frame}.x"), F.col(f"_p.{name}.y") - F.col(f"_q.{frame}.y"), F.col(f"_o.{frame}")
+        return F.struct((dx * F.cos(o) - dy * F.sin(o)).alias("x"), (dx * F.sin(o) + dy * F.cos(o)).alias("y"))
+
+    pairs = [(f, n) for f, ns in RELATIVE_TO.items() for n in ns]
+    df = df.withColumn("_l", F.struct(*(local(f, n).alias(f"{f}_{n}") for f, n in pairs), local("body", "midbody").alias("mid")))
+    polar = [F.struct(F.hypot(f"_l.{f}_{n}.x", f"_l.{f}_{n}.y").alias("r"), F.atan2(f"_l.{f}_{n}.y", f"_l.{f}_{n}.x").alias("a")).alias(f"{f}_{n}") for f, n in pairs]
+    df = df.withColumn("_r", F.struct(*polar))
+    # Angles are unwrapped over known values; unknown ones repeat the last, which adds no turn.
+    angles = {**{f"o_{p}": F.col(f"_o.{p}") for p in parts}, **{f"a_{f}_{n}": F.col(f"_r.{f}_{n}.a") for f, n in pairs}}
+    df = df.withColumn("_f", F.struct(*(F.last(a, ignorenulls=True).over(before).alias(k) for k, a in angles.items())))
+    df = df.withColumn("_e", F.lag("_f").over(w))
+
+    def turned(k: str) -> Column:
+        d = F.col(f"_f.{k}") - F.col(f"_e.{k}")
+        near = F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi
+        near = F.when((near == -math.pi) & (d > 0), F.lit(math.pi)).otherwise(near)
+        return F.when(F.abs(d) < math.pi, F.lit(0.0)).otherwise(F.coalesce(near - d, F.lit(0.0))).alias(k)
+
+    df = df.withColumn("_s", F.struct(*map(turned, angles)))
+    unwrapped = F.struct(*((a + F.sum(f"_s.{k}").over(before)).alias(k) for k, a in angles.items()))
+    df = df.withColumn("_u", unwrapped).withColumn("_now", F.struct("_q", "_r", "_u", F.col("_l.mid.x").alias("mid")))
+    df = df.withColumns({"_n": F.lead("_now", ahead).over(w), "_v": F.lag("_now", back).over(w)})
+    rate = lambda field: (F.col(f"_n.{field}") - F.col(f"_v.{field}")) / F.lit(step)
+    out: dict[str, Column] = {}
+    for p in parts:
+        dx, dy = rate(f"_q.{p}.x"), rate(f"_q.{p}.y")
+        sign = F.signum(dx * F.col(f"_q.{p}.vx") + dy * F.col(f"_q.{p}.vy"))
+        tag = "" if p == "body" else f"_{p}"
+        out[f"speed{tag}"] = F.when(known, F.hypot(dx, dy) * sign)
+        out[f"angular_velocity{tag}"] = F.when(known, rate(f"_u.o_{p}"))
+    out["relative_to_body_speed_midbody"] = rate("mid")
+    for f, n in pairs:
+        out[f"relative_to_{f}_radial_velocity_{n}"] = rate(f"_r.{f}_{n}.r")
+        out[f"relative_to_{f}_angular_velocity_{n}"] = rate(f"_u.a_{f}_{n}")
+    return df.withColumns(out).drop("_p", "_a", "_b", "_many", "_q", "_o", "_l", "_r", "_f", "_e", "_s", "_u", "_now", "_n", "_v")
 
 
 def derivatives(df: DataFrame, track: Track, columns: Sequence[str], fps: float, seconds: float = 1 / 3) -> DataFrame:
@@ -117,25 +162,41 @@ def derivatives(df: DataFrame, track: Track, columns: Sequence[str], fps: float,
     return df.withColumns({f"d_{c}": central_difference(F.col(c), w, delta, fps) for c in columns})
 
 
-def food_features(df: DataFrame, contour: DataFrame, keys: Sequence[str], x: str = "coord_x_body", y: str = "coord_y_body") -> DataFrame:
-    """Adds dist_from_food_edge (negative outside) and orientation_food_edge, by a contour (keys, seq, x, y) per file."""
-    ring = contour.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("_ring"))
-    df = df.join(F.broadcast(ring), list(keys), "left")
-    nearest = F.array_min(F.transform("_ring", lambda p: F.struct(F.hypot(p["x"] - F.col(x), p["y"] - F.col(y)).alias("d"), p["x"].alias("x"), p["y"].alias("y"))))
-    df = df.withColumn("_n", nearest)
-    toward = G.food_orientation(G.orientation(G.part(F.col("skeleton"), "body")), F.col("_n.x") - F.col(x), F.col("_n.y") - F.col(y))
-    return df.withColumns({"dist_from_food_edge": edge_distance(F.col(x), F.col(y), F.col("_ring")), "orientation_food_edge": toward}).drop("_ring", "_n")
+def part_coordinates(df: DataFrame, parts: Sequence[str] = PATH_PARTS) -> DataFrame:
+    """Adds coord_x_<part> and coord_y_<part>, the centres of parts."""
+    centre = {p: G.centroid(G.part(F.col("skeleton"), p)) for p in parts}
+    return df.withColumns({f"coord_{a}_{p}": F.when(F.col("skeleton").isNotNull(), c[a]) for p, c in centre.items() for a in "xy"})
 
 
-def path_features(df: DataFrame, track: Track, parts: Sequence[str] = ("body",), step: float = 11.0) -> DataFrame:
-    """Adds path_curvature_<part> from the part's centres."""
+def food_features(df: DataFrame, contour: DataFrame, keys: Sequence[str], x: str = "coord_x_body", y: str = "coord_y_body") -> DataFrame:
+    """Adds dist_from_food_edge and orientation_food_edge, by a contour (keys, seq, x, y) for each of ``keys``.
+
+    The distance is that to the nearest vertex, negative outside.  The orientation is the angle in degrees between the
+    body and the contour at that vertex, positive towards the side that lies right of the contour's direction.
+    """
+    ring = contour.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("_ring"))
+    df = df.join(small(ring), list(keys), "left")
+    nearest = F.array_min(F.transform("_ring", lambda p, i: F.struct(F.hypot(p["x"] - F.col(x), p["y"] - F.col(y)).alias("d"), i.alias("i"))))
+    df = df.withColumn("_i", F.when(F.col(x).isNotNull(), nearest)["i"]).withColumn("_inside", in_polygon(F.col(x), F.col(y), F.col("_ring")))
+    n = F.size("_ring")
+    after, before = F.element_at("_ring", F.pmod(F.col("_i") + 1, n).cast("int") + 1), F.element_at("_ring", F.pmod(F.col("_i") - 1, n).cast("int") + 1)
+    at = F.element_at("_ring", F.col("_i") + 1)
+    v = G.orientation(G.part(F.col("skeleton"), "body"))
+    dx, dy = after["x"] - before["x"], after["y"] - before["y"]
+    dot = F.try_divide(dy * v["x"] - dx * v["y"], F.hypot(dx, dy) * F.hypot(v["x"], v["y"]))
+    d = F.hypot(at["x"] - F.col(x), at["y"] - F.col(y))
+    out = {"dist_from_food_edge": F.when(F.col("_inside"), d).otherwise(-d), "orientation_food_edge": 90 - F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))}
+    return df.withColumns({c: F.when(F.col(x).isNotNull() & F.col("_ring").isNotNull(), e) for c, e in out.items()}).drop("_ring", "_i", "_inside")
+
+
+def path_features(df: DataFrame, track: Track, parts: Sequence[str] = PATH_PARTS, step: float = 11.0, width: int = 5) -> DataFrame:
+    """Adds path_curvature_<part> from coord_x_<part> and coord_y_<part>: of the path at equal steps, read back in time."""
     cols = [f"coord_{a}_{p}" for p in parts for a in "xy"]
 
     def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        return {f"path_curvature_{p}": kernels.path_curvature(pdf[f"coord_x_{p}"].to_numpy(float), pdf[f"coord_y_{p}"].to_numpy(float), step) for p in parts}
+        return {f"path_curvature_{p}": kernels.path_curvature(pdf[f"coord_x_{p}"].to_numpy(float), pdf[f"coord_y_{p}"].to_numpy(float), step, width) for p in parts}
 
-    made = kernels.per_track(df, track.keys, track.order, cols, run, {f"path_curvature_{p}": "double" for p in parts})
-    return df.join(made, [*track.keys, *track.order], "left")
+    return kernels.with_tracks(df, track.keys, track.order, cols, run, {f"path_curvature_{p}": "double" for p in parts})
 
 
 def smooth_poses(df: DataFrame, track: Track, window: int, along: int = 5, max_gap: int | None = None) -> DataFrame:
@@ -167,7 +228,7 @@ def smooth_poses(df: DataFrame, track: Track, window: int, along: int = 5, max_g
 def extract_tracks(poses: DataFrame, meta: DataFrame, track: Track = Track()) -> DataFrame:  # noqa: B008
     """Poses on a dense frame axis, in microns: coordinates and widths are scaled by the file's microns_per_pixel."""
     at = track.order[-1]
-    scaled = poses.join(F.broadcast(meta.select("file_id", "microns_per_pixel")), "file_id")
+    scaled = poses.join(small(meta.select("file_id", "microns_per_pixel")), "file_id")
     m = F.col("microns_per_pixel")
     pose = lambda c: F.transform(c, lambda p: F.struct((p["x"] * m).alias("x"), (p["y"] * m).alias("y")))
     scaled = scaled.withColumns({**{c: pose(c) for c in ("skeleton", "ventral", "dorsal")}, "widths": F.transform("widths", lambda x: x * m)}).drop("microns_per_pixel")
@@ -179,21 +240,46 @@ def ventral_sign(df: DataFrame, columns: Sequence[str], side: Column) -> DataFra
     return df.withColumns({c: F.when(side == "clockwise", -F.col(c)).otherwise(F.col(c)) for c in columns})
 
 
-SIDED = [*(f"eigen_projection_{i}" for i in range(1, 8)), *(f"curvature_{p}" for p in CURVATURE_POINTS), *(f"curvature_mean_{p}" for p in CURVATURE_POINTS)]
-
-
-def frame_features(poses: DataFrame, track: Track, fps: float, contour: DataFrame | None = None, wells: DataFrame | None = None, side: Column | None = None) -> DataFrame:
-    """The assembled time series of poses, without the poses."""
-    df = velocities(curvature(posture(morphology(poses))), track, fps)
+#: The columns of the assembled series, in order.
+VELOCITIES = [
+    "speed", "angular_velocity", "relative_to_body_speed_midbody",
+    *(f"relative_to_body_{k}_velocity_{p}" for p in RELATIVE_TO["body"] for k in ("radial", "angular")),
+    *(c for p in ("neck", "head_base", "hips", "tail_base") for c in (f"speed_{p}", f"angular_velocity_{p}", f"relative_to_{p}_radial_velocity_{RELATIVE_TO[p][0]}", f"relative_to_{p}_angular_velocity_{RELATIVE_TO[p][0]}")),
+    *(f"{k}_{p}" for p in ("midbody", "head_tip", "tail_tip") for k in ("speed", "angular_velocity")),
+]
+MORPHOLOGY = ["length", "area", "width_head_base", "width_midbody", "width_tail_base"]
+POSTURE = ["quirkiness", "major_axis", "minor_axis", *(f"eigen_projection_{i}" for i in range(1, 8))]
+CURVATURE = [*(f"curvature_{p}" for p in ("head", "hips", "midbody", "neck", "tail")), *(f"curvature_{k}_{p}" for k in ("mean", "std") for p in ("head", "neck", "midbody", "hips", "tail"))]
+FOOD = ["orientation_food_edge", "dist_from_food_edge"]
+PATH = [f"path_curvature_{p}" for p in PATH_PARTS]
+EVENTS = ["motion_mode", "food_region", "turn"]
+AUXILIARY = ["head_tail_distance", *(f"coord_{a}_{p}" for p in PATH_PARTS for a in "xy")]
+BASE = VELOCITIES + MORPHOLOGY + POSTURE + CURVATURE + FOOD + PATH
+SERIES = BASE + [f"d_{c}" for c in BASE]
+#: Columns whose sign depends on the side on which an animal lies.
+_SIDED = ["relative_to_body_speed_midbody", *PATH, *CURVATURE, *(c for c in VELOCITIES if "angular_velocity" in c), *(c for c in POSTURE if c.startswith("eigen_projection"))]
+SIDED = _SIDED + [f"d_{c}" for c in _SIDED]
+
+
+def frame_features(poses: DataFrame, track: Track, fps: float, contour: DataFrame | None = None, wells: DataFrame | None = None, side: Column | None = None, basis: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """The assembled time series of poses: keys, 69 features, their derivatives, three events and nine other columns.
+
+    Columns that cannot be made (food without a contour, widths or areas without their inputs) are NULL.
+    """
+    df = velocities(curvature(posture(morphology(poses), basis), track=track), track, fps)
+    df = part_coordinates(df)
     if contour is not None:
         df = food_features(df, contour, [k for k in track.keys if k in contour.columns])
-    df = path_features(df, track)
+    # From here on rows are flat and pass through the kernels as they are.
+    df = behaviour(path_features(df.drop("skeleton", "ventral", "dorsal", "widths"), track), track, fps)
+    df = derivatives(df, track, [c for c in BASE if c in df.columns], fps)
     if side is not None:
         df = ventral_sign(df, [c for c in SIDED if c in df.columns], side)
+    more: list[str] = []
     if wells is not None:
-        df = point_in_rectangle(df, wells, [*track.keys, *track.order], "coord_x_body", "coord_y_body")
-    base = [c for c in df.columns if c not in (*poses.columns, "well_name") and not c.startswith("coord_")]
-    return derivatives(df, track, base, fps).drop("skeleton", "ventral", "dorsal", "widths")
+        df, more = point_in_rectangle(df, wells, [*track.keys, *track.order], "coord_x_body", "coord_y_body"), ["well_name"]
+    given = [c for c in poses.columns if c not in ("skeleton", "ventral", "dorsal", "widths")]
+    return pad_columns(df, [*given, *more, *SERIES, *EVENTS, *AUXILIARY])
 
 
 def robust_outliers(df: DataFrame, keys: Sequence[str], columns: dict[int, Sequence[str]], limit: float = 11.345, name: str = "skel_outliers_flag") -> DataFrame:
@@ -242,5 +328,5 @@ def smooth_track_positions(df: DataFrame, keys: Sequence[str], frame: str = "fra
     w = Window.partitionBy(*keys).orderBy(frame)
     dense = dense.withColumns({c: lerp(F.col(c), F.col(frame), w) for c in cols})
     half = window // 2
-    dense = dense.withColumns({c: F.median(c).over(w.rowsBetween(-half, half)) for c in ("coord_x", "coord_y", "area")})
+    dense = dense.withColumns({c: G.median(F.collect_list(c).over(w.rowsBetween(-half, half))) for c in ("coord_x", "coord_y", "area")})
     return dense.join(roi, list(keys))

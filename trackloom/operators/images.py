@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from trackloom.functions.kernels import convex_hull, min_rectangle, resample_curve, skeleton_from_sides
 
 DETECTIONS = "file_id int, frame_number int, blob int, coord_x double, coord_y double, area double, box_length double, box_width double, angle double, bounding_box_xmin int, bounding_box_xmax int, bounding_box_ymin int, bounding_box_ymax int, intensity_mean double"
 
@@ -62,10 +66,13 @@ def blobs(a: np.ndarray, mask: np.ndarray, min_area: int) -> list[dict]:
     """Moments and boxes of the components of a mask."""
     out = []
     labels = label_components(mask)
-    for k in range(1, labels.max() + 1 if labels.size else 1):
-        ys, xs = np.nonzero(labels == k)
-        if len(xs) < min_area:
+    flat = labels.ravel()
+    order = np.argsort(flat, kind="stable")
+    cuts = np.searchsorted(flat[order], np.arange(1, (labels.max() if labels.size else 0) + 2))
+    for a_, b_ in zip(cuts[:-1], cuts[1:], strict=True):
+        if b_ - a_ < min_area:
             continue
+        ys, xs = np.divmod(order[a_:b_], a.shape[1])
         cov = np.cov(np.vstack((xs, ys)), bias=True) if len(xs) > 1 else np.zeros((2, 2))
         values, vectors = np.linalg.eigh(cov + np.eye(2) / 12)
         long = vectors[:, 1]
@@ -177,3 +184,214 @@ def crop(frames: DataFrame, tracks: DataFrame, size: str = "roi_size") -> DataFr
             yield pdf.assign(h=pdf["s_"], w=pdf["s_"], pixels=made)[["file_id", "frame_number", "worm_index_joined", "h", "w", "pixels"]]
 
     return joined.withColumnRenamed("_s", "s_").mapInPandas(run, "file_id int, frame_number int, worm_index_joined int, h int, w int, pixels binary")
+
+
+def difference_variance(frames: DataFrame, keys: tuple[str, ...] = ("file_id",), order: str = "frame_number") -> DataFrame:
+    """(keys, frame_number, variance) of pixel differences to the frame before, over pixels that neither frame masks;
+    NULL if there are none, and no row for a file's first frame."""
+    w = Window.partitionBy(*keys).orderBy(order)
+
+    @F.pandas_udf("double")
+    def variance(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            f, g = np.frombuffer(x, np.uint8).astype(float), np.frombuffer(y, np.uint8).astype(float)
+            d = (f - g)[(f > 0) & (g > 0)]
+            out.append(float(d.var()) if len(d) else None)
+        return pd.Series(out, dtype=float)
+
+    both = frames.select(*keys, order, "pixels", F.lag("pixels").over(w).alias("_before")).where("_before is not null")
+    return both.select(*keys, order, F.nanvl(variance("pixels", "_before"), F.lit(None).cast("double")).alias("variance"))
+
+
+def refined_background(masked: DataFrame, full: DataFrame, dark: bool = True) -> DataFrame:
+    """The background of masked frames, refined by that of the frames that were kept whole."""
+    return background(background(masked, dark=dark).withColumn("frame_number", F.lit(0)).unionByName(background(full, dark=dark).withColumn("frame_number", F.lit(1))), dark=dark)
+
+
+# ---- contours -------------------------------------------------------------------------------------------------------
+
+
+def trace_contour(mask: np.ndarray) -> np.ndarray:
+    """The outer border (points x, y) of the largest component of a mask, walked from its topmost pixel."""
+    labels = label_components(mask)
+    if not labels.any():
+        return np.zeros((0, 2))
+    sizes = np.bincount(labels.ravel())
+    sizes[0] = 0
+    inside = np.pad(labels == sizes.argmax(), 1)
+    ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise from the right, as (y, x)
+    start = tuple(int(v) for v in np.argwhere(inside)[0])
+    at, came, out = start, 6, [start]
+    for _ in range(4 * inside.size):
+        for k in range(1, 9):
+            d = (came + k) % 8
+            nxt = (at[0] + ring[d][0], at[1] + ring[d][1])
+            if inside[nxt]:
+                came = (d + 4) % 8
+                at = nxt
+                break
+        else:
+            break
+        if at == start:
+            break
+        out.append(at)
+    return np.array(out, float)[:, ::-1] - 1
+
+
+def polygon_moment(p: np.ndarray, i: int, j: int) -> float:
+    """The moment x^i y^j of a polygon's area, signed by its direction (Steger's sum over edges)."""
+    x0, y0 = np.roll(p, 1, axis=0).T
+    x1, y1 = p.T
+    total = np.zeros(len(p))
+    for k in range(i + 1):
+        for m in range(j + 1):
+            total += comb(k + m, m) * comb(i + j - k - m, j - m) * x1**k * x0 ** (i - k) * y1**m * y0 ** (j - m)
+    return float(((x0 * y1 - x1 * y0) * total).sum() / ((i + j + 2) * (i + j + 1) * comb(i + j, i)))
+
+
+def hu_moments(p: np.ndarray) -> list[float]:
+    """Hu's seven invariants of a polygon."""
+    area = polygon_moment(p, 0, 0)
+    q = p - [polygon_moment(p, 1, 0) / area, polygon_moment(p, 0, 1) / area]
+    n = {(i, j): np.sign(area) * polygon_moment(q, i, j) / abs(area) ** (1 + (i + j) / 2) for i in range(4) for j in range(4) if 2 <= i + j <= 3}
+    a, b, c, d = n[3, 0] + n[1, 2], n[2, 1] + n[0, 3], n[3, 0] - 3 * n[1, 2], 3 * n[2, 1] - n[0, 3]
+    e = n[2, 0] - n[0, 2]
+    return [
+        n[2, 0] + n[0, 2], e**2 + 4 * n[1, 1] ** 2, c**2 + d**2, a**2 + b**2,
+        c * a * (a**2 - 3 * b**2) + d * b * (3 * a**2 - b**2), e * (a**2 - b**2) + 4 * n[1, 1] * a * b,
+        d * a * (a**2 - 3 * b**2) - c * b * (3 * a**2 - b**2),
+    ]
+
+
+def shape(contour: np.ndarray) -> dict[str, float]:
+    """area, perimeter, box_length, box_width, quirkiness, compactness, solidity and hu0 to hu6 of a closed contour."""
+    area = abs(polygon_moment(contour, 0, 0)) if len(contour) > 2 else 0.0
+    long, short, quirkiness = min_rectangle(contour)
+    if not area or not short:
+        return {}
+    perimeter = float(np.hypot(*(contour - np.roll(contour, 1, axis=0)).T).sum())
+    hull = abs(polygon_moment(convex_hull(contour), 0, 0))
+    out = {"area": area, "perimeter": perimeter, "box_length": long, "box_width": short, "quirkiness": quirkiness, "compactness": 4 * np.pi * area / perimeter**2, "solidity": area / hull}
+    return out | {f"hu{k}": v for k, v in enumerate(hu_moments(contour))}
+
+
+SHAPES = ["area", "perimeter", "box_length", "box_width", "quirkiness", "compactness", "solidity", *(f"hu{k}" for k in range(7))]
+
+
+def blob_shapes(rois: DataFrame, keys: tuple[str, ...], threshold: int, dark: bool = True) -> DataFrame:
+    """(keys, shapes): the shape of the largest component of each region of interest; NULL where there is none."""
+    kinds = {f.name: f.dataType.simpleString() for f in rois.schema}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in SHAPES)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for h, w, p in zip(pdf["h"], pdf["w"], pdf["pixels"], strict=True):
+                a = image(p, h, w)
+                rows.append(shape(trace_contour((a > 0) & ((a < threshold) if dark else (a > threshold)))))
+            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame(rows, columns=SHAPES, index=range(len(pdf)))], axis=1)
+
+    return rois.select(*keys, "h", "w", "pixels").mapInPandas(run, schema)
+
+
+# ---- from contours to poses -----------------------------------------------------------------------------------------
+
+
+def clean_contour(contour: np.ndarray, n: int = 400, smooth: int = 9) -> np.ndarray:
+    """``n`` points at equal distances along a closed contour, averaged over a circular window."""
+    closed = np.vstack((contour, contour[:1]))
+    even = resample_curve(closed, n + 1)[:-1]
+    half = smooth // 2
+    around = np.vstack((even[-half:], even, even[:half])) if half else even
+    return np.stack([np.convolve(c, np.ones(2 * half + 1) / (2 * half + 1), "valid") for c in around.T], axis=1)
+
+
+def circular_curvature(contour: np.ndarray, edge: int) -> np.ndarray:
+    """The turn in degrees at each point of a closed contour, between the points ``edge`` before and after."""
+    a, b = contour - np.roll(contour, edge, axis=0), np.roll(contour, -edge, axis=0) - contour
+    turn = np.degrees(np.arctan2(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0], (a * b).sum(1)))
+    return turn if polygon_moment(contour, 0, 0) >= 0 else -turn
+
+
+def ends_of(contour: np.ndarray, segments: int = 24, angle: float = 60.0) -> tuple[int, int] | None:
+    """The two sharpest ends of a closed contour, at least a quarter of it apart; None if there are no two, or if a third
+    is as good."""
+    n = len(contour)
+    turn = circular_curvature(contour, max(1, round(n / (2 * segments))))
+    left, taken = turn.copy(), []
+    while len(taken) < 3:
+        k = int(np.argmax(left))
+        if left[k] < angle:
+            break
+        taken.append(k)
+        left[np.arange(k - n // (2 * segments) * 2, k + n // (2 * segments) * 2 + 1) % n] = -np.inf
+    far = lambda a, b: min((a - b) % n, (b - a) % n)
+    if len(taken) < 2:
+        return None
+    head, tail = taken[0], taken[1]
+    if len(taken) == 3 and turn[taken[2]] > 0.9 * turn[tail]:
+        return None
+    return (head, tail) if far(head, tail) >= n // 4 else None
+
+
+def pose_of(contour: np.ndarray, n: int = 49) -> dict[str, np.ndarray] | None:
+    """skeleton, widths and both sides of a body from its closed contour, or None where its ends cannot be told."""
+    if len(contour) < 8:
+        return None
+    smooth = clean_contour(contour)
+    ends = ends_of(smooth)
+    if ends is None:
+        return None
+    around = np.roll(smooth, -ends[0], axis=0)
+    cut = (ends[1] - ends[0]) % len(smooth)
+    one, two = around[: cut + 1], np.vstack((around[cut:], around[:1]))[::-1]
+    skeleton, widths = skeleton_from_sides(one, two, n)
+    return {"skeleton": skeleton, "widths": widths, "ventral": resample_curve(one, n), "dorsal": resample_curve(two, n)}
+
+
+def oriented_like(pose: dict[str, np.ndarray], before: np.ndarray | None) -> dict[str, np.ndarray]:
+    """A pose from head to tail as the one before, if reversing it brings them nearer."""
+    if before is None or np.abs(pose["skeleton"] - before).sum() <= np.abs(pose["skeleton"][::-1] - before).sum():
+        return pose
+    return {"skeleton": pose["skeleton"][::-1], "widths": pose["widths"][::-1], "ventral": pose["dorsal"][::-1], "dorsal": pose["ventral"][::-1]}
+
+
+POSE = "skeleton array<struct<x:double,y:double>>, widths array<double>, ventral array<struct<x:double,y:double>>, dorsal array<struct<x:double,y:double>>"
+
+
+def poses_of_rois(rois: DataFrame, keys: tuple[str, ...] = ("file_id", "worm_index_joined"), frame: str = "frame_number", threshold: int = 100, dark: bool = True, n: int = 49) -> DataFrame:
+    """(keys, frame, skeleton, widths, ventral, dorsal) of each animal's regions of interest (h, w, pixels, and their
+    corner roi_x, roi_y), in order; each pose runs as the one before it, and a frame without one has NULLs."""
+    kinds = {f.name: f.dataType.simpleString() for f in rois.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, frame)) + ", " + POSE
+    points = lambda a: [{"x": float(x), "y": float(y)} for x, y in a]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, before, rows = pdf.sort_values(frame, ignore_index=True), None, []
+        for h, w, p, x, y in zip(pdf["h"], pdf["w"], pdf["pixels"], pdf["roi_x"], pdf["roi_y"], strict=True):
+            a = image(p, h, w)
+            pose = pose_of(trace_contour((a > 0) & ((a < threshold) if dark else (a > threshold))), n)
+            if pose is None:
+                rows.append((None,) * 4)
+                continue
+            for k in ("skeleton", "ventral", "dorsal"):
+                pose[k] = pose[k] + [x, y]
+            pose = oriented_like(pose, before)
+            before = pose["skeleton"]
+            rows.append((points(pose["skeleton"]), pose["widths"].tolist(), points(pose["ventral"]), points(pose["dorsal"])))
+        return pd.concat([pdf[[*keys, frame]], pd.DataFrame(rows, columns=["skeleton", "widths", "ventral", "dorsal"], dtype=object)], axis=1)
+
+    return rois.select(*keys, frame, "h", "w", "pixels", "roi_x", "roi_y").groupBy(*keys).applyInPandas(run, schema)
+
+
+def tiles(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(file_id, frame_number, well_name, h, w, pixels): the frames' wells, by boxes (file_id, well_name, x_min, ...)."""
+    joined = frames.join(boxes.select("file_id", "well_name", "x_min", "x_max", "y_min", "y_max"), "file_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cut = [image(r.pixels, r.h, r.w)[max(0, int(r.y_min)) : int(r.y_max) + 1, max(0, int(r.x_min)) : int(r.x_max) + 1] for r in pdf.itertuples()]
+            yield pdf.assign(h=[c.shape[0] for c in cut], w=[c.shape[1] for c in cut], pixels=[np.ascontiguousarray(c).tobytes() for c in cut])[["file_id", "frame_number", "well_name", "h", "w", "pixels"]]
+
+    return joined.mapInPandas(run, "file_id int, frame_number int, well_name string, h int, w int, pixels binary")

@@ -118,9 +118,13 @@ def dense_fill(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
 
 
 def missing_cells(cells: DataFrame, row: str, col: str) -> DataFrame:
-    """Lattice cells (row, col) that do not occur although their row and their column do."""
-    rows, cols = cells.select(row).distinct(), cells.select(col).distinct()
-    return rows.join(small(cols), F.lit(True)).join(cells.select(row, col), [row, col], "left_anti")
+    """Lattice cells (row, col) that do not occur although their row and their column do.
+
+    Each row's columns are taken from the list of all columns, so that only missing cells are made.
+    """
+    have = cells.groupBy(row).agg(F.collect_set(col).alias("_have"))
+    every = cells.agg(F.collect_set(col).alias("_all"))
+    return have.join(F.broadcast(every), F.lit(True)).select(row, F.explode(F.array_except("_all", "_have")).alias(col))
 
 
 def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
@@ -149,3 +153,23 @@ def with_metadata(df: DataFrame, tables: Sequence[DataFrame], key: str, columns:
     for c in columns:
         df = df.withColumn(c, F.coalesce(*(F.col(f"_{i}_{c}") for i, t in enumerate(tables) if c in t.columns)))
     return df.drop(*(f"_{i}_{c}" for i, t in enumerate(tables) for c in columns if c in t.columns))
+
+
+def by_position(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], right_order: Sequence[str] | None = None) -> DataFrame:
+    """Rows of two tables with one place in their orders, place by place; the longer side's rest has NULLs."""
+    at = lambda cols: F.row_number().over(Window.partitionBy(*keys).orderBy(*cols))
+    other = right_order or order
+    a, b = left.withColumn("_at", at(order)), right.withColumn("_at", at(other))
+    shared = [c for c in right.columns if c in left.columns and c not in keys]
+    return a.join(b.drop(*shared), [*keys, "_at"], "full").drop("_at")
+
+
+def with_shapes(tracks: DataFrame, shapes: DataFrame, keys: Sequence[str], row: str, old_row: str) -> DataFrame:
+    """Shapes by the old row id of tracks whose dropped frames were filled; filled rows have NULLs."""
+    named = shapes.withColumnRenamed(row, old_row)
+    return tracks.join(named, [*keys, old_row], "left")
+
+
+def in_row_order(assigned: DataFrame, rows: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
+    """Assignments of frames put back to their rows; rows without one have NULLs."""
+    return rows.join(assigned, [*keys, row], "left")

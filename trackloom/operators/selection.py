@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +105,79 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 def median_probability(df: DataFrame, keys: Sequence[str], score: str, least: float = 0.5) -> DataFrame:
     """Rows of tracks whose median score is above ``least``."""
     return df.join(df.groupBy(*keys).agg(F.median(score).alias("_m")).where(F.col("_m") > least).select(*keys), list(keys), "left_semi")
+
+
+#: Codes of hand labels of tracks.
+LABELS = {"U": 0, "WORM": 1, "WORMS": 2, "BAD": 3, "GOOD_SKE": 4}
+
+
+def labelled_animals(df: DataFrame, label: str = "worm_label", row: str = "skeleton_id", kinds: Sequence[str] = ("WORM", "WORMS")) -> DataFrame:
+    """Rows that a hand label calls an animal or a cluster of them and that have a pose."""
+    return df.where(F.col(label).isin([LABELS[k] for k in kinds]) & (F.col(row) >= 0))
+
+
+def good_tracks(df: DataFrame, min_rows: int, by_hand: bool = False, filtered: bool = True, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """(keys, track): tracks with over ``min_rows`` poses, of rows labelled as animals (``by_hand``) and good poses (``filtered``).
+
+    Tracks are those joined by hand, if asked for, else the joined ones.
+    """
+    track = ("worm_index_manual" if "worm_index_manual" in df.columns else "worm_index_N") if by_hand else "worm_index_joined"
+    if by_hand:
+        df = df.where(F.col("worm_label") == LABELS["WORM"])
+    if filtered and "is_good_skel" in df.columns:
+        df = df.where("is_good_skel = 1")
+    found = df.groupBy(*keys, F.col(track).alias("track")).agg(F.sum(F.col("has_skeleton").cast("int")).alias("_n"))
+    return found.where((F.col("_n") > min_rows) & F.col("track").isNotNull()).drop("_n")
+
+
+def joined_detections(df: DataFrame, columns: Sequence[str], track: str = "worm_index_joined") -> DataFrame:
+    """``columns`` of the rows that belong to a joined track."""
+    return df.where(F.col(track) > 0).select(*columns)
+
+
+def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those of ``columns`` that ``df`` has, in order."""
+    have = set(df.columns)
+    return [c for c in columns if c in have]
+
+
+def paired_derivatives(columns: Sequence[str]) -> list[str]:
+    """``columns`` and the derivatives of those that have none among them; derivatives that are given twice over go."""
+    given = list(columns)
+    made = [f"d_{c}" for c in given if not c.startswith("d_")]
+    return [c for c in given if c not in made] + [c for c in made if c not in given]
+
+
+#: First parts of the names of features by section.
+SECTIONS = {"morphology": ("length", "area", "width"), "posture": ("quirkiness", "major_axis", "minor_axis", "eigen_projection", "curvature", "head_tail_distance"), "locomotion": ("speed", "angular_velocity", "relative_to", "motion_mode", "turn"), "path": ("path", "coord", "orientation_food_edge", "dist_from_food_edge", "food_region")}
+
+
+def without_sections(columns: Sequence[str], sections: Sequence[str]) -> list[str]:
+    """Columns that belong to none of the sections; a derivative belongs to its feature's."""
+    starts = tuple(s for name in sections for s in SECTIONS[name])
+    return [c for c in columns if not c.removeprefix("d_").startswith(starts)]
+
+
+def whole_circles(circles: DataFrame, keys: Sequence[str], height: str, width: str, missing: float = 0.5) -> DataFrame:
+    """Circles (x, y, r) whose centres are at least (1 - ``missing``) mean radii away from the image's border."""
+    room = F.avg("r").over(Window.partitionBy(*keys)) * (1 - missing)
+    inside = (F.col("x") - F.col("_room") >= 0) & (F.col("x") + F.col("_room") < F.col(width)) & (F.col("y") - F.col("_room") >= 0) & (F.col("y") + F.col("_room") < F.col(height))
+    return circles.withColumn("_room", room).where(inside).drop("_room")
+
+
+def first_frames(df: DataFrame, limit: int, frame: str = "frame_number") -> DataFrame:
+    """Rows of frames under a limit."""
+    return df.where(F.col(frame) < limit)
+
+
+def largest(df: DataFrame, keys: Sequence[str], size: str, row: str, n: int = 2) -> DataFrame:
+    """The ``n`` largest rows of each key, with their place from 1; ties go to the smaller row id."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(size), row))
+    return df.withColumn("place", place).where(F.col("place") <= n)
+
+
+def nearest_to_zero(df: DataFrame, keys: Sequence[str], angle: str, distance: str, bins: int) -> DataFrame:
+    """(keys, bin, distance): of each angle bin, rint(angle / pi * ``bins``), the distance of least size; of equal ones the
+    smaller."""
+    place = F.rint(F.col(angle) / math.pi * bins).cast("bigint").alias("bin")
+    return df.groupBy(*keys, place).agg(F.min_by(distance, F.struct(F.abs(distance), F.col(distance))).alias(distance))

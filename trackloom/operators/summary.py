@@ -54,11 +54,10 @@ def summarise(df: DataFrame, keys: Sequence[str], features: Iterable[str], label
     for f in features:
         x, name = (F.abs(f), f"{f}_abs") if f in absolute else (F.col(f), f)
         out += subdivided(x, name, F.col(labels[f][0]), labels[f][1]) if f in labels else quantile_block(x, name)
-    out += list(extra)
-    names = [c._jc.toString().split(" AS ")[-1] for c in out]
-    if len(set(names)) != len(names):
+    summary = df.groupBy(*keys).agg(*out, *extra)
+    if len(set(summary.columns)) != len(summary.columns):
         raise ValueError("two statistics have one name")
-    return df.groupBy(*keys).agg(*out)
+    return summary
 
 
 def summarise_long(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -96,24 +95,32 @@ def event_statistics(runs: DataFrame, df: DataFrame, keys: Sequence[str], labels
     return out.select(*keys, "event_type", "region", zero(F.col("duration_50th")).alias("duration_50th"), zero(F.col("_total") / F.col("_all")).alias("fraction"), zero(F.col("_n") / F.col("n_estimate") / F.col("_seconds")).alias("frequency"))
 
 
-def grid_coverage(df: DataFrame, keys: Sequence[str], x: str, y: str, cell: float, fps: float, track: Track) -> DataFrame:
+def grid_coverage(df: DataFrame, keys: Sequence[str], x: str, y: str, cell: float | Column, fps: float, track: Track, area: Column | None = None) -> DataFrame:
     """Cells visited, their share of visits and the time spent in them without leaving.
 
-    A cell is the half-even round of (coordinate - group mean) / ``cell``; gaps are filled inside a track.
+    A cell is the half-even round of (coordinate - group mean) / ``cell``; gaps are filled inside a track.  Each cell
+    counts as ``area`` (by default its own); ``cell`` and ``area`` may be columns that are constant in a group.
     """
     w = track.window()
     fill = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     mean = Window.partitionBy(*keys)
-    df = df.withColumn("_x", fill(F.col(x))).withColumn("_y", fill(F.col(y)))
-    df = df.withColumn("_cx", F.rint((F.col("_x") - F.avg(x).over(mean)) / cell).cast("bigint")).withColumn("_cy", F.rint((F.col("_y") - F.avg(y).over(mean)) / cell).cast("bigint"))
+    cell = cell if isinstance(cell, Column) else F.lit(float(cell))
+    df = df.withColumn("_x", fill(F.col(x))).withColumn("_y", fill(F.col(y))).withColumns({"_cell": cell, "_area": cell * cell if area is None else area})
+    df = df.withColumn("_cx", F.rint((F.col("_x") - F.avg(x).over(mean)) / F.col("_cell")).cast("bigint")).withColumn("_cy", F.rint((F.col("_y") - F.avg(y).over(mean)) / F.col("_cell")).cast("bigint"))
     df = df.where("_cx is not null and _cy is not null")
-    visits = df.groupBy(*keys, "_cx", "_cy").agg(F.count("*").alias("_n"))
-    cover = visits.groupBy(*keys).agg((F.count("*") * cell * cell).alias("path_coverage"), (F.percentile("_n", F.lit(0.5)) / F.sum("_n")).alias("path_density_50th"), (F.percentile("_n", F.lit(0.95)) / F.sum("_n")).alias("path_density_95th"))
+    visits = df.groupBy(*keys, "_cx", "_cy").agg(F.count("*").alias("_n"), F.first("_area").alias("_area"))
+    cover = visits.groupBy(*keys).agg((F.count("*") * F.first("_area")).alias("path_coverage"), (F.percentile("_n", F.lit(0.5)) / F.sum("_n")).alias("path_density_50th"), (F.percentile("_n", F.lit(0.95)) / F.sum("_n")).alias("path_density_95th"))
     runs = with_run_id(df, F.struct("_cx", "_cy"), track, "_run").groupBy(*dict.fromkeys([*keys, *track.keys]), "_run").agg(F.count("*").alias("_n"))
     stay = runs.groupBy(*keys).agg((F.percentile("_n", F.lit(0.5)) / fps).alias("path_transit_time_50th"), (F.percentile("_n", F.lit(0.95)) / fps).alias("path_transit_time_95th"))
     return cover.join(stay, list(keys))
 
 
+def _draw(seed: int, *columns: str) -> Column:
+    """A number of 60 bits from an MD5 digest of the seed and the columns, so that every engine draws the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def random_folds(df: DataFrame, keys: Sequence[str], worm: str, at: str, n_folds: int, seconds: float, fps: float, share: float, seed: int = 0) -> DataFrame:
     """Rows of each fold: a random interval and a random share of the tracks in it, the same in every run.
 
@@ -125,11 +132,11 @@ def random_folds(df: DataFrame, keys: Sequence[str], worm: str, at: str, n_folds
     folds = span.withColumn("i_fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     width = int(round(seconds * fps))
     room = F.greatest(F.col("_lo"), F.col("_hi") - width) - F.col("_lo") + 1
-    folds = folds.withColumn("_start", F.col("_lo") + F.pmod(F.xxhash64(F.lit(seed), "i_fold", *keys), room))
+    folds = folds.withColumn("_start", F.col("_lo") + F.pmod(_draw(seed, "i_fold", *keys), room))
     held = df.join(folds, list(keys)).where(F.col(at).between(F.col("_start"), F.col("_start") + width))
     tracks = held.select(*keys, "i_fold", "_share", worm).distinct()
     group = Window.partitionBy(*keys, "i_fold")
-    order = F.row_number().over(group.orderBy(F.xxhash64(F.lit(seed + 1), "i_fold", worm), worm))
+    order = F.row_number().over(group.orderBy(_draw(seed + 1, "i_fold", worm), worm))
     chosen = tracks.withColumn("_rank", order).withColumn("_n", F.count("*").over(group)).where(F.col("_rank") <= F.ceil(F.col("_n") * F.col("_share")))
     return held.join(chosen.select(*keys, "i_fold", worm), [*keys, "i_fold", worm], "left_semi").drop("_lo", "_hi", "_share", "_start", "n_estimate")
 
@@ -196,14 +203,23 @@ def median_mad_filter(df: DataFrame, entity: Sequence[str], x: str, group: Seque
     return df.join(keep, list(dict.fromkeys([*group, *entity])), "left_semi")
 
 
-def q_values(df: DataFrame, p: str, pi0: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds q_value: pi0 * p * n / rank, made monotonic from the largest p down."""
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+def q_values(df: DataFrame, p: str, pi0: float | str = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds q_value: pi0 * p * n / rank, made monotonic from the largest p down.
+
+    ``pi0`` may be a column, as :func:`null_share` gives it.  Ranks are those of a sort of all p of a group.
+    """
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy()
     df = df.withColumn("_n", F.count(p).over(part)).withColumn("_rank", F.sum(F.lit(1)).over(part.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)))
-    q = F.least(pi0 * F.col(p) * F.col("_n") / F.col("_rank"), F.lit(1.0))
+    share = F.col(pi0) if isinstance(pi0, str) else F.lit(pi0)
+    q = F.least(share * F.col(p) * F.col("_n") / F.col("_rank"), F.lit(1.0))
     return df.withColumn("_q", q).withColumn("q_value", F.min("_q").over(part.orderBy(p).rangeBetween(0, Window.unboundedFollowing))).drop("_n", "_rank", "_q")
 
 
+def null_share(df: DataFrame, p: str, keys: Sequence[str] = (), cut: float = 0.5) -> DataFrame:
+    """(keys, pi0): the share of true null hypotheses, from how many p lie above ``cut``; at most 1."""
+    return df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.least(F.lit(1.0), F.count(F.when(F.col(p) > cut, 1)) / F.count("*") / (1 - cut)).alias("pi0"))
+
+
 def dwelling_time(df: DataFrame, keys: Sequence[str], points: str, cell: Column, fps: float) -> DataFrame:
     """(keys, cx, cy, seconds, n_points): time that any of a row's points spends in each cell, and the visits."""
     cells = F.transform(points, lambda p: F.struct(F.rint(p["x"] / cell).cast("bigint").alias("cx"), F.rint(p["y"] / cell).cast("bigint").alias("cy")))
@@ -217,3 +233,20 @@ def agreement(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFr
     """Pearson correlation where both values are present, and counts of rows where only one is."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     return df.groupBy(*keys).agg(F.corr(F.when(both, F.col(x)), F.when(both, F.col(y))).alias("r"), F.count(F.when(both, 1)).alias("n"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNull(), 1)).alias("only_x"), F.count(F.when(F.col(x).isNull() & F.col(y).isNotNull(), 1)).alias("only_y"))
+
+
+def track_lengths(df: DataFrame, keys: Sequence[str], track: str, frame: str = "frame_number", min_rows: int = 1) -> DataFrame:
+    """(keys, n_rows): frames from first to last, both included, summed over the tracks with at least ``min_rows`` rows."""
+    per = df.groupBy(*keys, track).agg((F.max(frame) - F.min(frame) + 1).alias("_len"), F.count("*").alias("_n"))
+    return per.where(F.col("_n") >= min_rows).groupBy(*keys).agg(F.sum("_len").alias("n_rows"))
+
+
+def binned_medians(df: DataFrame, keys: Sequence[str], at: str, value: str, width: float) -> DataFrame:
+    """(keys, bin, value): medians over all animals in time bins, rint(time / ``width``)."""
+    return df.groupBy(*keys, F.rint(F.col(at) / width).cast("bigint").alias("bin")).agg(F.median(value).alias(value))
+
+
+def colour_limits(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """(keys, low, high): robust limits of a colour scale."""
+    q = F.percentile(value, F.array(F.lit(low), F.lit(high)))
+    return df.groupBy(*keys).agg(q[0].alias("low"), q[1].alias("high"))

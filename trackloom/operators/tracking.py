@@ -14,15 +14,14 @@ from trackloom.functions import kernels
 from trackloom.functions.timeseries import Track, ffill, rolling_std, unwrap
 from trackloom.operators.islands import sessions
 from trackloom.operators.joins import gap_links, nearest_links
+from trackloom.sources.export import shared_folder
 
 
 def _table(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of an iteration by a reliable checkpoint, where the session names a folder for it."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"trackloom-{name}-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession, name))
     return df.checkpoint()
 
 
@@ -172,3 +171,14 @@ def align_stage_moves(frames: DataFrame, moves: DataFrame, fps: float, keys: Seq
     schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "move")) + ", frame bigint"
     out = frames.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(run, schema)
     return out.withColumn("frame", F.nullif("frame", F.lit(-1)))
+
+
+def track_detections(points: DataFrame, single: bool = False, keys: Sequence[str] = ("file_id",), max_distance: float = 25.0, ratio: float | tuple[float, float] = 2.0, max_gap: int = 0, min_rows: int = 1, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Detections linked and then joined over gaps, or, with ``single``, those of one animal; one ratio r stands for
+    (1 / r, r)."""
+    ratio = ratio if isinstance(ratio, tuple) else (1 / ratio, ratio)
+    if single:
+        picked = pick_single_animal(points, keys, centre=centre, max_distance=max_distance)
+        return picked.withColumns({"worm_index_blob": F.lit(1), "worm_index_joined": F.lit(1)})
+    linked = link_detections(points, keys, max_distance=max_distance, ratio=ratio)
+    return join_gaps(linked, keys, max_gap=max_gap, ratio=ratio, min_rows=min_rows)

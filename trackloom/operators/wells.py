@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom.operators.joins import small
+
 #: Plate shapes (rows, columns) by number of wells.
 PLATES = {24: (4, 6), 48: (6, 8), 96: (8, 12)}
 
@@ -42,4 +44,4 @@ def lattice_lines(boxes: DataFrame, keys: Sequence[str], line: str, centre: str)
 def camera_wells(files: DataFrame, cameras: DataFrame, plates: DataFrame) -> DataFrame:
     """Wells of every file, by the camera serial number in its name and the camera's (rig, channel)."""
     serial = F.regexp_extract("path", r"(?<=\.)(\d{6,})(?=/|\.|_)", 1)
-    return files.withColumn("serial", serial).join(F.broadcast(cameras), "serial", "left").join(F.broadcast(plates), "channel", "left")
+    return files.withColumn("serial", serial).join(small(cameras), "serial", "left").join(small(plates), "channel", "left")

@@ -1,14 +1,8 @@
-"""Registered queries over the driver's tables, each with DuckDB SQL for the same rows.
-
-Roles: ``events`` is a set of tracks (user_id, ordered by ts and event_id) with a signal (value) and a label
-(event_type); ``lineitem`` is a dense index series (l_orderkey, l_linenumber); ``embeddings`` stand for poses.
-"""
+"""Registered queries of the relational operators: runs, windows, joins, selection, aggregates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,43 +15,9 @@ from trackloom.operators import islands as I
 from trackloom.operators import joins as J
 from trackloom.operators import selection as L
 from trackloom.operators import summary as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-EVENTS = Track(("user_id",), ("ts", "event_id"))
-LINES = Track(("l_orderkey",), ("l_linenumber",))
-BY_EVENT = "PARTITION BY user_id ORDER BY ts, event_id"
-
-
-def query(sql: str | None = None):
-    """Registers a function of (table reader) under its name, with its SQL."""
-
-    def add(f: Callable) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        run.__doc__ = f.__doc__
-        QUERIES[f.__name__] = run
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _r(c, n: int = 6):
-    return F.round(c, n)
-
-
-def _frames(t) -> DataFrame:
-    """Events with an integer frame for each row of a track, and a signal with gaps (values under 20 are missing)."""
-    e = t("events").withColumn("frame", F.row_number().over(EVENTS.window()))
-    return e.withColumn("gappy", F.when(F.col("value") >= 20, F.col("value")))
-
-
-FRAMES = f"f AS (SELECT *, row_number() OVER ({BY_EVENT}) AS frame, CASE WHEN value >= 20 THEN value END AS gappy FROM events)"
-
+from trackloom.plans.registry import BY_EVENT, EVENTS, FRAMES, ORACLE, QUERIES, query
+from trackloom.plans.registry import frames as _frames
+from trackloom.plans.registry import rounded as _r
 
 @query("""
 WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events),
@@ -351,10 +311,10 @@ def anti_tracks(t):
     return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("WITH c AS (SELECT DISTINCT l_linenumber AS r, l_partkey % 40 AS k FROM lineitem WHERE l_quantity > 45 AND l_partkey % 7 = 0) SELECT a.r, b.k FROM (SELECT DISTINCT r FROM c) a CROSS JOIN (SELECT DISTINCT k FROM c) b EXCEPT SELECT r, k FROM c")
+@query("WITH c AS (SELECT DISTINCT c_nationkey AS r, date_part('year', o_orderdate)::INT * 12 + date_part('month', o_orderdate)::INT AS k, c_mktsegment AS g FROM orders JOIN customer ON c_custkey = o_custkey) SELECT r, k FROM (SELECT DISTINCT r || '/' || g AS r FROM c) CROSS JOIN (SELECT DISTINCT k FROM c) EXCEPT SELECT r || '/' || g, k FROM c")
 def lattice_missing(t):
-    """JOI-11, SET-06."""
-    c = t("lineitem").where("l_quantity > 45 and l_partkey % 7 = 0").select(F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 40).alias("k")).distinct()
+    """JOI-11, SET-06: months without an order, by nation and market segment."""
+    c = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("r"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("k"))
     return J.missing_cells(c, "r", "k")
 
 
@@ -492,12 +452,18 @@ def dense_fill(t):
     return J.dense_fill(d, ["user_id"], "day")
 
 
-@query()
+@query(f"""WITH {FRAMES}, n AS (SELECT quantile_cont(c, 0.99) AS est FROM (SELECT count(*) AS c FROM f GROUP BY frame)),
+b AS (SELECT min(frame) AS lo, max(frame) AS hi FROM f), k AS (SELECT unnest(range(5))::INT AS i_fold),
+o AS (SELECT i_fold, lo + ('0x' || substr(md5('0:' || i_fold || ':0'), 1, 15))::BIGINT % (greatest(lo, hi - 30) - lo + 1) AS start, CASE WHEN 1 - 1 / est > 0 THEN least(0.8, 1 - 1 / est) ELSE 1 END AS share FROM k, b, n),
+h AS (SELECT f.*, i_fold, share FROM f JOIN o ON frame BETWEEN start AND start + 30),
+t AS (SELECT DISTINCT i_fold, share, user_id FROM h),
+c AS (SELECT *, row_number() OVER (PARTITION BY i_fold ORDER BY ('0x' || substr(md5('1:' || i_fold || ':' || user_id), 1, 15))::BIGINT, user_id) AS r, count(*) OVER (PARTITION BY i_fold) AS n FROM t)
+SELECT 0 AS file_id, i_fold, count(*) AS n_rows, count(DISTINCT user_id) AS n_tracks, round(quantile_cont(value, 0.5), 6) AS value_50th FROM h JOIN c USING (i_fold, user_id) WHERE r <= ceil(n * c.share) GROUP BY i_fold""")
 def fold_sample(t):
-    """AGG-10, AGG-11: the sample hangs on hashes that SQL does not have."""
+    """AGG-10, AGG-11."""
     e = _frames(t).withColumn("file_id", F.lit(0))
     folds = A.random_folds(e.select("file_id", "user_id", "frame", "value"), ["file_id"], "user_id", "frame", 5, 30.0, 1.0, 0.8)
-    return A.summarise(folds, ["file_id", "i_fold"], ["value"])
+    return folds.groupBy("file_id", "i_fold").agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_tracks"), _r(F.median("value")).alias("value_50th"))
 
 
 @query("WITH p AS (SELECT event_id, value / 100.0 AS p, count(*) OVER () AS n, rank() OVER (ORDER BY value DESC) AS r FROM events), q AS (SELECT event_id, p, least(p * n / (n - r + 1), 1.0) AS q FROM p) SELECT event_id, round(min(q) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS q_value FROM q")
@@ -542,16 +508,18 @@ def event_frames_list(t):
     return egg_events(t("events").withColumn("k", F.get_json_object("props", "$.k")), ["user_id"], "k")
 
 
-@query()
-def savgol_smooth(t):
-    """WIN-12 (tier A)."""
-    track = Track(("user_id",), ("frame",))
+def _savgol_sql(window: int) -> str:
+    half, w = window // 2, kernels.savgol_weights(window, 3)
+    at = lambda k: "value" if k == 0 else f"{'lead' if k > 0 else 'lag'}(value, {abs(k)}) OVER ({BY_EVENT})"
+    term = lambda row, first: " + ".join(f"({float(x)!r})::DOUBLE * {at(first + k)}" for k, x in enumerate(w[row]))
+    cases = [f"WHEN i = {r} THEN {term(r, -r)}" for r in range(half)] + [f"WHEN n - 1 - i = {r} THEN {term(window - 1 - r, r + 1 - window)}" for r in range(half)]
+    return f"WITH e AS (SELECT *, row_number() OVER ({BY_EVENT}) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, round(CASE WHEN n < {window} THEN value {' '.join(cases)} ELSE {term(half, -half)} END, 6) AS smooth FROM e"
 
-    def run(pdf):
-        x = pdf["value"].to_numpy(float)
-        return {"smooth": kernels.savgol(x, 7) if len(x) >= 7 else x}
 
-    return kernels.per_track(_frames(t), track.keys, track.order, ["value"], run, {"smooth": "double"})
+@query(_savgol_sql(7))
+def savgol_smooth(t):
+    """WIN-12."""
+    return t("events").select("event_id", _r(S.savgol(F.col("value"), EVENTS, 7)).alias("smooth"))
 
 
 @query()
@@ -561,13 +529,6 @@ def cubic_fill(t):
     return kernels.per_track(_frames(t), track.keys, track.order, ["gappy"], lambda p: {"filled": kernels.fill_cubic(p["gappy"].to_numpy(float))}, {"filled": "double"})
 
 
-@query()
-def motion_flags(t):
-    """EVT-01, EVT-02 (tier A)."""
-    track = Track(("user_id",), ("frame",))
-    return E.flag_regions(_frames(t).withColumn("x", F.col("value") - 50), track, "x", "value", 5.0, 20.0, 3, 2, "mode", absolute=True).select("user_id", "frame", "mode")
-
-
 @query()
 def short_time_spectrum(t):
     """WIN-29 (tier A)."""
@@ -589,9 +550,21 @@ def robust_outliers(t):
     return flags(d, ["file_id", "row_id"], {0: ["a", "p_retailprice"]}, limit=2.5).select("file_id", "row_id", "skel_outliers_flag")
 
 
-@query()
+_LINKS_SQL = ORACLE["nearest_prev_next"]
+
+
+@query(f"""WITH RECURSIVE l AS ({_LINKS_SQL}), {_DET},
+c AS (SELECT d.file_id, d.row_id, d.row_id AS root, frame_number FROM d LEFT JOIN l USING (file_id, row_id) WHERE previous IS NULL
+      UNION ALL SELECT l.file_id, l.row_id, c.root, c.frame_number FROM l JOIN c ON l.file_id = c.file_id AND l.previous = c.row_id),
+h AS (SELECT file_id, root, row_number() OVER (PARTITION BY file_id ORDER BY frame_number, root) AS worm_index_blob FROM c WHERE root = row_id)
+SELECT file_id, row_id, worm_index_blob FROM c JOIN h USING (file_id, root)""")
 def linked_tracks(t):
     """TRK-01: ids by pointer doubling over nearest links."""
     from trackloom.operators.tracking import link_detections
 
     return link_detections(_detections(t), max_distance=10.0).select("file_id", "row_id", "worm_index_blob")
+
+
+__all__ = ["ORACLE", "QUERIES"]
+
+from trackloom.plans import route_queries, table_queries  # noqa: E402, F401  register more queries

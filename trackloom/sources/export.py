@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names; only a local session may leave the setting out."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = f"file://{tempfile.gettempdir()}/trackloom-scratch"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def append(df: DataFrame, path: str, partition: Sequence[str] = ("file_id",)) -> None:
     """Adds rows to a table that is partitioned by file."""
     df.write.mode("append").partitionBy(*partition).parquet(path)
@@ -32,6 +44,11 @@ def write_csv_pair(summary: DataFrame, files: DataFrame, folder: str, family: st
     return paths
 
 
+def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
+    """What is plotted, as CSV with a header."""
+    (df.select(*columns) if columns else df).write.mode("overwrite").csv(path, header=True)
+
+
 def significant(x: Column, digits: int) -> Column:
     """``x`` with so many significant digits."""
     size = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(x))))
