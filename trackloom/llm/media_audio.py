@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from trackloom.llm._text import slices
 
 
+_BLOCK = 1 << 18  # samples or outputs that are worked on at once, so that long texts take memory by their size only
+
+
 @dataclass(frozen=True)
 class AudioShape:
     """Rates in samples a second; frame and hop in samples at ``rate``; block in frames."""
@@ -76,7 +79,7 @@ def _phases(up: int, down: int, half: int = 8) -> np.ndarray:
 
 
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Polyphase resampling by to / rate; outputs are centred on their instants, and the ends see zeros."""
+    """Polyphase resampling by to / rate, in blocks; outputs are centred on their instants, and the ends see zeros."""
     g = gcd(rate, to)
     up, down = to // g, rate // g
     if up == down or not len(x):
@@ -87,11 +90,13 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     padded = np.concatenate((np.zeros(width, np.float32), x.astype(np.float32), np.zeros(width + 1, np.float32)))
     views = np.lib.stride_tricks.sliding_window_view(padded, width)
     out = np.empty(n, np.float32)
-    for p in range(up):
-        # Output m reads up-sampled position m * down + delay; those with one remainder by up share a phase.
-        m = np.arange(n)[(np.arange(n) * down + delay) % up == p]
-        newest = (m * down + delay) // up
-        out[m] = views[np.minimum(newest + 1, len(views) - 1)] @ taps[p]
+    for start in range(0, n, _BLOCK):
+        at = np.arange(start, min(start + _BLOCK, n))
+        for p in range(up):
+            # Output m reads up-sampled position m * down + delay; those with one remainder by up share a phase.
+            m = at[(at * down + delay) % up == p]
+            newest = (m * down + delay) // up
+            out[m] = views[np.minimum(newest + 1, len(views) - 1)] @ taps[p]
     return out
 
 
@@ -105,14 +110,18 @@ def _mel_bank(shape: AudioShape) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, shape: AudioShape) -> np.ndarray:
-    """Log energies (frames, mels) of overlapped Hann frames; the last frame is filled with zeros."""
+    """Log energies (frames, mels) of overlapped Hann frames, in blocks; the last frame is filled with zeros."""
     n = 1 + max(0, -(-(len(x) - shape.frame) // shape.hop))
     padded = np.zeros((n - 1) * shape.hop + shape.frame, np.float32)
     padded[: len(x)] = x
     frames = np.lib.stride_tricks.sliding_window_view(padded, shape.frame)[:: shape.hop]
-    spectrum = np.fft.rfft(frames * np.hanning(shape.frame).astype(np.float32), axis=1)
-    power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-    return np.log(power @ _mel_bank(shape) + 1e-6)
+    window, bank, out = np.hanning(shape.frame).astype(np.float32), _mel_bank(shape), np.empty((n, shape.mels), np.float32)
+    step = max(1, _BLOCK // shape.frame)
+    for start in range(0, n, step):
+        spectrum = np.fft.rfft(frames[start : start + step] * window, axis=1)
+        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
+        out[start : start + step] = np.log(power @ bank + 1e-6)
+    return out
 
 
 def segments(energy_db: np.ndarray, shape: AudioShape) -> list[tuple[float, float]]:
@@ -159,7 +168,8 @@ def audio_columns(docs: DataFrame, shape: AudioShape = AudioShape()) -> DataFram
     The payload is the text in UTF-8 and as many bytes 0 as make a positive multiple of 64.  Returns doc_id, n_bytes
     (unpadded), media (WAV), samples (read back from media), tensors (an Arrow stream of fixed-shape tensors with time
     spans), n_frames, mel_means and segments.  A null text counts as empty and is 64 bytes 0; equal texts give equal
-    values; an empty table gives an empty result.
+    values; long texts are features of their whole bytes, worked through in blocks; repeated rows and other columns
+    change nothing; an empty table gives an empty result.
     """
     out = "doc_id bigint, n_bytes bigint, media binary, samples binary, tensors binary, n_frames bigint, mel_means array<double>, segments array<struct<start_s: double, end_s: double>>"
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))

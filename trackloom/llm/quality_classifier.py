@@ -1,7 +1,6 @@
 """Naive Bayes support vectors over n-gram indicators.
 
-Each text becomes the set of its hashed n-grams: byte trigrams, words, word pairs
-and runs of one word.  Indicators are
+Each text becomes the set of its hashed n-grams: byte trigrams, words, word pairs and runs of one word.  Indicators are
 scaled by the log ratio of the classes' smoothed counts, and a linear hinge-loss model is fitted to them by dual
 coordinate descent.  Ratios and weights come from a bounded sample of labelled rows (``sample_rows``); scoring is one
 pass over all texts without a shuffle.
@@ -136,8 +135,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", s
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5) for each row of ``docs``.
 
-    A null text counts as empty; empty texts get the score of the bias.  Repeated rows give equal results, a null
-    doc_id is not held out, an empty table gives an empty result.
+    A null text counts as empty; empty texts get the score of the bias; long texts are scored as a whole.  Repeated rows
+    give equal results, a null doc_id is not held out, other columns are not looked at, an empty table gives an empty
+    result.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
