@@ -282,6 +282,21 @@ def frame_features(poses: DataFrame, track: Track, fps: float, contour: DataFram
     return pad_columns(df, [*given, *more, *SERIES, *EVENTS, *AUXILIARY])
 
 
+#: Families of features by name: each adds its columns to poses (``velocities`` and ``path`` also take a track).
+FEATURES = {"morphology": morphology, "posture": posture, "curvature": curvature, "velocities": velocities, "food": food_features, "path": path_features, "coordinates": part_coordinates, "derivatives": derivatives}
+
+
+def feature_family(name: str):
+    if name not in FEATURES:
+        raise ValueError(f"no features {name!r}; there are {', '.join(sorted(FEATURES))}")
+    return FEATURES[name]
+
+
+def save_series(df: DataFrame, path: str) -> None:
+    """The assembled series, partitioned by file."""
+    df.write.mode("overwrite").partitionBy("file_id").parquet(path)
+
+
 def robust_outliers(df: DataFrame, keys: Sequence[str], columns: dict[int, Sequence[str]], limit: float = 11.345, name: str = "skel_outliers_flag") -> DataFrame:
     """Adds a bit flag of rows far from a robust centre of each group of columns; the cut is on the distance.
 

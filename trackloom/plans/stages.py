@@ -6,19 +6,21 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, fields, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Stage:
-    """A named step: tables it reads, the table it writes, and how."""
+    """A named step: tables it reads, the table it writes, and how; ``before`` changes the first table it reads."""
 
     name: str
     inputs: tuple[str, ...]
     output: str
     run: Callable[..., DataFrame]
     needs: tuple[str, ...] = ()
+    before: Callable[[DataFrame], DataFrame] | None = None
 
 
 #: Names of the steps of an analysis, in order.
@@ -92,10 +94,29 @@ class Plan:
         for s in self.stages[a : b + 1]:
             if lacking := [t for t in (*s.inputs, *s.needs) if t not in self.tables]:
                 raise ValueError(f"{s.name} needs {', '.join(lacking)}")
-            self.tables[s.output] = s.run(*(self.tables[t] for t in s.inputs))
+            given = [self.tables[t] for t in s.inputs]
+            if s.before is not None:
+                given[0] = s.before(given[0])
+            self.tables[s.output] = s.run(*given)
         return self.tables
 
 
+def isolated(df: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel`` on each group; a group whose kernel fails gives one row of its keys and the column ``error``.
+
+    ``schema`` is that of the kernel's result, keys included.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return kernel(pdf)[names].assign(error=None)
+        except Exception as e:  # noqa: BLE001  whatever a group does must not stop the others
+            return pd.DataFrame([{**{n: None for n in names}, **{k: pdf[k].iloc[0] for k in keys}, "error": f"{type(e).__name__}: {e}"}])
+
+    return df.groupBy(*keys).applyInPandas(run, f"{schema}, error string")
+
+
 def next_steps(files: DataFrame, provenance: DataFrame, names: Sequence[str]) -> DataFrame:
     """(file_id, next_step): the first step of each file without provenance; NULL where all are done."""
     grid = files.select("file_id").withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("point")) for i, n in enumerate(names))))).select("file_id", "s.*")

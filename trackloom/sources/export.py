@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +27,31 @@ def append(df: DataFrame, path: str, partition: Sequence[str] = ("file_id",)) ->
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
-def replace(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
-    """Replaces a table; with ``partition`` only the partitions that occur in ``df``."""
-    writer = df.write.mode("overwrite")
-    (writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition) if partition else writer).parquet(path)
+def replace(df: DataFrame, path: str, partition: Sequence[str] = (), attributes: dict[str, object] | None = None) -> None:
+    """Replaces a table; with ``partition`` only the partitions that occur in ``df``.
+
+    A whole table is written next to the old one and then takes its name, so that readers see the one or the other.
+    Its attributes go along in columns' metadata: those of ``df`` stay, and ``attributes`` are added to the first column.
+    """
+    if attributes:
+        first = df.columns[0]
+        df = df.withMetadata(first, {**df.schema[first].metadata, **attributes})
+    if partition:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+        return
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(new)
+    jvm = df.sparkSession.sparkContext._jvm
+    to, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    fs = to.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(to):
+        fs.delete(to, True)
+    fs.rename(source, to)
+
+
+def attributes(df: DataFrame) -> dict[str, object]:
+    """Attributes that :func:`replace` keeps with a table."""
+    return dict(df.schema[0].metadata)
 
 
 def write_csv_pair(summary: DataFrame, files: DataFrame, folder: str, family: str, level: str, window: int | None = None) -> tuple[str, str]:
@@ -83,6 +105,19 @@ def wcon_metadata(meta: dict[str, object], standard: Sequence[str] = ("id", "lab
 WCON_UNITS = {"t": "seconds", "x": "micrometers", "y": "micrometers", "px": "micrometers", "py": "micrometers"}
 
 
+def write_wcon(records: DataFrame, metadata: dict[str, object], path: str) -> None:
+    """A WCON document (records of :func:`wcon_data`) of one file, zipped.
+
+    The records of a file are one document, which one task writes; files are exported one by one.
+    """
+    parts = (r[0] for r in records.select("record").toLocalIterator())
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open(path.rsplit("/", 1)[-1].removesuffix(".zip"), "w", force_zip64=True) as out:
+        out.write(f'{{"units": {json.dumps(WCON_UNITS)}, "metadata": {wcon_metadata(metadata)}, "data": ['.encode())
+        for k, part in enumerate(parts):
+            out.write((", " if k else "").encode() + part.encode())
+        out.write(b"]}")
+
+
 def provenance(spark, file_id: int, point: str, func: str, args: dict, versions: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(file_id, point, func, json.dumps(args, sort_keys=True), versions)], "file_id int, point string, func string, args_json string, versions map<string,string>")
 

@@ -38,12 +38,28 @@ def file_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A Parquet table with NaN as NULL; only ``columns`` are read."""
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, missing: str | None = None) -> DataFrame:
+    """A Parquet table with NaN as NULL; only ``columns`` are read.
+
+    Where there is no table at ``path``, an empty one of schema ``missing`` stands for it, if that is given.
+    """
+    if missing is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return spark.createDataFrame([], missing)
     df = spark.read.parquet(path)
     return nan_to_null(df.select(*columns) if columns else df)
 
 
+#: Endings of the files that summaries of a family of features are made of.
+SUMMARY_INPUTS = {"current": "_featuresN", "legacy": "_features"}
+
+
+def summary_inputs(spark: SparkSession, root: str, family: str, extension: str = "*") -> DataFrame:
+    """(path, name, bytes) of the files under ``root`` that hold a family's features, numbered by path."""
+    return manifest(find_files(spark, root, f"*{SUMMARY_INPUTS[family]}.{extension}", ()))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema}
     return df.withColumns({c: F.nanvl(c, F.lit(None).cast(t)) for c, t in kinds.items() if isinstance(t, (T.DoubleType, T.FloatType))})
