@@ -55,3 +55,12 @@ def test_query_edges(spark, tmp_path):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, tree string, node long")
     assert format_reply_trees(conversation_nodes(empty)).count() == 1
     assert format_reply_trees(spark.createDataFrame([], NODES)).count() == 0
+
+
+def test_trees_are_ranked_apart_and_long_texts_stay_whole(spark):
+    long = "word <|x " * 50_000
+    rows = [("a", 1, None, "user", "q", 0.0), ("a", 2, 1, "assistant", "low", 1.0), ("a", 3, 1, "assistant", long, 3.0), ("a", 4, 3, "user", "more", 0.0)]
+    rows += [("b", 1, None, "user", "p", 5.0), ("b", 2, 1, "assistant", "x", 2.0), ("b", 3, 1, "assistant", "y", 2.0), ("b", 9, 8, "user", "lost", None)]
+    out = {(r.tree, r.rank): r for r in format_reply_trees(spark.createDataFrame(rows, NODES), branches=2).withColumn("turns", read_back("formatted")).collect()}
+    assert {k: (r.leaf, r.n_turns, r.score) for k, r in out.items()} == {("a", 1): (4, 3, 1.0), ("a", 2): (2, 2, 0.5), ("b", 1): (2, 2, 3.5), ("b", 2): (3, 2, 3.5)}
+    assert [t.text for t in out["a", 1].turns] == ["q", long, "more"]

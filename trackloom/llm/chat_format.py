@@ -1,8 +1,9 @@
 """Reply trees as chat text, with DataFrame functions only.
 
-Root-to-leaf paths come from self-joins that double their reach: round k adds to every leaf's path the ancestors 2**k
-steps above those it has, and composes the jumps with themselves, so that a chain of n replies takes log2(n) rounds.
-Branches are ranked by score inside their tree, and each chosen path becomes one conversation with a loss mask.
+Self-joins double their reach: round k knows of every node its ancestor 2**k steps up and the scores in between, and
+joins this with itself, so that a chain of n replies takes log2(n) rounds.  Branches are ranked by score inside their
+tree; only the paths of chosen ones are enumerated, by the same jumps, and each becomes one conversation with a loss
+mask.
 """
 
 from __future__ import annotations
@@ -34,22 +35,34 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def reply_paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tree, leaf, node, above) for every leaf and every node from it up to its root, ``above`` steps from the leaf."""
-    jumps = nodes.where(F.col("parent") < F.col("node")).select("tree", "node", F.col("parent").alias("up"))
-    jumps = jumps.join(nodes.select("tree", F.col("node").alias("up")), ["tree", "up"], "left_semi")
-    jumps = scratch.save(jumps.select("tree", "node", "up"), "jumps-0")
-    inner = jumps.select("tree", F.col("up").alias("node")).distinct()
-    paths = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("above"))
-    paths, k = scratch.save(paths, "paths-0"), 0
-    while not jumps.isEmpty():
-        further = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
-        twice = jumps.join(jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("next")), ["tree", "up"]).select("tree", "node", F.col("next").alias("up"))
-        k += 1
+def climb(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, node, total, n): the scores from each node up to its root, and their number; and the tables of jumps.
+
+    ``nodes`` has tree, node, parent and score.  Table k of the jumps has (tree, node, up): the ancestor 2**k steps up.
+    Round k joins what is known of 2**k steps with itself, so that only nodes travel, never paths.
+    """
+    up = F.when(F.col("parent") < F.col("node"), F.col("parent"))
+    known = nodes.select("tree", "node", up.alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n"))
+    there = nodes.select("tree", F.col("node").alias("up"), F.lit(True).alias("_there"))
+    known = known.join(there, ["tree", "up"], "left").withColumn("up", F.when(F.col("_there"), F.col("up"))).select("tree", "node", "up", "total", "n")
+    known, jumps = scratch.save(known, "climb-0"), []
+    while True:
+        on = known.where("up is not null").select("tree", "node", "up", "total", "n")
+        if on.isEmpty():
+            return known.select("tree", "node", "total", "n"), jumps
+        jumps.append(on.select("tree", "node", "up"))
+        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("n").alias("_n"))
+        further = on.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("n") + F.col("_n")).alias("n"))
+        known = scratch.save(known.where("up is null").unionByName(further), f"climb-{len(jumps)}")
+
+
+def chosen_paths(leaves: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(tree, leaf, node, above) for every given (tree, leaf) and every node from it up to its root, ``above`` steps from it."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("above"))
+    for k, jump in enumerate(jumps):
+        further = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
         # Each round's new rows are a table of their own; the path is the union of all rounds.
         paths = paths.unionByName(scratch.save(further, f"paths-{k}"))
-        jumps = scratch.save(twice, f"jumps-{k}")
-        scratch.drop(f"jumps-{k - 1}")
     return paths
 
 
@@ -65,12 +78,15 @@ def format_reply_trees(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     scratch = Scratch(nodes.sparkSession, "chat")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     nodes = scratch.save(nodes.select("tree", F.col("node").cast("bigint"), F.col("parent").cast("bigint"), text("role").alias("role"), text("text").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
-    paths = reply_paths(nodes.select("tree", "node", "parent"), scratch)
-    scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    sums, jumps = climb(nodes.select("tree", "node", "parent", "score"), scratch)
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else None
+    leaves = sums if inner is None else sums.join(inner, ["tree", "node"], "left_anti")
+    ranked = leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("n")).alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)
+    ranked = scratch.save(ranked, "ranked")
+    paths = chosen_paths(ranked, jumps, scratch)
     turns = paths.join(ranked, ["tree", "leaf"]).join(nodes.drop("score", "parent"), ["tree", "node"])
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     turns = turns.withColumn("head", head).withColumn("body", escape(F.col("text")))
