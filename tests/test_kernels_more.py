@@ -48,3 +48,18 @@ def test_head_and_tail_by_movement(spark):
     out = tracking.orient_by_movement(df, Track(), "head", "tail", "timestamp", 10, 10, 5)
     assert out.where(F.col("timestamp") < 50).select("is_switched").distinct().collect() == [(True,)]
     assert out.where(F.col("timestamp") >= 70).select("is_switched").distinct().collect() == [(False,)]
+
+
+def test_linked_frames_in_blocks():
+    rng = np.random.default_rng(7)
+    prev, cur = (tuple(rng.uniform(1, 40, n) for _ in range(3)) for n in (60, 70))
+    cur[2][5] = np.nan
+    whole = K.link_frame(prev, cur, 6.0, (0.5, 2.0))
+    np.testing.assert_array_equal(whole, K.link_frame(prev, cur, 6.0, (0.5, 2.0), block=130))
+    assert (whole >= 0).any() and len(set(whole[whole >= 0])) == (whole >= 0).sum() and whole[5] == -1
+    cost = np.hypot(cur[0][:, None] - prev[0], cur[1][:, None] - prev[1])
+    share = prev[2] / cur[2][:, None]
+    cost = np.where((share >= 0.5) & (share <= 2), cost, 1e20)
+    for i, j in enumerate(whole):
+        if j >= 0:
+            assert cost[i, j] == cost[i].min() <= 6

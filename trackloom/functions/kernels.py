@@ -504,3 +504,33 @@ def is_coil(widths: np.ndarray, ventral: np.ndarray, dorsal: np.ndarray, width_r
     parts = [area(round(a * n / 49), round(b * n / 49)) for a, b in ((0, 8), (41, 49))]
     body = area(round(8 * n / 49), round(41 * n / 49))
     return any(p <= 0 or body / p > area_ratio for p in parts)
+
+
+def link_frame(prev: tuple[np.ndarray, ...], cur: tuple[np.ndarray, ...], max_distance: float, ratio: tuple[float, float], block: int = 1 << 22) -> np.ndarray:
+    """For each current (x, y, size) the index of the previous one it continues, or -1.
+
+    A pair is forbidden if previous size / size is outside ``ratio`` or unknown.  Each point picks its nearest previous
+    one (ties: the first); the pick falls if it is farther than ``max_distance`` or if several points picked the same.
+    Previous points pick likewise, and a point whose pick lost its own is unlinked.  Costs are made in blocks.
+    """
+    (px, py, ps), (cx, cy, cs) = prev, cur
+    n, m = len(cx), len(px)
+    if not n or not m:
+        return np.full(n, -1)
+    pick, near = np.zeros(n, np.int64), np.zeros(n)
+    back, least = np.zeros(m, np.int64), np.full(m, np.inf)
+    step = max(1, block // m)
+    for a in range(0, n, step):
+        part = slice(a, a + step)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = ps[None, :] / cs[part, None]
+            cost = np.hypot(cx[part, None] - px[None, :], cy[part, None] - py[None, :])
+            cost = np.where((share >= ratio[0]) & (share <= ratio[1]) & np.isfinite(cost), cost, 1e20)
+        pick[part] = cost.argmin(1)
+        near[part] = cost.min(1)
+        k, c = cost.argmin(0), cost.min(0)
+        better = c < least
+        back[better], least[better] = a + k[better], c[better]
+    good = (near <= max_distance) & (np.bincount(pick, minlength=m)[pick] == 1)
+    held = (least <= max_distance) & (np.bincount(back, minlength=n)[back] == 1)
+    return np.where(good & held[pick], pick, -1)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom.functions.kernels import link_frame
+
 #: Largest side that is sent to all tasks; beyond it a join goes by bucket or shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -35,30 +40,35 @@ def window_join(df: DataFrame, windows: DataFrame, at: str, start: str = "start"
 
 
 def nearest_links(points: DataFrame, keys: Sequence[str], frame: str, row: str, x: str, y: str, size: str, max_distance: float, ratio: tuple[float, float]) -> DataFrame:
-    """(keys, row, previous): which point of the frame before each point continues.
+    """(keys, row, previous): which point of the frame before each point continues, by :func:`kernels.link_frame`.
 
-    Frames are compared with the one before that exists.  A pair is forbidden if previous size / size is outside
-    ``ratio`` or unknown.  Each point picks its nearest previous one (ties: smallest row); the pick falls if it is
-    farther than ``max_distance`` or if several points picked the same.  Previous points pick likewise, and a point
-    whose pick lost its own is unlinked.  Points without a link are absent.
+    Frames are compared with the one before that exists.  A frame is one row of arrays next to the frame before, and
+    numpy compares the two, so that pairs of points are never rows.  Points without a link are absent.
     """
-    cols = [F.col(c) for c in (frame, row, x, y, size)]
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(frame))
-    cur = points.select(*keys, *cols).withColumn("_f", rank)
-    prev = cur.select(*keys, (F.col("_f") + 1).alias("_f"), *(c.alias(n) for c, n in zip(cols[1:], ("_row", "_x", "_y", "_size"), strict=True)))
-    share = F.col("_size") / F.nullif(F.col(size), F.lit(0))
-    cost = F.when(share.between(*ratio), F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
-    pairs = cur.join(prev, [*keys, "_f"]).withColumn("_cost", cost).select(*keys, "_f", row, "_row", "_cost")
-    far = F.coalesce(F.col("_cost"), F.lit(1e20))
-
-    def picks(own: str, other: str) -> DataFrame:
-        best = pairs.groupBy(*keys, "_f", own).agg(F.min_by(F.struct(other, far.alias("_cost")), F.struct(far, other)).alias("_b"))
-        best = best.select(*keys, "_f", own, F.col(f"_b.{other}").alias(other), F.col("_b._cost").alias("_cost"))
-        return best.withColumn("_same", F.count("*").over(Window.partitionBy(*keys, "_f", other))).withColumn("_ok", (F.col("_cost") <= max_distance) & (F.col("_same") == 1))
-
-    forward = picks(row, "_row").where("_ok").select(*keys, "_f", row, "_row")
-    bad = picks("_row", row).where("not _ok").select(*keys, "_f", "_row")
-    return forward.join(bad, [*keys, "_f", "_row"], "left_anti").select(*keys, F.col(row), F.col("_row").alias("previous"))
+    point = F.struct(F.col(row).alias("r"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(size).cast("double").alias("s"))
+    whole = points.groupBy(*keys, frame).agg(F.sort_array(F.collect_list(point)).alias("cur"))
+    whole = whole.withColumn("prev", F.lag("cur").over(Window.partitionBy(*keys).orderBy(frame))).where("prev is not null").select(*keys, "cur", "prev")
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for name in ("cur", "prev"):
+                lists = batch.column(name)
+                values = lists.values
+                numbers = [pc.fill_null(values.field(k), np.nan).to_numpy(zero_copy_only=False) for k in ("x", "y", "s")]
+                sides.append((lists.offsets.to_numpy(), numbers, values.field("r")))
+            (c, cur, rows), (p, prev, before) = sides
+            at, found = [], []
+            for i in range(batch.num_rows):
+                pick = link_frame(tuple(v[p[i] : p[i + 1]] for v in prev), tuple(v[c[i] : c[i + 1]] for v in cur), max_distance, ratio)
+                good = np.flatnonzero(pick >= 0)
+                at.append(np.column_stack((np.full(len(good), i), c[i] + good, p[i] + pick[good])))
+            found = np.concatenate(at) if at else np.zeros((0, 3), np.int64)
+            take = lambda a, k: a.take(pa.array(found[:, k]))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([*(take(batch.column(k), 0) for k in keys), take(rows, 1), take(before, 2)], [*keys, row, "previous"])
+
+    return whole.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{row} {kinds[row]}", f"previous {kinds[row]}"]))
 
 
 def gap_links(tracks: DataFrame, keys: Sequence[str], track: str, max_gap: int, ratio: tuple[float, float], min_rows: int = 1) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackloom.functions.kernels import link_frame
+
 
 def _statistics(value: str) -> list:
     return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most")]
@@ -42,21 +44,6 @@ LINKED = "file_id int, frame_number int, row_id bigint, worm_index_blob bigint"
 STATE = "frame int, next_id bigint, xs array<double>, ys array<double>, sizes array<double>, ids array<bigint>"
 
 
-def link_frame(prev: tuple[np.ndarray, ...], cur: tuple[np.ndarray, ...], max_distance: float, ratio: tuple[float, float]) -> np.ndarray:
-    """For each current (x, y, size) the index of the previous one it continues, or -1."""
-    (px, py, ps), (cx, cy, cs) = prev, cur
-    if not len(px) or not len(cx):
-        return np.full(len(cx), -1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = ps[None, :] / cs[:, None]
-        cost = np.hypot(cx[:, None] - px[None, :], cy[:, None] - py[None, :])
-        cost = np.where((share >= ratio[0]) & (share <= ratio[1]) & np.isfinite(cost), cost, 1e20)
-    pick, back = cost.argmin(1), cost.argmin(0)
-    good = (cost[np.arange(len(cx)), pick] <= max_distance) & (np.bincount(pick, minlength=len(px))[pick] == 1)
-    held = (cost[back, np.arange(len(px))] <= max_distance) & (np.bincount(back, minlength=len(cx))[back] == 1)
-    return np.where(good & held[pick], pick, -1)
-
-
 def link_stream(points: DataFrame, max_distance: float = 25.0, ratio: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
     """Links detections (file_id, frame_number, row_id, coord_x, coord_y, area) frame by frame, with the frame before as state.
 
