@@ -26,3 +26,17 @@ def test_stages_on_a_small_folder(spark, make_docs, tmp_path):
     assert seen["ngram_join"].count() >= 30
     assert seen["packing"].where("bin_id is null").count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_tables_null_and_repeated_ids(spark, make_docs, tmp_path):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) + "."
+    one, two, three = text(), text(), text()
+    rows = [(None, one, "a"), (None, one, "a"), (4, two, None), (4, two, None), (4, three, "b"), (9, text(), "b"), (5, None, "b"), (6, "", "a")]
+    make_docs(rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {None, 4, 9} and all(r.n_words == 60 and r.capacity >= 60 for r in out)
+    make_docs(rows, clash=False).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

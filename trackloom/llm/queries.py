@@ -129,6 +129,21 @@ m AS (SELECT k.*, coalesce(c.last <> k.doc_id, false) AS gone FROM k LEFT JOIN c
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op6_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+p AS (SELECT id, n, unnest(s) AS t FROM c),
+j AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.t = b.t AND a.id < b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+      GROUP BY a.id, b.id, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)),
+e AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
+r AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+g AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+d AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(g.root, s.doc_id) AS component_id, coalesce(d.n_links, 0)::BIGINT AS n_links
+FROM s LEFT JOIN c ON c.s = s.s AND len(s.s) > 0 LEFT JOIN g ON g.id = c.id LEFT JOIN d ON d.id = c.id""",
     "op10_mixing": """
 WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
