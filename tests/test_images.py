@@ -127,6 +127,17 @@ def test_poses_from_images(spark):
     assert features.morphology(images.poses_of_rois(rois)).where("length > 60").count() == 6
 
 
+def test_masks_of_buffers(spark):
+    a = np.full((40, 50), 200, np.uint8)
+    a[5:15, 10:20] = 50
+    rows = [(0, f, 40, 50, bytearray(np.roll(a, 3 * f, 1).tobytes())) for f in range(4)]
+    frames = spark.createDataFrame(rows, "file_id int, frame_number int, h int, w int, pixels binary")
+    out = images.mask_buffers(frames, 2, block=21, offset=15, min_area=20, grow=0).orderBy("frame_number").collect()
+    masks = [np.frombuffer(r.pixels, np.uint8).reshape(40, 50) > 0 for r in out]
+    assert (masks[0] == masks[1]).all() and (masks[2] == masks[3]).all() and (masks[0] != masks[2]).any()
+    assert masks[0][10, 10:23].all()
+
+
 def test_turns_and_sides_of_the_older_route(spark):
     track = Track(("k",), ("i",))
     flags = [(0, i, i in (3, 4), i in (6, 7, 8), i == 10) for i in range(14)] + [(1, i, i in (3, 4), i in (9, 10), i == 12) for i in range(14)]

@@ -245,3 +245,15 @@ def test_stages(spark):
     assert {r.file_id: r.next_step for r in todo.collect()} == {0: "B", 1: None, 2: "A"}
     bad = spark.createDataFrame([(2,)], "file_id int")
     assert {r.file_id: r.state for r in file_states(files, todo, bad).collect()} == {0: "SOURCE_GOOD", 1: "FINISHED_GOOD", 2: "SOURCE_BAD"}
+
+
+def test_many_windows(spark):
+    rng = np.random.default_rng(4)
+    wins = [(k, float(a), float(a + w) if k % 20 else None) for k, (a, w) in enumerate(zip(rng.uniform(0, 500, 140), rng.uniform(1, 40, 140), strict=True))]
+    rows = [(i, float(v)) for i, v in enumerate(rng.uniform(0, 700, 200))]
+    want = sorted((i, k) for i, v in rows for k, a, b in wins if v >= a and (b is None or v < b))
+    df, windows = spark.createDataFrame(rows, "i int, v double"), spark.createDataFrame(wins, "k int, start double, end double")
+    assert sorted(map(tuple, joins.window_join(df, windows, "v").select("i", "k").collect())) == want
+    stamp = lambda c: F.timestamp_seconds(F.col(c))
+    timed = joins.window_join(df.withColumn("v", stamp("v")), windows.withColumns({"start": stamp("start"), "end": stamp("end")}), "v")
+    assert sorted(map(tuple, timed.select("i", "k").collect())) == want

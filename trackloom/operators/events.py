@@ -223,8 +223,7 @@ def crawling(df: DataFrame, track: Track, bend: str, fps: float, out: str, secon
         f, a = kernels.short_time_peak(kernels.fill_cubic(pdf[bend].to_numpy(float)), fps, window, 1 / 15, min(fps / 2, 2.5))
         return {f"{out}_frequency": f, f"{out}_amplitude": a}
 
-    made = kernels.per_track(df, track.keys, track.order, [bend], run, {f"{out}_frequency": "double", f"{out}_amplitude": "double"})
-    return df.join(made, [*track.keys, *track.order], "left")
+    return kernels.with_tracks(df, track.keys, track.order, [bend], run, {f"{out}_frequency": "double", f"{out}_amplitude": "double"})
 
 
 def coils(df: DataFrame, track: Track, code: str, fps: float, codes: Sequence[int] = (105, 106), seconds: float = 0.2) -> DataFrame:

@@ -95,6 +95,17 @@ def mask_frames(frames: DataFrame, **how) -> DataFrame:
     return frames.mapInPandas(run, frames.schema)
 
 
+def mask_buffers(frames: DataFrame, size: int, keys: tuple[str, ...] = ("file_id",), dark: bool = True, **how) -> DataFrame:
+    """Frames masked in runs of ``size``: one mask, of the darkest (or lightest) value of each pixel, holds for all of a run."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stack = np.stack([image(p, h, w) for p, h, w in zip(pdf["pixels"], pdf["h"], pdf["w"], strict=True)])
+        mask = adaptive_mask(stack.min(0) if dark else stack.max(0), dark=dark, **how)
+        return pdf.drop(columns="_run").assign(pixels=[np.where(mask, a, 0).astype(np.uint8).tobytes() for a in stack])
+
+    return frames.withColumn("_run", F.floor(F.col("frame_number") / size)).groupBy(*keys, "_run").applyInPandas(run, frames.schema)
+
+
 def detect_blobs(frames: DataFrame, threshold: int, min_area: int = 50, dark: bool = True) -> DataFrame:
     """A row for each blob of each masked frame; masked pixels (0) are background."""
 

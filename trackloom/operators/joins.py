@@ -9,12 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trackloom.functions.kernels import link_frame
 
 #: Largest side that is sent to all tasks; beyond it a join goes by bucket or shuffle.
 BROADCAST_ROWS = 100_000
+#: Most windows with which every row is compared; more meet the rows in buckets.
+FEW_WINDOWS = 100
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -25,17 +28,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def window_join(df: DataFrame, windows: DataFrame, at: str, start: str = "start", end: str = "end") -> DataFrame:
     """Rows with every half-open window [start, end) they lie in; a NULL end is open.
 
-    A few windows are broadcast.  Many meet the rows in buckets of the median window's width.
+    Up to ``FEW_WINDOWS`` windows are broadcast.  More meet the rows in buckets of the median window's width.
     """
     inside = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
-    few = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = windows.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS
     if few:
         return df.join(F.broadcast(windows), inside)
-    bounds = windows.agg(F.median(F.col(end) - F.col(start)), F.max(end), F.max(start)).first()
-    width, last = max(1, int(bounds[0] or 1)), max(int(bounds[1] or 0), int(bounds[2] or 0))
-    stop = F.coalesce(F.col(end), F.lit(last + width))
-    windows = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(stop / width))))
-    held = F.least(F.floor(F.col(at) / width), F.lit(last // width + 1))
+    # Time stamps and dates are counted in seconds.
+    number = lambda df, c: F.col(c).cast("timestamp").cast("double") if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(c).cast("double")
+    bounds = windows.agg(F.median(number(windows, end) - number(windows, start)), F.max(number(windows, end)), F.max(number(windows, start))).first()
+    width, last = max(1e-6, float(bounds[0] or 1)), max(float(bounds[1] or 0), float(bounds[2] or 0))
+    stop = F.coalesce(number(windows, end), F.lit(last + width))
+    windows = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(number(windows, start) / width), F.floor(stop / width))))
+    held = F.least(F.floor(number(df, at) / width), F.lit(int(last // width) + 1))
     return df.withColumn("_bucket", held).join(windows, "_bucket").where(inside).drop("_bucket")
 
 

@@ -79,7 +79,7 @@ def valid_tracks(df: DataFrame, keys: Sequence[str], track: str, valid: str, x:
     ok = F.col(valid).cast("int")
     box = F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y))
     per = df.groupBy(*keys, track).agg(F.avg(ok).alias("_share"), F.sum(ok).alias("_n"), box.alias("_size"))
-    per = per.withColumn("_tracks", F.count("*").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))))
+    per = per.withColumn("_tracks", F.count("*").over(Window.partitionBy(*keys))) if keys else per.join(F.broadcast(per.agg(F.count("*").alias("_tracks"))), F.lit(True))
     keep = (F.col("_tracks") == 1) | ((F.col("_share") >= min_share) & (F.col("_n") >= min_rows) & (F.col("_size") > min_size))
     return df.join(per.where(keep).select(*keys, track), [*keys, track], "left_semi")
 

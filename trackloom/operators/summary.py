@@ -182,7 +182,7 @@ def histogram(df: DataFrame, x: str, bins: int, keys: Sequence[str] = ()) -> Dat
 
 def otsu_threshold(counts: DataFrame, value: str, n: str, keys: Sequence[str] = ()) -> DataFrame:
     """The value t that maximises the variance between classes <= t and > t of a histogram; the smallest of ties."""
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    part = Window.partitionBy(*keys)  # a histogram has few rows
     up = part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value).cast("double")
     df = counts.withColumn("_w", F.sum(n).over(up)).withColumn("_m", F.sum(v * F.col(n)).over(up)).withColumn("_all", F.sum(n).over(part)).withColumn("_mass", F.sum(v * F.col(n)).over(part))
