@@ -567,4 +567,4 @@ def linked_tracks(t):
 
 __all__ = ["ORACLE", "QUERIES"]
 
-from trackloom.plans import route_queries, table_queries  # noqa: E402, F401  register more queries
+from trackloom.plans import file_queries, route_queries, table_queries  # noqa: E402, F401  register more queries
