@@ -140,12 +140,29 @@ def test_masks_of_buffers(spark):
 
 def test_turns_and_sides_of_the_older_route(spark):
     track = Track(("k",), ("i",))
-    flags = [(0, i, i in (3, 4), i in (6, 7, 8), i == 10) for i in range(14)] + [(1, i, i in (3, 4), i in (9, 10), i == 12) for i in range(14)]
-    df = spark.createDataFrame(flags, "k int, i int, a boolean, m boolean, z boolean")
-    assert [tuple(r) for r in legacy.paired_turns(df, track, "i", "a", "m", "z", 3).collect()] == [(0, 4, 10)]
-    bends = spark.createDataFrame([(0, 0, 5.0, 50.0, 10.0), (0, 1, 40.0, 70.0, 40.0), (0, 2, 5.0, 20.0, 5.0)], "k int, i int, h double, m double, t double")
-    got = legacy.turn_blocks(bends, track, "h", "m", "t", [(15, 45), (60, 65)]).orderBy("i").collect()
-    assert [r.turn_condition for r in got] == [1, 2, 0]
+    n, fps = 120, 8.0
+    head, body, tail, way = (np.zeros(n) for _ in range(4))
+
+    def turn(at, size, sign):
+        """A bend that runs from head to tail."""
+        head[at : at + 4], body[at + 4 : at + 9], tail[at + 9 : at + 12] = sign * size, sign * size, sign * size
+
+    turn(10, 25.0, 1)
+    turn(40, 25.0, -1)
+    turn(70, 17.0, 1)
+    body[46] = np.nan
+    way[95:] = 170.0
+    way[:95] += np.linspace(0, 1, 95)
+    rows = [(0, i, *(None if np.isnan(v[i]) else float(v[i]) for v in (head, body, tail, way))) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, head_bend double, body_bend double, tail_bend double, direction_tail2head double")
+    out = legacy.turn_flags(df, track, fps).orderBy("i").collect()
+    omega, upsilon = np.array([r.omega_frames for r in out]), np.array([r.upsilon_frames for r in out])
+    assert (omega[10:22] == 1).all() and (omega[40:52] == -1).all() and not omega[22:40].any()
+    assert (upsilon[70:82] == 1).all() and not upsilon[:70].any() and not omega[70:82].any()
+    # A sudden swing of head and tail is a turn too; its side is that of the body's mean bend.
+    assert (omega[94:97] == -1).all() and set(np.flatnonzero(omega)) <= {*range(10, 22), *range(40, 52), *range(90, 101)}
+    lists = legacy.signed_turns(legacy.turn_flags(df, track, fps).withColumn("d", F.lit(1.0)), track, "omega_frames", "i", fps, "d").orderBy("start").collect()
+    assert [(r.start, r.end, r.is_ventral) for r in lists[:2]] == [(10, 21, False), (40, 51, True)]
     assert [legacy.frames_per_sample(f, s) for f, s in ((25, 0.5), (30, 0.25), (10, 0.5), (1, 0.1))] == [13, 7, 5, 1]
     up = [{"x": float(i), "y": 1.0} for i in range(5)]
     low = [{"x": float(i), "y": -1.0} for i in range(5)]

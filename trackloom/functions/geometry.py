@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 PARTS = {
     "head": (0, 8), "neck": (8, 16), "midbody": (16, 33), "hips": (33, 41), "tail": (41, 49),
     "head_tip": (0, 3), "head_base": (5, 8), "tail_base": (41, 44), "tail_tip": (46, 49), "all": (0, 49), "body": (8, 41),
+    "old_midbody_velocity": (20, 29),
 }
 
 

@@ -534,3 +534,100 @@ def link_frame(prev: tuple[np.ndarray, ...], cur: tuple[np.ndarray, ...], max_di
     good = (near <= max_distance) & (np.bincount(pick, minlength=m)[pick] == 1)
     held = (least <= max_distance) & (np.bincount(back, minlength=n)[back] == 1)
     return np.where(good & held[pick], pick, -1)
+
+
+def fill_short(x: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Gaps of at most ``most`` values (all, if None) between two values filled linearly; ends stay missing."""
+    x = np.asarray(x, float).copy()
+    bad = np.isnan(x)
+    good = np.flatnonzero(~bad)
+    if not len(good) or not bad.any():
+        return x
+    edge = np.diff(np.concatenate(([0], bad.astype(int), [0])))
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        if a > 0 and b < len(x) and (most is None or b - a <= most):
+            x[a:b] = np.interp(np.arange(a, b), good, x[good])
+    return x
+
+
+#: Fixed values, in degrees: head, most of the tail, at a turn's start; most of the head, tail, at its end; the middle.
+TURN_ANGLES = {"omega": (20, 30, 40, 20, 20), "upsilon": (15, 30, 30, 15, 15)}
+
+
+def _turn_stretches(head: np.ndarray, body: np.ndarray, tail: np.ndarray, far: np.ndarray, moving: np.ndarray, limits: tuple) -> list[tuple[int, int]]:
+    """Stretches [first, last] in which the middle bends between a bent head and a bent tail, all to the positive side."""
+    start_head, start_tail, end_head, end_tail, middle = limits
+    with np.errstate(invalid="ignore"):
+        start = (head > start_head) & (np.abs(tail) < start_tail)
+        mid = (body > middle) | far
+        end = (tail > end_tail) & (np.abs(head) < end_head)
+    rises = lambda f: np.flatnonzero(f[1:] & ~f[:-1]) + 1
+    falls = lambda f: np.flatnonzero(f[:-1] & ~f[1:])
+    starts, ends, mid_ends, out = rises(start), falls(end), falls(mid), []
+    for a in rises(mid):
+        later = mid_ends[mid_ends > a]
+        if not len(later):
+            continue
+        b = later[0]
+        before, after = starts[starts < a], ends[ends > b]
+        if not moving[a : b + 1].all() and start[a - 1] and end[b + 1] and len(before) and len(after):
+            out.append((int(before[-1]), int(after[0])))
+    return out
+
+
+def head_tail_swings(direction: np.ndarray, fps: float) -> np.ndarray:
+    """Frames around which the direction from tail to head (degrees) changes by over 3 degrees a frame, over half a second.
+
+    Directions are unwrapped over gaps of up to half a second, and gaps of up to 120 frames are filled.
+    """
+    x = np.asarray(direction, float).copy()
+    good = np.flatnonzero(~np.isnan(x))
+    n, half = len(x), round(fps / 4)
+    if len(good) > 1:
+        step = np.diff(x[good])
+        step[np.diff(good) - 1 > round(fps / 2)] = np.nan
+        with np.errstate(invalid="ignore"):
+            turns = np.cumsum((step < -180).astype(int) - (step > 180).astype(int))
+        x[good[1:]] += 360.0 * turns
+    x = fill_short(x, 120)
+    i = np.arange(n)
+    inside = (i - half > 1) & (i + half < n)
+    out = np.zeros(n, bool)
+    with np.errstate(invalid="ignore"):
+        out[inside] = np.abs(x[i[inside] + half] - x[i[inside] - half]) / max(1, 2 * half) > 3
+    return out
+
+
+def signed_runs(flag: np.ndarray, angle: np.ndarray, least: int) -> np.ndarray:
+    """1 or -1 on runs of at least ``least`` rows, by the sign of the mean angle in them; 0 elsewhere."""
+    out = np.zeros(len(flag), np.int64)
+    edge = np.diff(np.concatenate(([0], np.asarray(flag).astype(int), [0])))
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        if b - a >= max(1, least):
+            out[a:b] = 1 if np.mean(angle[a:b]) > 0 else -1
+    return out
+
+
+def turn_signs(head: np.ndarray, body: np.ndarray, tail: np.ndarray, direction: np.ndarray, moving: np.ndarray, fps: float, gap: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(omega, upsilon) sign of each frame, from mean bends of the three thirds in degrees.
+
+    Omegas come from the order of bends, or from swings of head and tail, and last a quarter of a second; upsilons from
+    smaller bends where no omega is.
+    """
+    n = len(body)
+    if min((~np.isnan(np.asarray(v, float))).sum() for v in (head, body, tail)) < 2:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    far = np.isnan(fill_short(body, gap + 1))
+    h, b, t = (fill_short(v) for v in (head, body, tail))
+    moving = np.asarray(moving, bool)
+    omega, upsilon = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for sign in (1, -1):
+        for a, z in _turn_stretches(sign * h, sign * b, sign * t, far, moving, TURN_ANGLES["omega"]):
+            omega[a : z + 1] = sign
+    for sign in (1, -1):
+        for a, z in _turn_stretches(sign * h, sign * b, sign * t, far, moving, TURN_ANGLES["upsilon"]):
+            if not omega[a : z + 1].any():
+                upsilon[a : z + 1] = sign
+    least = round(fps / 4)
+    swings = signed_runs(head_tail_swings(direction, fps), b, least)
+    return signed_runs((omega != 0) | (swings != 0), b, least), upsilon

@@ -238,17 +238,6 @@ def coils(df: DataFrame, track: Track, code: str, fps: float, codes: Sequence[in
     return out.where((F.col("end") - F.col("start") + 1) / fps >= seconds).select(*track.keys, "start", "end")
 
 
-def omega_turns(df: DataFrame, track: Track, angle: str, fps: float, bend: float = 60.0, seconds: float = 2.0) -> DataFrame:
-    """(keys, start, end, is_ventral): stretches where the body's bend passes ``bend`` degrees.
-
-    The sign of the mean bend tells the side.  Simplified: the path is not looked at, so that a lasting bend without a
-    reversal counts too, and upsilon turns are neither found nor excluded (SURVEY EVT-09, EVT-10).
-    """
-    runs = find_events(df.withColumn("_abs", F.abs(angle)), track, "_abs", track.order[-1], Finder(low=bend, max_gap=round(fps / 4), min_rows=max(1, round(fps * seconds / 4))))
-    side = runs.join(df.select(*track.keys, F.col(track.order[-1]).alias("_at"), angle), list(track.keys)).where(F.col("_at").between(F.col("start"), F.col("end")))
-    return side.groupBy(*track.keys, "start", "end").agg((F.avg(angle) > 0).alias("is_ventral"))
-
-
 def merged_in_order(lists: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """Event lists as one, with their origin and place by start."""
     out = None

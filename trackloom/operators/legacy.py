@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trackloom.functions import geometry as G
+from trackloom.functions import kernels
 from trackloom.functions.timeseries import Track, fir, wrap_degrees
 from trackloom.operators.events import Finder, event_list, find_events, merged_in_order
 from trackloom.operators.islands import stretch_extremes
@@ -180,22 +182,24 @@ def direction_of(angle: Column) -> Column:
     return wrap_degrees(angle)
 
 
-def turn_blocks(df: DataFrame, track: Track, head: str, middle: str, tail: str, limits: Sequence[tuple[float, float]]) -> DataFrame:
-    """Adds turn_condition: the first pair of thresholds (ends, middle) in degrees, from 1, that a frame's bends pass with
-    the middle bent the one way and an end the other or not at all; 0 if none."""
-    out = F.lit(0)
-    for k, (ends, mid) in reversed(list(enumerate(limits, 1))):
-        hit = (F.abs(middle) > mid) & ((F.abs(head) < ends) | (F.abs(tail) < ends))
-        out = F.when(hit, k).otherwise(out)
-    return df.withColumn("turn_condition", out)
-
-
-def paired_turns(df: DataFrame, track: Track, at: str, start: str, middle: str, end: str, max_gap: int) -> DataFrame:
-    """(keys, start, end): turns that begin with the last row of a start run, pass a middle run and stop at the first row
-    of an end run, each within ``max_gap`` rows of the run before."""
-    runs = {k: find_events(df.withColumn("_f", F.col(c).cast("int")), track, "_f", at, Finder(low=1)).withColumn("kind", F.lit(k)) for k, c in (("a", start), ("m", middle), ("z", end))}
-    every = runs["a"].unionByName(runs["m"]).unionByName(runs["z"])
-    w = Window.partitionBy(*track.keys).orderBy("start", "kind")
-    every = every.withColumns({"_k0": F.lag("kind").over(w), "_e0": F.lag("end").over(w), "_k1": F.lead("kind").over(w), "_s1": F.lead("start").over(w)})
-    near = (F.col("start") - F.col("_e0") <= max_gap + 1) & (F.col("_s1") - F.col("end") <= max_gap + 1)
-    return every.where((F.col("kind") == "m") & (F.col("_k0") == "a") & (F.col("_k1") == "z") & near).select(*track.keys, F.col("_e0").alias("start"), F.col("_s1").alias("end"))
+def turn_flags(df: DataFrame, track: Track, fps: float, head: str = "head_bend", body: str = "body_bend", tail: str = "tail_bend", direction: str = "direction_tail2head", moving: str | None = None) -> DataFrame:
+    """Adds omega_frames and upsilon_frames, 1 or -1 in turns and 0 elsewhere, by :func:`kernels.turn_signs`.
+
+    :func:`signed_turns` makes event lists of them.
+    """
+    cols = [head, body, tail, direction, *([moving] if moving else [])]
+
+    def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        still = np.zeros(len(pdf), bool) if moving is None else pdf[moving].fillna(False).to_numpy(bool)
+        omega, upsilon = kernels.turn_signs(*(pdf[c].to_numpy(float) for c in cols[:4]), still, fps)
+        return {"omega_frames": omega, "upsilon_frames": upsilon}
+
+    return kernels.with_tracks(df, track.keys, track.order, cols, run, {"omega_frames": "bigint", "upsilon_frames": "bigint"})
+
+
+def third_bends(pose: Column) -> dict[str, Column]:
+    """Mean bend angles in degrees of the head, middle and tail third of a pose."""
+    bends = G.bend_angles(pose)
+    known = lambda parts: F.filter(F.concat(*(G.part(bends, p) for p in parts)), lambda x: x.isNotNull())
+    mean = lambda a: F.when(F.size(a) > 0, G.mean(a))
+    return {name: mean(known(SUBSETS[third])) for name, third in (("head_bend", "first_third"), ("body_bend", "second_third"), ("tail_bend", "last_third"))}
