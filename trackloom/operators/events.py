@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from trackloom.functions import kernels
 from trackloom.functions.geometry import bend_angles
 from trackloom.functions.timeseries import Track, fill_both, nearest_valid, rolling_max, rolling_mean, rolling_min, wrap_degrees
-from trackloom.operators.islands import drop_near_runs, drop_short_runs, mask_runs, merge_runs, with_run_id
+from trackloom.operators.islands import drop_near_runs, drop_short_runs, merge_runs, with_run_id
 
 #: What the codes of the event columns mean.
 MOTION = {-1: "backward", 0: "paused", 1: "forward"}
@@ -104,15 +104,23 @@ def behaviour(df: DataFrame, track: Track, fps: float) -> DataFrame:
 
 
 def durations(df: DataFrame, track: Track, kinds: dict[str, Sequence[int]], min_rows: int = 0) -> DataFrame:
-    """(keys, event_type, region, start, end, duration, edge_flag) of all runs of every label of every event column."""
-    out: DataFrame | None = None
-    for kind, values in kinds.items():
-        for v in values:
-            runs = mask_runs(df, F.col(kind) == v, track, min_rows).withColumn("event_type", F.lit(kind)).withColumn("region", F.lit(int(v)))
-            out = runs if out is None else out.unionByName(runs)
-    if out is None:
+    """(keys, event_type, region, start, end, duration, edge_flag) of all runs of every label of every event column.
+
+    Bounds and durations are those of :func:`islands.mask_runs`.  All event columns are unfolded and take one shuffle.
+    """
+    if not kinds:
         raise ValueError("no event column")
-    return out
+    cells = F.explode(F.array(*(F.struct(F.lit(kind).alias("event_type"), F.col(kind).cast("int").alias("region")) for kind in kinds))).alias("_c")
+    inside = Track((*track.keys, "event_type"), track.order)
+    rows = df.select(*track.keys, *track.order, cells).select(*track.keys, *track.order, "_c.*")
+    rows = rows.withColumns({"_at": F.row_number().over(inside.window()) - 1, "_n": F.count(F.lit(1)).over(inside.whole())})
+    runs = with_run_id(rows, F.col("region"), inside).groupBy(*inside.keys, "run").agg(F.first("region").alias("region"), F.min("_at").alias("_first"), F.max("_at").alias("end"), F.first("_n").alias("_n"))
+    wanted = F.lit(False)
+    for kind, values in kinds.items():
+        wanted |= (F.col("event_type") == kind) & F.col("region").isin([int(v) for v in values])
+    runs = runs.where(wanted).withColumn("start", F.greatest(F.col("_first") - 1, F.lit(0))).withColumn("duration", F.col("end") - F.col("start"))
+    edge = F.when(F.col("end") >= F.col("_n") - 1, 1).when(F.col("start") <= 0, -1).otherwise(0)
+    return runs.where(F.col("duration") > min_rows).select(*track.keys, "start", "end", "duration", edge.alias("edge_flag"), "event_type", "region")
 
 
 @dataclass(frozen=True)
