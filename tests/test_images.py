@@ -104,6 +104,20 @@ def test_contours_and_shapes():
     assert images.trace_contour(two)[:, 0].min() == 20 and len(images.trace_contour(np.zeros((3, 3), bool))) == 0
 
 
+def test_food_contours(spark):
+    y, x = np.mgrid[:120, :140]
+    rng = np.random.default_rng(2)
+    radius = 35 + 4 * np.cos(3 * np.arctan2(y - 60, x - 70))
+    a = np.where(np.hypot(x - 70, y - 60) < radius, 90, 160) + rng.integers(-8, 9, (120, 140))
+    a[5:9, 5:9] = 60  # a small dark spot elsewhere
+    frames = spark.createDataFrame([(0, 120, 140, bytearray(a.astype(np.uint8).tobytes())), (1, 20, 20, bytearray(np.full(400, 99, np.uint8).tobytes()))], "file_id int, h int, w int, pixels binary")
+    out = images.food_contours(frames, scale=2.0).orderBy("file_id", "seq").collect()
+    assert {r.file_id for r in out} == {0} and len(out) > 100
+    p = np.array([(r.x, r.y) for r in out]) / 2 - [70, 60]
+    far = np.hypot(*p.T) - 35 - 4 * np.cos(3 * np.arctan2(p[:, 1], p[:, 0]))
+    assert np.abs(far).mean() < 1.5 and np.abs(far).max() < 4
+
+
 def test_poses_from_images(spark):
     rows = []
     for k in range(6):

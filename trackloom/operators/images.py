@@ -306,6 +306,53 @@ def blob_shapes(rois: DataFrame, keys: tuple[str, ...], threshold: int, dark: bo
     return rois.select(*keys, "h", "w", "pixels").mapInPandas(run, schema)
 
 
+def patch_contour(a: np.ndarray, bins: int = 180, blur: int = 9, smooth: int = 9, offset: int = 5, dark: bool = True) -> np.ndarray:
+    """The border (points x, y by angle) of the largest patch that is darker (lighter) than the image's median.
+
+    Of the border's points in each angle bin the one nearest to the circle of equal area stays; radii are averaged over
+    a circular window of bins that have any.
+    """
+    flat = box_mean(a, blur)
+    flat = flat if dark else -flat
+    level = np.median(flat)
+    if not (flat < level - offset).any():
+        return np.zeros((0, 2))
+    # Half way from the background to what stands out.
+    labels = label_components(flat < (level + np.median(flat[flat < level - offset])) / 2)
+    if not labels.any():
+        return np.zeros((0, 2))
+    sizes = np.bincount(labels.ravel())
+    sizes[0] = 0
+    mask = labels == sizes.argmax()
+    p = np.pad(mask, 1)
+    inner = p[1:-1, :-2] & p[1:-1, 2:] & p[:-2, 1:-1] & p[2:, 1:-1]
+    ys, xs = np.nonzero(mask)
+    centre, radius = np.array([xs.mean(), ys.mean()]), np.sqrt(mask.sum() / np.pi)
+    by, bx = np.nonzero(mask & ~inner)
+    away = np.hypot(bx - centre[0], by - centre[1]) - radius
+    place = np.rint(np.arctan2(by - centre[1], bx - centre[0]) / np.pi * bins).astype(int)
+    order = np.lexsort((np.abs(away), place))
+    first = np.concatenate(([True], np.diff(place[order]) > 0))
+    angle, away = place[order][first] * np.pi / bins, away[order][first]
+    half = min(smooth // 2, max(0, (len(away) - 1) // 2))
+    around = np.concatenate((away[-half:], away, away[:half])) if half else away
+    r = radius + np.convolve(around, np.ones(2 * half + 1) / (2 * half + 1), "valid")
+    return centre + np.column_stack((np.cos(angle), np.sin(angle))) * r[:, None]
+
+
+def food_contours(backgrounds: DataFrame, keys: tuple[str, ...] = ("file_id",), scale: float = 1.0, **how) -> DataFrame:
+    """(keys, seq, x, y): the patch's border in each background image, times ``scale``, as ``features.food_features`` takes it."""
+    kinds = {f.name: f.dataType.simpleString() for f in backgrounds.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                c = patch_contour(image(r["pixels"], r["h"], r["w"]), **how) * scale
+                yield pd.DataFrame({**{k: [r[k]] * len(c) for k in keys}, "seq": range(len(c)), "x": c[:, 0], "y": c[:, 1]})
+
+    return backgrounds.select(*keys, "h", "w", "pixels").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq int, x double, y double")
+
+
 # ---- from contours to poses -----------------------------------------------------------------------------------------
 
 
