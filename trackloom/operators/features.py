@@ -343,5 +343,10 @@ def smooth_track_positions(df: DataFrame, keys: Sequence[str], frame: str = "fra
     w = Window.partitionBy(*keys).orderBy(frame)
     dense = dense.withColumns({c: lerp(F.col(c), F.col(frame), w) for c in cols})
     half = window // 2
-    dense = dense.withColumns({c: G.median(F.collect_list(c).over(w.rowsBetween(-half, half))) for c in ("coord_x", "coord_y", "area")})
+    # Lists are columns of their own first, so that each is gathered and sorted once.
+    smoothed = ("coord_x", "coord_y", "area")
+    dense = dense.withColumns({f"_{c}": F.collect_list(c).over(w.rowsBetween(-half, half)) for c in smoothed})
+    dense = dense.withColumns({f"_{c}": F.array_sort(f"_{c}") for c in smoothed})
+    middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2 + 1).cast("int"))) / 2
+    dense = dense.withColumns({c: middle(F.col(f"_{c}")) for c in smoothed}).drop(*(f"_{c}" for c in smoothed))
     return dense.join(roi, list(keys))
