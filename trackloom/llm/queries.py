@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.llm.chat_format import format_reply_trees, masked_text, read_back
+from trackloom.llm.embedding_dedup import embedding_dedup
 from trackloom.llm.html_extract import extract_html
+from trackloom.llm.importance_resampling import resample
 from trackloom.llm.license_scan import known_licenses, license_scan
 from trackloom.llm.line_dedup import line_dedup
 from trackloom.llm.media_audio import audio_columns
 from trackloom.llm.mixing import mix_sources
 from trackloom.llm.ngram_join import ngram_join
 from trackloom.llm.packing import best_fit_packing
+from trackloom.llm.periodic_runs import periodic_runs
 from trackloom.llm.quality_classifier import classify, fit_classifier
 from trackloom.llm.quality_rules import fit_quality_trees, quality_rules
 
@@ -94,6 +97,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), repeat_tails=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -105,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_audio": op8_media_audio,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing": op10_mixing,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_resampling": op12_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -160,4 +178,38 @@ r AS (SELECT source, h, size, sum(size) OVER (PARTITION BY source ORDER BY h) -
 x AS (SELECT r.source, r.h, r.before + r.size / 2.0::DOUBLE <= b.budget AS more FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
 SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (b.epochs + CASE WHEN x.more THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h""",
+    "op11_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+      WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, v.vec_id = c.root AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.id = v.vec_id""",
+    "op12_resampling": r"""
+WITH RECURSIVE a AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+crc AS (SELECT i::BIGINT AS i, list_reduce(list_prepend(i::BIGINT, range(8)::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) t(i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc),
+dw AS (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM a UNION ALL SELECT w FROM b)),
+hx AS (SELECT word, hex(encode(word)) AS h, t FROM dw, tab),
+k AS (SELECT word, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda p: ('0x' || substr(h, p, 2))::BIGINT)),
+                       lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 10000 AS bucket FROM hx),
+f AS (SELECT doc_id, unnest(w) AS word FROM a),
+s AS (SELECT bucket, count(*)::BIGINT AS s FROM f JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::BIGINT AS t FROM (SELECT unnest(w) AS word FROM b) JOIN k USING (word) GROUP BY bucket),
+z AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::BIGINT AS s_all, coalesce((SELECT sum(t) FROM t), 0)::BIGINT AS t_all),
+gain AS (SELECT s.bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS g FROM s LEFT JOIN t USING (bucket), z),
+wt AS (SELECT doc_id, sum(g)::BIGINT AS g FROM f JOIN k USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+sc AS (SELECT a.doc_id, len(w)::BIGINT AS n_features, coalesce(floor(wt.g::DOUBLE / len(w)), 0)::BIGINT AS weight,
+              floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || a.doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS gumbel
+       FROM a LEFT JOIN wt USING (doc_id)),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY weight + gumbel DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT sc.doc_id, n_features, weight, weight + gumbel AS score, CASE WHEN rk.rank <= 10 * rk.n // 100 THEN rk.rank END AS rank
+FROM sc LEFT JOIN rk USING (doc_id)""",
 }
