@@ -126,4 +126,4 @@ def test_unit_rows_pads(spark):
     import pyarrow as pa
 
     rows, lengths = unit_rows(pa.array([[3.0, 4.0], [2.0]]), 3)
-    assert rows.tolist() == [[0.6000000000000001, 0.8, 0.0], [1.0, 0.0, 0.0]] and lengths.tolist() == [2, 1]
+    assert rows.tolist() == [[0.6, 0.8, 0.0], [1.0, 0.0, 0.0]] and lengths.tolist() == [2, 1]
