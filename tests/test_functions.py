@@ -16,6 +16,9 @@ def win():
     return Window.partitionBy("k").orderBy("i")
 
 
+TRACK = S.Track(("k",), ("i",))
+
+
 def column(spark, values, expr):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "k int, i int, x double")
     return [r[0] for r in df.withColumn("o", expr(F.col("x"))).orderBy("i").select("o").collect()]
@@ -32,9 +35,9 @@ def test_unwrap_equals_numpy(spark):
 def test_fills_and_rolling(spark):
     v = [None, 1.0, None, None, 4.0, None, 6.0, None]
     assert column(spark, v, lambda x: S.ffill(x, win())) == [None, 1, 1, 1, 4, 4, 6, 6]
-    assert column(spark, v, lambda x: S.fill_both(x, win())) == [1, 1, 1, 1, 4, 4, 6, 6]
-    assert column(spark, v, lambda x: S.lerp(x, F.col("i"), win())) == [1, 1, 2, 3, 4, 5, 6, 6]
-    assert column(spark, v, lambda x: S.lerp(x, F.col("i"), win(), max_gap=1, hold_edges=False)) == [None, 1, None, None, 4, 5, 6, None]
+    assert column(spark, v, lambda x: S.fill_both(x, TRACK)) == [1, 1, 1, 1, 4, 4, 6, 6]
+    assert column(spark, v, lambda x: S.lerp(x, F.col("i"), TRACK)) == [1, 1, 2, 3, 4, 5, 6, 6]
+    assert column(spark, v, lambda x: S.lerp(x, F.col("i"), TRACK, max_gap=1, hold_edges=False)) == [None, 1, None, None, 4, 5, 6, None]
     x = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
     assert column(spark, x, lambda c: S.rolling_mean(c, win(), 3)) == [None, 7 / 3, 14 / 3, 28 / 3, 56 / 3, None]
     assert column(spark, x, lambda c: S.central_difference(c, win(), 3, 1.5)) == [None, (8 - 1) / 2, (16 - 2) / 2, (32 - 4) / 2, None, None]

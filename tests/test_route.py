@@ -1,6 +1,7 @@
 """The feature route against straight-line numpy and pandas versions of its rules."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import kernels as K
+from trackloom.functions import timeseries
 from trackloom.functions.geometry import PARTS
 from trackloom.functions.timeseries import Track
 from trackloom.operators import events, features
@@ -251,3 +253,20 @@ def test_track_kernels_keep_rows_of_equal_order(spark):
     df = spark.createDataFrame([(0, 1, 5.0, "a"), (0, 1, 6.0, "b"), (0, 2, 7.0, "c"), (1, 1, None, "d")], "k int, i int, x double, s string")
     out = K.with_tracks(df, ("k",), ("i",), ["x"], lambda p: {"y": p["x"].to_numpy(float) * 2}, {"y": "double"})
     assert sorted(out.select("s", "y").collect(), key=lambda r: r.s) == [("a", 10.0), ("b", 12.0), ("c", 14.0), ("d", None)]
+
+
+def test_looking_ahead_takes_time_in_proportion_to_a_track(spark):
+    """Twice as many rows of one track take about twice the time, not four times, where values ahead are looked for."""
+
+    def seconds(rows):
+        df = spark.range(0, rows, 1, 4).select(F.lit(1).alias("file_id"), F.lit(1).alias("worm_index"), F.col("id").alias("timestamp"))
+        df = df.withColumns({"length": F.lit(1000.0), "speed": F.when(F.col("timestamp") % 7 != 0, 100 * F.sin(F.col("timestamp") / 500))})
+        out = events.motion_mode(df, Track(), 25.0)
+        out = out.withColumn("filled", timeseries.lerp(F.col("speed"), F.col("timestamp"), Track()))
+        began = time.time()
+        assert out.agg(F.count("motion_mode"), F.count("filled")).first()[1] == rows
+        return time.time() - began
+
+    seconds(2_000)
+    assert seconds(100_000) < 20
+    assert seconds(40_000) < 3 * seconds(20_000) + 2

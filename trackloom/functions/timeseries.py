@@ -1,7 +1,8 @@
 """Column expressions over ordered tracks: differences, fills, interpolation, rolling statistics, unwrapping, filters.
 
 Every function takes the window of a track (``Track.window``) and returns a column, so that many of them share one
-sort.  Missing values are NULL; NaN is turned into NULL at ingestion.
+sort; those that look ahead to the next value take the :class:`Track`, since they also sort it backwards.  Missing values
+are NULL; NaN is turned into NULL at ingestion.
 """
 
 from __future__ import annotations
@@ -27,6 +28,14 @@ class Track:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
+    def backwards(self) -> WindowSpec:
+        """The rows from last to first.
+
+        What lies ahead of a row is what this window has seen: Spark would read a frame that reaches to a track's end anew
+        for each row.
+        """
+        return Window.partitionBy(*self.keys).orderBy(*(F.col(c).desc() for c in self.order))
+
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.keys)
 
@@ -35,10 +44,6 @@ def _before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _after(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(0, Window.unboundedFollowing)
-
-
 def delta_frames(fps: float, seconds: float) -> int:
     """Frames in a time step, at least one; halves go to the even number."""
     return max(1, round(fps * seconds))
@@ -53,13 +58,13 @@ def ffill(x: Column, w: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(_before(w))
 
 
-def bfill(x: Column, w: WindowSpec) -> Column:
-    return F.first(x, ignorenulls=True).over(_after(w))
+def bfill(x: Column, track: Track) -> Column:
+    return F.last(x, ignorenulls=True).over(_before(track.backwards()))
 
 
-def fill_both(x: Column, w: WindowSpec) -> Column:
+def fill_both(x: Column, track: Track) -> Column:
     """Forward fill, then backward fill of what leads."""
-    return F.coalesce(ffill(x, w), bfill(x, w))
+    return F.coalesce(ffill(x, track.window()), bfill(x, track))
 
 
 def rolling_mean(x: Column, w: WindowSpec, size: int) -> Column:
@@ -88,14 +93,14 @@ def rolling_std(x: Column, w: WindowSpec, size: int, min_periods: int) -> Column
     return F.when(F.count(x).over(frame) >= max(2, min_periods), F.stddev_samp(x).over(frame))
 
 
-def lerp(x: Column, at: Column, w: WindowSpec, max_gap: int | None = None, hold_edges: bool = True) -> Column:
+def lerp(x: Column, at: Column, track: Track, max_gap: int | None = None, hold_edges: bool = True) -> Column:
     """Linear interpolation of NULLs by position ``at``.
 
     Ends keep the nearest value if ``hold_edges``.  With ``max_gap`` only runs of at most so many missing positions
     between two values are filled.
     """
     known = F.when(x.isNotNull(), F.struct(at.alias("t"), x.alias("v")))
-    a, b = F.last(known, ignorenulls=True).over(_before(w)), F.first(known, ignorenulls=True).over(_after(w))
+    a, b = ffill(known, track.window()), bfill(known, track)
     inner = a["v"] + (b["v"] - a["v"]) * (at - a["t"]) / (b["t"] - a["t"])
     inside = a.isNotNull() & b.isNotNull()
     if max_gap is not None:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import kernels
 from trackloom.functions.geometry import bend_angles
-from trackloom.functions.timeseries import Track, fill_both, nearest_valid, rolling_max, rolling_mean, rolling_min, wrap_degrees
+from trackloom.functions.timeseries import Track, bfill, ffill, fill_both, nearest_valid, rolling_max, rolling_mean, rolling_min, wrap_degrees
 from trackloom.operators.islands import drop_near_runs, drop_short_runs, merge_runs, with_run_id
 
 #: What the codes of the event columns mean.
@@ -28,11 +28,11 @@ def flag_regions(df: DataFrame, track: Track, x: str, scale: str, low: float, hi
     Values are filled and averaged over a centred full window.  Runs of small values (under ``low``) that last over
     ``min_rows`` are cuts.  Between two cuts, from the last row of the one to the row before the other, a stretch takes
     its only extreme label (beyond ``high``) throughout; with both labels its zeros are filled forward, then backward;
-    with none it stays 0.  Window functions over one sort of each track do all of it.
+    with none it stays 0.  Window functions over the rows of each track, forwards and backwards, do all of it.
     """
     w, whole = track.window(), track.whole()
     by = F.lit(1.0) if absolute else F.median(scale).over(whole)
-    df = df.withColumns({"_by": by, "_fill": fill_both(F.col(x), w)})
+    df = df.withColumns({"_by": by, "_fill": fill_both(F.col(x), track)})
     df = df.withColumns({"_mean": rolling_mean(F.col("_fill"), w, smooth), "_at": F.row_number().over(w) - 1})
     small = F.coalesce((F.col("_mean") > -low * F.col("_by")) & (F.col("_mean") < low * F.col("_by")), F.lit(False))
     extreme = F.when(F.col("_mean") < -high * F.col("_by"), -1).when(F.col("_mean") > high * F.col("_by"), 1)
@@ -43,10 +43,8 @@ def flag_regions(df: DataFrame, track: Track, x: str, scale: str, low: float, hi
     ends = F.col("_cut") & (F.col("_at") == F.col("_last"))
     df = df.withColumn("_stretch", F.sum(ends.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(*track.keys, "_stretch")
-    ordered = inside.orderBy(*track.order)
-    forward = F.last("_extreme", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    backward = F.first("_extreme", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumns({"_least": F.min("_extreme").over(inside), "_most": F.max("_extreme").over(inside), "_near": F.coalesce(forward, backward)})
+    near = fill_both(F.col("_extreme"), Track((*track.keys, "_stretch"), track.order))
+    df = df.withColumns({"_least": F.min("_extreme").over(inside), "_most": F.max("_extreme").over(inside), "_near": near})
     flag = F.when((F.col("_cut") & ~ends) | F.col("_least").isNull(), 0).when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(F.col("_near"))
     return df.withColumn(out, flag.cast("int")).drop("_by", "_fill", "_mean", "_at", "_small", "_extreme", "_run", "_first", "_last", "_cut", "_stretch", "_least", "_most", "_near")
 
@@ -140,9 +138,7 @@ def find_events(df: DataFrame, track: Track, x: str, at: str, how: Finder, dista
 
     Missing values before the first or after the last value belong to the event that they touch.
     """
-    w = track.window()
-    before = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before, after = ffill(F.col(x), track.window()), bfill(F.col(x), track)
     edge = F.when(F.col(x).isNull() & before.isNull(), after).when(F.col(x).isNull() & after.isNull(), before).otherwise(F.col(x))
     df = df.withColumn("_x", edge)
     on = df.withColumn("_on", F.coalesce(_within(F.col("_x"), how), F.lit(False)))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import geometry as G
 from trackloom.functions import kernels
-from trackloom.functions.timeseries import Track, central_difference, delta_frames, lerp
+from trackloom.functions.timeseries import Track, bfill, central_difference, delta_frames, ffill, lerp
 from trackloom.operators.events import behaviour
 from trackloom.operators.joins import dense_fill, in_polygon, point_in_rectangle, small
 from trackloom.operators.selection import pad_columns
@@ -97,7 +97,7 @@ def velocities(df: DataFrame, track: Track, fps: float, seconds: float = 1 / 3)
     All rows of a track meet in one sort, whose windows carry structs of all parts.
     """
     w, delta, at = track.window(), delta_frames(fps, seconds), F.col(track.order[-1])
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
     ahead, back, step = -(-delta // 2), delta // 2, delta / fps
     known, parts = F.col("skeleton").isNotNull(), list(RELATIVE_TO)
 
@@ -107,7 +107,7 @@ def velocities(df: DataFrame, track: Track, fps: float, seconds: float = 1 / 3)
         return F.struct(c["x"].alias("x"), c["y"].alias("y"), v["x"].alias("vx"), v["y"].alias("vy")).alias(name)
 
     df = df.withColumn("_p", F.when(known, F.struct(at.alias("t"), *map(measured, parts))))
-    df = df.withColumns({"_a": F.last("_p", ignorenulls=True).over(before), "_b": F.first("_p", ignorenulls=True).over(after), "_many": F.count("_p").over(track.whole()) > 2})
+    df = df.withColumns({"_a": ffill(F.col("_p"), w), "_b": bfill(F.col("_p"), track), "_many": F.count("_p").over(track.whole()) > 2})
     share = F.try_divide(at - F.col("_a.t"), F.col("_b.t") - F.col("_a.t"))
 
     def filled(name: str, field: str) -> Column:
@@ -341,7 +341,7 @@ def smooth_track_positions(df: DataFrame, keys: Sequence[str], frame: str = "fra
     roi = df.groupBy(*keys).agg((F.max(F.greatest("box_length", "box_width")) + 10).alias("roi_size"))
     dense = dense_fill(df.select(*keys, frame, *cols), keys, frame)
     w = Window.partitionBy(*keys).orderBy(frame)
-    dense = dense.withColumns({c: lerp(F.col(c), F.col(frame), w) for c in cols})
+    dense = dense.withColumns({c: lerp(F.col(c), F.col(frame), Track(tuple(keys), (frame,))) for c in cols})
     half = window // 2
     # Lists are columns of their own first, so that each is gathered and sorted once.
     smoothed = ("coord_x", "coord_y", "area")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.operators.islands import with_run_id
-from trackloom.functions.timeseries import Track
+from trackloom.functions.timeseries import Track, fill_both
 
 QUANTILES = {"10th": 0.1, "50th": 0.5, "90th": 0.9}
 
@@ -101,11 +101,9 @@ def grid_coverage(df: DataFrame, keys: Sequence[str], x: str, y: str, cell: floa
     A cell is the half-even round of (coordinate - group mean) / ``cell``; gaps are filled inside a track.  Each cell
     counts as ``area`` (by default its own); ``cell`` and ``area`` may be columns that are constant in a group.
     """
-    w = track.window()
-    fill = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     mean = Window.partitionBy(*keys)
     cell = cell if isinstance(cell, Column) else F.lit(float(cell))
-    df = df.withColumn("_x", fill(F.col(x))).withColumn("_y", fill(F.col(y))).withColumns({"_cell": cell, "_area": cell * cell if area is None else area})
+    df = df.withColumn("_x", fill_both(F.col(x), track)).withColumn("_y", fill_both(F.col(y), track)).withColumns({"_cell": cell, "_area": cell * cell if area is None else area})
     df = df.withColumn("_cx", F.rint((F.col("_x") - F.avg(x).over(mean)) / F.col("_cell")).cast("bigint")).withColumn("_cy", F.rint((F.col("_y") - F.avg(y).over(mean)) / F.col("_cell")).cast("bigint"))
     df = df.where("_cx is not null and _cy is not null")
     visits = df.groupBy(*keys, "_cx", "_cy").agg(F.count("*").alias("_n"), F.first("_area").alias("_area"))
@@ -212,7 +210,7 @@ def q_values(df: DataFrame, p: str, pi0: float | str = 1.0, keys: Sequence[str]
     df = df.withColumn("_n", F.count(p).over(part)).withColumn("_rank", F.sum(F.lit(1)).over(part.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)))
     share = F.col(pi0) if isinstance(pi0, str) else F.lit(pi0)
     q = F.least(share * F.col(p) * F.col("_n") / F.col("_rank"), F.lit(1.0))
-    return df.withColumn("_q", q).withColumn("q_value", F.min("_q").over(part.orderBy(p).rangeBetween(0, Window.unboundedFollowing))).drop("_n", "_rank", "_q")
+    return df.withColumn("_q", q).withColumn("q_value", F.min("_q").over(part.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0))).drop("_n", "_rank", "_q")
 
 
 def null_share(df: DataFrame, p: str, keys: Sequence[str] = (), cut: float = 0.5) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions import kernels
-from trackloom.functions.timeseries import Track, ffill, rolling_std, unwrap
+from trackloom.functions.timeseries import Track, fill_both, rolling_std, unwrap
 from trackloom.operators.islands import sessions
 from trackloom.operators.joins import gap_links, nearest_links
 from trackloom.sources.export import shared_folder
@@ -100,9 +100,7 @@ def orient_by_movement(df: DataFrame, track: Track, head: str, tail: str, at: st
     less = F.when(F.col("_hs").isNotNull() & F.col("_ts").isNotNull(), (F.col("_hs") < F.col("_ts")).cast("double"))
     vote = F.when(F.count(less).over(block) >= min_rows, F.avg(less).over(block) > 0.5)
     df = df.withColumn("_vote", vote)
-    forward = ffill(F.col("_vote"), w)
-    back = F.first("_vote", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn("is_switched", F.coalesce(forward, back, F.lit(False))).drop("_h", "_t", "_hs", "_ts", "_block", "_vote")
+    return df.withColumn("is_switched", F.coalesce(fill_both(F.col("_vote"), track), F.lit(False))).drop("_h", "_t", "_hs", "_ts", "_block", "_vote")
 
 
 def flip_poses(df: DataFrame, flag: str = "is_switched") -> DataFrame:

@@ -161,7 +161,7 @@ def ffill(t):
 @query(f"WITH {FRAMES} SELECT event_id, first_value(gappy IGNORE NULLS) OVER ({BY_EVENT} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled FROM f")
 def bfill(t):
     """WIN-04."""
-    return _frames(t).select("event_id", S.bfill(F.col("gappy"), EVENTS.window()).alias("filled"))
+    return _frames(t).select("event_id", S.bfill(F.col("gappy"), EVENTS).alias("filled"))
 
 
 _LERP = f"""WITH {FRAMES}, k AS (SELECT *,
@@ -174,15 +174,13 @@ _LERP = f"""WITH {FRAMES}, k AS (SELECT *,
 @query(_LERP + " SELECT event_id, round(CASE WHEN gappy IS NOT NULL THEN gappy WHEN t0 IS NULL OR t1 IS NULL THEN coalesce(v0, v1) ELSE v0 + (v1 - v0) * (frame - t0) / (t1 - t0) END, 6) AS filled FROM k")
 def lerp_gaps(t):
     """WIN-09."""
-    w = Window.partitionBy("user_id").orderBy("frame")
-    return _frames(t).select("event_id", _r(S.lerp(F.col("gappy"), F.col("frame"), w)).alias("filled"))
+    return _frames(t).select("event_id", _r(S.lerp(F.col("gappy"), F.col("frame"), EVENTS)).alias("filled"))
 
 
 @query(_LERP + " SELECT event_id, round(CASE WHEN gappy IS NOT NULL THEN gappy WHEN t1 - t0 - 1 <= 1 THEN v0 + (v1 - v0) * (frame - t0) / (t1 - t0) END, 6) AS filled FROM k")
 def lerp_short_gaps(t):
     """WIN-10, WIN-11."""
-    w = Window.partitionBy("user_id").orderBy("frame")
-    return _frames(t).select("event_id", _r(S.lerp(F.col("gappy"), F.col("frame"), w, max_gap=1, hold_edges=False)).alias("filled"))
+    return _frames(t).select("event_id", _r(S.lerp(F.col("gappy"), F.col("frame"), EVENTS, max_gap=1, hold_edges=False)).alias("filled"))
 
 
 @query(f"""WITH a AS (SELECT event_id, user_id, ts, value / 16 - 3 AS x FROM events),
