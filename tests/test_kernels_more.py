@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.functions import kernels as K
+from trackloom.functions.bodies import skeletons_from_sides
 from trackloom.functions.timeseries import Track
 from trackloom.operators import tracking
 
@@ -15,7 +16,7 @@ def test_gradients_and_crossings():
 
 def test_skeletons_and_straightening():
     left, right = [(x, 2.0) for x in range(11)], [(x, -2.0) for x in range(11)]
-    mid, wide = K.skeleton_from_sides(np.array(left), np.array(right), 5)
+    mid, wide = (x[0] for x in skeletons_from_sides(np.array([left], float), np.array([right], float), 5))
     assert mid[:, 0].tolist() == [0, 2.5, 5, 7.5, 10] and (wide == 4).all() and (mid[:, 1] == 0).all()
     image = np.tile(np.arange(20.0)[:, None], (1, 30))
     flat = K.straighten(image, np.column_stack((np.arange(5, 25.0), np.full(20, 10.0))), 4, 9)

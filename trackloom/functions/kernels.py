@@ -376,12 +376,6 @@ def zero_crossings(x: np.ndarray, apart: int = 1) -> tuple[np.ndarray, np.ndarra
     return np.where(a >= 0, padded[a], -1), np.where(b < len(at), padded[np.minimum(b, len(at))], -1)
 
 
-def skeleton_from_sides(left: np.ndarray, right: np.ndarray, n: int = 49) -> tuple[np.ndarray, np.ndarray]:
-    """Middle line and widths of two contour sides from head to tail, both resampled to ``n`` points."""
-    a, b = resample_curve(left, n), resample_curve(right, n)
-    return (a + b) / 2, np.hypot(*(a - b).T)
-
-
 def straighten(image: np.ndarray, skeleton: np.ndarray, half_width: float, across: int = 15) -> np.ndarray:
     """Intensities along normals of a skeleton (points, across), bilinear, 0 outside of the image."""
     step = np.gradient(np.asarray(skeleton, float), axis=0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import geometry as G
 from trackloom.functions import kernels
+from trackloom.functions.bodies import skeletons_from_sides
 from trackloom.functions.timeseries import Track, bfill, central_difference, delta_frames, ffill, lerp
 from trackloom.operators.events import behaviour
 from trackloom.operators.joins import dense_fill, in_polygon, point_in_rectangle, small
@@ -37,6 +38,26 @@ def morphology(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
+def skeletons(df: DataFrame, n: int = 49) -> DataFrame:
+    """Adds skeleton and widths, from the contour sides ventral and dorsal (head to tail); NULL without both.
+
+    Batches of poses are worked on as arrays (``bodies.skeletons_from_sides``).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines, widths = [None] * len(pdf), [None] * len(pdf)
+            good = np.flatnonzero([all(s is not None and len(s) > 2 for s in sides) for sides in zip(pdf["ventral"], pdf["dorsal"], strict=True)])
+            if len(good):
+                sides = ([np.array([(p["x"], p["y"]) for p in pdf[c].iloc[i]], float) for i in good] for c in ("ventral", "dorsal"))
+                for i, line, width in zip(good, *skeletons_from_sides(*sides, n), strict=True):
+                    lines[i], widths[i] = [{"x": float(x), "y": float(y)} for x, y in line], width.tolist()
+            yield pdf.assign(skeleton=lines, widths=widths)
+
+    schema = df.drop("skeleton", "widths").withColumns({"skeleton": F.lit(None).cast("array<struct<x:double,y:double>>"), "widths": F.lit(None).cast("array<double>")}).schema
+    return df.drop("skeleton", "widths").mapInPandas(run, schema)
+
+
 def posture(df: DataFrame, basis: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """head_tail_distance, quirkiness, axes, and projections on a posture basis (cosines unless given)."""
     basis = basis or G.cosine_basis(48, 7)

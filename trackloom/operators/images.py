@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.functions.kernels import convex_hull, min_rectangle, resample_curve, skeleton_from_sides
+from trackloom.functions.bodies import body_pose
+from trackloom.functions.kernels import convex_hull, min_rectangle
+from trackloom.functions.timeseries import Track
+from trackloom.operators.tracking import consistent_flips, flip_poses
 
 DETECTIONS = "file_id int, frame_number int, blob int, coord_x double, coord_y double, area double, box_length double, box_width double, angle double, bounding_box_xmin int, bounding_box_xmax int, bounding_box_ymin int, bounding_box_ymax int, intensity_mean double"
 
@@ -223,30 +226,32 @@ def refined_background(masked: DataFrame, full: DataFrame, dark: bool = True) ->
 # ---- contours -------------------------------------------------------------------------------------------------------
 
 
+#: The eight neighbours (y, x), clockwise from the right.
+_AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
 def trace_contour(mask: np.ndarray) -> np.ndarray:
-    """The outer border (points x, y) of the largest component of a mask, walked from its topmost pixel."""
+    """The outer border (points x, y) of the largest component of a mask, walked from its topmost pixel.
+
+    A pixel where two parts of a body meet is passed once for each part.  So the walk ends only when it is back at its
+    start and is about to take its first step again.
+    """
     labels = label_components(mask)
     if not labels.any():
         return np.zeros((0, 2))
     sizes = np.bincount(labels.ravel())
     sizes[0] = 0
     inside = np.pad(labels == sizes.argmax(), 1)
-    ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise from the right, as (y, x)
-    start = tuple(int(v) for v in np.argwhere(inside)[0])
-    at, came, out = start, 6, [start]
-    for _ in range(4 * inside.size):
-        for k in range(1, 9):
-            d = (came + k) % 8
-            nxt = (at[0] + ring[d][0], at[1] + ring[d][1])
-            if inside[nxt]:
-                came = (d + 4) % 8
-                at = nxt
-                break
-        else:
-            break
-        if at == start:
+    at, came, out, first = tuple(int(v) for v in np.argwhere(inside)[0]), 6, [], None
+    while True:
+        step = next((d for d in ((came + k) % 8 for k in range(1, 9)) if inside[at[0] + _AROUND[d][0], at[1] + _AROUND[d][1]]), None)
+        if (at, step) == first:
             break
         out.append(at)
+        if step is None:
+            break
+        first = first or (at, step)
+        at, came = (at[0] + _AROUND[step][0], at[1] + _AROUND[step][1]), (step + 4) % 8
     return np.array(out, float)[:, ::-1] - 1
 
 
@@ -356,91 +361,32 @@ def food_contours(backgrounds: DataFrame, keys: tuple[str, ...] = ("file_id",),
 # ---- from contours to poses -----------------------------------------------------------------------------------------
 
 
-def clean_contour(contour: np.ndarray, n: int = 400, smooth: int = 9) -> np.ndarray:
-    """``n`` points at equal distances along a closed contour, averaged over a circular window."""
-    closed = np.vstack((contour, contour[:1]))
-    even = resample_curve(closed, n + 1)[:-1]
-    half = smooth // 2
-    around = np.vstack((even[-half:], even, even[:half])) if half else even
-    return np.stack([np.convolve(c, np.ones(2 * half + 1) / (2 * half + 1), "valid") for c in around.T], axis=1)
-
-
-def circular_curvature(contour: np.ndarray, edge: int) -> np.ndarray:
-    """The turn in degrees at each point of a closed contour, between the points ``edge`` before and after."""
-    a, b = contour - np.roll(contour, edge, axis=0), np.roll(contour, -edge, axis=0) - contour
-    turn = np.degrees(np.arctan2(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0], (a * b).sum(1)))
-    return turn if polygon_moment(contour, 0, 0) >= 0 else -turn
-
-
-def ends_of(contour: np.ndarray, segments: int = 24, angle: float = 60.0) -> tuple[int, int] | None:
-    """The two sharpest ends of a closed contour, at least a quarter of it apart; None if there are no two, or if a third
-    is as good."""
-    n = len(contour)
-    turn = circular_curvature(contour, max(1, round(n / (2 * segments))))
-    left, taken = turn.copy(), []
-    while len(taken) < 3:
-        k = int(np.argmax(left))
-        if left[k] < angle:
-            break
-        taken.append(k)
-        left[np.arange(k - n // (2 * segments) * 2, k + n // (2 * segments) * 2 + 1) % n] = -np.inf
-    far = lambda a, b: min((a - b) % n, (b - a) % n)
-    if len(taken) < 2:
-        return None
-    head, tail = taken[0], taken[1]
-    if len(taken) == 3 and turn[taken[2]] > 0.9 * turn[tail]:
-        return None
-    return (head, tail) if far(head, tail) >= n // 4 else None
-
-
-def pose_of(contour: np.ndarray, n: int = 49) -> dict[str, np.ndarray] | None:
-    """skeleton, widths and both sides of a body from its closed contour, or None where its ends cannot be told."""
-    if len(contour) < 8:
-        return None
-    smooth = clean_contour(contour)
-    ends = ends_of(smooth)
-    if ends is None:
-        return None
-    around = np.roll(smooth, -ends[0], axis=0)
-    cut = (ends[1] - ends[0]) % len(smooth)
-    one, two = around[: cut + 1], np.vstack((around[cut:], around[:1]))[::-1]
-    skeleton, widths = skeleton_from_sides(one, two, n)
-    return {"skeleton": skeleton, "widths": widths, "ventral": resample_curve(one, n), "dorsal": resample_curve(two, n)}
-
-
-def oriented_like(pose: dict[str, np.ndarray], before: np.ndarray | None) -> dict[str, np.ndarray]:
-    """A pose from head to tail as the one before, if reversing it brings them nearer."""
-    if before is None or np.abs(pose["skeleton"] - before).sum() <= np.abs(pose["skeleton"][::-1] - before).sum():
-        return pose
-    return {"skeleton": pose["skeleton"][::-1], "widths": pose["widths"][::-1], "ventral": pose["dorsal"][::-1], "dorsal": pose["ventral"][::-1]}
-
-
-POSE = "skeleton array<struct<x:double,y:double>>, widths array<double>, ventral array<struct<x:double,y:double>>, dorsal array<struct<x:double,y:double>>"
+POSE = "code int, skeleton array<struct<x:double,y:double>>, widths array<double>, ventral array<struct<x:double,y:double>>, dorsal array<struct<x:double,y:double>>"
 
 
 def poses_of_rois(rois: DataFrame, keys: tuple[str, ...] = ("file_id", "worm_index_joined"), frame: str = "frame_number", threshold: int = 100, dark: bool = True, n: int = 49) -> DataFrame:
-    """(keys, frame, skeleton, widths, ventral, dorsal) of each animal's regions of interest (h, w, pixels, and their
-    corner roi_x, roi_y), in order; each pose runs as the one before it, and a frame without one has NULLs."""
+    """(keys, frame, code, skeleton, widths, ventral, dorsal) of each animal's regions of interest (h, w, pixels, and their
+    corner roi_x, roi_y).
+
+    Poses are made image by image; a frame without one has NULLs and a code that says why (``bodies.body_pose``).  Then
+    each pose runs as the last one before it, by window functions over the track.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rois.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, frame)) + ", " + POSE
     points = lambda a: [{"x": float(x), "y": float(y)} for x, y in a]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, before, rows = pdf.sort_values(frame, ignore_index=True), None, []
-        for h, w, p, x, y in zip(pdf["h"], pdf["w"], pdf["pixels"], pdf["roi_x"], pdf["roi_y"], strict=True):
-            a = image(p, h, w)
-            pose = pose_of(trace_contour((a > 0) & ((a < threshold) if dark else (a > threshold))), n)
-            if pose is None:
-                rows.append((None,) * 4)
-                continue
-            for k in ("skeleton", "ventral", "dorsal"):
-                pose[k] = pose[k] + [x, y]
-            pose = oriented_like(pose, before)
-            before = pose["skeleton"]
-            rows.append((points(pose["skeleton"]), pose["widths"].tolist(), points(pose["ventral"]), points(pose["dorsal"])))
-        return pd.concat([pdf[[*keys, frame]], pd.DataFrame(rows, columns=["skeleton", "widths", "ventral", "dorsal"], dtype=object)], axis=1)
-
-    return rois.select(*keys, frame, "h", "w", "pixels", "roi_x", "roi_y").groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for h, w, p, x, y in zip(pdf["h"], pdf["w"], pdf["pixels"], pdf["roi_x"], pdf["roi_y"], strict=True):
+                a = image(p, h, w)
+                pose, code = body_pose(trace_contour((a > 0) & ((a < threshold) if dark else (a > threshold))), n)
+                rows.append((code, *(None if pose is None else pose[k].tolist() if k == "widths" else points(pose[k] + [x, y]) for k in ("skeleton", "widths", "ventral", "dorsal"))))
+            made = pd.DataFrame(rows, columns=["code", "skeleton", "widths", "ventral", "dorsal"], dtype=object)
+            yield pd.concat([pdf[[*keys, frame]].reset_index(drop=True), made], axis=1)
+
+    made = rois.select(*keys, frame, "h", "w", "pixels", "roi_x", "roi_y").mapInPandas(run, schema)
+    return flip_poses(consistent_flips(made, Track(keys, (frame,)), "skeleton"), "flip").drop("flip")
 
 
 def tiles(frames: DataFrame, boxes: DataFrame) -> DataFrame:

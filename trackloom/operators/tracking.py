@@ -113,9 +113,9 @@ def flip_poses(df: DataFrame, flag: str = "is_switched") -> DataFrame:
 
 
 def consistent_flips(df: DataFrame, track: Track, pose: str, name: str = "flip") -> DataFrame:
-    """Adds whether a pose must be reversed to follow the one before: the parity of the pairwise reversals so far."""
+    """Adds whether a pose must be reversed to follow the last one before it: the parity of the pairwise reversals so far."""
     w = track.window()
-    before = F.lag(pose).over(w)
+    before = F.last(pose, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
     def distance(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])), F.lit(0.0), lambda s, d: s + d)
