@@ -397,29 +397,34 @@ def orientation_score(profiles: np.ndarray) -> np.ndarray:
     return np.nanmean(np.abs(p[:, ::-1] - middle), axis=1) - np.nanmean(np.abs(p - middle), axis=1)
 
 
-def refine_blocks(score: np.ndarray, least: int) -> list[tuple[int, int]]:
+def negative_blocks(score: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Runs of negative scores of at least ``least`` rows, as (first, past last); missing scores take the one before."""
     s = pd.Series(np.asarray(score, float)).ffill().bfill().to_numpy()
     edge = np.diff(np.concatenate(([0], (s < 0).astype(int), [0])))
     return [(a, b) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if b - a >= least]
 
 
-def align_stage(variance: np.ndarray, fps: float, moves: np.ndarray) -> np.ndarray:
-    """The frame of each logged stage move: the highest unused peak of frame-difference variance near its time.
+def confirmed_blocks(profiles: np.ndarray, blocks: list[tuple[int, int]], around: int) -> list[tuple[int, int]]:
+    """The blocks (first, past last) whose reversal brings their profiles nearer to what lies next to them.
 
-    The window is a second on both sides, after the median lag of the moves matched so far; -1 where nothing stands out.
+    On each side the block's median profile is compared with the median of up to ``around`` rows, none of them in another
+    block, as it stands and reversed.  A side with under half as many rows decides nothing; neither side may speak
+    against the reversal.
     """
-    v = np.asarray(variance, float)
-    limit = np.nanmedian(v) + 5 * (np.nanmedian(np.abs(v - np.nanmedian(v))) + 1e-12)
-    out, lags, used = np.full(len(moves), -1), [], -1
-    for k, t in enumerate(np.asarray(moves, float) * fps):
-        centre = t + (np.median(lags) if lags else 0)
-        a, b = max(used + 1, int(np.floor(centre - fps))), min(len(v), int(np.ceil(centre + fps)) + 1)
-        if a < b and np.isfinite(v[a:b]).any():
-            at = a + int(np.nanargmax(v[a:b]))
-            if v[at] > limit:
-                out[k], used = at, at
-                lags.append(at - t)
+    p = np.asarray(profiles, float)
+    p = p - np.nanmedian(p, axis=1, keepdims=True)
+    out = []
+    for k, (a, b) in enumerate(blocks):
+        before = blocks[k - 1][1] if k else 0
+        after = blocks[k + 1][0] if k + 1 < len(blocks) else len(p)
+        inside = np.nanmedian(p[a:b], axis=0)
+        fits = True
+        for lo, hi in ((max(a - around, before), a), (b, min(b + around, after))):
+            if hi - lo >= max(1, around // 2):
+                outside = np.nanmedian(p[lo:hi], axis=0)
+                fits &= bool(np.nansum(np.abs(inside[::-1] - outside)) <= np.nansum(np.abs(inside - outside)))
+        if fits:
+            out.append((a, b))
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.functions import kernels
+from trackloom.functions import kernels, waves
 from trackloom.functions.geometry import bend_angles
 from trackloom.functions.timeseries import Track, bfill, ffill, fill_both, nearest_valid, rolling_max, rolling_mean, rolling_min, wrap_degrees
 from trackloom.operators.islands import drop_near_runs, drop_short_runs, merge_runs, with_run_id
@@ -219,15 +219,22 @@ def kinks(pose: Column, least: float = 10.0) -> Column:
     return F.aggregate(angles, start, step)["n"]
 
 
-def crawling(df: DataFrame, track: Track, bend: str, fps: float, out: str, seconds: tuple[float, float] = (2.0, 5.0)) -> DataFrame:
-    """Adds <out>_frequency and <out>_amplitude of a bend angle's oscillation, from windowed spectra."""
-    window = 2 * (round(fps * seconds[1]) // 2) + 1
+def crawling_bends(df: DataFrame, track: Track, bend: str, fps: float, out: str, paused: str | None = None, seconds: tuple[float, float] = (0.5, 15.0)) -> DataFrame:
+    """Adds <out>_amplitude and <out>_frequency of a bend angle's wave around each frame, signed by the bend's side.
+
+    Missing angles between others are interpolated.  A window that the angle's zero crossings bound is centred on each
+    frame, and the peak of its spectrum is taken if its troughs are low and most of the energy lies between them
+    (``waves.bend_waves``); else, and where the column ``paused`` holds, both are NULL.
+    """
 
     def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        f, a = kernels.short_time_peak(kernels.fill_cubic(pdf[bend].to_numpy(float)), fps, window, 1 / 15, min(fps / 2, 2.5))
-        return {f"{out}_frequency": f, f"{out}_amplitude": a}
+        x = pdf[bend].to_numpy(float)
+        x = pd.Series(x).interpolate(limit_area="inside").to_numpy()
+        still = None if paused is None else pdf[paused].fillna(False).to_numpy(bool)
+        amplitude, frequency = waves.bend_waves(x, fps, still, seconds)
+        return {f"{out}_amplitude": amplitude, f"{out}_frequency": frequency}
 
-    return kernels.with_tracks(df, track.keys, track.order, [bend], run, {f"{out}_frequency": "double", f"{out}_amplitude": "double"})
+    return kernels.with_tracks(df, track.keys, track.order, [bend] + ([paused] if paused else []), run, {f"{out}_amplitude": "double", f"{out}_frequency": "double"})
 
 
 def coils(df: DataFrame, track: Track, code: str, fps: float, codes: Sequence[int] = (105, 106), seconds: float = 0.2) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.functions import kernels
+from trackloom.functions import kernels, stage
 from trackloom.functions.timeseries import Track, fill_both, rolling_std, unwrap
 from trackloom.operators.islands import sessions
 from trackloom.operators.joins import gap_links, nearest_links
@@ -134,21 +134,25 @@ def pick_single_animal(points: DataFrame, keys: Sequence[str] = ("file_id",), fr
     return points.join(picked.where("is_animal").select(*keys, row), [*keys, row], "left_semi")
 
 
-def orient_by_intensity(df: DataFrame, track: Track, profile: str, min_rows: int) -> DataFrame:
-    """Adds is_switched: the row lies in a block of at least ``min_rows`` whose profiles fit the reversed median better."""
+def orient_by_intensity(df: DataFrame, track: Track, profile: str, min_rows: int, around: int = 10) -> DataFrame:
+    """Adds is_switched: the row lies in a block of at least ``min_rows`` whose intensity profiles are reversed.
+
+    Blocks are runs of profiles that fit the track's median better when reversed; a block counts only if the up to
+    ``around`` rows next to it agree (``kernels.confirmed_blocks``), so that a noisy stretch is left as it is.  Rows
+    without a profile inside of a block go with it.
+    """
 
     def run(pdf):
         flag = np.zeros(len(pdf), bool)
-        good = np.array([p is not None for p in pdf[profile]])
-        if good.sum() > 1:
-            score = np.full(len(pdf), np.nan)
-            score[good] = kernels.orientation_score(np.stack([np.asarray(p, float) for p in pdf[profile][good]]))
-            for a, b in kernels.refine_blocks(score, min_rows):
-                flag[a:b] = True
+        good = np.flatnonzero([p is not None for p in pdf[profile]])
+        if len(good) > 1:
+            profiles = np.stack([np.asarray(p, float) for p in pdf[profile].iloc[good]])
+            blocks = kernels.negative_blocks(kernels.orientation_score(profiles), min_rows)
+            for a, b in kernels.confirmed_blocks(profiles, blocks, around):
+                flag[good[a] : good[b - 1] + 1] = True
         return {"is_switched": flag}
 
-    made = kernels.per_track(df, track.keys, track.order, [profile], run, {"is_switched": "boolean"})
-    return df.join(made, [*track.keys, *track.order])
+    return kernels.with_tracks(df, track.keys, track.order, [profile], run, {"is_switched": "boolean"})
 
 
 def orientation_probability(movement: Column, bottom: Column, top: Column) -> Column:
@@ -156,19 +160,30 @@ def orientation_probability(movement: Column, bottom: Column, top: Column) -> Co
     return 0.75 * movement + 0.15 * bottom + 0.10 * top
 
 
-def align_stage_moves(frames: DataFrame, moves: DataFrame, fps: float, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """(keys, move, frame): frames (keys, frame, variance) in which logged stage moves (keys, move, seconds) happen."""
+def align_stage_moves(frames: DataFrame, moves: DataFrame, fps: float, keys: Sequence[str] = ("file_id",), delay: float = 1.0) -> DataFrame:
+    """(keys, move, frame, first, last, state, error): frames (keys, frame, variance) in which logged moves (keys, move,
+    seconds from the video's start) happen, by ``stage.align``.
+
+    ``frame`` is the peak, ``first`` and ``last`` bound the move; all are NULL unless the state is "matched".  ``error``
+    is NULL for files whose log fits their video.  A move that the log does not have is a row with NULL ``move`` and the
+    state "not logged".
+    """
 
     def run(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("frame"), b.sort_values("seconds")
-        at = kernels.align_stage(a["variance"].to_numpy(float), fps, b["seconds"].to_numpy(float)) if len(a) else np.full(len(b), -1)
-        found = a["frame"].to_numpy()[at] if len(a) else np.full(len(b), -1)
-        return b[[*keys, "move"]].assign(frame=np.where(at >= 0, found, -1))
+        a, b = a.sort_values("frame"), b.sort_values(["seconds", "move"])
+        got = stage.align(a["variance"].to_numpy(float), fps, b["seconds"].to_numpy(float), delay)
+        number = a["frame"].to_numpy()
+        key = (b if len(b) else a)[list(keys)].iloc[0].to_dict() if len(a) or len(b) else {}
+        rows = []
+        matched = [(m, s, k) for m, s, k in zip(b["move"], got["state"], got["match"], strict=True)]
+        for move, state, k in [*matched, *((None, "not logged", k) for k in got["spurious"])]:
+            at = got["moves"][k] if k >= 0 else None
+            rows.append({**key, "move": move, **({c: None for c in ("frame", "first", "last")} if at is None else {"frame": number[at.peak], "first": number[at.start], "last": number[at.end]}), "state": state, "error": got["error"]})
+        return pd.DataFrame(rows, columns=[*keys, "move", "frame", "first", "last", "state", "error"], dtype=object)
 
     kinds = {f.name: f.dataType.simpleString() for f in moves.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "move")) + ", frame bigint"
-    out = frames.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(run, schema)
-    return out.withColumn("frame", F.nullif("frame", F.lit(-1)))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "move")) + ", frame bigint, first bigint, last bigint, state string, error string"
+    return frames.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def track_detections(points: DataFrame, single: bool = False, keys: Sequence[str] = ("file_id",), max_distance: float = 25.0, ratio: float | tuple[float, float] = 2.0, max_gap: int = 0, min_rows: int = 1, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
