@@ -50,3 +50,25 @@ def test_matches_brute_force(spark, make_docs):
     assert mix_sources(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mix_sources(docs, cap=3)
+
+
+@pytest.mark.parametrize("cap", [2.0, 0.7, 0.03])
+def test_equal_rows_are_split_where_a_budget_ends(spark, make_docs, cap):
+    """Sources of many equal rows come within half a row of their targets, whatever their other columns hold."""
+    rows = [(7, "w " * 4, "one")] * 1000 + [(i, "w " * (i % 9), "two") for i in range(300)] + [(8, "x y z", "two")] * 200 + [(None, "q " * 6, None)] * 77
+    docs = make_docs(rows).repartition(5)
+    got = mix_sources(docs, cap=cap)
+    by = got.groupBy("source_size", "target").agg({"taken": "sum"}).collect()
+    assert len(by) == 3
+    for r in by:
+        assert abs(r["sum(taken)"] - r["target"]) <= 4.5
+    mixed = mix_sources(docs, cap=cap, rows=True)
+    assert mixed.columns == docs.columns
+    sums = {s: sum(len(r.text.split()) for r in mixed.collect() if r.source == s) for s in ("one", "two", None)}
+    assert sorted(sums.values()) == sorted(r["sum(taken)"] for r in by)
+
+
+def test_columns_named_like_the_operators_own(spark, make_docs):
+    docs = make_docs([(i, "a b", "s") for i in range(9)] + [(3, "a b", "s")] * 4).withColumnsRenamed({"hash": "_mix", "size": "_mix1"})
+    assert mix_sources(docs, rows=True).columns == docs.columns
+    assert mix_sources(docs).count() == 13

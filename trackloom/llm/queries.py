@@ -173,11 +173,9 @@ v AS (SELECT *, lim / weight AS ratio,
              / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 t AS (SELECT source, source_size, least(lim, coalesce((SELECT max(lv) FROM v WHERE lv <= ratio) * weight, lim)) AS target FROM v),
 b AS (SELECT *, CASE WHEN target >= source_size THEN 1 ELSE 0 END AS epochs, target - CASE WHEN target >= source_size THEN source_size ELSE 0 END AS budget FROM t),
-g AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
-r AS (SELECT source, h, size, sum(size) OVER (PARTITION BY source ORDER BY h) - size AS before FROM g),
-x AS (SELECT r.source, r.h, r.before + r.size / 2.0::DOUBLE <= b.budget AS more FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
-SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (b.epochs + CASE WHEN x.more THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h""",
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h ROWS UNBOUNDED PRECEDING) - size AS before FROM d)
+SELECT r.doc_id, r.size, b.source_size, b.target, (r.size * (b.epochs + CASE WHEN r.before + r.size / 2.0::DOUBLE <= b.budget THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source""",
     "op11_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
