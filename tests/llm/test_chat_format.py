@@ -64,3 +64,13 @@ def test_trees_are_ranked_apart_and_long_texts_stay_whole(spark):
     out = {(r.tree, r.rank): r for r in format_reply_trees(spark.createDataFrame(rows, NODES), branches=2).withColumn("turns", read_back("formatted")).collect()}
     assert {k: (r.leaf, r.n_turns, r.score) for k, r in out.items()} == {("a", 1): (4, 3, 1.0), ("a", 2): (2, 2, 0.5), ("b", 1): (2, 2, 3.5), ("b", 2): (3, 2, 3.5)}
     assert [t.text for t in out["a", 1].turns] == ["q", long, "more"]
+
+
+def test_rows_of_conversation_minus_one_join_it(spark):
+    from trackloom.llm.queries import conversation_nodes
+
+    rows = [(-1, 0, "user", "mine"), (-1, 5, "assistant", None), (3, 0, "user", "a"), (None, 0, "user", "b")]
+    nodes = conversation_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    own = sorted((r.node, r.parent, r.turn, r.text) for r in nodes if r.tree == "c-1")
+    assert [r[0] for r in own] == [1, 2, 3, 4] and [r[2] for r in own] == [0, 0, 1, 5] and own[0][1] is None
+    assert {r.tree for r in nodes} == {"c-1", "c3", "cnull"}

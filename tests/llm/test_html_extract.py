@@ -1,4 +1,4 @@
-from trackloom.llm.html_extract import Matcher, Page, align, expression, extract_html, skeleton, slot_paths
+from trackloom.llm.html_extract import Matcher, Page, align, article_region, expression, extract_html, skeleton, slot_paths
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header>Top</header><nav><ul><li><a href="/">Home</a></li><li><a href="/x">X</a></li></ul></nav>
@@ -64,7 +64,42 @@ def test_wrapper_chooses_slots(spark):
     rows = [(k, f"http://a.example/{k}", page.format(k, "first", "<table><tr><td>Old page</table>" if k % 2 else "")) for k in range(6)]
     rows += [(10 + k, f"http://b.example/{k}", inside.format(k)) for k in range(4)]
     out = {r.page_id: r.text for r in extract_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {k: f"T {k}\n\nText {k}" for k in range(6)} | {10 + k: f"T {k}\n\nText {k}" for k in range(4)}
+    # What an article element holds stays, also if all pages share it.
+    assert out == {k: f"T {k}\n\nText {k}" for k in range(6)} | {10 + k: f"Please subscribe\n\nT {k}\n\nText {k}" for k in range(4)}
+
+
+def test_shared_text_inside_of_articles_stays(spark):
+    page = "<nav><a href=/>Home</a></nav><article><h1>T {0}</h1><p>First {0}</p><h2>Summary</h2><p>Shared words</p><p>Last {0}</p></article><div class=ad>Buy {0}</div>"
+    rows = [(k, f"http://a.example/{k}", page.format(k)) for k in range(4)]
+    out = extract_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {k: f"T {k}\n\nFirst {k}\n\nSummary\n\nShared words\n\nLast {k}" for k in range(4)}
+    assert {r.decided for r in out} == {"region"}
+
+
+def test_regions_without_names(spark):
+    """No article element, and class names that say nothing: what varies, and where, decides."""
+    text = "Paragraph {0} of some length, in which page {0} says this and that about matter {0}. " * 3
+    page = "<div class=qa><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></div><div class=qb><div class=z9><h1>Head {0}</h1><div class=k><p>" + text + "</p><p>" + text + "</p></div></div></div><div class=qc><p>Deal {0}!</p></div><div class=qd>Always here</div>"
+    rows = [(k, f"http://a.example/{k}", page.format(k)) for k in range(5)]
+    rows += [(10 + k, f"http://b.example/{k}", page.format(k)) for k in range(2)]  # too few to tell
+    out = {r.page_id: r for r in extract_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(5):
+        assert out[k].decided == "region" and out[k].text == "\n\n".join([f"Head {k}", text.format(k).strip(), text.format(k).strip()])
+    assert all(out[10 + k].decided == "rest" and "Deal" in out[10 + k].text and "Home" not in out[10 + k].text for k in range(2))
+
+
+def test_article_regions():
+    def region(source, varies):
+        return article_region(skeleton(Page(source).tree), varies)
+
+    # A heading outside holds the search back; so does text of the element's own, and a repeated element.
+    assert region("<div><h1>a</h1><section><p>b</p><p>c</p></section></div><footer>d</footer>", [5, 90, 1]) == (0, 2)
+    assert region("<div><section><p>b</p><h3>c</h3></section></div><footer>d</footer>", [90, 5, 1]) == (0, 2)
+    assert region("<div>own text<p>b</p></div><footer>d</footer>", [50, 50, 1]) is None
+    assert region("<div><p>a</p></div><div><p>b</p></div>", [100]) is None
+    assert region("<div><p>a</p><h4>b</h4></div><section><p>c</p></section>", [50, 50, 100]) is None
+    assert region("<div><article><section><p>a</p><ul><li>b</li></ul></section></article></div>", [9, 9]) == (0, 2)
+    assert region("", []) is None
 
 
 def test_each_page_by_itself(spark):

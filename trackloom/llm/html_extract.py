@@ -7,9 +7,11 @@ result, a union-free regular expression, is the host's wrapper.
 
 Pages are read by matching them to their host's wrapper, which gives each text its slot.  A slot with one and the same
 text on all pages that have it is template text, and the slots of a repeated group that holds mostly links are a list of
-links; neither is article.  Names of elements and classes decide what alignment cannot see: advertisements, comments and
-the like vary as articles do, so elements named so are left out, and article elements, if a page has any, bound its
-article.
+links; what is left varies.  The article's region is the innermost element of the wrapper that holds nearly all text that
+varies, and any heading that does; what lies outside of it is left out, whatever its name.  Names of elements and classes
+decide what alignment cannot see: advertisements, comments and the like vary as articles do, so elements named so are
+left out, and the search for a region ends at an article element.  Where a host has too few pages or no such region, each
+of its pages is read inside of its article elements, if it has any, or outside of menus and lists.
 """
 
 from __future__ import annotations
@@ -375,6 +377,46 @@ def _matcher(wrapper: str) -> Matcher:
     return Matcher(json.loads(wrapper))
 
 
+def article_region(wrapper: list, varies: list[int], share: float = 0.9) -> tuple[int, int] | None:
+    """The slots (first, past last) of the innermost element that holds nearly all of ``varies`` (characters by slot).
+
+    From the top, the search enters an element that is not repeated if it holds at least ``share`` of what varies around
+    it and no heading that varies stays outside; it ends at an article element, or at one that holds text itself.
+    """
+    at = [0]
+
+    def measure(items: list) -> list:
+        """[name, repeated, first slot, past last slot, inside, whether a heading varies] of elements and slots, groups opened."""
+        out = []
+        for name, children, _, again in items:
+            first = at[0]
+            if name == "#":
+                at[0] += 1
+                out.append([name, again, first, at[0], [], False])
+            else:
+                inside = measure(children)
+                if not name:
+                    out += [[x[0], True, *x[2:]] for x in inside]
+                    continue
+                tag = name.split(".")[0]
+                heading = len(tag) == 2 and tag[0] == "h" and any(varies[first : at[0]])
+                out.append([name, again, first, at[0], inside, heading or any(x[5] for x in inside)])
+        return out
+
+    items, region = measure(wrapper), None
+    while True:
+        whole = sum(sum(varies[x[2] : x[3]]) for x in items)
+        best = max((x for x in items if x[0] != "#"), key=lambda x: sum(varies[x[2] : x[3]]), default=None)
+        if best is None or not whole or sum(varies[best[2] : best[3]]) < share * whole:
+            return region
+        tag = best[0].split(".")[0]
+        if best[1] or any(x[5] for x in items if x is not best) or any(x[0] == "#" and varies[x[2]] for x in best[4]) or tag[:1] == "h" and len(tag) == 2:
+            return region
+        region, items = (best[2], best[3]), best[4]
+        if tag in ("article", "main"):
+            return region
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -420,10 +462,11 @@ def _wrappers(scanned: DataFrame, scratch: Scratch, fan: int) -> DataFrame:
 
 
 def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies: int, fan: int = 256) -> DataFrame:
-    """(host, tree, template, links): each host's wrapper, its slots of template text and those of lists of links.
+    """(host, tree, template, links, region): each host's wrapper, its slots of template text and those of lists of links,
+    and the bounds of its article's slots (NULL if alignment cannot tell).
 
     Template slots hold one and the same text on all pages that have them; pages that agree in all text outside of menus
-    and the like count as one, and there must be 3.
+    and the like count as one, and there must be 3, as for a region.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +478,7 @@ def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies:
                     out[0].append(json.dumps(skeleton(page.tree), separators=(",", ":")))
                     out[1].append(json.dumps(page.tree, separators=(",", ":")))
                     out[2].append(_digest("\n".join(text for _, role, text, _ in page.blocks if role != OUT)))
-                    out[3].append(json.dumps([(_digest(text), len(text), links) for _, _, text, links in page.blocks], separators=(",", ":")))
+                    out[3].append(json.dumps([(_digest(text), len(text), links, role == OUT) for _, role, text, links in page.blocks], separators=(",", ":")))
                 yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["host", "tree", "page", "content", "blocks"])
 
     pages = pages.select(_host(F.col("url")).alias("host"), "html").where("host <> ''")
@@ -452,30 +495,31 @@ def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies:
             found: dict[tuple[str, int], list] = {}
             for host, tree, page, content, blocks in zip(hosts, trees, batch.column("page").to_pylist(), batch.column("content").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
                 own: dict[int, list] = {}
-                for slot, (text, chars, links) in zip(_matcher(tree).slots(json.loads(page)), json.loads(blocks), strict=True):
-                    x = own.setdefault(slot, [[], 0, 0])
+                for slot, (text, chars, links, named) in zip(_matcher(tree).slots(json.loads(page)), json.loads(blocks), strict=True):
+                    x = own.setdefault(slot, [[], 0, 0, 0])
                     x[0].append(text)
                     x[1] += chars
                     x[2] += links
-                for slot, (texts, chars, links) in own.items():
+                    x[3] += chars * named
+                for slot, (texts, chars, links, named) in own.items():
                     text = texts[0] if len(texts) == 1 else _digest(json.dumps(texts))
-                    x = found.setdefault((host, slot), [text, text, 0, 0, set()])
-                    x[0], x[1], x[2], x[3] = min(x[0], text), max(x[1], text), x[2] + chars, x[3] + links
-                    if len(x[4]) < 3:
-                        x[4].add(content)
+                    x = found.setdefault((host, slot), [text, text, 0, 0, 0, set()])
+                    x[0], x[1], x[2], x[3], x[4] = min(x[0], text), max(x[1], text), x[2] + chars, x[3] + links, x[4] + named
+                    if len(x[5]) < 3:
+                        x[5].add(content)
             keys, values = list(found), list(found.values())
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
-            columns += [pa.array([v[i] for v in values], pa.int64()) for i in range(4)] + [pa.array([sorted(v[4]) for v in values], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "least", "most", "chars", "links", "contents"])
+            columns += [pa.array([v[i] for v in values], pa.int64()) for i in range(5)] + [pa.array([sorted(v[5]) for v in values], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "least", "most", "chars", "links", "named", "contents"])
 
-    slots = rows.mapInArrow(count, "host string, slot bigint, least bigint, most bigint, chars bigint, links bigint, contents array<bigint>")
+    slots = rows.mapInArrow(count, "host string, slot bigint, least bigint, most bigint, chars bigint, links bigint, named bigint, contents array<bigint>")
     several = F.size(F.array_distinct(F.flatten(F.collect_list("contents")))) >= 3
-    slots = slots.groupBy("host", "slot").agg(((F.min("least") == F.max("most")) & several).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "same", "chars", "links")).alias("slots")).join(wrappers, "host")
+    slots = slots.groupBy("host", "slot").agg(((F.min("least") == F.max("most")) & several).alias("same"), several.alias("several"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("named").alias("named"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "same", "several", "chars", "links", "named")).alias("slots")).join(wrappers, "host")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            template, linked = [], []
+            template, linked, region = [], [], []
             for tree, slots in zip(pdf["tree"], pdf["slots"], strict=True):
                 groups = _matcher(tree).groups
                 sums: dict[int, list[int]] = {}
@@ -486,49 +530,63 @@ def host_rules(pages: DataFrame, scratch: Scratch, broadcast_bytes: int, copies:
                         y[1] += x["links"]
                 template.append(sorted(x["slot"] for x in slots if x["slot"] >= 0 and x["same"]))
                 linked.append([i for i, g in enumerate(groups) if g in sums and 2 * sums[g][1] > sums[g][0]])
-            yield pd.DataFrame({"host": pdf["host"], "tree": pdf["tree"], "template": template, "links": linked})
+                varies, still = [0] * len(groups), {*template[-1], *linked[-1]}
+                for x in slots:
+                    if x["slot"] >= 0 and x["slot"] not in still:
+                        varies[x["slot"]] = x["chars"] - x["named"]
+                region.append(article_region(json.loads(tree), varies) if any(x["several"] and x["slot"] not in still for x in slots) else None)
+            yield pd.DataFrame({"host": pdf["host"], "tree": pdf["tree"], "template": template, "links": linked, "region": region})
 
-    return scratch.save(slots.select("host", "tree", "slots").mapInPandas(decide, "host string, tree string, template array<bigint>, links array<bigint>"), "rules")
+    return scratch.save(slots.select("host", "tree", "slots").mapInPandas(decide, "host string, tree string, template array<bigint>, links array<bigint>, region array<bigint>"), "rules")
 
 
-def article(page: Page, rule: tuple | None) -> list[str]:
-    """The article's blocks of a page, read by its host's rule (wrapper, template slots, link slots), if it has one.
+def article(page: Page, rule: tuple | None) -> tuple[list[str], str]:
+    """The article's blocks of a page, and what decided on them; read by its host's rule (wrapper, template slots, link
+    slots, region), if it has one.
 
-    A page with article elements is read inside of them.  Any other page is read outside of menus and the like and
-    lists of links.  Template text is left out, unless an article element holds nothing else.
+    "region": what lies in the host's region; template text in it goes unless it stands in an article element.
+    "elements": what lies in the page's article elements.  "rest": what lies outside of menus and the like, lists of links
+    and template text.  Elements that are named like menus, advertisements and so on never count.
     """
     blocks = page.blocks
     inside = [i for i, b in enumerate(blocks) if b[1] == MAIN]
-    if rule is None:
-        if not inside:
-            sums: dict[str, list[int]] = {}
-            for path, _, text, links in blocks:
-                x = sums.setdefault(path, [0, 0])
-                x[0] += len(text)
-                x[1] += links
-            inside = [i for i, b in enumerate(blocks) if b[1] == OTHER and 2 * sums[b[0]][1] <= sums[b[0]][0]]
-        return [blocks[i][2] for i in inside]
-    slots, template = _matcher(rule[0]).slots(page.tree), set(rule[1])
+    slots = [-1] * len(blocks) if rule is None else _matcher(rule[0]).slots(page.tree)
+    out = set() if rule is None else set(rule[1])
+    if rule is not None and rule[3] is not None:
+        first, last = rule[3]
+        held = [i for i, slot in enumerate(slots) if blocks[i][1] != OUT and (first <= slot < last or (slot < 0 and blocks[i][1] == MAIN))]
+        held = [i for i in held if blocks[i][1] == MAIN or slots[i] not in out]
+        # A page of another make has its article elsewhere.
+        if held and (not inside or any(blocks[i][1] == MAIN for i in held)):
+            return [blocks[i][2] for i in held], "region"
     if inside:
-        return [blocks[i][2] for i in [i for i in inside if slots[i] not in template] or inside]
-    out = template | set(rule[2])
-    return [b[2] for b, slot in zip(blocks, slots, strict=True) if b[1] == OTHER and slot not in out]
+        return [blocks[i][2] for i in inside], "elements"
+    if rule is None:
+        sums: dict[str, list[int]] = {}
+        for path, _, text, links in blocks:
+            x = sums.setdefault(path, [0, 0])
+            x[0] += len(text)
+            x[1] += links
+        return [b[2] for b in blocks if b[1] == OTHER and 2 * sums[b[0]][1] <= sums[b[0]][0]], "rest"
+    out |= set(rule[2])
+    return [b[2] for b, slot in zip(blocks, slots, strict=True) if b[1] == OTHER and slot not in out], "rest"
 
 
 def extract_html(pages: DataFrame, broadcast_bytes: int = 8 << 20, copies: int = 64) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of the main text of every page.
+    """page_id, url, text and n_chars (code points) of the main text of every page, and what decided on it (:func:`article`).
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
     two line breaks.  Pages without main text, and null html, give an empty text.  Pages with null urls or urls without
     a host are read one by one, without a wrapper; repeated rows give equal results; an empty table gives an empty
-    result.  Long pages are read whole; elements nested over 100 deep count as part of those around them.  The wrappers of all hosts are broadcast if they take at most ``broadcast_bytes``; otherwise pages are joined
+    result.  Long pages are read whole; elements nested over 100 deep count as part of those around them.  Other columns are
+    ignored.  The wrappers of all hosts are broadcast if they take at most ``broadcast_bytes``; otherwise pages are joined
     with them by host, every host in ``copies`` parts.
     """
     scratch = Scratch(pages.sparkSession, "html")
     rules = host_rules(pages, scratch, broadcast_bytes, copies)
     taken = rules.agg(F.sum(F.length("host") + F.length("tree") + 32 * (F.size("template") + F.size("links")) + 64)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    columns = ["tree", "template", "links"]
+    columns = ["tree", "template", "links", "region"]
     rows, known = _by_host(rows, rules, columns, taken <= broadcast_bytes, F.xxhash64("page_id", "url"), copies)
     shared = None if known is None else pages.sparkSession.sparkContext.broadcast(known)
 
@@ -539,7 +597,8 @@ def extract_html(pages: DataFrame, broadcast_bytes: int = 8 << 20, copies: int =
                     given = [x if x[0] is not None else None for x in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
                 else:
                     given = [shared.value.get(h) for h in batch.column("host").to_pylist()]
-                texts = ["\n\n".join(article(Page(source or ""), rule)) for source, rule in zip(batch.column("html").to_pylist(), given, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                read_ = [article(Page(source or ""), rule) for source, rule in zip(batch.column("html").to_pylist(), given, strict=True)]
+                texts = ["\n\n".join(blocks) for blocks, _ in read_]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([by for _, by in read_], pa.string())], ["page_id", "url", "text", "n_chars", "decided"])
 
-    return rows.select("page_id", "url", "html", "host", *(columns if known is None else ())).mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "host", *(columns if known is None else ())).mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint, decided string")
