@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -220,30 +221,81 @@ def path_features(df: DataFrame, track: Track, parts: Sequence[str] = PATH_PARTS
     return kernels.with_tracks(df, track.keys, track.order, cols, run, {f"path_curvature_{p}": "double" for p in parts})
 
 
+#: What a pose consists of, head to tail.
+POSE_COLUMNS = ("skeleton", "ventral", "dorsal", "widths")
+
+
+def _stack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values (rows, points, coordinates) of the rows that have any, their places) of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    values = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")] if pa.types.is_struct(flat.type) else [flat.to_numpy(zero_copy_only=False)]
+    return np.stack(values, axis=-1).astype(float).reshape(len(at), -1 if len(at) else 1, len(values)), at
+
+
+def _lists(values: np.ndarray, keep: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list column of the rows of ``values`` where ``keep`` holds, else NULL."""
+    rows, points = values[keep], values.shape[1]
+    flat = [pa.array(rows[..., k].ravel(), pa.float64()) for k in range(values.shape[2])]
+    inner = flat[0] if len(flat) == 1 else pa.StructArray.from_arrays(flat, ["x", "y"])
+    bounds = np.concatenate(([0], np.cumsum(keep * points)))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), inner, mask=pa.array(~keep)).cast(kind)
+
+
 def smooth_poses(df: DataFrame, track: Track, window: int, along: int = 5, max_gap: int | None = None) -> DataFrame:
-    """Fills gaps of poses linearly and smooths them in time and along the body (order 3); long gaps stay NULL."""
-
-    def run(pdf: pd.DataFrame) -> dict[str, list]:
-        good = np.array([s is not None for s in pdf["skeleton"]])
-        if good.sum() < 2:
-            return {"skeleton": list(pdf["skeleton"])}
-        poses = np.array([[(p["x"], p["y"]) for p in s] for s in pdf["skeleton"][good]])
-        at, t = np.flatnonzero(good), np.arange(len(pdf))
+    """Fills gaps of poses linearly and smooths them in time and along the body (order 3).
+
+    Skeleton, contour sides and widths, as far as ``df`` has them, are worked on alike; frames before the first pose and
+    after the last one take its values.  Gaps of more than ``max_gap`` frames stay NULL.  A column with under two poses in
+    a track stays as it is; tracks shorter than ``window`` are smoothed along the body only.  Rows pass through as whole
+    rows, so that nothing is joined back.
+    """
+    made = [c for c in POSE_COLUMNS if c in df.columns]
+
+    def smoothed(column: pa.Array) -> pa.Array:
+        poses, at = _stack(column)
+        if len(at) < 2:
+            return column
+        t = np.arange(len(column))
         flat = poses.reshape(len(at), -1)
-        full = np.column_stack([np.interp(t, at, c) for c in flat.T]).reshape(len(pdf), *poses.shape[1:])
+        full = np.column_stack([np.interp(t, at, c) for c in flat.T]).reshape(len(t), *poses.shape[1:])
         if len(full) >= window:
             full = kernels.savgol(full, window, 3)
         if full.shape[1] >= along:
             full = kernels.savgol(full, along, 3, axis=1)
-        keep = np.ones(len(pdf), bool)
+        keep = np.ones(len(t), bool)
         if max_gap is not None:
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                if b - a - 1 > max_gap:
-                    keep[a + 1 : b] = False
-        return {"skeleton": [[{"x": float(x), "y": float(y)} for x, y in pose] if k else None for pose, k in zip(full, keep, strict=True)]}
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if j - i - 1 > max_gap:
+                    keep[i + 1 : j] = False
+        return _lists(full, keep, column.type)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in track.order])
+        for c in made:
+            table = table.set_column(table.column_names.index(c), c, smoothed(table[c]))
+        return table
+
+    return df.groupBy(*track.keys).applyInArrow(run, df.schema)
+
 
-    made = kernels.per_track(df, track.keys, track.order, ["skeleton"], run, {"skeleton": "array<struct<x:double,y:double>>"})
-    return df.drop("skeleton").join(made, [*track.keys, *track.order])
+def smoothed_pose_table(poses: DataFrame, meta: DataFrame, track: Track, window: int, stage: DataFrame | None = None, turn: float = 0.0, along: int = 5, max_gap: int | None = None) -> DataFrame:
+    """The pose table as features take it: moved by the stage, in microns, on a dense frame axis, smoothed.
+
+    ``poses`` (keys, frame, skeleton, ventral, dorsal, widths and, if measured, blob columns coord_x, coord_y, area) are in
+    pixels; ``stage`` (file_id, frame, stage_x, stage_y) in microns has no row while the stage moves, and poses of such
+    frames are filled like missing ones.  Blob positions are scaled by the file's microns_per_pixel, areas by its square.
+    """
+    at = track.order[-1]
+    blobs = {c: F.col(c) * (F.col("microns_per_pixel") ** 2 if c == "area" else F.col("microns_per_pixel")) for c in ("coord_x", "coord_y", "area") if c in poses.columns}
+    if blobs:
+        poses = poses.join(small(meta.select("file_id", "microns_per_pixel")), "file_id").withColumns(blobs).drop("microns_per_pixel")
+    df = extract_tracks(poses, meta, track)
+    if stage is not None:
+        df = moved_by_stage(df, stage, ["file_id"], at, turn)
+    return smooth_poses(df, track, window, along, max_gap)
 
 
 def extract_tracks(poses: DataFrame, meta: DataFrame, track: Track = Track()) -> DataFrame:  # noqa: B008
@@ -350,10 +402,15 @@ def pose_transforms(pose: Column) -> dict[str, Column]:
 
 
 def moved_by_stage(df: DataFrame, stage: DataFrame, keys: Sequence[str], at: str, turn: float = 0.0) -> DataFrame:
-    """Adds the stage position at each frame, turned by an angle in radians, to poses; NULL where the stage moves."""
+    """Adds the stage position at each frame, turned by an angle in radians, to poses and contour sides; NULL where the
+    stage moves, widths as well."""
     x, y = G.rotated(F.col("stage_x"), F.col("stage_y"), [[math.cos(turn), -math.sin(turn)], [math.sin(turn), math.cos(turn)]])
     df = df.join(stage.select(*keys, at, x.alias("_dx"), y.alias("_dy")), [*keys, at], "left")
-    return df.withColumn("skeleton", F.when(F.col("_dx").isNotNull(), G.shifted(F.col("skeleton"), F.col("_dx"), F.col("_dy")))).drop("_dx", "_dy")
+    known = F.col("_dx").isNotNull()
+    moved = {c: F.when(known, G.shifted(F.col(c), F.col("_dx"), F.col("_dy"))) for c in ("skeleton", "ventral", "dorsal") if c in df.columns}
+    if "widths" in df.columns:
+        moved["widths"] = F.when(known, F.col("widths"))
+    return df.withColumns(moved).drop("_dx", "_dy")
 
 
 def smooth_track_positions(df: DataFrame, keys: Sequence[str], frame: str = "frame_number", window: int = 5) -> DataFrame:

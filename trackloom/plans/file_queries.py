@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -46,7 +44,7 @@ def feature_lists(t):
     """SRC-22: names of a headerless list with a byte order mark."""
     where = _folder(t)
     t("nation").select(F.concat(F.lit("﻿"), "n_name").alias("value")).write.text(where)
-    return t.spark.createDataFrame([(n,) for n in ingest.feature_names(t.spark, where)], "name string")
+    return ingest.feature_names(t.spark, where)
 
 
 @query("SELECT 'f' || p_partkey AS feat_name_table, p_name AS feat_name_obj, (p_size % 2)::INT AS is_time_series, (p_size % 3 = 0)::INT AS is_signed, p_type AS units FROM part")
@@ -100,19 +98,21 @@ def csv_pairs(t):
     return n.join(t.spark.read.csv(b, header=True, schema="r_regionkey int, r_name string"), F.col("n_regionkey") == F.col("r_regionkey")).drop("r_regionkey")
 
 
-@query("SELECT unnest([1, 2]) AS file_id, unnest(['A', 'B']) AS point, unnest(['f', 'g']) AS func, unnest(['{\"k\": 1}', '{}']) AS args_json, unnest(['1.0', NULL]) AS version")
+@query("SELECT s_suppkey::INT AS file_id, 'TRAJ_' || CASE WHEN s_nationkey % 2 = 0 THEN 'CREATE' ELSE 'JOIN' END AS point, 'link' AS func, '{\"area\":' || s_nationkey || ',\"name\":\"' || s_name || '\"}' AS args_json, '1.0' AS version FROM supplier")
 def provenance_records(t):
-    """SNK-11: records of steps."""
-    rows = export.provenance(t.spark, 1, "A", "f", {"k": 1}, {"x": "1.0"}).unionByName(export.provenance(t.spark, 2, "B", "g", {}, {}))
+    """SNK-11: a record of a step, with its arguments, for every file."""
+    s = t("supplier").withColumn("file_id", F.col("s_suppkey"))
+    point = F.concat(F.lit("TRAJ_"), F.when(F.col("s_nationkey") % 2 == 0, "CREATE").otherwise("JOIN"))
+    rows = export.provenance_rows(s, point, "link", {"name": F.col("s_name"), "area": F.col("s_nationkey")}, {"x": "1.0"})
     return rows.select("file_id", "point", "func", "args_json", F.try_element_at("versions", F.lit("x")).alias("version"))
 
 
-@query("SELECT r_regionkey, r_name AS lab, 25 AS fps, NULL::VARCHAR AS who FROM region")
+@query("SELECT c_custkey, '{' || CASE WHEN c_custkey % 3 > 0 THEN '\"@OMG\":{\"fps\":' || c_nationkey || '},' ELSE '' END || '\"lab\":\"' || c_mktsegment || '\"' || CASE WHEN c_custkey % 5 > 0 THEN ',\"who\":\"' || c_name || '\"' ELSE '' END || '}' AS metadata FROM customer")
 def document_metadata(t):
-    """SNK-06: metadata in standard fields, others under a key of their own."""
-    rows = [(r.r_regionkey, export.wcon_metadata({"lab": r.r_name, "fps": 25, "who": None})) for r in t("region").collect()]
-    df = t.spark.createDataFrame(rows, "r_regionkey int, text string")
-    return df.select("r_regionkey", F.get_json_object("text", "$.lab").alias("lab"), F.get_json_object("text", "$['@OMG'].fps").cast("int").alias("fps"), F.get_json_object("text", "$.who").alias("who"))
+    """SNK-06: metadata in standard fields, others under a key of their own, without what is missing."""
+    c = t("customer")
+    text = export.wcon_metadata_column({"who": F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")), "lab": F.col("c_mktsegment"), "fps": F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey"))})
+    return c.select("c_custkey", text.alias("metadata"))
 
 
 @query("SELECT event_id, round(0.75::DOUBLE * value / 100 + 0.15::DOUBLE * (user_id % 10) / 10 + 0.10::DOUBLE * (event_id % 7) / 7, 9) AS p FROM events")
@@ -147,11 +147,30 @@ def zero_crossings(t):
     return kernels.with_tracks(frames(t).select("user_id", "frame", "event_id", "value"), TRACK.keys, TRACK.order, ["value"], run, {"before": "bigint", "after": "bigint"}).select("event_id", "before", "after")
 
 
-@query("SELECT unnest(range(4)) AS place, unnest(['SKE_INIT', 'BLOB_FEATS', 'SKE_CREATE', 'SKE_FILT']) AS step, 7 AS min_area, 6000 AS save_interval_frames")
+_STEPS = "s(analysis, names) AS (VALUES " + ", ".join(f"('{a}', [" + ", ".join(f"'{n}'" for n in names) + "])" for a, names in stages.ANALYSES.items()) + ")"
+
+
+@query(f"""WITH {_STEPS}, f AS (SELECT o_orderkey AS file_id, CASE o_orderstatus WHEN 'F' THEN 'CURRENT' WHEN 'O' THEN 'LEGACY' WHEN 'P' THEN 'SINGLE' ELSE 'NONE' END AS analysis, CASE WHEN o_custkey % 3 = 0 THEN 'SKE_INIT' WHEN o_custkey % 3 = 1 THEN '' ELSE 'SKE_FILT' END AS a, CASE WHEN o_custkey % 5 = 0 THEN 'BLOB_FEATS' WHEN o_custkey % 5 = 1 THEN 'INT_PROFILE' END AS b FROM orders),
+p AS (SELECT f.*, names, CASE WHEN a = '' THEN 1 ELSE list_position(names, a) END AS i, CASE WHEN b IS NULL THEN len(names) ELSE list_position(names, b) END AS j FROM f LEFT JOIN s USING (analysis)),
+x AS (SELECT file_id, unnest(range(i, j + 1)) AS k, i, names FROM p WHERE i > 0 AND j >= i)
+SELECT file_id, (k - i)::INT AS place, names[k] AS step FROM x UNION ALL SELECT file_id, NULL, NULL FROM p WHERE NOT coalesce(i > 0 AND j >= i, false)""")
 def step_lists(t):
-    """ORC-01, ORC-02, ORC-03, SEL-20: the steps between two, and parameters that follow from the frame rate."""
-    p = stages.Parameters.of(json.dumps({"fps": 30, "min_area": 7})).resolved(30)
-    return t.spark.createDataFrame([(i, s, p.min_area, p.save_interval_frames) for i, s in enumerate(stages.steps("CURRENT", "SKE_INIT", "SKE_FILT"))], "place bigint, step string, min_area int, save_interval_frames int")
+    """ORC-01, SEL-20: the steps of every file's analysis between two of them."""
+    kind = F.when(F.col("o_orderstatus") == "F", "CURRENT").when(F.col("o_orderstatus") == "O", "LEGACY").when(F.col("o_orderstatus") == "P", "SINGLE").otherwise("NONE")
+    a = F.when(F.col("o_custkey") % 3 == 0, "SKE_INIT").when(F.col("o_custkey") % 3 == 1, "").otherwise("SKE_FILT")
+    b = F.when(F.col("o_custkey") % 5 == 0, "BLOB_FEATS").when(F.col("o_custkey") % 5 == 1, "INT_PROFILE")
+    return stages.planned_steps(t("orders").select(F.col("o_orderkey").alias("file_id"), kind.alias("analysis"), a.alias("start"), b.alias("end")))
+
+
+@query("""SELECT p_partkey, (p_size + 10)::DOUBLE AS expected_fps, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 50 END::INT AS min_area, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 1 END::INT AS min_frames,
+0.25::DOUBLE AS smooth_window_s, CASE WHEN p_size % 7 = 0 THEN 11 ELSE 200 * (p_size + 10) END::INT AS save_interval_frames, CASE WHEN p_size % 5 = 0 THEN 'speed' ELSE '' END AS unknown FROM part""")
+def resolved_parameters(t):
+    """ORC-02, ORC-03: parameters of every file from JSON with old names, and what follows from the frame rate."""
+    size = F.col("p_size")
+    given = {"fps": size + 10, "min_area": F.when(size % 2 == 0, size), "min_num_skel": F.when(size % 3 == 0, size), "save_interval_frames": F.when(size % 7 == 0, 11), "speed": F.when(size % 5 == 0, 1)}
+    files = t("part").select("p_partkey", F.to_json(F.struct(*(v.alias(k) for k, v in given.items()))).alias("parameters"), (size + 10).alias("fps"))
+    out = stages.resolved_parameters(files)
+    return out.select("p_partkey", "expected_fps", "min_area", "min_frames", "smooth_window_s", "save_interval_frames", F.array_join("unknown", ",").alias("unknown"))
 
 
 @query("SELECT user_id, CASE WHEN min(value) >= 0.5 THEN round(sum(value), 4) END AS total, CASE WHEN min(value) < 0.5 THEN 'ValueError: too small' END AS error FROM events GROUP BY user_id")

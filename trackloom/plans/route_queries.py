@@ -412,7 +412,7 @@ def _tracks(t) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_D}, k AS (SELECT file_id, worm_index_blob AS w, min(frame_number) % 40 + worm_index_blob % 60 AS s, 0 AS z FROM d GROUP BY ALL),
-m AS (SELECT d.*, d.frame_number - min(frame_number) OVER (PARTITION BY worm_index_blob) AS rel FROM d), q AS (SELECT *, rel + worm_index_blob * 24 AS fr FROM m WHERE rel < 48),
+q AS (SELECT * REPLACE (worm_index_blob * 100000 + (frame_number - min(frame_number) OVER (PARTITION BY worm_index_blob)) // 48 AS worm_index_blob), frame_number AS fr FROM d),
 t AS (SELECT file_id, worm_index_blob AS w, min(fr) AS s, max(fr) AS e, count(*) AS n, arg_min(coord_x, fr) AS x0, arg_min(coord_y, fr) AS y0, arg_min(area, fr) AS a0, arg_max(coord_x, fr) AS x1, arg_max(coord_y, fr) AS y1, arg_max(area, fr) AS a1 FROM q GROUP BY ALL),
 p AS (SELECT a.file_id, a.w AS prev, b.w, sqrt((a.x1 - b.x0) ** 2 + (a.y1 - b.y0) ** 2) AS dist FROM t a JOIN t b ON a.file_id = b.file_id AND a.e < b.s AND b.s <= a.e + 40 AND a.a1 / b.a0 > 0.5 AND a.a1 / b.a0 < 2 WHERE a.n >= 2 AND b.n >= 2),
 best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY file_id, prev ORDER BY dist, w) = 1), l AS (SELECT file_id, w, max(prev) AS prev FROM best WHERE dist <= 300 GROUP BY ALL),
@@ -422,7 +422,8 @@ def joined_tracks(t):
     """TRK-02, SEL-10: tracks joined over gaps, by roots of chains."""
     d = _tracks(t)
     rel = F.col("frame_number") - F.min("frame_number").over(Window.partitionBy("worm_index_blob"))
-    q = d.withColumn("rel", rel).where("rel < 48").withColumn("frame_number", F.col("rel") + F.col("worm_index_blob") * 24)
+    # Two days of a track are a track of their own, so that there are gaps to join.
+    q = d.withColumn("worm_index_blob", F.col("worm_index_blob") * 100_000 + F.floor(rel / 48))
     return K.join_gaps(q, max_gap=40, min_rows=2).select("row_id", "worm_index_joined")
 
 

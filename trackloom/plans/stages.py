@@ -43,6 +43,20 @@ def steps(analysis: str, start: str = "", end: str = "") -> list[str]:
     return names[a:b]
 
 
+def planned_steps(files: DataFrame, analysis: str = "analysis", start: str = "start", end: str = "end") -> DataFrame:
+    """(file_id, place, step): the steps of each file's analysis from its ``start`` to its ``end``, from 0.
+
+    NULL or empty bounds are open.  An unknown analysis or bound, or a last step before the first, gives one row without
+    a step.
+    """
+    lists = F.create_map(*(x for name, names in ANALYSES.items() for x in (F.lit(name), F.array(*map(F.lit, names)))))
+    names = F.try_element_at(lists, F.col(analysis))
+    place = lambda c, none: F.when(F.coalesce(F.col(c), F.lit("")) == "", none).otherwise(F.array_position(names, F.col(c)))
+    a, b = place(start, F.lit(1)).cast("int"), place(end, F.size(names)).cast("int")
+    some = F.when((a > 0) & (b >= a), F.slice(names, a, b - a + 1))
+    return files.select("file_id", F.posexplode_outer(some).alias("place", "step"))
+
+
 @dataclass(frozen=True)
 class Parameters:
     """Parameters with defaults; -1 stands for a default that follows from the frame rate."""
@@ -81,6 +95,25 @@ class Parameters:
         return replace(self, smooth_window_s=self.smooth_window_s if self.smooth_window_s >= 0 else 0.25, save_interval_frames=self.save_interval_frames if self.save_interval_frames >= 0 else int(200 * fps))
 
 
+def resolved_parameters(files: DataFrame, given: str = "parameters", fps: str = "fps") -> DataFrame:
+    """``files`` with every parameter as a column, from JSON objects; what is not given takes its default.
+
+    Old names count, the new one first.  ``fps`` decides what follows from the frame rate.  ``unknown`` lists names that
+    are no parameters; such files must not run.
+    """
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    known = {f.name: f.default for f in fields(Parameters)}
+    old = {a: n for a, n in Parameters.ALIASES.items()}
+    schema = ", ".join(f"{n} {kinds[type(known.get(n, known.get(old.get(n))))]}" for n in [*known, *old])
+    got = F.from_json(F.coalesce(F.col(given), F.lit("{}")), schema)
+    out = {n: F.coalesce(got[n], *(got[a] for a, new in old.items() if new == n), F.lit(v)) for n, v in known.items()}
+    out["smooth_window_s"] = F.when(out["smooth_window_s"] >= 0, out["smooth_window_s"]).otherwise(0.25)
+    out["save_interval_frames"] = F.when(out["save_interval_frames"] >= 0, out["save_interval_frames"]).otherwise((200 * F.col(fps)).cast("int"))
+    names = F.json_object_keys(F.coalesce(F.col(given), F.lit("{}")))
+    out["unknown"] = F.filter(names, lambda n: ~n.isin([*known, *old]))
+    return files.withColumns(out)
+
+
 @dataclass
 class Plan:
     """Stages over tables by name.  Nothing runs before a table is used or written."""

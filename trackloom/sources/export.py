@@ -93,7 +93,11 @@ def wcon_data(df: DataFrame, keys: Sequence[str], time: Column, points: str = "s
     return rows.select(*keys, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def wcon_metadata(meta: dict[str, object], standard: Sequence[str] = ("id", "lab", "who", "timestamp", "temperature", "humidity", "arena", "food", "media", "sex", "stage", "age", "strain", "protocol", "interpolate", "software", "settings")) -> str:
+#: Fields that the standard names.
+WCON_STANDARD = ("id", "lab", "who", "timestamp", "temperature", "humidity", "arena", "food", "media", "sex", "stage", "age", "strain", "protocol", "interpolate", "software", "settings")
+
+
+def wcon_metadata(meta: dict[str, object], standard: Sequence[str] = WCON_STANDARD) -> str:
     """Metadata with what the standard does not name under ``@OMG``."""
     out: dict[str, object] = {k: v for k, v in meta.items() if k in standard and v is not None}
     if other := {k: v for k, v in meta.items() if k not in standard and v is not None}:
@@ -101,6 +105,16 @@ def wcon_metadata(meta: dict[str, object], standard: Sequence[str] = ("id", "lab
     return json.dumps(out, sort_keys=True)
 
 
+def wcon_metadata_column(columns: dict[str, Column], standard: Sequence[str] = WCON_STANDARD) -> Column:
+    """The metadata of each row as JSON: standard fields, and others under ``@OMG``; NULLs are left out."""
+    other = {k: v for k, v in sorted(columns.items()) if k not in standard}
+    fields = [v.alias(k) for k, v in sorted(columns.items()) if k in standard]
+    if other:
+        some = F.coalesce(*(v.cast("string") for v in other.values())).isNotNull()
+        fields.insert(0, F.when(some, F.struct(*(v.alias(k) for k, v in other.items()))).alias("@OMG"))
+    return F.to_json(F.struct(*fields))
+
+
 #: Units of the WCON columns.
 WCON_UNITS = {"t": "seconds", "x": "micrometers", "y": "micrometers", "px": "micrometers", "py": "micrometers"}
 
@@ -122,6 +136,14 @@ def provenance(spark, file_id: int, point: str, func: str, args: dict, versions:
     return spark.createDataFrame([(file_id, point, func, json.dumps(args, sort_keys=True), versions)], "file_id int, point string, func string, args_json string, versions map<string,string>")
 
 
+def provenance_rows(files: DataFrame, point: Column | str, func: Column | str, args: dict[str, Column], versions: dict[str, str]) -> DataFrame:
+    """Records of a step for every row of ``files`` (file_id): its arguments are columns, kept as JSON in order of name."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    given = F.to_json(F.struct(*(v.alias(k) for k, v in sorted(args.items())))) if args else F.lit("{}")
+    noted = F.create_map(*(F.lit(x) for kv in sorted(versions.items()) for x in kv)).cast("map<string,string>")
+    return files.select(F.col("file_id").cast("int").alias("file_id"), lit(point).alias("point"), lit(func).alias("func"), given.alias("args_json"), noted.alias("versions"))
+
+
 def egg_events(df: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
     """(keys, frames): distinct frames in ascending order, joined by tabs; what is no number is left out."""
     value = F.expr(f"try_cast({frame} AS bigint)")

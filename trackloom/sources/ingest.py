@@ -135,10 +135,9 @@ def ini_values(text: Column) -> Column:
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))))))
 
 
-def feature_names(spark: SparkSession, path: str) -> list[str]:
-    """Names from a headerless list, one a line; a byte order mark is left out."""
-    rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", "^﻿", "")).alias("v")).where("v <> ''")
-    return [r[0] for r in rows.collect()]
+def feature_names(spark: SparkSession, path: str) -> DataFrame:
+    """(name) from a headerless list, one a line; a byte order mark is left out."""
+    return spark.read.text(path).select(F.trim(F.regexp_replace("value", "^﻿", "")).alias("name")).where("name <> ''")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
