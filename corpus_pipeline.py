@@ -2,7 +2,9 @@
 
 Rows with null or empty texts fail the quality rules.  Rows of one doc_id, null included, are one document to line
 deduplication and the n-gram join: if another document of its group stays, all of them go.  Repeated rows are mixed and
-packed one by one.  Empty tables give empty results.
+packed one by one.  Empty tables give empty results.  Very long texts are read whole in every stage; ties go as each
+stage's operator says; columns of documents other than doc_id, text, source and n_chars are only passed on, up to the last
+stage, which returns places of pieces.
 """
 
 from __future__ import annotations

@@ -31,3 +31,17 @@ def test_files_with_titles_and_full_texts(spark, make_docs):
     mixed = [(0, "Copyright 2020 me\rReleased under the MIT License."), (1, "(c) 2020 me\n \n*** Released under the MIT Licence"), (2, "All rights reserved\nReleased under the MIT License"), (3, "Re-released under the MIT License")]
     assert sorted((r.doc_id, r.license_id) for r in license_scan(make_docs(mixed), known_licenses(spark)).collect()) == [(0, "MIT-notice"), (1, "MIT-notice"), (2, "MIT-notice"), (3, None)]
     assert all(a[:3] == b[:3] for a, b in module.SPELLINGS.items())
+
+
+def test_altered_texts_by_hand(spark):
+    """What may change and what may not, written out; nothing here uses the operator's own patterns."""
+    mit = KNOWN["MIT"]
+    same = [
+        mit, mit.upper(), mit.lower(), "\n\n" + mit.replace("\n", " ") + "  ", mit.replace(",", " ;"), "Copyright (c) 2020-2024 Jane Doe\n\n" + mit, "\u00a9 1999 Someone\nAll rights reserved.\n" + mit,
+        mit.replace("license", "licence").replace("License", "Licence"),
+    ]
+    other = [mit.replace("without", "with"), mit + " And more.", mit[: len(mit) // 2], mit.replace("copies", "copy"), "", None, "no licence at all"]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(same + other)], "doc_id long, text string, license_id int, digest string")
+    got = {r.doc_id: r.license_id for r in license_scan(docs, known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(same))] == ["MIT"] * len(same)
+    assert [got[len(same) + i] for i in range(len(other))] == [None] * len(other)

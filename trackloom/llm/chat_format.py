@@ -73,7 +73,8 @@ def format_reply_trees(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     tree, and a reply's id is above its parent's: a parent that is missing or not below makes a node a root.  A path's
     score is the mean over its nodes, null scores as 0; ties go to the smaller leaf.  Null roles and texts are empty.
     Returns tree, leaf, rank, score, n_turns, formatted and loss, the spans [start, stop) of the assistant texts in
-    code points of ``formatted``.  An empty table gives an empty result.
+    code points of ``formatted``.  An empty table gives an empty result, long texts are kept whole, and other columns are
+    ignored.  A node id that a tree repeats breaks the contract: its rows then stand on every path through the id.
     """
     scratch = Scratch(nodes.sparkSession, "chat")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))

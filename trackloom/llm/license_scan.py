@@ -125,7 +125,8 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     Returns for each row of ``docs``: doc_id, license_id (of the whole text, or null) and line_licenses (of its lines,
     distinct and sorted; empty if none).  Of licences with equal canonical texts the smallest id counts; known texts
-    that are canonically empty match nothing.  Null and empty texts match nothing; repeated rows give equal results;
+    that are canonically empty match nothing.  A line that several licences consist of counts for the smallest id alone.
+    Null and empty texts match nothing; repeated rows give equal results;
     long texts are looked at whole and line by line, other columns not at all; an empty table gives an empty result.
     """
     known = known.withColumn("canonical", canonical(F.col("text"))).where("canonical <> ''")

@@ -207,6 +207,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | No
     Null texts and texts without words have empty sets and are alone, as is a row with null doc_id and an empty set;
     other null ids take part as one document, below all others.  Rows with one doc_id each keep a row; they count as one
     document, which links if any of its texts does.
+    Ties between sizes or shared shingles need no rule: links are links, and the smallest id names a group.  Very long
+    texts are read whole, alone in their batch; columns other than doc_id and text are ignored; an empty table gives an
+    empty result.
     ``broadcast_rows`` bounds the ids that are broadcast to pick candidates' texts; beyond it they are joined.
     """
     sets, names, groups, members, scratch = _linked(docs, n, percent, buckets, hub_rounds, broadcast_rows)

@@ -67,7 +67,7 @@ def best_fit_packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
 
     Sizes are words.  ``copy`` counts rows with an equal doc_id and size from 1; ``slot`` and ``start_in_bin`` place a
     piece in its sequence.  A null text or one without words is one piece of 0 words in no bin (nulls).  No piece is
-    dropped; a very long text is many pieces; other columns are not looked at; equal sizes go by doc_id, copy and piece;
+    dropped; rows without a doc_id are copies of one id, which is null in the result; a very long text is many pieces; other columns are not looked at; equal sizes go by doc_id, copy and piece;
     an empty table gives an empty result.
     """
     caps = tuple(sorted(set(capacities)))

@@ -181,8 +181,9 @@ def quality_rules(docs: DataFrame, trees: Trees | None, keep_columns: bool = Fal
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), base_failed (under 20 words,
     or over 30 % of the words in repeated 8-word windows), score (of the trees; null without trees) and kept: false if
     base_failed, else score >= 0.5, else true without trees.  A null text counts as empty and so fails; repeated rows
-    get one result each; an empty table gives an empty result.  With ``keep_columns`` the kept documents come back
-    instead, with their own columns.
+    get one result each, and so do rows of one doc_id or of none; a score of exactly 0.5 is kept; an empty table gives an
+    empty result.  Very long texts are read whole, alone in their batch.  With ``keep_columns`` the kept documents come
+    back instead, with their own columns; else other columns are ignored, whatever their names.
     """
     columns = docs.columns if keep_columns else ["doc_id"]
     schema_of = {f.name: f.dataType.simpleString() for f in docs.schema}
