@@ -133,3 +133,41 @@ def test_poses_follow_the_last_one_before_a_gap(spark):
     heads = np.array([(r["skeleton"][0]["x"], r["skeleton"][0]["y"]) for r in out if r["skeleton"]])
     assert np.hypot(*np.diff(heads, axis=0).T).max() < 8
     assert images.poses_of_rois(rois).where(F.col("skeleton").isNotNull()).count() == 4
+
+
+def test_curvature_of_noisy_circles():
+    from trackloom.functions import kernels
+
+    rng = np.random.default_rng(0)
+    t = np.linspace(0, 2, 49)
+    poses = np.stack([np.column_stack((r * np.cos(t), r * np.sin(t))) + rng.normal(0, s, (49, 2)) for r in (60, 120) for s in (0, 0.7)])
+    poses = np.concatenate((poses, np.full((1, 49, 2), np.nan)))
+    got = kernels.curvature_spline(poses, residual=0.7**2 * 49)
+    assert np.isnan(got[4]).all()
+    for row, r in zip(got, (60, 60, 120, 120), strict=False):
+        assert np.median(np.abs(row[5:-5] - 1 / r)) < 0.3 / r
+    exact = kernels.smoothing_spline(poses[:1, :, 0], residual=1e-12)
+    np.testing.assert_allclose(exact, poses[:1, :, 0], atol=1e-5)
+    line = kernels.smoothing_spline(np.arange(20.0)[None] + rng.normal(0, 0.1, (1, 20)), residual=100.0)
+    assert np.abs(np.diff(line[0], n=3)).max() < 1e-6
+    assert features.curvature.__doc__ and "spline" in kernels.CURVATURES
+
+
+def test_two_peaks_give_an_axis(spark):
+    y, x = np.mgrid[:60, :80]
+    bump = lambda cx, cy, s, h: h * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * s * s))
+    cases = {
+        0: (bump(30, 30, 7, 200) + bump(50, 34, 5, 180), [(30, 30), (50, 34)]),
+        1: (bump(50, 34, 7, 190) + bump(30, 30, 5, 200), [(50, 34), (30, 30)]),
+        2: (bump(40, 30, 8, 220), None),
+        3: (bump(20, 30, 5, 200) + bump(40, 30, 5, 200) + bump(60, 30, 5, 200), None),
+        4: (np.zeros((60, 80)), None),
+    }
+    rows = [(k, 60, 80, bytearray(np.clip(a, 0, 255).astype(np.uint8).tobytes()), 100.0, 10.0, 40.0) for k, (a, _) in cases.items()]
+    rois = spark.createDataFrame(rows, "frame_number int, h int, w int, pixels binary, roi_x double, roi_y double, area double")
+    out = {r["frame_number"]: r["skeleton"] for r in images.two_point_axes(rois, ("frame_number",)).collect()}
+    for k, (_, want) in cases.items():
+        if want is None:
+            assert out[k] is None
+        else:
+            assert len(out[k]) == 2 and all(np.hypot(p["x"] - 100 - cx, p["y"] - 10 - cy) <= 2 for p, (cx, cy) in zip(out[k], want, strict=True))

@@ -229,3 +229,28 @@ def test_tables_documents_and_command_line(spark, tmp_path):
         (tmp_path / "found").mkdir(exist_ok=True)
         (tmp_path / "found" / name).write_bytes(b"x")
     assert [r.name for r in ingest.summary_inputs(spark, str(tmp_path / "found"), "current").collect()] == ["a_featuresN.hdf5"]
+
+
+def test_background_of_a_stream_equals_that_of_the_table(spark, tmp_path):
+    from trackloom.streaming.stream import background_stream
+
+    rng = np.random.default_rng(0)
+    rows = [(f, n, 3, 4, bytearray((np.zeros(12) if n == 4 else rng.integers(0, 250, 12)).astype(np.uint8).tobytes())) for f in range(2) for n in range(20)]
+    schema = "file_id int, frame_number int, h int, w int, pixels binary"
+    for part, (lo, hi) in enumerate(((0, 7), (7, 8), (8, 20))):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{part}"))
+    for dark in (True, False):
+        got = []
+        keep = lambda batch, _: got.extend(batch.collect())
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        background_stream(stream, 4, 3, dark).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", str(tmp_path / f"state-{dark}")).trigger(availableNow=True).start().awaitTermination()
+        assert len(got) == 40
+        for f in range(2):
+            mine = {r[1]: np.frombuffer(bytes(r[4]), np.uint8) for r in rows if r[0] == f}
+            ring, last = [], None
+            for n in range(20):
+                if (last is None or n - last >= 4) and mine[n].any():
+                    ring, last = [*ring, mine[n]][-3:], n
+                want = np.max(ring, axis=0) if dark else np.min([np.where(x == 0, 255, x) for x in ring], axis=0)
+                one = next(r for r in got if r.file_id == f and r.frame_number == n)
+                assert bytes(one.pixels) == want.astype(np.uint8).tobytes()

@@ -1,17 +1,21 @@
-"""Summaries from the command line: ``spark-submit -m trackloom`` or ``python -m trackloom``.
+"""From the command line: ``python -m trackloom run FOLDER`` and ``python -m trackloom SERIES OUTPUT``.
 
-Reads assembled series (Parquet, with file_id), cuts time windows, and writes a pair of CSVs for each window.
+The first runs the steps from frames to series in a folder of tables (``plans.route``).  The second reads assembled series
+(Parquet, with file_id), cuts time windows, and writes summaries as a pair of CSVs for each window.
 """
 
 from __future__ import annotations
 
 import argparse
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.operators import levels, selection
+from trackloom.plans.route import run_folder
+from trackloom.plans.stages import Parameters
 from trackloom.sources.export import write_csv_pair
 from trackloom.sources.ingest import read_table
 
@@ -30,7 +34,27 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> list[tuple[str, str]]:
+def steps_parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="trackloom run", description="Runs the steps from frames to series.")
+    p.add_argument("folder", help="folder with the tables frames and meta, which gets the others")
+    p.add_argument("--start", default="", help="first step; its inputs must be there")
+    p.add_argument("--end", default="", help="last step")
+    p.add_argument("--parameters", default="", help="JSON of parameters")
+    p.add_argument("--light", action="store_true", help="animals are lighter than their background")
+    return p
+
+
+def run_steps(args: Sequence[str], spark: SparkSession | None = None) -> list[str]:
+    given = steps_parser().parse_args(args)
+    spark = spark or SparkSession.builder.appName("trackloom").getOrCreate()
+    return run_folder(spark, given.folder, Parameters.of(given.parameters), given.start, given.end, not given.light)
+
+
+def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> list:
+    """The tables that were written by "run", else the pairs of CSVs."""
+    args = list(sys.argv[1:] if args is None else args)
+    if args[:1] == ["run"]:
+        return run_steps(args[1:], spark)
     given = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("trackloom").getOrCreate()
     series = read_table(spark, given.series)

@@ -192,7 +192,44 @@ def curvature_angle(pose: np.ndarray, window: int = 7) -> np.ndarray:
     return turn / (2 * (reach - 1) / (pose.shape[1] - 2) * length)[:, None]
 
 
-CURVATURES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"gradient": curvature_gradient, "angle": curvature_angle, "savgol": curvature_savgol}
+def smoothing_basis(n: int, order: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, penalties): vectors of ``n`` samples from smooth to rough, and the squares of their differences."""
+    step = np.diff(np.eye(n), n=min(order, n - 1), axis=0)
+    penalties, columns = np.linalg.eigh(step.T @ step)
+    return columns, np.maximum(penalties, 0)
+
+
+def smoothing_spline(x: np.ndarray, residual: float | None = None) -> np.ndarray:
+    """The smoothest series (batch, n) with a sum of squared residuals of at most ``residual`` (n unless given).
+
+    Roughness is the sum of squared third differences, as a spline of fifth degree minimises it.  All series share one
+    basis, in which the fit is a product by sample; how strong it must be is found for all of them by bisection.
+    """
+    x = np.asarray(x, float)
+    columns, penalties = smoothing_basis(x.shape[1])
+    parts = x @ columns
+    allowed = float(x.shape[1]) if residual is None else residual
+    low, high = np.full(len(x), -12.0), np.full(len(x), 16.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        strength = 10.0 ** mid[:, None] * penalties
+        left = ((strength / (1 + strength) * parts) ** 2).sum(1)
+        low, high = np.where(left <= allowed, mid, low), np.where(left <= allowed, high, mid)
+    return parts / (1 + 10.0 ** low[:, None] * penalties) @ columns.T
+
+
+def curvature_spline(pose: np.ndarray, residual: float | None = None) -> np.ndarray:
+    """Signed curvature along poses (frames, vertices, 2) of smoothing splines; NaN for poses with missing vertices."""
+    out = np.full(pose.shape[:2], np.nan)
+    good = ~np.isnan(pose).any(axis=(1, 2))
+    if good.any() and pose.shape[1] > 4:
+        smooth = np.stack([smoothing_spline(pose[good][..., k], residual) for k in range(2)], axis=-1)
+        d1 = np.gradient(smooth, axis=1, edge_order=2)
+        out[good] = _turn(d1, np.gradient(d1, axis=1, edge_order=2))
+    return out
+
+
+CURVATURES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"gradient": curvature_gradient, "angle": curvature_angle, "savgol": curvature_savgol, "spline": curvature_spline}
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -273,10 +310,12 @@ def short_time_peak(x: np.ndarray, rate: float, window: int, low: float, high: f
 
 def greedy_peaks(x: np.ndarray, apart: int) -> np.ndarray:
     """Indices of peaks, highest first, that lie more than ``apart`` from every peak taken before; ascending."""
-    taken: list[int] = []
-    for i in np.argsort(-np.nan_to_num(np.asarray(x, float), nan=-np.inf), kind="stable"):
-        if np.isfinite(x[i]) and all(abs(int(i) - t) > apart for t in taken):
-            taken.append(int(i))
+    x = np.asarray(x, float)
+    free, taken = np.isfinite(x), []
+    for i in np.argsort(-np.nan_to_num(x, nan=-np.inf), kind="stable").tolist():
+        if free[i]:
+            taken.append(i)
+            free[max(0, i - apart) : i + apart + 1] = False
     return np.array(sorted(taken), int)
 
 

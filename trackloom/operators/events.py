@@ -237,6 +237,17 @@ def crawling_bends(df: DataFrame, track: Track, bend: str, fps: float, out: str,
     return kernels.with_tracks(df, track.keys, track.order, [bend] + ([paused] if paused else []), run, {f"{out}_amplitude": "double", f"{out}_frequency": "double"})
 
 
+def separated_peaks(df: DataFrame, track: Track, x: str, apart: int, name: str = "is_peak") -> DataFrame:
+    """Adds whether a row is a peak of ``x``: highest first, each more than ``apart`` rows from all peaks that are higher."""
+
+    def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        flag = np.zeros(len(pdf), bool)
+        flag[kernels.greedy_peaks(pdf[x].to_numpy(float), apart)] = True
+        return {name: flag}
+
+    return kernels.with_tracks(df, track.keys, track.order, [x], run, {name: "boolean"})
+
+
 def coils(df: DataFrame, track: Track, code: str, fps: float, codes: Sequence[int] = (105, 106), seconds: float = 0.2) -> DataFrame:
     """(keys, start, end): from a frame coded as a coil to the last before the next segmented one, at least ``seconds`` long.
 

@@ -59,16 +59,39 @@ def skeletons(df: DataFrame, n: int = 49) -> DataFrame:
     return df.drop("skeleton", "widths").mapInPandas(run, schema)
 
 
+def resampled(df: DataFrame, column: str, n: int) -> DataFrame:
+    """A curve of each row drawn anew with ``n`` points at equal distances; NULL for curves without points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            curves = batch.column(column)
+            bounds = curves.offsets.to_numpy()
+            flat = curves.values
+            points = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xy"]).astype(float)
+            keep = curves.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bounds) > 0)
+            made = np.zeros((batch.num_rows, n, 2))
+            for i in np.flatnonzero(keep).tolist():
+                made[i] = kernels.resample_curve(points[bounds[i] : bounds[i + 1]], n)
+            yield pa.RecordBatch.from_arrays([_lists(made, keep, curves.type) if c == column else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _flat(pose: str) -> tuple[Column, Column]:
+    """The coordinates of a pose as two lists, which travel to numpy as they are."""
+    return F.transform(pose, lambda p: p["x"]), F.transform(pose, lambda p: p["y"])
+
+
 def posture(df: DataFrame, basis: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """head_tail_distance, quirkiness, axes, and projections on a posture basis (cosines unless given)."""
     basis = basis or G.cosine_basis(48, 7)
 
     @F.pandas_udf("major_axis double, minor_axis double, quirkiness double")
-    def boxes(skeleton: pd.Series) -> pd.DataFrame:
-        rows = [(np.nan,) * 3 if s is None else kernels.min_rectangle(np.array([(p["x"], p["y"]) for p in s])) for s in skeleton]
+    def boxes(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = [(np.nan,) * 3 if x is None else kernels.min_rectangle(np.column_stack((x, y))) for x, y in zip(xs, ys, strict=True)]
         return pd.DataFrame(rows, columns=["major_axis", "minor_axis", "quirkiness"])
 
-    df = df.withColumn("_box", boxes("skeleton")).withColumn("_angles", G.tangent_angles(F.col("skeleton")))
+    df = df.withColumn("_box", boxes(*_flat("skeleton"))).withColumn("_angles", G.tangent_angles(F.col("skeleton")))
     out = {"head_tail_distance": G.head_tail_distance(F.col("skeleton"))} | {c: F.col(f"_box.{c}") for c in ("major_axis", "minor_axis", "quirkiness")}
     out |= {f"eigen_projection_{i + 1}": c for i, c in enumerate(G.projections(F.col("_angles"), basis))}
     return df.withColumns(out).drop("_box", "_angles")
@@ -93,16 +116,16 @@ def curvature(df: DataFrame, method: str = "gradient", track: Track | None = Non
         kernel = kernels.CURVATURES[method]
 
         @F.pandas_udf("array<double>")
-        def along(skeleton: pd.Series) -> pd.Series:
-            out = [None] * len(skeleton)
-            good = [i for i, s in enumerate(skeleton) if s is not None]
+        def along(xs: pd.Series, ys: pd.Series) -> pd.Series:
+            out = [None] * len(xs)
+            good = [i for i, x in enumerate(xs) if x is not None]
             if good:
-                poses = np.array([[(p["x"], p["y"]) for p in skeleton.iloc[i]] for i in good])
+                poses = np.stack([np.stack(list(c.iloc[good])) for c in (xs, ys)], axis=-1).astype(float)
                 for i, row in zip(good, kernel(poses), strict=True):
                     out[i] = [None if np.isnan(v) else float(v) for v in row]
             return pd.Series(out)
 
-        df = df.withColumn("_k", along("skeleton"))
+        df = df.withColumn("_k", along(*_flat("skeleton")))
     known = lambda p: F.filter(G.part(F.col("_k"), p), lambda x: x.isNotNull())
     out = {f"curvature_{p}": F.try_element_at("_k", F.lit(i + 1)) for p, i in CURVATURE_POINTS.items()}
     for p in CURVATURE_POINTS:
@@ -370,28 +393,39 @@ def save_series(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("file_id").parquet(path)
 
 
-def robust_outliers(df: DataFrame, keys: Sequence[str], columns: dict[int, Sequence[str]], limit: float = 11.345, name: str = "skel_outliers_flag") -> DataFrame:
+def robust_outliers(df: DataFrame, keys: Sequence[str], columns: dict[int, Sequence[str]], limit: float = 11.345, name: str = "skel_outliers_flag", sample_rows: int = 20_000) -> DataFrame:
     """Adds a bit flag of rows far from a robust centre of each group of columns; the cut is on the distance.
 
-    ``keys`` name the group (a file) and then the row.
+    ``keys`` name the group (a file) and then the row.  Centre and covariance are fitted on about ``sample_rows`` rows of
+    a group (all, if it has no more), chosen by a hash of the row; every row is then cut by an expression.  A row lacking
+    one of a group's columns, and a group with too few whole rows, is not flagged.
     """
     group, row = list(keys[:-1]), keys[-1]
+    used = list(dict.fromkeys(c for cs in columns.values() for c in cs))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        flag = np.zeros(len(pdf), np.int64)
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = {k: [pdf[k].iloc[0]] for k in group}
         for bit, cols in columns.items():
             x = pdf[list(cols)].to_numpy(float)
-            good = np.isfinite(x).all(1)
-            if good.sum() > 2 * len(cols):
-                centre, cov = kernels.robust_covariance(x[good])
-                flag[np.flatnonzero(good)[kernels.mahalanobis(x[good], centre, cov) > limit]] |= 1 << bit
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, name: flag})
+            x = x[np.isfinite(x).all(1)]
+            centre, cov = kernels.robust_covariance(x) if len(x) > 2 * len(cols) else (None, None)
+            made |= {f"_centre{bit}": [None if centre is None else centre.tolist()], f"_inverse{bit}": [None if centre is None else np.linalg.inv(cov).ravel().tolist()]}
+        return pd.DataFrame(made)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {name} bigint"
-    used = list(dict.fromkeys(c for cs in columns.values() for c in cs))
-    made = df.select(*keys, *used).groupBy(*group).applyInPandas(run, schema)
-    return df.join(made, [*group, row])
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in group), *(f"_centre{b} array<double>, _inverse{b} array<double>" for b in columns)])
+    counts = small(df.groupBy(*group).agg(F.count("*").alias("_rows")))
+    chosen = F.shiftrightunsigned(F.xxhash64(row), 11) < F.lit(float(1 << 53)) * sample_rows / F.col("_rows")
+    fits = df.select(*keys, *used).join(counts, group).where(chosen).select(*group, *used).groupBy(*group).applyInPandas(fit, schema)
+    out = df.join(small(fits), group, "left")
+    flags = F.lit(0).cast("bigint")
+    for bit, cols in columns.items():
+        off = F.array(*(F.col(c).cast("double") for c in cols))
+        off = F.zip_with(off, F.col(f"_centre{bit}"), lambda v, m: v - m)
+        n = len(cols)
+        square = sum((off[i] * off[j] * F.col(f"_inverse{bit}")[i * n + j] for i in range(n) for j in range(n)), F.lit(0.0))
+        flags = flags.bitwiseOR(F.when(F.coalesce(F.sqrt(square) > limit, F.lit(False)) & ~F.isnan(square), 1 << bit).otherwise(0).cast("bigint"))
+    return out.withColumn(name, flags).drop(*(f"_{k}{b}" for k in ("centre", "inverse") for b in columns))
 
 
 def pose_transforms(pose: Column) -> dict[str, Column]:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from trackloom.functions.bodies import body_pose
 from trackloom.functions.kernels import convex_hull, min_rectangle
+from trackloom.functions.stage import otsu
 from trackloom.functions.timeseries import Track
 from trackloom.operators.tracking import consistent_flips, flip_poses
 
@@ -127,22 +128,33 @@ def detect_blobs(frames: DataFrame, threshold: int, min_area: int = 50, dark: bo
 def background(frames: DataFrame, keys: tuple[str, ...] = ("file_id",), dark: bool = True, parts: int = 32) -> DataFrame:
     """(keys, h, w, pixels): the lightest value of every pixel (darkest for light animals), masked pixels aside.
 
-    Frames are folded in ``parts`` groups first, so that no task holds all frames of a file.
+    Each task folds its frames as they come, one image for each file; these are folded in up to ``parts`` groups of tasks
+    and then once more, so that no task holds more than a few frames of a file.
     """
+    cols, better = [*keys, "h", "w"], np.maximum if dark else np.minimum
+
+    def plain(raw: bytes) -> np.ndarray:
+        a = np.frombuffer(raw, np.uint8)
+        return a if dark else np.where(a == 0, 255, a).astype(np.uint8)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, raw in zip(pdf[cols].itertuples(index=False, name=None), pdf["pixels"], strict=True):
+                totals[key] = better(totals[key], plain(raw)) if key in totals else plain(raw)
+        yield pd.DataFrame([(*k, v.tobytes()) for k, v in totals.items()], columns=[*cols, "pixels"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         total = None
-        for p in pdf["pixels"]:
-            a = np.frombuffer(p, np.uint8)
-            a = a if dark else np.where(a == 0, 255, a)
-            total = a if total is None else (np.maximum if dark else np.minimum)(total, a)
-        return pdf.iloc[:1].assign(pixels=[total.tobytes()])[[*keys, "h", "w", "pixels"]]
+        for raw in pdf["pixels"]:
+            total = plain(raw) if total is None else better(total, plain(raw))
+        return pdf.iloc[:1].assign(pixels=[total.tobytes()])[[*cols, "pixels"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "h", "w")) + ", pixels binary"
-    part = F.pmod(F.xxhash64("frame_number"), F.lit(parts)).alias("_part")
-    cols = [*keys, "h", "w", "pixels"]
-    return frames.select(*cols, part).groupBy(*keys, "_part").applyInPandas(fold, schema).groupBy(*keys).applyInPandas(fold, schema)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in cols) + ", pixels binary"
+    made = frames.select(*cols, "pixels").mapInPandas(stream, schema)
+    some = made.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    return some.groupBy(*keys, "_part").applyInPandas(fold, schema).groupBy(*keys).applyInPandas(fold, schema)
 
 
 def subtract_background(frames: DataFrame, back: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
@@ -183,21 +195,24 @@ def normalise(frames: DataFrame) -> DataFrame:
 
 
 def crop(frames: DataFrame, tracks: DataFrame, size: str = "roi_size") -> DataFrame:
-    """(file_id, frame_number, worm_index_joined, h, w, pixels): a square region for each tracked animal, 0 outside."""
+    """(file_id, frame_number, worm_index_joined, h, w, pixels, roi_x, roi_y): a square region for each tracked animal, 0
+    outside, and the place of its corner in the frame."""
     joined = frames.join(tracks.select("file_id", "frame_number", "worm_index_joined", "coord_x", "coord_y", F.col(size).cast("int").alias("_s")), ["file_id", "frame_number"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = []
+            made, corners = [], []
             for r in pdf.itertuples():
                 s, pad = int(r.s_), int(r.s_)
                 a = np.pad(image(r.pixels, r.h, r.w), pad)
                 x, y = int(round(r.coord_x)) - s // 2 + pad, int(round(r.coord_y)) - s // 2 + pad
                 x, y = min(max(x, 0), a.shape[1] - s), min(max(y, 0), a.shape[0] - s)
                 made.append(np.ascontiguousarray(a[y : y + s, x : x + s]).tobytes())
-            yield pdf.assign(h=pdf["s_"], w=pdf["s_"], pixels=made)[["file_id", "frame_number", "worm_index_joined", "h", "w", "pixels"]]
+                corners.append((float(x - pad), float(y - pad)))
+            xs, ys = zip(*corners, strict=True) if corners else ((), ())
+            yield pdf.assign(h=pdf["s_"], w=pdf["s_"], pixels=made, roi_x=xs, roi_y=ys)[["file_id", "frame_number", "worm_index_joined", "h", "w", "pixels", "roi_x", "roi_y"]]
 
-    return joined.withColumnRenamed("_s", "s_").mapInPandas(run, "file_id int, frame_number int, worm_index_joined int, h int, w int, pixels binary")
+    return joined.withColumnRenamed("_s", "s_").mapInPandas(run, "file_id int, frame_number int, worm_index_joined int, h int, w int, pixels binary, roi_x double, roi_y double")
 
 
 def difference_variance(frames: DataFrame, keys: tuple[str, ...] = ("file_id",), order: str = "frame_number") -> DataFrame:
@@ -389,6 +404,59 @@ def poses_of_rois(rois: DataFrame, keys: tuple[str, ...] = ("file_id", "worm_ind
     return flip_poses(consistent_flips(made, Track(keys, (frame,)), "skeleton"), "flip").drop("flip")
 
 
+def two_peaks(a: np.ndarray, min_area: float = 0.0) -> np.ndarray | None:
+    """The two intensity peaks (points x, y) of a bright body, that of the larger part first; None unless there are two.
+
+    The blurred image is parted from its background by Otsu's threshold.  Inside of the largest component every pixel
+    belongs to the peak that the steepest way up leads to; peaks whose surroundings touch are one.
+    """
+    kernel = np.array([1, 4, 6, 4, 1]) / 16
+    p = np.pad(a.astype(float), 2, "reflect")
+    rows = sum(k * p[i : i + a.shape[0]] for i, k in enumerate(kernel))
+    blur = sum(k * rows[:, i : i + a.shape[1]] for i, k in enumerate(kernel))
+    labels = label_components(blur > otsu(blur / 255) * 255)
+    sizes = np.bincount(labels.ravel())
+    sizes[0] = 0
+    if not labels.any() or sizes.max() < max(2, min_area):
+        return None
+    mask = labels == sizes.argmax()
+    # Equal heights go by place, so that every way ends.
+    height = np.where(mask, blur * mask.size - np.arange(mask.size).reshape(mask.shape) / mask.size, -np.inf)
+    q = np.pad(height, 1, constant_values=-np.inf)
+    around = np.stack([q[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)])
+    best = around.argmax(0)
+    y, x = np.indices(mask.shape)
+    up = np.where(mask, (y + best // 3 - 1) * a.shape[1] + x + best % 3 - 1, 0).ravel()
+    while not np.array_equal(up[up], up):
+        up = up[up]
+    tops = np.unique(up[mask.ravel()])
+    marks = np.zeros(mask.size, bool)
+    marks[tops] = True
+    near = label_components(dilate(marks.reshape(mask.shape), 1)).ravel()
+    found, area = np.unique(near[up[mask.ravel()]], return_counts=True)
+    if len(found) != 2:
+        return None
+    peaks = [max(tops[near[tops] == k], key=lambda t: blur.ravel()[t]) for k in found[np.argsort(-area, kind="stable")]]
+    return np.array([divmod(int(t), a.shape[1])[::-1] for t in peaks], float)
+
+
+def two_point_axes(rois: DataFrame, keys: tuple[str, ...] = ("file_id", "worm_index_joined", "frame_number")) -> DataFrame:
+    """(keys, skeleton): the two-point axis of each region of interest (h, w, pixels, roi_x, roi_y and area), by
+    :func:`two_peaks` of components of at least half the animal's area; NULL where there are not two peaks."""
+    kinds = {f.name: f.dataType.simpleString() for f in rois.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for r in pdf.itertuples():
+                peaks = two_peaks(image(r.pixels, r.h, r.w), r.area / 2)
+                made.append(None if peaks is None else [{"x": x + r.roi_x, "y": y + r.roi_y} for x, y in peaks.tolist()])
+            yield pdf[list(keys)].assign(skeleton=made)
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", skeleton array<struct<x:double,y:double>>"
+    return rois.select(*keys, "h", "w", "pixels", "roi_x", "roi_y", "area").mapInPandas(run, schema)
+
+
 def tiles(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """(file_id, frame_number, well_name, h, w, pixels): the frames' wells, by boxes (file_id, well_name, x_min, ...)."""
     joined = frames.join(boxes.select("file_id", "well_name", "x_min", "x_max", "y_min", "y_max"), "file_id")

@@ -28,7 +28,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def window_join(df: DataFrame, windows: DataFrame, at: str, start: str = "start", end: str = "end") -> DataFrame:
     """Rows with every half-open window [start, end) they lie in; a NULL end is open.
 
-    Up to ``FEW_WINDOWS`` windows are broadcast.  More meet the rows in buckets of the median window's width.
+    Up to ``FEW_WINDOWS`` windows are broadcast.  More meet the rows in buckets as wide as the next power of two over a
+    window's own width, so that each window lies in two buckets at most, however unlike the widths are; a row is looked up
+    once for each power that occurs.
     """
     inside = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     few = windows.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS
@@ -36,12 +38,19 @@ def window_join(df: DataFrame, windows: DataFrame, at: str, start: str = "start"
         return df.join(F.broadcast(windows), inside)
     # Time stamps and dates are counted in seconds.
     number = lambda df, c: F.col(c).cast("timestamp").cast("double") if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(c).cast("double")
-    bounds = windows.agg(F.median(number(windows, end) - number(windows, start)), F.max(number(windows, end)), F.max(number(windows, start))).first()
-    width, last = max(1e-6, float(bounds[0] or 1)), max(float(bounds[1] or 0), float(bounds[2] or 0))
-    stop = F.coalesce(number(windows, end), F.lit(last + width))
-    windows = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(number(windows, start) / width), F.floor(stop / width))))
-    held = F.least(F.floor(number(df, at) / width), F.lit(int(last // width) + 1))
-    return df.withColumn("_bucket", held).join(windows, "_bucket").where(inside).drop("_bucket")
+    bounds = windows.agg(F.max(number(windows, end)), F.max(number(windows, start))).first()
+    last = max(float(b or 0) for b in bounds)
+    # Beyond the last bound there are only open windows, which end just after it for the buckets.
+    first, stop = number(windows, start), F.coalesce(number(windows, end), F.lit(last + 1.0))
+    windows = windows.withColumn("_power", F.ceil(F.log2(F.greatest(stop - first, F.lit(1e-6)))).cast("int")).where(stop > first)
+    size = F.pow(F.lit(2.0), F.col("_power"))
+    windows = windows.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(first / size), F.floor(stop / size)))))
+    powers = [r[0] for r in windows.select("_power").distinct().collect()]
+    if not powers:
+        return df.limit(0).join(windows.drop("_power", "_bucket"))
+    held = F.least(number(df, at), F.lit(last + 0.5))
+    rows = df.withColumn("_power", F.explode(F.array(*map(F.lit, powers)))).withColumn("_bucket", F.floor(held / F.pow(F.lit(2.0), F.col("_power"))))
+    return rows.join(windows, ["_power", "_bucket"]).where(inside).drop("_power", "_bucket")
 
 
 def nearest_links(points: DataFrame, keys: Sequence[str], frame: str, row: str, x: str, y: str, size: str, max_distance: float, ratio: tuple[float, float]) -> DataFrame:

@@ -201,21 +201,49 @@ def median_mad_filter(df: DataFrame, entity: Sequence[str], x: str, group: Seque
     return df.join(keep, list(dict.fromkeys([*group, *entity])), "left_semi")
 
 
-def q_values(df: DataFrame, p: str, pi0: float | str = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+def q_values(df: DataFrame, p: str, pi0: float | str = 1.0, keys: Sequence[str] = (), robust: bool = False) -> DataFrame:
     """Adds q_value: pi0 * p * n / rank, made monotonic from the largest p down.
 
-    ``pi0`` may be a column, as :func:`null_share` gives it.  Ranks are those of a sort of all p of a group.
+    ``pi0`` may be a column, as :func:`null_share` gives it.  Ranks are those of a sort of all p of a group.  ``robust``
+    divides by the chance that any of the n is as small, for few p.
     """
     part = Window.partitionBy(*keys) if keys else Window.partitionBy()
     df = df.withColumn("_n", F.count(p).over(part)).withColumn("_rank", F.sum(F.lit(1)).over(part.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)))
     share = F.col(pi0) if isinstance(pi0, str) else F.lit(pi0)
-    q = F.least(share * F.col(p) * F.col("_n") / F.col("_rank"), F.lit(1.0))
+    q = share * F.col(p) * F.col("_n") / F.col("_rank")
+    q = F.try_divide(q, 1 - F.pow(1 - F.col(p), F.col("_n"))) if robust else q
+    q = F.least(q, F.lit(1.0))
     return df.withColumn("_q", q).withColumn("q_value", F.min("_q").over(part.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0))).drop("_n", "_rank", "_q")
 
 
-def null_share(df: DataFrame, p: str, keys: Sequence[str] = (), cut: float = 0.5) -> DataFrame:
-    """(keys, pi0): the share of true null hypotheses, from how many p lie above ``cut``; at most 1."""
-    return df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.least(F.lit(1.0), F.count(F.when(F.col(p) > cut, 1)) / F.count("*") / (1 - cut)).alias("pi0"))
+#: The grid of cuts.
+CUTS = tuple(round(0.05 * k, 2) for k in range(19))
+
+
+def null_share(df: DataFrame, p: str, keys: Sequence[str] = (), method: str | float = 0.5) -> DataFrame:
+    """(keys, pi0): the share of true null hypotheses, at most 1.
+
+    A number is the cut over which p counts.  "bootstrap" and "smoother" estimate the share at each of ``CUTS``, all in
+    one aggregate.  The first takes the estimate with the least mean squared distance to the smallest one over resampled
+    p; the mean over all resamples has a closed form, so that nothing is drawn.  The second takes the value at the last
+    cut of a cubic that is fitted to the estimates.
+    """
+    if isinstance(method, (int, float)):
+        return df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.least(F.lit(1.0), F.count(F.when(F.col(p) > method, 1)) / F.count("*") / (1 - method)).alias("pi0"))
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_m"), *(F.count(F.when(F.col(p) >= c, 1)).alias(f"_at{k}") for k, c in enumerate(CUTS)), *(F.count(F.when(F.col(p) > c, 1)).alias(f"_over{k}") for k, c in enumerate(CUTS)))
+    share = [F.col(f"_at{k}") / F.col("_m") / (1 - c) for k, c in enumerate(CUTS)]
+    if method == "smoother":
+        design = np.vander(CUTS, 4)
+        weights = (design[-1] @ np.linalg.pinv(design)).tolist()
+        pi0 = sum((w * s for w, s in zip(weights[1:], share[1:], strict=True)), weights[0] * share[0])
+    elif method == "bootstrap":
+        least = F.least(*share)
+        over = [F.col(f"_over{k}") / F.col("_m") for k in range(len(CUTS))]
+        error = [q * (1 - q) / (F.col("_m") * (1 - c) ** 2) + F.pow(q / (1 - c) - least, F.lit(2)) for q, c in zip(over, CUTS, strict=True)]
+        pi0 = F.array_min(F.array(*(F.struct(e.alias("error"), s.alias("pi0")) for e, s in zip(error, share, strict=True))))["pi0"]
+    else:
+        raise ValueError(f"no method {method!r}; there are a cut, 'bootstrap' and 'smoother'")
+    return counts.select(*keys, F.least(F.lit(1.0), pi0).alias("pi0"))
 
 
 def dwelling_time(df: DataFrame, keys: Sequence[str], points: str, cell: Column, fps: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -527,16 +529,23 @@ def cubic_fill(t):
     return kernels.per_track(_frames(t), track.keys, track.order, ["gappy"], lambda p: {"filled": kernels.fill_cubic(p["gappy"].to_numpy(float))}, {"filled": "double"})
 
 
-@query()
+_HANN = "[" + ", ".join(repr(0.5 - 0.5 * math.cos(2 * math.pi * k / 14)) for k in range(15)) + "]"
+
+
+@query(f"""WITH {FRAMES}, w AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS v FROM f), m AS (SELECT event_id, v, list_avg(v) AS a FROM w WHERE len(v) = 15),
+t AS (SELECT event_id, list_transform(range(1, 16), lambda i: (v[i] - a) * {_HANN}[i]) AS x FROM m), k AS (SELECT event_id, x, unnest(range(1, 8)) AS k FROM t),
+p AS (SELECT event_id, k, list_sum(list_transform(range(1, 16), lambda i: x[i] * cos(2 * pi() * k * (i - 1) / 15))) ** 2 + list_sum(list_transform(range(1, 16), lambda i: x[i] * sin(2 * pi() * k * (i - 1) / 15))) ** 2 AS power FROM k)
+SELECT f.event_id, round(arg_max(k, power) * 25 / 15::DOUBLE, 6) AS frequency, round(2 * sqrt(max(power)) / list_sum({_HANN}), 5) AS amplitude FROM f LEFT JOIN p USING (event_id) GROUP BY f.event_id""")
 def short_time_spectrum(t):
-    """WIN-29 (tier A)."""
+    """WIN-29: the highest frequency of a fixed window."""
     track = Track(("user_id",), ("frame",))
 
     def run(pdf):
         f, a = kernels.short_time_peak(pdf["value"].to_numpy(float), 25.0, 15, 1.0, 12.0, 0.0)
         return {"frequency": f, "amplitude": a}
 
-    return kernels.per_track(_frames(t), track.keys, track.order, ["value"], run, {"frequency": "double", "amplitude": "double"})
+    out = kernels.with_tracks(_frames(t).select("user_id", "frame", "event_id", "value"), track.keys, track.order, ["value"], run, {"frequency": "double", "amplitude": "double"})
+    return out.select("event_id", _r(F.col("frequency")).alias("frequency"), F.round("amplitude", 5).alias("amplitude"))
 
 
 @query()
@@ -565,4 +574,4 @@ def linked_tracks(t):
 
 __all__ = ["ORACLE", "QUERIES"]
 
-from trackloom.plans import file_queries, route_queries, table_queries  # noqa: E402, F401  register more queries
+from trackloom.plans import file_queries, route_queries, shape_queries, table_queries  # noqa: E402, F401  register more queries

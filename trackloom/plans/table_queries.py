@@ -21,6 +21,7 @@ from trackloom.operators import tracking as K
 from trackloom.plans.registry import FRAMES, ORACLE, frames, query, rounded
 from trackloom.plans.route_queries import _D, _P, BY_FRAME, TRACK, _poses, _rounded, _take, _tracks
 from trackloom.sources import ingest
+from trackloom.sources.export import shared_folder
 from trackloom.streaming import stream as T
 
 # ---- selection ------------------------------------------------------------------------------------------------------
@@ -360,6 +361,16 @@ def stream_linking(t):
     return t.drained(T.link_stream(d, max_distance=10.0), "append").select("file_id", "row_id", "worm_index_blob")
 
 
+@query(f"WITH {_IMG}, u AS (SELECT file_id, frame_number, unnest(range(1, 65)) AS k, unnest(px) AS v FROM i), p AS (SELECT a.file_id, a.frame_number, b.k, max(b.v) AS v FROM (SELECT DISTINCT file_id, frame_number FROM i) a JOIN u b ON a.file_id = b.file_id AND b.frame_number <= a.frame_number AND (b.frame_number - 1) % 3 = 0 AND b.frame_number > a.frame_number - (a.frame_number - 1) % 3 - 12 GROUP BY ALL) SELECT file_id, frame_number::INT AS frame_number, string_agg(printf('%02X', v), '' ORDER BY k) AS pixels FROM p GROUP BY file_id, frame_number")
+def stream_background(t):
+    """STR-6: the background of the last four of every third frame, kept as a ring in a stream's state."""
+    # A stream cannot number frames, so that they come from a table of their own.
+    where = shared_folder(t.spark, "frames")
+    _images(t).select("file_id", F.col("frame_number").cast("int").alias("frame_number"), "h", "w", "pixels").write.parquet(where)
+    s = t.spark.readStream.schema("file_id int, frame_number int, h int, w int, pixels binary").parquet(where)
+    return t.drained(T.background_stream(s, 3, 4), "append").select("file_id", "frame_number", F.hex("pixels").alias("pixels"))
+
+
 # ---- files ----------------------------------------------------------------------------------------------------------
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

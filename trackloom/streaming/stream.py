@@ -68,3 +68,37 @@ def link_stream(points: DataFrame, max_distance: float = 25.0, ratio: tuple[floa
         state.update((frame, int(next_id), *(v.tolist() for v in prev), ids.tolist()))
 
     return points.groupBy("file_id").applyInPandasWithState(run, LINKED, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+BACKGROUND = "file_id int, frame_number int, h int, w int, pixels binary"
+
+
+def background_stream(frames: DataFrame, gap: int, size: int, dark: bool = True) -> DataFrame:
+    """The background after each frame (file_id, frame_number, h, w, pixels): the lightest value of every pixel (darkest
+    for light animals) over the last ``size`` frames that count, masked pixels (0) aside.
+
+    A frame counts if it lies at least ``gap`` frames after the last one that did and is not all black.  The frames that
+    count are a file's state: a ring in which the newest takes the place of the oldest.  Frames must arrive in order; a
+    frame at or before the last one is left out as late.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values("frame_number")
+        seen, last, at, ring = state.get if state.exists else (-1, None, 0, [])
+        ring, back, rows = list(ring), None, []
+        for n, h, w, raw in zip(pdf["frame_number"].tolist(), pdf["h"].tolist(), pdf["w"].tolist(), pdf["pixels"], strict=True):
+            if n <= seen:
+                continue
+            seen = n
+            if (last is None or n - last >= gap) and any(raw):
+                ring[at : at + 1] = [bytes(raw)]
+                last, at, back = n, (at + 1) % size, None
+            if back is None:
+                kept = [np.frombuffer(x, np.uint8) for x in ring]
+                kept = kept or [np.zeros(h * w, np.uint8)]
+                back = np.max(kept, axis=0) if dark else np.min([np.where(x == 0, 255, x) for x in kept], axis=0)
+            rows.append((key[0], n, h, w, back.astype(np.uint8).tobytes()))
+        state.update((seen, last, at, ring))
+        yield pd.DataFrame(rows, columns=["file_id", "frame_number", "h", "w", "pixels"])
+
+    return frames.groupBy("file_id").applyInPandasWithState(run, BACKGROUND, "seen int, last int, at int, ring array<binary>", "append", GroupStateTimeout.NoTimeout)
