@@ -171,3 +171,36 @@ def test_two_peaks_give_an_axis(spark):
             assert out[k] is None
         else:
             assert len(out[k]) == 2 and all(np.hypot(p["x"] - 100 - cx, p["y"] - 10 - cy) <= 2 for p, (cx, cy) in zip(out[k], want, strict=True))
+
+
+def test_a_broken_ring_gives_one_smooth_contour(spark):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:220, :260]
+    angle, away = np.arctan2(y - 108, x - 133), np.hypot(x - 133, y - 108)
+    border = 70 + 5 * np.cos(2 * angle)
+    rim = (np.abs(away - border) < 2.5) & (np.abs(np.sin(2.5 * angle)) > 0.25)  # five gaps
+    a = np.where(rim, 120, 150) + rng.integers(-2, 3, (220, 260))
+    for cx, cy in rng.integers(10, 200, (8, 2)):  # spots
+        a[cy : cy + 5, cx : cx + 5] = 110
+    frames = spark.createDataFrame([(0, 220, 260, bytearray(a.astype(np.uint8).tobytes())), (1, 60, 60, bytearray(np.full(3600, 90, np.uint8).tobytes()))], "file_id int, h int, w int, pixels binary")
+    out = images.food_contours(frames, method="ring").orderBy("file_id", "seq").collect()
+    assert {r["file_id"] for r in out} == {0} and len(out) == 480
+    p = np.array([(r["x"], r["y"]) for r in out]) - [133, 108]
+    off = np.hypot(*p.T) - 70 - 5 * np.cos(2 * np.arctan2(p[:, 1], p[:, 0]))
+    assert np.abs(off).mean() < 1.5 and np.abs(off).max() < 4
+    assert np.hypot(*np.diff(np.vstack((p, p[:1])), axis=0).T).max() < 3
+
+
+def test_local_fits_and_circles():
+    from trackloom.functions import kernels
+
+    x = np.linspace(0, 10, 80)
+    y = np.sin(x)
+    y[[10, 40, 41]] += 5
+    assert np.abs(kernels.lowess(x, y, 0.12) - np.sin(x)).max() < 0.12
+    np.testing.assert_allclose(kernels.lowess(x, 2 * x + 1, 0.2), 2 * x + 1, atol=1e-9)
+    t = np.linspace(0, 4, 60)
+    points = np.vstack((np.column_stack((30 + 20 * np.cos(t), 40 + 20 * np.sin(t))), np.random.default_rng(0).uniform(0, 80, (30, 2))))
+    assert np.allclose(kernels.best_circle(points, 1.0, 5, 50), (30, 40, 20), atol=0.5)
+    assert kernels.best_circle(points[:2], 1.0, 5, 50) is None and kernels.best_circle(np.zeros((9, 2)), 1.0, 5, 50) is None
+    assert images.thinned(np.pad(np.ones((5, 30), bool), 3)).sum() < 60

@@ -33,7 +33,7 @@ def test_steps_from_frames_to_series(spark, tmp_path):
     rows = [(0, k, 160, 260, bytearray(frame_of(k).tobytes())) for k in range(12)]
     spark.createDataFrame(rows, "file_id int, frame_number int, h int, w int, pixels binary").write.parquet(f"{tmp_path}/frames")
     spark.createDataFrame([(0, 2.0)], "file_id int, microns_per_pixel double").write.parquet(f"{tmp_path}/meta")
-    given = json.dumps({"expected_fps": 5.0, "min_area": 60})
+    given = json.dumps({"expected_fps": 5.0, "min_area": 60, "threshold": 130})
     first = main(["run", str(tmp_path), "--end", "TRAJ_JOIN", "--parameters", given], spark)
     assert first == ["masked", "linked", "joined"]
     assert main(["run", str(tmp_path), "--start", "SKE_INIT", "--parameters", given], spark) == ["tracks", "poses", "pose_table", "series"]

@@ -192,6 +192,62 @@ def curvature_angle(pose: np.ndarray, window: int = 7) -> np.ndarray:
     return turn / (2 * (reach - 1) / (pose.shape[1] - 2) * length)[:, None]
 
 
+def lowess(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 3) -> np.ndarray:
+    """Values at each x (ascending) of lines through the nearest ``share`` of the points, near ones and fitting ones first.
+
+    Weights fall with the distance as (1 - d^3)^3; ``rounds`` further fits also weigh points by (1 - r^2)^2 of their
+    residual over six times the median one, so that outliers count for nothing.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    n = len(x)
+    k = min(n, max(2, int(np.ceil(share * n))))
+    apart = np.abs(x[:, None] - x[None])
+    reach = np.maximum(np.partition(apart, k - 1, axis=1)[:, k - 1 : k], 1e-12)
+    near = np.clip(1 - (apart / reach) ** 3, 0, None) ** 3
+    trust, out = np.ones(n), y
+    for _ in range(rounds + 1):
+        w = near * trust
+        total = np.maximum(w.sum(1), 1e-12)
+        mx, my = (w @ x) / total, (w @ y) / total
+        dx = x[None] - mx[:, None]
+        slope = (w * dx * (y[None] - my[:, None])).sum(1) / np.maximum((w * dx * dx).sum(1), 1e-12)
+        out = my + slope * (x - mx)
+        off = np.abs(y - out)
+        scale = 6 * np.median(off)
+        if scale <= 1e-12:
+            break
+        trust = np.clip(1 - (off / scale) ** 2, 0, None) ** 2
+    return out
+
+
+def best_circle(points: np.ndarray, within: float, smallest: float, largest: float, tries: int = 600, seed: int = 0) -> tuple[float, float, float] | None:
+    """(x, y, radius) of the circle with the most points at most ``within`` from it, among those through three points.
+
+    The winner is fitted once more to the points near it.
+    """
+    p = np.asarray(points, float)
+    if len(p) < 3:
+        return None
+    trio = p[np.random.default_rng(seed).integers(0, len(p), (tries, 3))]
+    a, b, c = trio[:, 0], trio[:, 1], trio[:, 2]
+    d = 2 * ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0])
+    sb, sc = ((b - a) ** 2).sum(1), ((c - a) ** 2).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        off = np.column_stack(((c - a)[:, 1] * sb - (b - a)[:, 1] * sc, (b - a)[:, 0] * sc - (c - a)[:, 0] * sb)) / d[:, None]
+    radius = np.hypot(*off.T)
+    good = np.isfinite(radius) & (radius >= smallest) & (radius <= largest)
+    if not good.any():
+        return None
+    centre, radius = (a + off)[good], radius[good]
+    hits = np.array([(np.abs(np.hypot(*(p - m).T) - r) <= within).sum() for m, r in zip(centre, radius, strict=True)])
+    m, r = centre[hits.argmax()], radius[hits.argmax()]
+    q = p[np.abs(np.hypot(*(p - m).T) - r) <= within]
+    if len(q) >= 3:
+        x, y, z = np.linalg.lstsq(np.column_stack((2 * q, np.ones(len(q)))), (q**2).sum(1), rcond=None)[0]
+        m, r = np.array([x, y]), float(np.sqrt(max(0.0, z + x * x + y * y)))
+    return float(m[0]), float(m[1]), float(r)
+
+
 def smoothing_basis(n: int, order: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(columns, penalties): vectors of ``n`` samples from smooth to rough, and the squares of their differences."""
     step = np.diff(np.eye(n), n=min(order, n - 1), axis=0)

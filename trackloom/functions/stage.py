@@ -12,7 +12,7 @@ MATCHED, NO_PEAK, BEFORE, AFTER = "matched", "no peak", "before the video", "aft
 
 def otsu(x: np.ndarray, bins: int = 256) -> float:
     """The threshold, from 0 to 1, that parts values from 0 to 1 into two classes with the largest variance between them."""
-    counts = np.bincount(np.rint(np.clip(np.nan_to_num(x), 0, 1) * (bins - 1)).astype(int), minlength=bins)
+    counts = np.bincount(np.rint(np.clip(np.nan_to_num(np.ravel(x)), 0, 1) * (bins - 1)).astype(int), minlength=bins)
     share = np.cumsum(counts) / max(1, counts.sum())
     mean = np.cumsum(counts * np.arange(bins)) / max(1, counts.sum())
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -82,6 +82,44 @@ def _flat(pose: str) -> tuple[Column, Column]:
     return F.transform(pose, lambda p: p["x"]), F.transform(pose, lambda p: p["y"])
 
 
+def smoothed_polygons(df: DataFrame, column: str, n: int = 1000, window: int | None = None) -> DataFrame:
+    """A closed polygon of each row drawn anew with ``n`` points and smoothed around its whole length
+    (``kernels.smooth_polygon``); NULL for polygons of under two points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            curves = batch.column(column)
+            bounds, flat = curves.offsets.to_numpy(), curves.values
+            points = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xy"]).astype(float)
+            keep = curves.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bounds) > 1)
+            made = np.zeros((batch.num_rows, n, 2))
+            for i in np.flatnonzero(keep).tolist():
+                made[i] = kernels.smooth_polygon(points[bounds[i] : bounds[i + 1]], n, window)
+            yield pa.RecordBatch.from_arrays([_lists(made, keep, curves.type) if c == column else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def coil_test(df: DataFrame, width_ratio: float = 2.25, area_ratio: float = 6.0) -> DataFrame:
+    """Adds may_coil: the midbody is too wide against the head or tail base, or the body too large against the head or tail.
+
+    Widths are medians of parts, areas are those between the contour sides of a part; NULL without a pose.
+    """
+    middle, head, tail = (G.width_of(F.col("widths"), p) for p in ("midbody", "head_base", "tail_base"))
+
+    def area(p: str) -> Column:
+        ring = F.concat(G.part(F.col("ventral"), p), F.reverse(G.part(F.col("dorsal"), p)))
+        nxt = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+        cross = F.zip_with(ring, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+
+    body, ends = area("body"), (area("head"), area("tail"))
+    wide = [(e <= 0) | (middle / F.nullif(e, F.lit(0.0)) > width_ratio) for e in (head, tail)]
+    large = [(e <= 0) | (body / F.nullif(e, F.lit(0.0)) > area_ratio) for e in ends]
+    known = F.col("widths").isNotNull() & F.col("ventral").isNotNull() & F.col("dorsal").isNotNull()
+    return df.withColumn("may_coil", F.when(known, wide[0] | wide[1] | large[0] | large[1]))
+
+
 def posture(df: DataFrame, basis: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """head_tail_distance, quirkiness, axes, and projections on a posture basis (cosines unless given)."""
     basis = basis or G.cosine_basis(48, 7)

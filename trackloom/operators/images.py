@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions.bodies import body_pose
-from trackloom.functions.kernels import convex_hull, min_rectangle
+from trackloom.functions.kernels import best_circle, convex_hull, lowess, min_rectangle
 from trackloom.functions.stage import otsu
 from trackloom.functions.timeseries import Track
 from trackloom.operators.tracking import consistent_flips, flip_poses
@@ -360,14 +360,70 @@ def patch_contour(a: np.ndarray, bins: int = 180, blur: int = 9, smooth: int = 9
     return centre + np.column_stack((np.cos(angle), np.sin(angle))) * r[:, None]
 
 
-def food_contours(backgrounds: DataFrame, keys: tuple[str, ...] = ("file_id",), scale: float = 1.0, **how) -> DataFrame:
-    """(keys, seq, x, y): the patch's border in each background image, times ``scale``, as ``features.food_features`` takes it."""
+def _erode(mask: np.ndarray, radius: int) -> np.ndarray:
+    return ~dilate(~mask, radius)
+
+
+def thinned(mask: np.ndarray) -> np.ndarray:
+    """The middle lines of a mask: at every size of erosion what an opening would take away."""
+    cross = lambda m, pad: np.logical_and.reduce([np.pad(m, 1, constant_values=pad)[1 + dy : m.shape[0] + 1 + dy, 1 + dx : m.shape[1] + 1 + dx] for dy, dx in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
+    out, left = np.zeros_like(mask), mask.copy()
+    while left.any():
+        less = cross(left, False)
+        out |= left & cross(~less, True)
+        left = less
+    return out
+
+
+def ring_contour(a: np.ndarray, bins: int = 180, share: float = 0.1, offset: float = 3.0, points: int = 480, dark: bool = True) -> np.ndarray:
+    """The border (points x, y by angle) of a patch whose rim stands out, also where the rim is broken; empty without one.
+
+    What is darker (lighter) than its surroundings is thinned to lines.  The circle that most of their points lie on gives
+    the centre; of the points in each angle bin the one nearest to the circle stays, and a robust local fit over the
+    angles, which go around, smooths their radii and bridges what is missing.
+    """
+    block = int(min(a.shape) / 8) | 1
+    mask = adaptive_mask(a, block, offset, max(1, min(a.shape) // 200) ** 2, 0, dark)
+    mask = _erode(dilate(mask, 1), 1)
+    labels = label_components(mask)
+    sizes = np.bincount(labels.ravel())
+    sizes[0] = 0
+    mask = (sizes >= max(4, sizes.max(initial=0) // 50))[labels]
+    y, x = np.nonzero(thinned(mask))
+    found = best_circle(np.column_stack((x, y)), max(2.0, min(a.shape) / 40), min(a.shape) / 8, max(a.shape) / 2)
+    if found is None:
+        return np.zeros((0, 2))
+    cx, cy, radius = found
+    away = np.hypot(x - cx, y - cy) - radius
+    place = np.rint(np.arctan2(y - cy, x - cx) / np.pi * bins).astype(int)
+    order = np.lexsort((np.abs(away), place))
+    first = np.concatenate(([True], np.diff(place[order]) > 0))
+    angle, away = place[order][first] * np.pi / bins, away[order][first]
+    near = np.abs(away) <= radius / 2
+    angle, away = angle[near], away[near]
+    if len(angle) < 8:
+        return np.zeros((0, 2))
+    around = np.concatenate((angle - 2 * np.pi, angle, angle + 2 * np.pi))
+    smooth = lowess(around, np.tile(away, 3), share / 3)
+    at = np.linspace(-np.pi, np.pi, points, endpoint=False)
+    r = radius + np.interp(at, around, smooth)
+    return np.column_stack((cx + r * np.cos(at), cy + r * np.sin(at)))
+
+
+#: Ways to find a food contour.
+CONTOURS = {"patch": patch_contour, "ring": ring_contour}
+
+
+def food_contours(backgrounds: DataFrame, keys: tuple[str, ...] = ("file_id",), scale: float = 1.0, method: str = "patch", **how) -> DataFrame:
+    """(keys, seq, x, y): the patch's border in each background image, times ``scale``, as ``features.food_features`` takes
+    it; by ``CONTOURS``: of a patch that is darker as a whole, or of one of which only the rim stands out."""
+    contour = CONTOURS[method]
     kinds = {f.name: f.dataType.simpleString() for f in backgrounds.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.to_dict("records"):
-                c = patch_contour(image(r["pixels"], r["h"], r["w"]), **how) * scale
+                c = contour(image(r["pixels"], r["h"], r["w"]), **how) * scale
                 yield pd.DataFrame({**{k: [r[k]] * len(c) for k in keys}, "seq": range(len(c)), "x": c[:, 0], "y": c[:, 1]})
 
     return backgrounds.select(*keys, "h", "w", "pixels").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq int, x double, y double")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom.functions.lattice import find_cells
 from trackloom.operators.joins import small
 
 #: Plate shapes (rows, columns) by number of wells.
@@ -34,6 +37,32 @@ def label_axis(boxes: DataFrame, keys: Sequence[str], centre: str, gap: float, n
     return boxes.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def find_wells(backgrounds: DataFrame, smallest: float, largest: float, keys: Sequence[str] = ("file_id",), most_turn: float = 0.1, dark_walls: bool = True) -> DataFrame:
+    """(keys, row, col, well_name, x, y, x_min, x_max, y_min, y_max, contrast): the wells in each image (h, w, pixels).
+
+    The lattice of wells may be turned by up to ``most_turn`` radians and have any place and a spacing from ``smallest`` to
+    ``largest`` pixels (``lattice.find_cells``); rows and columns count from the first that is seen.  Boxes lie upright
+    around the wells' middles.  Images without a lattice, and NULL images, have no rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in backgrounds.schema}
+    columns = ["row", "col", "well_name", "x", "y", "x_min", "x_max", "y_min", "y_max", "contrast"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                if r["pixels"] is None:
+                    continue
+                a = np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"])
+                cells, contrast, spacing, _ = find_cells(a, smallest, largest, most_turn, dark_walls)
+                for (i, j, x, y), c in zip(cells.tolist(), contrast.tolist(), strict=True):
+                    rows.append((*(r[k] for k in keys), int(i), int(j), f"{chr(65 + int(i))}{int(j) + 1}", x, y, x - spacing / 2, x + spacing / 2, y - spacing / 2, y + spacing / 2, c))
+            yield pd.DataFrame(rows, columns=[*keys, *columns])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row int, col int, well_name string, x double, y double, x_min double, x_max double, y_min double, y_max double, contrast double"
+    return backgrounds.select(*keys, "h", "w", "pixels").mapInPandas(run, schema)
+
+
 def lattice_lines(boxes: DataFrame, keys: Sequence[str], line: str, centre: str) -> DataFrame:
     """(keys, line, centre, border): mean centre of each row or column, and the middle to the next."""
     mean = boxes.groupBy(*keys, line).agg(F.avg(centre).alias(centre))

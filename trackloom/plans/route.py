@@ -12,9 +12,9 @@ from trackloom.plans.stages import Parameters, Plan, Stage
 TRACK = Track(("file_id", "worm_index"), ("timestamp",))
 
 
-def detections(masked: DataFrame, p: Parameters) -> DataFrame:
-    """Blobs of masked frames with a row_id, linked from frame to frame."""
-    found = images.detect_blobs(masked, 256, p.min_area).withColumn("row_id", F.col("frame_number").cast("bigint") * (1 << 20) + F.col("blob"))
+def detections(masked: DataFrame, p: Parameters, dark: bool = True) -> DataFrame:
+    """Blobs of masked frames that are darker (lighter) than the threshold, with a row_id, linked from frame to frame."""
+    found = images.detect_blobs(masked, p.threshold, p.min_area, dark).withColumn("row_id", F.col("frame_number").cast("bigint") * (1 << 20) + F.col("blob"))
     return tracking.link_detections(found, max_distance=p.max_distance, ratio=(p.area_ratio_low, p.area_ratio_high))
 
 
@@ -30,10 +30,10 @@ def followed(tracks: DataFrame) -> DataFrame:
     return features.smooth_track_positions(rows, ["file_id", "worm_index_joined"])
 
 
-def poses(masked: DataFrame, tracks: DataFrame, dark: bool = True) -> DataFrame:
+def poses(masked: DataFrame, tracks: DataFrame, p: Parameters, dark: bool = True) -> DataFrame:
     """Poses of the animals, in pixels of the frames; what the masks cover is background."""
     rois = images.crop(masked, tracks)
-    out = images.poses_of_rois(rois, ("file_id", "worm_index_joined"), "frame_number", 256 if dark else 0, dark)
+    out = images.poses_of_rois(rois, ("file_id", "worm_index_joined"), "frame_number", p.threshold, dark)
     return out.withColumnsRenamed({"worm_index_joined": "worm_index", "frame_number": "timestamp"})
 
 
@@ -49,10 +49,10 @@ def standard_plan(tables: dict[str, DataFrame], p: Parameters, dark: bool = True
     return Plan(
         [
             Stage("COMPRESS", ("frames",), "masked", lambda f: images.mask_frames(f, dark=dark, min_area=p.min_area, **mask)),
-            Stage("TRAJ_CREATE", ("masked",), "linked", lambda f: detections(f, p)),
+            Stage("TRAJ_CREATE", ("masked",), "linked", lambda f: detections(f, p, dark)),
             Stage("TRAJ_JOIN", ("linked",), "joined", lambda d: joined(d, p)),
             Stage("SKE_INIT", ("joined",), "tracks", followed),
-            Stage("SKE_CREATE", ("masked", "tracks"), "poses", lambda f, t: poses(f, t, dark)),
+            Stage("SKE_CREATE", ("masked", "tracks"), "poses", lambda f, t: poses(f, t, p, dark)),
             Stage("FEAT_INIT", ("poses", "meta"), "pose_table", lambda d, m: pose_table(d, m, p)),
             Stage("FEAT_FRAMES", ("pose_table",), "series", lambda d: features.frame_features(d, TRACK, p.expected_fps)),
         ],

@@ -15,6 +15,8 @@ from trackloom.operators import images as P
 from trackloom.operators import summary as A
 from trackloom.plans.registry import FRAMES, frames, query, rounded
 from trackloom.plans.route_queries import _P, POSES, TRACK, _poses, _rounded, _take
+from trackloom.sources import images as I
+from trackloom.sources.export import shared_folder
 
 # ---- images: a dark rectangle in a light frame, its place and size taken from a vector -----------------------------
 
@@ -97,7 +99,7 @@ def resampled_curves(t):
     return out.select("vec_id", "k", rounded(F.col("p.x")).alias("x"), rounded(F.col("p.y")).alias("y"))
 
 
-@query(f"""WITH {_P}, e AS (SELECT vec_id, x, y, unnest(range(1, 50)) AS i FROM p), f AS (SELECT *, unnest(range(1, 50)) AS j FROM e),
+@query(f"""WITH {_P}, one AS (SELECT vec_id, x, y, unnest(range(1, 50)) AS i FROM p), f AS (SELECT *, unnest(range(1, 50)) AS j FROM one),
 n AS (SELECT vec_id, x, y, (x[j] - x[i]) / sqrt((x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2) AS c, (y[j] - y[i]) / sqrt((x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2) AS s, x[i] AS x0, y[i] AS y0 FROM f WHERE i <> j),
 h AS (SELECT vec_id, list_transform(range(1, 50), lambda k: x[k] * c + y[k] * s) AS u, list_transform(range(1, 50), lambda k: y[k] * c - x[k] * s) AS v FROM n WHERE list_min(list_transform(range(1, 50), lambda k: c * (y[k] - y0) - s * (x[k] - x0))) >= -1e-9),
 b AS (SELECT vec_id, list_max(u) - list_min(u) AS w, list_max(v) - list_min(v) AS h FROM h), r AS (SELECT vec_id, arg_min(greatest(w, h), w * h) AS a, arg_min(least(w, h), w * h) AS b FROM b GROUP BY vec_id)
@@ -126,21 +128,25 @@ def _sided(p: DataFrame) -> DataFrame:
     return p.withColumns({"ventral": side(3), "dorsal": side(-4), "widths": F.transform("skeleton", lambda q: F.abs(q["y"]))})
 
 
-def _smooth_sql(window: int, along: int) -> str:
-    """Points of poses one by one: gaps filled, then one filter over the frames of a point and one over a frame's points."""
-    weights = {n: "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in savgol_weights(n, 3)) + "]" for n in (window, along)}
+def _fit(weights: str, n: int) -> str:
+    """A filter of ``n`` rows over a list v, the nearest full window's polynomial at the ends."""
+    start = f"greatest(1, least(i - {n // 2}, len(v) - {n - 1}))"
+    return f"CASE WHEN len(v) < {n} THEN v ELSE list_transform(range(1, len(v) + 1), lambda i: list_sum(list_transform(range({n}), lambda k: {weights}[i - {start} + 1][k + 1] * v[{start} + k]))) END"
+
+
+def _matrix(n: int, derivative: int = 0) -> str:
+    return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in savgol_weights(n, 3, derivative)) + "]"
 
-    def fit(n: int) -> str:
-        start = f"greatest(1, least(i - {n // 2}, len(v) - {n - 1}))"
-        return f"CASE WHEN len(v) < {n} THEN v ELSE list_transform(range(1, len(v) + 1), lambda i: list_sum(list_transform(range({n}), lambda k: {weights[n]}[i - {start} + 1][k + 1] * v[{start} + k]))) END"
 
+def _smooth_sql(window: int, along: int, lost: str = "lost") -> str:
+    """Points of poses one by one: gaps filled, then one filter over the frames of a point and one over a frame's points."""
     before, after = "(PARTITION BY label, c, j ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "(PARTITION BY label, c, j ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    return f"""WITH {_P}, o AS (SELECT label, frame, lost, unnest(['x', 'y', 'w']) AS c, unnest([x, y, list_transform(y, lambda z: abs(z))]) AS s FROM p), u AS (SELECT label, frame, c, unnest(range(1, 50)) AS j, unnest(s) AS s, lost FROM o),
+    return f"""WITH {_P}, o AS (SELECT label, frame, {lost} AS lost, unnest(['x', 'y', 'w']) AS c, unnest([x, y, list_transform(y, lambda z: abs(z))]) AS s FROM p), u AS (SELECT label, frame, c, unnest(range(1, 50)) AS j, unnest(s) AS s, lost FROM o),
 z AS (SELECT label, frame, c, j, CASE WHEN NOT lost THEN s END AS s, CASE WHEN NOT lost THEN frame END AS t FROM u),
 g AS (SELECT *, last_value(s IGNORE NULLS) OVER {before} AS a, first_value(s IGNORE NULLS) OVER {after} AS b, max(t) OVER {before} AS ta, min(t) OVER {after} AS tb FROM z),
 l AS (SELECT label, c, j, list(CASE WHEN s IS NOT NULL THEN s WHEN a IS NULL OR b IS NULL THEN coalesce(a, b) ELSE a + (b - a) * (frame - ta) / (tb - ta) END ORDER BY frame) AS v, list(frame ORDER BY frame) AS f FROM g GROUP BY ALL),
-m AS (SELECT label, c, j, unnest(f) AS frame, unnest({fit(window)}) AS s FROM l), n AS (SELECT label, c, frame, list(s ORDER BY j) AS v FROM m GROUP BY ALL),
-r AS (SELECT label, c, frame, {fit(along)} AS v FROM n)
+m AS (SELECT label, c, j, unnest(f) AS frame, unnest({_fit(_matrix(window), window)}) AS s FROM l), n AS (SELECT label, c, frame, list(s ORDER BY j) AS v FROM m GROUP BY ALL),
+r AS (SELECT label, c, frame, {_fit(_matrix(along), along)} AS v FROM n)
 SELECT vec_id, round(max(r.v[1]) FILTER (WHERE c = 'x'), 5) AS first_x, round(max(r.v[25]) FILTER (WHERE c = 'y'), 5) AS middle_y, round(max(list_sum(r.v)) FILTER (WHERE c = 'w'), 4) AS sum_w, round(max(r.v[49]) FILTER (WHERE c = 'y') + 3, 5) AS last_ventral_y FROM r JOIN p ON p.label = r.label AND p.frame = r.frame GROUP BY vec_id"""
 
 
@@ -153,6 +159,56 @@ def smoothed_poses(t):
     return out.select("vec_id", *(rounded(v, 4 if c == "sum_w" else 5).alias(c) for c, v in cols.items()))
 
 
+_MOVED = _smooth_sql(7, 5, "lost OR frame % 9 = 4").replace(", 5) AS", ", 12) AS").replace(", 4) AS sum_w", ", 12) AS sum_w").replace("SELECT vec_id, round(max", "SELECT vec_id, any_value(p.label) AS label, round(max")
+
+
+@query(f"WITH q AS ({_MOVED}) SELECT vec_id, round(first_x * (1 + label * 0.25) + label * 3, 3) AS first_x, round(middle_y * (1 + label * 0.25) - label, 3) AS middle_y, round(sum_w * (1 + label * 0.25), 2) AS sum_w FROM q")
+def moved_pose_table(t):
+    """FEA-13: poses in microns, moved by the stage, without those of a moving stage, smoothed."""
+    p = _sided(_poses(t, gaps=True)).withColumnRenamed("label", "file_id")
+    meta = p.select("file_id").distinct().withColumn("microns_per_pixel", 1 + F.col("file_id") * 0.25)
+    stage = p.where("frame % 9 <> 4").select("file_id", "frame", (F.col("file_id") * 3.0).alias("stage_x"), (F.col("file_id") * -1.0).alias("stage_y"))
+    out = X.smoothed_pose_table(p, meta, Track(("file_id",), ("frame",)), 7, stage)
+    total = F.aggregate("widths", F.lit(0.0), lambda s, v: s + v)
+    return out.select("vec_id", rounded(F.element_at("skeleton", 1)["x"], 3).alias("first_x"), rounded(F.element_at("skeleton", 25)["y"], 3).alias("middle_y"), rounded(total, 2).alias("sum_w"))
+
+
+_SG = {d: {a: _fit(_matrix(7, d), 7).replace("v[", f"{a}[").replace("len(v)", f"len({a})").replace("THEN v", f"THEN {a}") for a in "xy"} for d in (1, 2)}
+
+
+@query(f"WITH {_P}, d AS (SELECT vec_id, {_SG[1]['x']} AS a, {_SG[1]['y']} AS b, {_SG[2]['x']} AS c, {_SG[2]['y']} AS d FROM p), k AS (SELECT vec_id, list_transform(range(1, 50), lambda i: (a[i] * d[i] - b[i] * c[i]) / pow(a[i] ** 2 + b[i] ** 2, 1.5)) AS k FROM d) SELECT vec_id, " + ", ".join(f"round(k[{i + 1}], 8) AS curvature_{p}" for p, i in X.CURVATURE_POINTS.items()) + " FROM k")
+def savgol_curvature(t):
+    """SCA-10, UDF-5: curvature by another method, that of a filter's derivatives."""
+    return _take(X.curvature(_poses(t), "savgol"), ["vec_id"], [f"curvature_{p}" for p in X.CURVATURE_POINTS], 8)
+
+
+_RINGS = {"head": (1, 8), "tail": (42, 49), "body": (9, 41)}
+_RING_AREA = "abs(list_sum(list_transform(range(1, len({0}x) + 1), lambda i: {0}x[i] * {0}y[i % len({0}x) + 1] - {0}x[i % len({0}x) + 1] * {0}y[i]))) / 2"
+
+
+@query(f"WITH {_P}, r AS (SELECT vec_id, lost, list_transform(y, lambda z: abs(z) + 0.5) AS w, " + ", ".join(f"list_concat(x[{a}:{b}], list_reverse(x[{a}:{b}])) AS {n}x, list_concat(list_transform(y[{a}:{b}], lambda z: z + 3), list_reverse(list_transform(y[{a}:{b}], lambda z: z - 4))) AS {n}y" for n, (a, b) in _RINGS.items()) + " FROM p), "
+       + "m AS (SELECT vec_id, lost, list_median(w[17:33]) AS mid, list_median(w[6:8]) AS head, list_median(w[42:44]) AS tail, " + ", ".join(f"{_RING_AREA.format(n)} AS {n}_area" for n in _RINGS) + " FROM r) SELECT vec_id, CASE WHEN NOT lost THEN mid / head > 2.25 OR mid / tail > 2.25 OR body_area / head_area > 6 OR body_area / tail_area > 6 END AS may_coil FROM m")
+def coil_test(t):
+    """SCA-29: poses whose widths or areas look like a coil's."""
+    p = _sided(_poses(t, gaps=True)).withColumn("widths", F.transform("skeleton", lambda q: F.abs(q["y"]) + 0.5))
+    return X.coil_test(p).select("vec_id", "may_coil")
+
+
+@query(f"WITH {_P}, w AS (SELECT vec_id, frame, label, x FROM p) SELECT label AS file_id, frame::INT AS timestamp, vec_id, round(list_sum(x), 5) AS total FROM w")
+def saved_series(t):
+    """FEA-11: series saved by file and read back."""
+    where = shared_folder(t.spark, "series")
+    total = F.aggregate(F.transform("skeleton", lambda p: p["x"]), F.lit(0.0), lambda s, v: s + v)
+    X.save_series(_poses(t).select(F.col("label").alias("file_id"), F.col("frame").cast("int").alias("timestamp"), "vec_id", rounded(total, 5).alias("total")), where)
+    return t.spark.read.parquet(where).select("file_id", "timestamp", "vec_id", "total")
+
+
+@query(f"WITH {_P} SELECT vec_id, " + ", ".join(f"round(list_avg({a}[{lo + 1}:{hi}]), 6) AS coord_{a}_{p}" for p, (lo, hi) in _COORDS.items() for a in "xy") + " FROM p")
+def features_by_name(t):
+    """UDF-6: a family of features by its name."""
+    return _take(X.feature_family("coordinates")(_poses(t)), ["vec_id"], [f"coord_{a}_{p}" for p in _COORDS for a in "xy"])
+
+
 @query()
 def skeletons_from_sides(t):
     """SCA-32: middle lines and widths of poses, from their sides alone; tests hold them against bodies of known widths."""
@@ -192,3 +248,32 @@ def crawling_bends(t):
     df = frames(t).select("user_id", "frame", "event_id", (F.col("value") - 50).alias("bend"))
     out = E.crawling_bends(df, TRACK, "bend", 25.0, "bend", seconds=(0.2, 4.0))
     return out.select("event_id", rounded(F.col("bend_amplitude"), 6).alias("amplitude"), rounded(F.col("bend_frequency"), 6).alias("frequency"))
+
+
+# ---- files of images ------------------------------------------------------------------------------------------------
+
+_TIFF = "49492A0008000000" + "0800" + "".join(f"{tag:04X}"[2:] + f"{tag:04X}"[:2] + f"{kind:02X}00" + "01000000" + "".join(f"{v:08X}"[i : i + 2] for i in (6, 4, 2, 0)) for tag, kind, v in ((256, 4, 8), (257, 4, 8), (258, 3, 8), (259, 3, 1), (273, 4, 110), (277, 3, 1), (278, 4, 8), (279, 4, 64))) + "00000000"
+_PX = "i AS (SELECT vec_id, list_transform(embedding, lambda x: least(255, greatest(0, floor(128 + x::DOUBLE * 200)))::INT) AS px FROM embeddings)"
+
+
+@query(f"""WITH {_PX}, k AS (SELECT *, CASE vec_id % 3 WHEN 0 THEN 'pgm' WHEN 1 THEN 'tif' ELSE 'dat' END AS kind FROM i)
+SELECT '/in/frame_' || vec_id || '.' || kind AS path, vec_id % 17 > 0 AS is_good, CASE WHEN vec_id % 17 > 0 THEN row_number() OVER (ORDER BY vec_id) - 1 END AS frame_number,
+       CASE WHEN vec_id % 17 > 0 THEN array_to_string(list_transform(px, lambda v: CASE kind WHEN 'dat' THEN printf('%02X%02X', v * 16 % 256, v // 16) ELSE printf('%02X', v) END), '') END AS pixels FROM k""")
+def image_files(t):
+    """SRC-10, SRC-11, SRC-12, SRC-13: images of three kinds read from their bytes, in order of the numbers in their names;
+    cut files are told apart."""
+    e = t("embeddings")
+    e = e.withColumn("px", F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + x.cast("double") * 200))).cast("int")))
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    plain = F.array_join(F.transform("px", two), "")
+    # Twelve bits a pixel, rows from below and pixels from the right, three bytes for two pixels; the size is at the end.
+    at = lambda k, back: F.element_at("px", (8 * (7 - F.floor(k / 4)) + 7 - 2 * (k % 4) - back + 1).cast("int"))
+    packed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.concat(two(at(k, 0)), F.lit("00"), two(at(k, 1)))), "")
+    size = "00" * 28 + "0800" + "0800" + "00" * 8
+    body = F.when(F.col("vec_id") % 3 == 0, F.concat(F.hex(F.lit("P5\n8 8\n255\n")), plain)).when(F.col("vec_id") % 3 == 1, F.concat(F.lit(_TIFF), plain)).otherwise(F.concat(packed, F.lit(size)))
+    cut = F.when(F.col("vec_id") % 17 == 0, F.substring(body, 1, 60)).otherwise(body)
+    kind = F.when(F.col("vec_id") % 3 == 0, "pgm").when(F.col("vec_id") % 3 == 1, "tif").otherwise("dat")
+    files = e.select(F.concat(F.lit("/in/frame_"), F.col("vec_id").cast("string"), F.lit("."), kind).alias("path"), F.unhex(cut).alias("content"))
+    made = I.numbered(I.decoded(files))
+    good = F.col("error").isNull()
+    return made.join(I.readable(made), "path").select("path", "is_good", F.when(good, F.col("frame_number")).cast("bigint").alias("frame_number"), F.hex("pixels").alias("pixels"))

@@ -154,7 +154,11 @@ def decoded(files: DataFrame) -> DataFrame:
 def image_frames(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     """(frame_number, page, h, w, bits, pixels, error, path) of a folder's images, by the last number in their names, then
     by name."""
-    frames = decoded(spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(folder))
+    return numbered(decoded(spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(folder)))
+
+
+def numbered(frames: DataFrame) -> DataFrame:
+    """Adds frame_number, from 0: by the last number in the names, then by name and page."""
     number = F.regexp_extract("path", r"(\d+)[^\d/]*$", 1).cast("decimal(38,0)")
     return frames.withColumn("frame_number", F.row_number().over(Window.orderBy(number.asc_nulls_first(), "path", "page")) - 1)
 
