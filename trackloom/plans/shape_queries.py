@@ -13,6 +13,7 @@ from trackloom.operators import events as E
 from trackloom.operators import features as X
 from trackloom.operators import images as P
 from trackloom.operators import summary as A
+from trackloom.operators import tracking as K
 from trackloom.plans.registry import FRAMES, frames, query, rounded
 from trackloom.plans.route_queries import _P, POSES, TRACK, _poses, _rounded, _take
 from trackloom.sources import images as I
@@ -242,6 +243,57 @@ def null_shares(t):
     return A.null_share(e, "p", ["event_type"], "bootstrap").select("event_type", rounded(F.col("pi0")).alias("pi0"))
 
 
+_LONG = "quantile_cont({0}, 0.1) AS value_10th, quantile_cont({0}, 0.5) AS value_50th, quantile_cont({0}, 0.9) AS value_90th, quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25) AS value_IQR"
+
+
+@query("WITH s AS (SELECT user_id, " + _LONG.format("value") + ", max(value) - min(value) AS span FROM events GROUP BY user_id) SELECT user_id, " + ", ".join(f"round(value_{q}, 6) AS value_{q}" for q in ("10th", "50th", "90th", "IQR")) + ", round(span, 6) AS value_span FROM s")
+def extra_statistics(t):
+    """UDF-3, SET-09: quantiles with a statistic of one's own, under names that must differ."""
+    span = (F.max("value") - F.min("value")).alias("value_span")
+    out = A.summarise(t("events").select("user_id", "value"), ["user_id"], ["value"], extra=[span])
+    return _rounded(out, ["user_id"])
+
+
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT o_custkey AS id, '{f}' AS feature, {_LONG.format(c)} FROM orders GROUP BY o_custkey" for f, c in (("price", "o_totalprice"), ("key", "o_orderkey"))) + f" UNION ALL SELECT l_suppkey, 'quantity', {_LONG.format('l_quantity')} FROM lineitem GROUP BY l_suppkey) SELECT id, feature, " + ", ".join(f"round(value_{q}, 4) AS value_{q}" for q in ("10th", "50th", "90th", "IQR")) + " FROM s")
+def concatenated_summaries(t):
+    """SET-02: feature vectors of two tables as one."""
+    o = A.summarise_long(t("orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("key")), ["id"], ["price", "key"])
+    li = A.summarise_long(t("lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_quantity").alias("quantity")), ["id"], ["quantity"])
+    return _rounded(o.unionByName(li), ["id", "feature"], 4)
+
+
+_BODY = "[1, 2, 3, 5, 9, 9, 5, 4, 6, 2]"
+
+
+def _side(name: str, rows: str) -> str:
+    """Medians by position of the rows next to each block, and whether they speak against its reversal."""
+    return (f"{name}_m AS (SELECT k.label, k.a, k.b, pos, median(c.p[pos]) AS v, count(*) AS n FROM k JOIN c ON c.label = k.label AND {rows}, range(1, 11) r(pos) GROUP BY ALL), "
+            f"{name} AS (SELECT label, a, b, list(v ORDER BY pos) AS v, max(n) AS n FROM {name}_m GROUP BY ALL)")
+
+
+_AGAINST = "coalesce({0}.n >= 5 AND list_sum(list_transform(range(1, 11), lambda i: abs(inner_.v[11 - i] - {0}.v[i]))) > list_sum(list_transform(range(1, 11), lambda i: abs(inner_.v[i] - {0}.v[i]))), false)"
+
+
+@query(f"""WITH {_P}, f AS (SELECT vec_id, label, frame, CASE WHEN (frame - 1) // 9 % 3 = 1 THEN list_reverse(l) ELSE l END AS l FROM (SELECT p.vec_id, p.label, p.frame, CASE WHEN NOT lost THEN list_transform(range(1, 11), lambda i: {_BODY}[i] + 6::DOUBLE * embedding[i]::DOUBLE) END AS l FROM p JOIN embeddings USING (vec_id))),
+c AS (SELECT label, frame, row_number() OVER (PARTITION BY label ORDER BY frame) AS g, list_transform(l, lambda x: x - list_median(l)) AS p FROM f WHERE l IS NOT NULL),
+md AS (SELECT label, list(v ORDER BY pos) AS m FROM (SELECT label, pos, median(p[pos]) AS v FROM c, range(1, 11) r(pos) GROUP BY ALL) GROUP BY label),
+sc AS (SELECT c.label, g, list_avg(list_transform(range(1, 11), lambda i: abs(p[11 - i] - m[i]))) - list_avg(list_transform(range(1, 11), lambda i: abs(p[i] - m[i]))) < 0 AS neg FROM c JOIN md USING (label)),
+bl AS (SELECT label, min(g) AS a, max(g) + 1 AS b FROM (SELECT *, g - row_number() OVER (PARTITION BY label, neg ORDER BY g) AS run FROM sc) WHERE neg GROUP BY label, run HAVING count(*) >= 3),
+k AS (SELECT *, coalesce(lag(b) OVER w, 1) AS before, coalesce(lead(a) OVER w, (SELECT max(g) + 1 FROM c WHERE c.label = bl.label)) AS after FROM bl WINDOW w AS (PARTITION BY label ORDER BY a)),
+{_side('inner_', 'c.g >= k.a AND c.g < k.b')}, {_side('left_', 'c.g >= greatest(k.a - 10, k.before) AND c.g < k.a')}, {_side('right_', 'c.g >= k.b AND c.g < least(k.b + 10, k.after)')},
+ok AS (SELECT inner_.label, inner_.a, inner_.b FROM inner_ LEFT JOIN left_ USING (label, a, b) LEFT JOIN right_ USING (label, a, b) WHERE NOT {_AGAINST.format('left_')} AND NOT {_AGAINST.format('right_')}),
+fr AS (SELECT ok.label, x.frame AS first, y.frame AS last FROM ok JOIN c x ON x.label = ok.label AND x.g = ok.a JOIN c y ON y.label = ok.label AND y.g = ok.b - 1)
+SELECT vec_id, EXISTS (SELECT 1 FROM fr WHERE fr.label = f.label AND f.frame BETWEEN fr.first AND fr.last) AS is_switched FROM f""")
+def orientation_by_intensity(t):
+    """TRK-10: blocks of reversed profiles that what lies next to them confirms."""
+    base = F.array(*(F.lit(float(v)) for v in (1, 2, 3, 5, 9, 9, 5, 4, 6, 2)))
+    e = t("embeddings").withColumn("frame", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    own = F.zip_with(base, F.slice("embedding", 1, 10), lambda a, b: a + 6.0 * b.cast("double"))
+    own = F.when(F.floor((F.col("frame") - 1) / 9) % 3 == 1, F.reverse(own)).otherwise(own)
+    rows = e.select("vec_id", "label", "frame", F.when(F.col("vec_id") % 11 != 3, own).alias("profile"))
+    return K.orient_by_intensity(rows, POSES, "profile", 3).select("vec_id", "is_switched")
+
+
 @query()
 def crawling_bends(t):
     """WIN-29, EVT-14: waves in windows that zero crossings bound; tests hold them against a direct transform."""
