@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions.bodies import body_pose
-from trackloom.functions.kernels import best_circle, convex_hull, lowess, min_rectangle
+from trackloom.functions.kernels import best_circle, convex_hull, lowess, min_rectangle, resample_curve, straighten
 from trackloom.functions.stage import otsu
 from trackloom.functions.timeseries import Track
 from trackloom.operators.tracking import consistent_flips, flip_poses
@@ -460,6 +460,37 @@ def poses_of_rois(rois: DataFrame, keys: tuple[str, ...] = ("file_id", "worm_ind
     return flip_poses(consistent_flips(made, Track(keys, (frame,)), "skeleton"), "flip").drop("flip")
 
 
+def intensity_profiles(rois: DataFrame, poses: DataFrame, keys: tuple[str, ...] = ("file_id", "worm_index_joined", "frame_number"), half_width: float = 5.0, across: int = 15, points: int | None = None) -> DataFrame:
+    """(keys, profile, intensity_map): intensities of each animal along its body, as ``tracking.orient_by_intensity`` takes
+    them, and its straightened image (``points`` rows of ``across`` doubles).
+
+    ``rois`` (keys, h, w, pixels, roi_x, roi_y) meet the poses (keys, skeleton, in the frame's pixels).  The image is read
+    along normals of the skeleton, between pixels by their distance; the profile holds the median of each normal.  Frames
+    without a pose have NULLs; with ``points`` the skeleton is drawn anew first.
+    """
+    joined = rois.select(*keys, "h", "w", "pixels", "roi_x", "roi_y").join(poses.select(*keys, "skeleton"), list(keys))
+    joined = joined.withColumns({"_xs": F.transform("skeleton", lambda p: p["x"]), "_ys": F.transform("skeleton", lambda p: p["y"])}).drop("skeleton")
+    kinds = {f.name: f.dataType.simpleString() for f in rois.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            profiles, maps = [], []
+            for r in pdf.itertuples(index=False, name=None):
+                h, w, pixels, x, y, xs, ys = r[len(keys) :]
+                if xs is None or len(xs) < 2 or pixels is None:
+                    profiles.append(None)
+                    maps.append(None)
+                    continue
+                line = np.column_stack((xs, ys)) - [x, y]
+                line = line if points is None else resample_curve(line, points)
+                flat = straighten(image(pixels, h, w), line, half_width, across)
+                profiles.append(np.median(flat, axis=1).tolist())
+                maps.append(np.ascontiguousarray(flat).tobytes())
+            yield pdf[list(keys)].assign(profile=profiles, intensity_map=maps)
+
+    return joined.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", profile array<double>, intensity_map binary")
+
+
 def two_peaks(a: np.ndarray, min_area: float = 0.0) -> np.ndarray | None:
     """The two intensity peaks (points x, y) of a bright body, that of the larger part first; None unless there are two.
 

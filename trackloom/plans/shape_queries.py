@@ -79,6 +79,15 @@ def masked_buffers(t):
     return out.select("file_id", "frame_number", F.size(F.filter(values, lambda v: v > 0)).alias("n_kept"), F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"))
 
 
+@query(f"WITH {_RECT} SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN list_transform(range(13), lambda k: list_median(list_transform(range(5), lambda o: px[(8 + o) * {_W} + 3 + 2 * k + 1]))::DOUBLE) END AS profile FROM px")
+def intensity_profiles(t):
+    """IMG-16: intensities along bodies, medians of each normal."""
+    f = _rectangles(t).withColumns({"roi_x": F.lit(100.0), "roi_y": F.lit(50.0)})
+    line = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.struct((103.0 + 2 * k).alias("x"), F.lit(60.0).alias("y")))
+    poses = f.select("vec_id", F.when(F.col("vec_id") % 7 > 0, line).alias("skeleton"))
+    return P.intensity_profiles(f, poses, ("vec_id",), 2.0, 5).select("vec_id", "profile")
+
+
 # ---- poses ----------------------------------------------------------------------------------------------------------
 
 _COORDS = {p: G.PARTS[p] for p in X.PATH_PARTS}
@@ -90,6 +99,32 @@ def part_coordinates(t):
     return _take(X.part_coordinates(_poses(t, gaps=True)), ["vec_id"], [f"coord_{a}_{p}" for p in _COORDS for a in "xy"])
 
 
+def _interp(at: str, xp: str, fp: str) -> str:
+    """Linear interpolation of lists, with the end values beyond the ends."""
+    j = f"greatest(1, least(len({xp}) - 1, len(list_filter({xp}, lambda z: z <= {at}))))"
+    return f"CASE WHEN {at} < {xp}[1] THEN {fp}[1] WHEN {at} >= {xp}[len({xp})] THEN {fp}[len({fp})] ELSE {fp}[{j}] + ({fp}[{j} + 1] - {fp}[{j}]) * ({at} - {xp}[{j}]) / ({xp}[{j} + 1] - {xp}[{j}]) END"
+
+
+def _wide(a: str, w: int) -> str:
+    return f"list_transform(range(len({a})), lambda i: ({a}[least(i + {w}, len({a}) - 1) + 1] - {a}[greatest(i - {w}, 0) + 1]) / ({w} + least(i, len({a}) - 1 - i, {w})))"
+
+
+@query(f"""WITH {FRAMES}, s AS (SELECT user_id, list(frame - 1 ORDER BY frame) AS t, list(event_id ORDER BY frame) AS ids, list((frame - 1)::DOUBLE ORDER BY frame) FILTER (WHERE event_id % 9 > 0) AS good, list(frame * 4 + value / 5 ORDER BY frame) FILTER (WHERE event_id % 9 > 0) AS gx, list(value / 2 ORDER BY frame) FILTER (WHERE event_id % 9 > 0) AS gy FROM f GROUP BY user_id),
+p AS (SELECT *, list_transform(t, lambda q: {_interp('q', 'good', 'gx')}) AS x, list_transform(t, lambda q: {_interp('q', 'good', 'gy')}) AS y FROM s),
+a AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE sqrt((x[i] - x[i - 1]) ** 2 + (y[i] - y[i - 1]) ** 2) END) AS d FROM p),
+b AS (SELECT *, list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i])) AS along FROM a),
+e AS (SELECT *, list_transform(range(ceil(along[len(along)] / 11)::INT), lambda i: i * 11::DOUBLE) AS at_ FROM b),
+v AS (SELECT *, list_transform(at_, lambda q: {_interp('q', 'along', 'x')}) AS ex, list_transform(at_, lambda q: {_interp('q', 'along', 'y')}) AS ey, list_transform(at_, lambda q: {_interp('q', 'along', 't')}) AS et FROM e),
+g AS (SELECT *, {_wide('ex', 10)} AS dx, {_wide('ey', 10)} AS dy FROM v), h AS (SELECT *, {_wide('dx', 10)} AS ddx, {_wide('dy', 10)} AS ddy FROM g),
+k AS (SELECT *, list_transform(range(1, len(dx) + 1), lambda i: (dx[i] * ddy[i] - dy[i] * ddx[i]) / pow(dx[i] ** 2 + dy[i] ** 2, 1.5)) AS k FROM h)
+SELECT unnest(ids) AS event_id, round(unnest(CASE WHEN len(at_) > 20 THEN list_transform(t, lambda q: {_interp('q', 'et', 'k')}) ELSE list_transform(t, lambda q: NULL::DOUBLE) END), 7) AS path_curvature_body FROM k""")
+def path_curvature(t):
+    """FEA-09, WIN-31: curvature of a path drawn anew at equal steps, read back at its own times; gaps are bridged."""
+    seen = F.col("event_id") % 9 > 0
+    df = frames(t).select("user_id", "frame", "event_id", F.when(seen, F.col("frame") * 4 + F.col("value") / 5).alias("coord_x_body"), F.when(seen, F.col("value") / 2).alias("coord_y_body"))
+    return X.path_features(df, TRACK, ("body",)).select("event_id", rounded(F.col("path_curvature_body"), 7).alias("path_curvature_body"))
+
+
 @query(f"""WITH {_P}, c AS (SELECT *, list_concat([0.0::DOUBLE], list_transform(range(1, 49), lambda i: sqrt((x[i + 1] - x[i]) ** 2 + (y[i + 1] - y[i]) ** 2))) AS d FROM p WHERE NOT lost),
 m AS (SELECT *, list_transform(range(1, 50), lambda i: list_sum(d[1:i])) AS s FROM c),
 k AS (SELECT *, unnest(range(12)) AS k FROM m), a AS (SELECT *, s[49] * k / 11 AS g FROM k), j AS (SELECT *, greatest(1, least(48, len(list_filter(s, lambda v: v <= g)))) AS j FROM a)
