@@ -39,10 +39,10 @@ def morphology(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def skeletons(df: DataFrame, n: int = 49) -> DataFrame:
+def skeletons(df: DataFrame, n: int = 49, points: int = 200) -> DataFrame:
     """Adds skeleton and widths, from the contour sides ventral and dorsal (head to tail); NULL without both.
 
-    Batches of poses are worked on as arrays (``bodies.skeletons_from_sides``).
+    Sides are drawn anew with ``points`` points.  Batches of poses are worked on as arrays (``bodies.skeletons_from_sides``).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +51,7 @@ def skeletons(df: DataFrame, n: int = 49) -> DataFrame:
             good = np.flatnonzero([all(s is not None and len(s) > 2 for s in sides) for sides in zip(pdf["ventral"], pdf["dorsal"], strict=True)])
             if len(good):
                 sides = ([np.array([(p["x"], p["y"]) for p in pdf[c].iloc[i]], float) for i in good] for c in ("ventral", "dorsal"))
-                for i, line, width in zip(good, *skeletons_from_sides(*sides, n), strict=True):
+                for i, line, width in zip(good, *skeletons_from_sides(*sides, n, points), strict=True):
                     lines[i], widths[i] = [{"x": float(x), "y": float(y)} for x, y in line], width.tolist()
             yield pdf.assign(skeleton=lines, widths=widths)
 

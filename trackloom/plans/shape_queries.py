@@ -245,12 +245,51 @@ def features_by_name(t):
     return _take(X.feature_family("coordinates")(_poses(t)), ["vec_id"], [f"coord_{a}_{p}" for p in _COORDS for a in "xy"])
 
 
-@query()
+def _even(x: str, y: str, s: str, n: int, of: str) -> str:
+    """A list drawn anew at ``n`` equal steps of the arc length ``s``."""
+    return f"list_transform(range({n}), lambda q: {_interp(f'({s}[len({s})] * q / {n - 1}::DOUBLE)', s, of)})"
+
+
+def _arc(x: str, y: str) -> str:
+    d = f"list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE sqrt(({x}[i] - {x}[i - 1]) ** 2 + ({y}[i] - {y}[i - 1]) ** 2) END)"
+    return f"list_transform(range(1, len({x}) + 1), lambda j: list_sum(({d})[1:j]))"
+
+
+#: Points of a side; few, since the SQL goes through them one by one.
+_N = 80
+
+
+def _way(name: str, a: str, b: str) -> str:
+    """CTEs of one direction: normals of side ``a``, the places that they meet on side ``b``, and the line of middles."""
+    step = lambda c: f"list_transform(range(1, {_N + 1}), lambda i: ({a}{c}[least(i + 1, {_N})] - {a}{c}[greatest(i - 1, 1)]) / (least(i + 1, {_N}) - greatest(i - 1, 1)))"
+    to = lambda j, i, c: f"({b}{c}[least({j}, {_N - 1}) + 1] - {a}{c}[{i} + 1])"
+    size = f"sqrt({to('j', 'e[1]', 'x')} ** 2 + {to('j', 'e[1]', 'y')} ** 2)"
+    fit = f"CASE WHEN {size} < 1e-9 THEN 1.0::DOUBLE ELSE ({to('j', 'e[1]', 'x')} * nx[e[1] + 1] + {to('j', 'e[1]', 'y')} * ny[e[1] + 1]) * flip / {size} END"
+    fits = f"list_transform(range(got[len(got)], got[len(got)] + {_N // 10 + 1}), lambda j: {fit})"
+    return f"""{name}s AS (SELECT vec_id, {a}x, {a}y, {b}x, {b}y, {step('x')} AS sx, {step('y')} AS sy FROM u),
+{name}n AS (SELECT *, list_transform(range(1, {_N + 1}), lambda i: -sy[i] / sqrt(sx[i] ** 2 + sy[i] ** 2)) AS nx, list_transform(range(1, {_N + 1}), lambda i: sx[i] / sqrt(sx[i] ** 2 + sy[i] ** 2)) AS ny FROM {name}s),
+{name}f AS (SELECT *, CASE WHEN list_sum(list_transform(range(1, {_N + 1}), lambda i: ({b}x[i] - {a}x[i]) * nx[i] + ({b}y[i] - {a}y[i]) * ny[i])) < 0 THEN -1 ELSE 1 END AS flip FROM {name}n),
+{name}m AS (SELECT *, list_reduce(list_prepend([0::BIGINT], list_transform(range({_N}), lambda i: [i])), lambda got, e: list_append(got, least({_N - 1}, got[len(got)] + list_position({fits}, list_max({fits})) - 1))) AS got FROM {name}f),
+{name}p AS (SELECT vec_id, {a}x, {a}y, {b}x, {b}y, list_transform(range(1, {_N + 1}), lambda i: CASE WHEN i = {_N} THEN {_N} ELSE got[i + 1] + 1 END) AS at_ FROM {name}m),
+{name}l AS (SELECT vec_id, list_transform(range(1, {_N + 1}), lambda i: ({a}x[i] + {b}x[at_[i]]) / 2) AS mx, list_transform(range(1, {_N + 1}), lambda i: ({a}y[i] + {b}y[at_[i]]) / 2) AS my, list_transform(range(1, {_N + 1}), lambda i: sqrt(({a}x[i] - {b}x[at_[i]]) ** 2 + ({a}y[i] - {b}y[at_[i]]) ** 2)) AS w FROM {name}p),
+{name} AS (SELECT vec_id, {_even('mx', 'my', 's', 49, 'mx')} AS mx, {_even('mx', 'my', 's', 49, 'my')} AS my, {_even('mx', 'my', 's', 49, 'w')} AS w FROM (SELECT *, {_arc('mx', 'my')} AS s FROM {name}l))"""
+
+
+_TOTAL = "round((list_sum(one.{0}) + list_sum(two.{0})) / 2, 3) AS {1}"
+
+
+@query(f"""WITH {_P}, sides AS (SELECT vec_id, x, list_transform(y, lambda v: v + 3 + v * v / 50) AS y1, list_transform(y, lambda v: v - 4) AS y2 FROM p WHERE NOT lost), arcs AS (SELECT *, {_arc('x', 'y1')} AS s1, {_arc('x', 'y2')} AS s2 FROM sides),
+u AS (SELECT vec_id, {_even('x', 'y1', 's1', _N, 'x')} AS lx, {_even('x', 'y1', 's1', _N, 'y1')} AS ly, {_even('x', 'y2', 's2', _N, 'x')} AS rx, {_even('x', 'y2', 's2', _N, 'y2')} AS ry FROM arcs),
+{_way('one', 'l', 'r')}, {_way('two', 'r', 'l')}
+SELECT p.vec_id, CASE WHEN NOT lost THEN 49 END AS n, {_TOTAL.format('mx', 'sum_x')}, {_TOTAL.format('my', 'sum_y')}, {_TOTAL.format('w', 'sum_w')} FROM p LEFT JOIN one ON one.vec_id = p.vec_id LEFT JOIN two ON two.vec_id = p.vec_id""")
 def skeletons_from_sides(t):
-    """SCA-32: middle lines and widths of poses, from their sides alone; tests hold them against bodies of known widths."""
-    out = X.skeletons(_sided(_poses(t, gaps=True)).select("vec_id", "ventral", "dorsal"))
+    """SCA-32: middle lines and widths of poses from their sides alone, by normals that move towards the tail."""
+    side = lambda f: F.transform("skeleton", lambda q: F.struct(q["x"].alias("x"), f(q["y"]).alias("y")))
+    p = _poses(t, gaps=True).select("vec_id", side(lambda v: v + 3 + v * v / 50).alias("ventral"), side(lambda v: v - 4).alias("dorsal"))
+    out = X.skeletons(p, points=_N)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    return _rounded(out.select("vec_id", F.size("skeleton").alias("n"), total(F.transform("skeleton", lambda p: p["x"])).alias("sum_x"), total(F.col("widths")).alias("sum_w")), ["vec_id", "n"], 4)
+    axis = lambda a: F.transform("skeleton", lambda q: q[a])
+    return _rounded(out.select("vec_id", F.size("skeleton").alias("n"), total(axis("x")).alias("sum_x"), total(axis("y")).alias("sum_y"), total(F.col("widths")).alias("sum_w")), ["vec_id", "n"], 3)
 
 
 # ---- series ---------------------------------------------------------------------------------------------------------
