@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -171,13 +172,11 @@ def rank_rows(rows: DataFrame, order: list, scratch: Scratch) -> DataFrame:
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ranged = scratch.save(ranged.drop("_place"), "ranged")
     part = F.shiftright("_at", _ROW_BITS)
-    before, offsets = 0, []
-    for p, n in sorted(ranged.groupBy(part.alias("p")).count().collect()):
-        offsets += [F.lit(p), F.lit(before)]
-        before += n
-    if not offsets:
+    counts = dict(ranged.groupBy(part.cast("int").alias("p")).count().collect())
+    if not counts:
         return ranged.drop("_at").withColumn("rank", F.lit(None).cast("bigint"))
-    offset = F.create_map(*offsets)[part]
+    before = accumulate((counts.get(p, 0) for p in range(max(counts))), initial=0)
+    offset = F.element_at(F.array(*(F.lit(n).cast("bigint") for n in before)), part.cast("int") + 1)
     return ranged.withColumn("rank", (offset + F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1) + 1).cast("bigint")).drop("_at")
 
 
