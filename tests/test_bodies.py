@@ -204,3 +204,35 @@ def test_local_fits_and_circles():
     assert np.allclose(kernels.best_circle(points, 1.0, 5, 50), (30, 40, 20), atol=0.5)
     assert kernels.best_circle(points[:2], 1.0, 5, 50) is None and kernels.best_circle(np.zeros((9, 2)), 1.0, 5, 50) is None
     assert images.thinned(np.pad(np.ones((5, 30), bool), 3)).sum() < 60
+
+
+def test_curves_and_polygons_of_tables(spark):
+    pose = lambda pts: [{"x": float(x), "y": float(y)} for x, y in pts]
+    square = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    rows = [(0, pose(square)), (1, None), (2, []), (3, pose([(5, 5)])), (4, pose([(0, 0), (3, 4)]))]
+    df = spark.createDataFrame(rows, "k int, skeleton array<struct<x:double,y:double>>")
+    even = {r["k"]: r["skeleton"] for r in features.resampled(df, "skeleton", 5).collect()}
+    assert [(p["x"], p["y"]) for p in even[0]] == [tuple(map(float, p)) for p in square] and even[1] is None and even[2] is None
+    assert [p["x"] for p in even[3]] == [5.0] * 5 and [p["y"] for p in even[4]] == [0, 1, 2, 3, 4]
+    round_ = {r["k"]: r["skeleton"] for r in features.smoothed_polygons(df, "skeleton", 80, 9).collect()}
+    assert len(round_[0]) == 80 and round_[1] is None and round_[2] is None and round_[3] is None
+    assert features.resampled(df.limit(0), "skeleton", 5).count() == 0 and features.smoothed_polygons(df.limit(0), "skeleton").count() == 0
+
+
+def test_coil_test_of_tables(spark):
+    side = lambda d: [{"x": float(i), "y": float(d)} for i in range(49)]
+    wide = [5.0] * 49
+    fat = [2.0] * 16 + [9.0] * 17 + [2.0] * 16
+    rows = [(0, side(2), side(-2), wide), (1, side(2), side(-2), fat), (2, None, None, None), (3, side(2), side(-2), [0.0] * 49)]
+    df = spark.createDataFrame(rows, "k int, ventral array<struct<x:double,y:double>>, dorsal array<struct<x:double,y:double>>, widths array<double>")
+    assert {r["k"]: r["may_coil"] for r in features.coil_test(df).collect()} == {0: False, 1: True, 2: None, 3: True}
+
+
+def test_profiles_along_bodies(spark):
+    a = np.tile(np.arange(30, dtype=np.uint8)[:, None], (1, 40))
+    rois = spark.createDataFrame([(k, 30, 40, bytearray(a.tobytes()), 100.0, 50.0) for k in range(3)], "frame_number int, h int, w int, pixels binary, roi_x double, roi_y double")
+    line = [{"x": 105.0 + i, "y": 60.5} for i in range(20)]
+    poses = spark.createDataFrame([(0, line), (1, None), (2, line[:1])], "frame_number int, skeleton array<struct<x:double,y:double>>")
+    out = {r["frame_number"]: r for r in images.intensity_profiles(rois, poses, ("frame_number",), 3.0, 7, points=10).collect()}
+    assert out[0]["profile"] == pytest.approx([10.5] * 10) and len(out[0]["intensity_map"]) == 10 * 7 * 8
+    assert out[1]["profile"] is None and out[2]["profile"] is None

@@ -219,19 +219,20 @@ def kinks(pose: Column, least: float = 10.0) -> Column:
     return F.aggregate(angles, start, step)["n"]
 
 
-def crawling_bends(df: DataFrame, track: Track, bend: str, fps: float, out: str, paused: str | None = None, seconds: tuple[float, float] = (0.5, 15.0)) -> DataFrame:
+def crawling_bends(df: DataFrame, track: Track, bend: str, fps: float, out: str, paused: str | None = None, seconds: tuple[float, float] = (0.5, 15.0), samples: int = waves.SAMPLES) -> DataFrame:
     """Adds <out>_amplitude and <out>_frequency of a bend angle's wave around each frame, signed by the bend's side.
 
     Missing angles between others are interpolated.  A window that the angle's zero crossings bound is centred on each
     frame, and the peak of its spectrum is taken if its troughs are low and most of the energy lies between them
-    (``waves.bend_waves``); else, and where the column ``paused`` holds, both are NULL.
+    (``waves.bend_waves``); else, and where the column ``paused`` holds, both are NULL.  Windows are padded to ``samples``,
+    which must be no fewer than twice the longest time.
     """
 
     def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         x = pdf[bend].to_numpy(float)
         x = pd.Series(x).interpolate(limit_area="inside").to_numpy()
         still = None if paused is None else pdf[paused].fillna(False).to_numpy(bool)
-        amplitude, frequency = waves.bend_waves(x, fps, still, seconds)
+        amplitude, frequency = waves.bend_waves(x, fps, still, seconds, samples)
         return {f"{out}_amplitude": amplitude, f"{out}_frequency": frequency}
 
     return kernels.with_tracks(df, track.keys, track.order, [bend] + ([paused] if paused else []), run, {f"{out}_amplitude": "double", f"{out}_frequency": "double"})

@@ -45,8 +45,8 @@ SELECT vec_id, a * b AS area, 2 * (a + b) AS perimeter, greatest(a, b) AS box_le
 def blob_shapes(t):
     """SCA-27, IMG-08, IMG-23: shapes of contours of rectangles."""
     out = P.blob_shapes(_rectangles(t), ("vec_id",), 100)
-    keep = {"quirkiness": 6, "compactness": 6, "solidity": 6, "hu0": 8, "hu1": 8}
-    return out.select("vec_id", "area", "perimeter", "box_length", "box_width", *(rounded(F.col(c), n).alias(c) for c, n in keep.items()))
+    keep = {"area": 6, "perimeter": 6, "box_length": 6, "box_width": 6, "quirkiness": 6, "compactness": 6, "solidity": 6, "hu0": 8, "hu1": 8}
+    return out.select("vec_id", *(rounded(F.col(c), n).alias(c) for c, n in keep.items()))
 
 
 @query(f"WITH {_RECT} SELECT file_id, frame_number::INT AS frame_number, 0 AS blob, x0 + (w - 1) / 2::DOUBLE AS coord_x, y0 + (h - 1) / 2::DOUBLE AS coord_y, (w * h)::DOUBLE AS area, greatest(w, h)::DOUBLE AS box_length, least(w, h)::DOUBLE AS box_width, x0 AS bounding_box_xmin, x0 + w AS bounding_box_xmax, y0 AS bounding_box_ymin, y0 + h AS bounding_box_ymax, dark::DOUBLE AS intensity_mean FROM r WHERE w * h >= 40")
@@ -275,6 +275,20 @@ def _way(name: str, a: str, b: str) -> str:
 {name} AS (SELECT vec_id, {_even('mx', 'my', 's', 49, 'mx')} AS mx, {_even('mx', 'my', 's', 49, 'my')} AS my, {_even('mx', 'my', 's', 49, 'w')} AS w FROM (SELECT *, {_arc('mx', 'my')} AS s FROM {name}l))"""
 
 
+_AROUND_IT = "list_transform(range(40), lambda i: list_sum(list_transform(range(7), lambda k: {w}[k + 1] * {c}[(i + k - 3 + 40) % 40 + 1])))"
+_MIDDLE = "[" + ", ".join(repr(float(v)) for v in savgol_weights(7, 3)[3]) + "]"
+
+
+@query(f"""WITH {_P}, a AS (SELECT *, {_arc('x', 'y')} AS s FROM p WHERE NOT lost), ev AS (SELECT vec_id, {_even('x', 'y', 's', 40, 'x')} AS ex, {_even('x', 'y', 's', 40, 'y')} AS ey FROM a), k AS (SELECT vec_id, {_AROUND_IT.format(w=_MIDDLE, c='ex')} AS sx, {_AROUND_IT.format(w=_MIDDLE, c='ey')} AS sy FROM ev)
+SELECT p.vec_id, round(sx[1], 5) AS first_x, round(sy[20], 5) AS middle_y, round(list_sum(list_transform(range(1, 41), lambda i: sx[i] * sy[i % 40 + 1] - sx[i % 40 + 1] * sy[i])) / 2, 3) AS area FROM p LEFT JOIN k USING (vec_id)""")
+def smoothed_polygons(t):
+    """SCA-26: polygons drawn anew and smoothed around their whole length."""
+    out = X.smoothed_polygons(_poses(t, gaps=True).select("vec_id", "skeleton"), "skeleton", 40, 7)
+    nxt = F.concat(F.slice("skeleton", 2, 39), F.slice("skeleton", 1, 1))
+    area = F.aggregate(F.zip_with("skeleton", nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v) / 2
+    return out.select("vec_id", rounded(F.element_at("skeleton", 1)["x"], 5).alias("first_x"), rounded(F.element_at("skeleton", 20)["y"], 5).alias("middle_y"), rounded(area, 3).alias("area"))
+
+
 _TOTAL = "round((list_sum(one.{0}) + list_sum(two.{0})) / 2, 3) AS {1}"
 
 
@@ -368,12 +382,27 @@ def orientation_by_intensity(t):
     return K.orient_by_intensity(rows, POSES, "profile", 3).select("vec_id", "is_switched")
 
 
-@query()
+_GROW = "list_reduce(list_prepend([l, r], [[0::BIGINT], [0], [0], [0], [0], [0]]), lambda s, e: CASE WHEN s[1] < 0 OR s[2] >= len(chg) OR chg[s[2] + 1] - chg[s[1] + 1] + 2 >= 5 THEN s WHEN i - chg[s[1] + 1] < chg[s[2] + 1] + 1 - i THEN [s[1] - 1, s[2]] ELSE [s[1], s[2] + 1] END)"
+_POWER = "list_transform(range(33), lambda k: sqrt(list_sum(list_transform(range(len(v)), lambda j: v[j + 1] * cos(2 * pi() * k * j / 64))) ** 2 + list_sum(list_transform(range(len(v)), lambda j: v[j + 1] * sin(2 * pi() * k * j / 64))) ** 2))"
+_TROUGHS = "list_filter(range(33), lambda k: (k = 0 OR z[k + 1] < z[k]) AND (k = 32 OR z[k + 1] < z[k + 2]))"
+
+
+@query(f"""WITH {FRAMES}, u AS (SELECT user_id, list(value - 50 ORDER BY frame) AS x FROM f GROUP BY user_id),
+c AS (SELECT *, list_filter(range(len(x) - 1), lambda k: sign(x[k + 1]) <> sign(x[k + 2])) AS chg FROM u),
+w AS (SELECT event_id, frame - 1 AS i, x, chg, len(list_filter(chg, lambda k: k < frame - 1)) AS r, r - 1 AS l FROM f JOIN c USING (user_id)),
+g AS (SELECT event_id, i, x, chg, {_GROW} AS s FROM w WHERE l >= 0 AND r < len(chg)),
+h AS (SELECT event_id, i, x, greatest(i - chg[s[1] + 1], chg[s[2] + 1] + 1 - i) AS half FROM g WHERE s[1] >= 0 AND s[2] < len(chg)),
+v AS (SELECT event_id, x[i - half + 1:i + half + 1] AS v FROM h WHERE half <= 25 AND i - half >= 0 AND i + half < len(x)),
+z AS (SELECT event_id, v, {_POWER} AS z FROM v), p AS (SELECT *, list_position(z, list_max(z)) - 1 AS top, list_transform(list_sort(list_transform({_TROUGHS}, lambda k: {{'h': z[k + 1], 'k': k}})), lambda t: [t.k]) AS low FROM z),
+q AS (SELECT *, list_reduce(low, lambda a, b: CASE WHEN len(list_filter(a, lambda t: abs(t - b[1]) <= round(sqrt(len(v))))) = 0 THEN list_concat(a, b) ELSE a END) AS kept FROM p WHERE top BETWEEN 1 AND 15 AND len(low) > 0),
+e AS (SELECT *, list_min(list_filter(kept, lambda t: t < top)) AS a, list_min(list_filter(kept, lambda t: t > top)) AS b FROM q),
+o AS (SELECT event_id, sign(list_avg(v)) AS side, top, 2 * z[top + 1] / len(v) AS amp FROM e WHERE a IS NOT NULL AND b IS NOT NULL AND greatest(z[a + 1], z[b + 1]) <= 0.5 * z[top + 1] AND list_sum(list_transform(z[a + 1:b], lambda y: y * y)) >= 0.5 * list_sum(list_transform(z, lambda y: y * y)))
+SELECT f.event_id, round(amp * side, 5) AS amplitude, round(25 / 2::DOUBLE / 31 * top * side, 6) AS frequency FROM f LEFT JOIN o USING (event_id)""")
 def crawling_bends(t):
-    """WIN-29, EVT-14: waves in windows that zero crossings bound; tests hold them against a direct transform."""
+    """WIN-29, EVT-14: waves in windows that zero crossings bound, by peaks between low troughs of their spectra."""
     df = frames(t).select("user_id", "frame", "event_id", (F.col("value") - 50).alias("bend"))
-    out = E.crawling_bends(df, TRACK, "bend", 25.0, "bend", seconds=(0.2, 4.0))
-    return out.select("event_id", rounded(F.col("bend_amplitude"), 6).alias("amplitude"), rounded(F.col("bend_frequency"), 6).alias("frequency"))
+    out = E.crawling_bends(df, TRACK, "bend", 25.0, "bend", seconds=(0.2, 1.0), samples=64)
+    return out.select("event_id", rounded(F.col("bend_amplitude"), 5).alias("amplitude"), rounded(F.col("bend_frequency"), 6).alias("frequency"))
 
 
 # ---- files of images ------------------------------------------------------------------------------------------------
