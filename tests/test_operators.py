@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 
 import numpy as np
 import pytest
@@ -257,3 +258,24 @@ def test_many_windows(spark):
     stamp = lambda c: F.timestamp_seconds(F.col(c))
     timed = joins.window_join(df.withColumn("v", stamp("v")), windows.withColumns({"start": stamp("start"), "end": stamp("end")}), "v")
     assert sorted(map(tuple, timed.select("i", "k").collect())) == want
+
+
+def test_gap_links_equal_brute_force(spark):
+    """Crowds, equal tracks and starts without a place; before, one of those hid the nearest start of every end."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(700):
+        a = int(rng.integers(0, 60))
+        b = a + int(rng.integers(0, 9))
+        x = [float(v) for v in (rng.normal(0, 3, 4) if k % 3 else rng.integers(-90, 90, 4))]
+        rows.append((k % 2, k, a, b, b - a + 1, *x, *(float(v) for v in rng.integers(50, 200, 2)), float(rng.choice([2.0, 8.0, 300.0]))))
+    rows += [(r[0], r[1] + 1000, *r[2:]) for r in rows[:90]] + [(0, 5000, 20, 21, 2, None, 1.0, None, 1.0, 90.0, 90.0, 300.0)]
+    df = spark.createDataFrame(rows, "file_id int, w long, start long, end long, n long, x0 double, y0 double, x1 double, y1 double, size0 double, size1 double, reach double")
+    best = {}
+    for p in rows:
+        if p[7] is not None:
+            near = [(math.sqrt((p[7] - q[5]) ** 2 + (p[8] - q[6]) ** 2), q[1]) for q in rows if q[5] is not None and q[0] == p[0] and p[3] < q[2] <= p[3] + 12 and 0.5 < p[10] / q[9] < 2]
+            if near and min(near)[0] <= p[11]:
+                best[p[0], min(near)[1]] = max(p[1], best.get((p[0], min(near)[1]), -1))
+    got = joins.gap_links(df, ["file_id"], "w", 12, (0.5, 2.0)).collect()
+    assert {(r.file_id, r.w): r.previous for r in got} == best and len(got) == len(best) > 100

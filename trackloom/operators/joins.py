@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trackloom.functions.kernels import link_frame
+from trackloom.sources.export import shared_folder
 
 #: Largest side that is sent to all tasks; beyond it a join goes by bucket or shuffle.
 BROADCAST_ROWS = 100_000
@@ -85,24 +88,68 @@ def nearest_links(points: DataFrame, keys: Sequence[str], frame: str, row: str,
     return whole.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{row} {kinds[row]}", f"previous {kinds[row]}"]))
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage of an iteration by a reliable checkpoint, where the session names a folder for it."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession, name))
+    return df.checkpoint()
+
+
+def _first_cell(n: float, wide: float, high: float, most: float) -> float:
+    """The width of square cells of which ``n`` cover a rectangle, at most ``most``."""
+    if n <= 1 or wide + high <= 0:
+        return most
+    per = (math.sqrt((wide + high) ** 2 + 4 * wide * high * (n - 1)) - wide - high) / (2 * wide * high) if wide * high > 0 else (n - 1) / (wide + high)
+    return min(most, 1 / per) if per > 0 else most
+
+
 def gap_links(tracks: DataFrame, keys: Sequence[str], track: str, max_gap: int, ratio: tuple[float, float], min_rows: int = 1) -> DataFrame:
     """(keys, track, previous): the earlier track that each later one continues across a gap.
 
     ``tracks`` has start, end, n, and x, y, size at both ends (x0.. and x1..), and reach, the largest distance.  A start
     counts if end < start <= end + ``max_gap`` and lo < size1 / size0 < hi.  Each track takes the nearest (ties:
-    smallest id) if within its reach; of several that take one successor the largest id stays.
-    Starts meet ends in buckets of ``max_gap`` frames.
+    smallest id) if within its reach; of several that take one successor the largest id stays.  Unknown places link with
+    nothing.
+
+    Starts meet ends in buckets of ``max_gap`` frames and in square cells of about eight starts.  An end looks into the
+    four cells around it, which hold all that lies within half a cell; those that find nothing there look into cells four
+    times as wide, until these exceed their reach.  Equal ends, and equal starts, are one row.
     """
     width = max(1, max_gap)
     long = tracks.where(F.col("n") >= min_rows)
-    ends = long.select(*keys, F.col(track).alias("previous"), F.col("end").alias("_end"), F.col("x1"), F.col("y1"), F.col("size1"), F.col("reach")).withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(F.col("_end") / width), F.floor(F.col("_end") / width) + 1))))
-    starts = long.select(*keys, track, F.col("start").alias("_start"), "x0", "y0", "size0").withColumn("_b", F.floor(F.col("_start") / width))
+    known = lambda *cols: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols))
+    ends = long.where(known("x1", "y1", "size1", "reach")).groupBy(*keys, F.col("end").alias("_end"), "x1", "y1", "size1", "reach").agg(F.max(track).alias("previous"))
+    starts = long.where(known("x0", "y0", "size0")).groupBy(*keys, F.col("start").alias("_start"), "x0", "y0", "size0").agg(F.min(track).alias(track))
+    starts = _table(starts.withColumn("_b", F.floor(F.col("_start") / width)), "gaps")
+    # Ends that no start follows in time would look into all cells for nothing.
+    times = ends.select(*keys, F.col("_end").alias("_t"), F.lit(False).alias("_new")).unionByName(starts.select(*keys, F.col("_start").alias("_t"), F.lit(True).alias("_new")))
+    times = times.groupBy(*keys, "_t").agg(F.max("_new").alias("_new"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_t").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    times = times.withColumn("_next", F.last(F.when(F.col("_new"), F.col("_t")), ignorenulls=True).over(later)).where(F.col("_next") <= F.col("_t") + max_gap)
+    ends = _table(ends.join(times.select(*keys, F.col("_t").alias("_end")), [*keys, "_end"], "left_semi"), "gaps")
+
+    span = starts.agg(F.count("*"), F.max("x0") - F.min("x0"), F.max("y0") - F.min("y0")).first()
+    far, buckets = ends.agg(F.max("reach")).first()[0], starts.select(*keys, "_b").distinct().count()
     share = F.col("size1") / F.nullif(F.col("size0"), F.lit(0))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     ok = (F.col("_end") < F.col("_start")) & (F.col("_start") <= F.col("_end") + max_gap) & (share > ratio[0]) & (share < ratio[1])
-    pairs = ends.join(starts, [*keys, "_b"]).where(ok).withColumn("_d", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
-    best = pairs.groupBy(*keys, "previous").agg(F.min_by(F.struct(track, "_d", "reach"), F.struct("_d", track)).alias("_b"))
-    best = best.where(F.col("_b._d") <= F.col("_b.reach")).select(*keys, F.col(f"_b.{track}").alias(track), "previous")
-    return best.groupBy(*keys, track).agg(F.max("previous").alias("previous"))
+    whole = max(4.0 * float(far or 0), 1e-9)
+    cell, found = _first_cell(span[0] / (8 * max(1, buckets)), float(span[1] or 0), float(span[2] or 0), whole), None
+    while True:
+        # A little less than half, so that rounding loses nothing at the cells' borders.
+        within = 0.499 * cell
+        at = lambda c: F.explode(F.array(*(F.floor(F.col(c) / cell - 0.5) + k for k in (0, 1))))  # noqa: E731, B023
+        bucket = F.explode(F.array_distinct(F.array(F.floor(F.col("_end") / width), F.floor(F.col("_end") / width) + 1)))
+        looks = ends.withColumn("_b", bucket).withColumn("_cx", at("x1")).withColumn("_cy", at("y1"))
+        cells = starts.withColumns({"_cx": F.floor(F.col("x0") / cell), "_cy": F.floor(F.col("y0") / cell)})
+        pairs = looks.join(cells, [*keys, "_b", "_cx", "_cy"]).where(ok).withColumn("_d", F.sqrt(dx * dx + dy * dy)).where((F.col("_d") <= within) & (F.col("_d") <= F.col("reach")))
+        best = _table(pairs.groupBy(*keys, "previous").agg(F.min_by(track, F.struct("_d", track)).alias(track)), "gaps")
+        found = best if found is None else found.unionByName(best)
+        ends = _table(ends.where(F.col("reach") > within).join(best, [*keys, "previous"], "left_anti"), "gaps")
+        if ends.isEmpty():
+            return found.groupBy(*keys, track).agg(F.max("previous").alias("previous"))
+        cell = min(4 * cell, whole)
 
 
 def point_in_rectangle(points: DataFrame, boxes: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "well_name") -> DataFrame:

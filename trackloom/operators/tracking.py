@@ -13,16 +13,7 @@ from pyspark.sql.window import Window
 from trackloom.functions import kernels, stage
 from trackloom.functions.timeseries import Track, fill_both, rolling_std, unwrap
 from trackloom.operators.islands import sessions
-from trackloom.operators.joins import gap_links, nearest_links
-from trackloom.sources.export import shared_folder
-
-
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of an iteration by a reliable checkpoint, where the session names a folder for it."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession, name))
-    return df.checkpoint()
+from trackloom.operators.joins import _table, gap_links, nearest_links
 
 
 def chain_roots(links: DataFrame, keys: Sequence[str], node: str, previous: str = "previous") -> DataFrame:
