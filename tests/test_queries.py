@@ -39,3 +39,27 @@ def test_query(spark, duck, name):
     want = sorted((tuple(r) for r in duck.sql("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({ORACLE[name]})").fetchall()), key=repr)
     assert len(rows) == len(want)
     assert all(close(x, y) for a, b in zip(rows, want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+@pytest.fixture()
+def against_sql(spark, tmp_path):
+    """Compares a query with its SQL on tables of one's own, rows as they are."""
+
+    def compare(name, **tables):
+        con = duckdb.connect()
+        for table, sql in tables.items():
+            con.sql(f"COPY ({sql}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+        df = QUERIES[name](spark, str(tmp_path))
+        cols = ", ".join(f'"{c}"' for c in df.columns)
+        got, want = (sorted(map(tuple, rows), key=repr) for rows in (df.collect(), con.sql(f"SELECT {cols} FROM ({ORACLE[name]})").fetchall()))
+        assert got and got == want
+
+    return compare
+
+
+EVENT = "'click' AS event_type, '{}' AS props"
+
+
+def test_tracks_named_like_the_halves_of_a_track(against_sql):
+    against_sql("merged_by_hand", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-25' + to_hours((i // 6 * 40)::INT) AS ts, [7, 8, 10001, 10002, 10003, 20000][i % 6 + 1]::BIGINT AS user_id, i::DOUBLE AS value, {EVENT} FROM range(60) r(i)")

@@ -55,17 +55,21 @@ def set_label(df: DataFrame, track: str, ids: Column | Sequence[int], label: int
     return df.withColumn("worm_label", F.when(hit, F.lit(label)).otherwise(F.col("worm_label")))
 
 
-def merge_tracks(df: DataFrame, track: str, first: int, second: int, frame: str = "frame_number") -> DataFrame:
-    """Joins two tracks by hand into a new id above all; both must exist, differ, and share no frame."""
+def merge_tracks(df: DataFrame, track: str, first: int, second: int, frame: str = "frame_number", new: int | None = None, checked: bool = True) -> DataFrame:
+    """Joins two tracks by hand into a new id above all; both must exist, differ, and share no frame.
+
+    ``new`` names another id.  With ``checked`` off, tracks that are absent or share frames are joined as they are.
+    """
     if first == second:
         raise ValueError("a track cannot be joined with itself")
     both = df.where(F.col(track).isin(first, second))
-    found = both.agg(F.count_distinct(track), F.count(frame), F.count_distinct(frame)).first()
-    if found[0] != 2:
-        raise ValueError("no such track")
-    if found[1] != found[2]:
-        raise ValueError("the tracks overlap")
-    new = df.agg(F.max(track)).first()[0] + 1
+    if checked:
+        found = both.agg(F.count_distinct(track), F.count(frame), F.count_distinct(frame)).first()
+        if found[0] != 2:
+            raise ValueError("no such track")
+        if found[1] != found[2]:
+            raise ValueError("the tracks overlap")
+    new = df.agg(F.max(track)).first()[0] + 1 if new is None else new
     label = F.when(F.col(track) == second, both.where(F.col(track) == first).agg(F.max("worm_label")).first()[0]).otherwise(F.col("worm_label")) if "worm_label" in df.columns else None
     df = df.withColumn("worm_label", label) if label is not None else df
     return df.withColumn(track, F.when(F.col(track).isin(first, second), F.lit(new)).otherwise(F.col(track)))
