@@ -64,3 +64,9 @@ def test_linked_frames_in_blocks():
     for i, j in enumerate(whole):
         if j >= 0:
             assert cost[i, j] == cost[i].min() <= 6
+
+
+def test_linking_ties_of_roots_of_squares():
+    """Both previous points are as far by the root of squares, the second one nearer by hypot; the first is taken."""
+    prev = (np.array([6.96, 0.26]), np.array([6.0, 6.0]), np.array([9.0, 9.0]))
+    assert K.link_frame(prev, (np.array([3.61]), np.array([0.0]), np.array([9.0])), 10.0, (0.5, 2.0)).tolist() == [0]

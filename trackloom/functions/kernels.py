@@ -605,7 +605,8 @@ def link_frame(prev: tuple[np.ndarray, ...], cur: tuple[np.ndarray, ...], max_di
 
     A pair is forbidden if previous size / size is outside ``ratio`` or unknown.  Each point picks its nearest previous
     one (ties: the first); the pick falls if it is farther than ``max_distance`` or if several points picked the same.
-    Previous points pick likewise, and a point whose pick lost its own is unlinked.  Costs are made in blocks.
+    Previous points pick likewise, and a point whose pick lost its own is unlinked.  Costs are made in blocks, as roots of
+    sums of squares: ``hypot`` rounds otherwise, and splits ties or makes some.
     """
     (px, py, ps), (cx, cy, cs) = prev, cur
     n, m = len(cx), len(px)
@@ -618,7 +619,8 @@ def link_frame(prev: tuple[np.ndarray, ...], cur: tuple[np.ndarray, ...], max_di
         part = slice(a, a + step)
         with np.errstate(divide="ignore", invalid="ignore"):
             share = ps[None, :] / cs[part, None]
-            cost = np.hypot(cx[part, None] - px[None, :], cy[part, None] - py[None, :])
+            dx, dy = cx[part, None] - px[None, :], cy[part, None] - py[None, :]
+            cost = np.sqrt(dx * dx + dy * dy)
             cost = np.where((share >= ratio[0]) & (share <= ratio[1]) & np.isfinite(cost), cost, 1e20)
         pick[part] = cost.argmin(1)
         near[part] = cost.min(1)
