@@ -63,3 +63,8 @@ EVENT = "'click' AS event_type, '{}' AS props"
 
 def test_tracks_named_like_the_halves_of_a_track(against_sql):
     against_sql("merged_by_hand", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-25' + to_hours((i // 6 * 40)::INT) AS ts, [7, 8, 10001, 10002, 10003, 20000][i % 6 + 1]::BIGINT AS user_id, i::DOUBLE AS value, {EVENT} FROM range(60) r(i)")
+
+
+def test_angles_beyond_a_turn(against_sql):
+    """Steps of the tail's angle over half a turn, which were unwrapped."""
+    against_sql("orientation_by_movement", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i::INT) AS ts, i % 3 AS user_id, (CASE WHEN i % 7 = 0 THEN 326.0 ELSE i * 37 % 50 END)::DOUBLE AS value, {EVENT} FROM range(300) r(i)")

@@ -81,14 +81,14 @@ def split_track(df: DataFrame, track: str, which: int, at: int, frame: str = "fr
     return df.withColumn(track, F.when(F.col(track) != which, F.col(track)).when(F.col(frame) < at, F.lit(top + 1)).otherwise(F.lit(top + 2)))
 
 
-def orient_by_movement(df: DataFrame, track: Track, head: str, tail: str, at: str, max_gap: int, size: int, min_rows: int) -> DataFrame:
+def orient_by_movement(df: DataFrame, track: Track, head: str, tail: str, at: str, max_gap: int, size: int, min_rows: int, wrapped: bool = True) -> DataFrame:
     """Adds is_switched: in most rows of the block of poses, the head's angle varies less than the tail's.
 
     Blocks are split at gaps of ``max_gap``; blocks with fewer than ``min_rows`` comparisons take the state of the block
-    before, or else after.
+    before, or else after.  Angles without jumps (``wrapped`` off) are taken as they are.
     """
     w = track.window()
-    df = unwrap(unwrap(df, head, track, "_h"), tail, track, "_t")
+    df = unwrap(unwrap(df, head, track, "_h"), tail, track, "_t") if wrapped else df.withColumns({"_h": F.col(head), "_t": F.col(tail)})
     df = df.withColumn("_hs", rolling_std(F.col("_h"), w, size, size)).withColumn("_ts", rolling_std(F.col("_t"), w, size, size))
     df = sessions(df, F.col(at), track, max_gap, "_block")
     block = Window.partitionBy(*track.keys, "_block")
