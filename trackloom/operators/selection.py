@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.operators.joins import window_join
+from trackloom.operators.joins import small, window_join
 
 
 def parse_windows(text: str) -> list[tuple[int, int | None]]:
@@ -92,9 +93,12 @@ def dense_ids(df: DataFrame, good: DataFrame, on: Sequence[str], order: Sequence
 
 
 def every_kth_frame(df: DataFrame, keys: Sequence[str], frame: str, k: int) -> DataFrame:
-    """Rows of every k-th distinct frame, the first included."""
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(frame)) - 1
-    return df.withColumn("_rank", rank).where(F.col("_rank") % k == 0).drop("_rank")
+    """Rows of every k-th distinct frame, the first included.  Frames are numbered, not their rows; NULL is one, the first."""
+    rank = F.row_number().over(Window.partitionBy(*(f"_{c}" for c in keys)).orderBy("_frame")) - 1
+    every = df.select(*(F.col(c).alias(f"_{c}") for c in keys), F.col(frame).alias("_frame")).distinct()
+    chosen = small(every.withColumn("_rank", rank).where(F.col("_rank") % k == 0))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys), F.col(frame).eqNullSafe(F.col("_frame")))
+    return df.join(chosen, same, "left_semi")
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
