@@ -67,6 +67,7 @@ def test_linked_frames_in_blocks():
 
 
 def test_linking_ties_of_roots_of_squares():
-    """Both previous points are as far by the root of squares, the second one nearer by hypot; the first is taken."""
+    """Both previous points are as far from the first one by the root of squares, the second nearer by hypot."""
     prev = (np.array([6.96, 0.26]), np.array([6.0, 6.0]), np.array([9.0, 9.0]))
-    assert K.link_frame(prev, (np.array([3.61]), np.array([0.0]), np.array([9.0])), 10.0, (0.5, 2.0)).tolist() == [0]
+    cur = (np.array([3.61, -4.74]), np.array([0.0, 6.0]), np.array([9.0, 9.0]))
+    assert K.link_frame(prev, cur, 10.0, (0.5, 2.0)).tolist() == [0, 1]
