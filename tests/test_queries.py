@@ -68,3 +68,9 @@ def test_tracks_named_like_the_halves_of_a_track(against_sql):
 def test_angles_beyond_a_turn(against_sql):
     """Steps of the tail's angle over half a turn, which were unwrapped."""
     against_sql("orientation_by_movement", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i::INT) AS ts, i % 3 AS user_id, (CASE WHEN i % 7 = 0 THEN 326.0 ELSE i * 37 % 50 END)::DOUBLE AS value, {EVENT} FROM range(300) r(i)")
+
+
+def test_cells_at_their_borders(against_sql):
+    """Whether the third value lies on a cell's border hangs on the order in which the mean is added up."""
+    values = [49.3, 35.4, 27.6, 84.1, 17.4, 52.0]
+    against_sql("grid_coverage", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i::INT) AS ts, 1::BIGINT AS user_id, {values}[i + 1]::DOUBLE AS value, {EVENT} FROM range(6) r(i)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.__main__ import main
 from trackloom.functions.timeseries import Track
-from trackloom.operators import features, summary
+from trackloom.operators import features, joins, selection, summary
 from trackloom.plans import stages
 from trackloom.sources import export
 
@@ -108,3 +108,25 @@ def test_shares_of_true_nulls(spark):
     assert (q["q_value"].diff().dropna() >= 0).all() and q["q_value"].max() <= 1
     with pytest.raises(ValueError):
         summary.null_share(df, "p", [], "none")
+
+
+def test_large_groups_are_not_in_one_task(spark):
+    """Medians, ranks and numbers of frames equal plain ones; q-values counted rows without p before."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 50 > 0, (F.hash("id") % 5_000).cast("double") / 10_000 + 0.5).alias("p"), F.col("id"))
+    df = df.where("k = 0 or id < 9")
+    pdf = df.toPandas()
+    got = {r.k: r.m for r in summary.group_median(df, ["k"], "p", "m").collect()}
+    assert got == pytest.approx(pdf.groupby("k").p.median().to_dict(), abs=1e-15)
+    q = summary.q_values(df, "p", keys=["k"]).toPandas().set_index("id").q_value
+    for _, g in pdf.dropna(subset="p").groupby("k"):
+        g = g.sort_values("p", ascending=False)
+        want = (g.p * len(g) / g.p.rank(method="max")).clip(upper=1.0).cummin()
+        want = want.groupby(g.p).transform("min")
+        np.testing.assert_allclose(q.loc[g.id], want, rtol=1e-12)
+    assert q.isna().sum() == pdf.p.isna().sum()
+    kept = selection.every_kth_frame(df.where("p is not null"), ["k"], "p", 7)
+    ranks = pdf.dropna(subset="p").groupby("k").p.rank(method="dense") - 1
+    assert sorted(r.id for r in kept.collect()) == sorted(pdf.id[ranks.index[ranks % 7 == 0]])
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+    assert joins.spread(df, ["k", "id"], 1_000).rdd.getNumPartitions() == -(-len(pdf) // 1_000)
+    assert summary.split_chunks(df, Track(("k",), ("id",)), 3).where("k = 1").groupBy("chunk").count().count() == 2

@@ -28,6 +28,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+def spread(df: DataFrame, keys: Sequence[str], rows: int = 500_000) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as hold about ``rows`` rows each, which are counted, so that a task does not
+    grow with its input."""
+    parts = -(-df.count() // rows)
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
 def window_join(df: DataFrame, windows: DataFrame, at: str, start: str = "start", end: str = "end") -> DataFrame:
     """Rows with every half-open window [start, end) they lie in; a NULL end is open.
 

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from trackloom.functions.timeseries import Track
 from trackloom.operators import events as E
 from trackloom.operators.features import BASE, CURVATURE, PATH, PATH_PARTS, SERIES, SIDED, derivatives
-from trackloom.operators.joins import small
-from trackloom.operators.summary import event_statistics, grid_coverage, random_folds, trajectory_info
+from trackloom.operators.joins import small, spread
+from trackloom.operators.summary import event_statistics, grid_coverage, group_median, random_folds, trajectory_info
 
 #: Columns of detected shapes, and names of the labels of events.
 BLOB = ["blob_area", "blob_perimeter", "blob_box_length", "blob_box_width", "blob_quirkiness", "blob_compactness", "blob_solidity", *(f"blob_hu{i}" for i in range(7))]
@@ -153,9 +153,10 @@ def path_statistics(df: DataFrame, keys: Sequence[str], track: Track, fps: float
     parts = [p for p in PATH_PARTS if f"coord_x_{p}" in df.columns]
     both = [(p, n) for p in parts for n in ((False, True) if "length" in df.columns else (False,))]
     if "length" in df.columns:
-        df = df.withColumn("_l", F.median("length").over(Window.partitionBy(*keys)))
+        df = df.join(small(group_median(df, keys, "length", "_l")), list(keys))
     unit = lambda p, n: F.struct(F.lit(p).alias("part"), F.lit("_norm" if n else "").alias("tag"), F.col(f"coord_x_{p}").alias("x"), F.col(f"coord_y_{p}").alias("y"), (F.col("_l") * lengths if n else F.lit(float(cell))).alias("cell"), F.lit(1.0 if n else float(cell) ** 2).alias("area"))
     own = list(dict.fromkeys([*keys, *track.keys, *track.order]))
+    df = spread(df, list(dict.fromkeys([*track.keys, *keys])), 500_000 // max(1, len(both)))
     rows = df.select(*own, F.explode(F.array(*(unit(p, n) for p, n in both))).alias("_u")).select(*own, "_u.*")
     group, way = [*keys, "part", "tag"], Track((*dict.fromkeys([*track.keys, *keys]), "part", "tag"), track.order)
     cover = grid_coverage(rows, group, "x", "y", F.col("cell"), fps, way, F.col("area"))
