@@ -277,7 +277,10 @@ SELECT g, track, max(previous) AS previous FROM n WHERE d <= 20 GROUP BY g, trac
 def gap_join(t):
     """JOI-07."""
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600 * 1_000_000)).cast("bigint")
-    k = t("events").groupBy((F.col("user_id") % 3).alias("g"), F.col("user_id").alias("track")).agg(F.min(hour).alias("start"), F.avg("value").alias("x0"), (F.count("*") + 50.0).alias("size0"), F.count("*").alias("n"))
+    # Equal animals must get equal means, or the nearest of them hangs on the order of their values.
+    e = t("events").withColumns({"g": F.col("user_id") % 3, "track": F.col("user_id")})
+    means = A.group_mean(e, ["g", "track"], ["value"], Track(("track",), ("event_id",)))
+    k = e.groupBy("g", "track").agg(F.min(hour).alias("start"), (F.count("*") + 50.0).alias("size0"), F.count("*").alias("n")).join(means.withColumnRenamed("value_mean", "x0"), ["g", "track"])
     k = k.withColumn("end", F.col("start") + 40 + F.col("track") % 30).withColumns({"x1": F.col("x0"), "size1": F.col("size0"), "y0": F.lit(0.0), "y1": F.lit(0.0), "reach": F.lit(20.0)})
     return J.gap_links(k, ["g"], "track", 48, (0.5, 2.0))
 
