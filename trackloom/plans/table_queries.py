@@ -379,7 +379,9 @@ _TABLES = "region nation customer supplier part orders lineitem events documents
 @query("SELECT unnest([" + ", ".join(f"'{n}.parquet'" for n in sorted(_TABLES)) + "]) AS name, unnest(range(14)) AS file_id")
 def table_files(t):
     """SRC-01, SRT-10, ORC-10: files under a folder, numbered by path."""
-    found = ingest.find_files(t.spark, t.folder, "*.parquet").where(F.regexp_replace("name", r"\.parquet$", "").isin(_TABLES))
+    # A table may be a folder of files, which then stands in the list once, under its own path.
+    found = ingest.find_files(t.spark, t.folder, "*.parquet").select(F.regexp_replace("path", r"(/[^/]+\.parquet)/.*$", "$1").alias("path")).distinct()
+    found = found.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).where(F.regexp_replace("name", r"\.parquet$", "").isin(_TABLES))
     return ingest.manifest(found).select("name", F.col("file_id").cast("bigint").alias("file_id"))
 
 
