@@ -198,7 +198,7 @@ def legacy_velocity(df: DataFrame, track: Track, x: str, y: str, body: str, fps:
     df = df.withColumn("_a", a).withColumn("_b", b)
     dx, dy = F.col("_b.v")[x] - F.col("_a.v")[x], F.col("_b.v")[y] - F.col("_a.v")[y]
     direction = F.degrees(F.atan2(dy, dx))
-    size = F.hypot(dx, dy) / ((F.col("_b.t") - F.col("_a.t")) / fps)
+    size = F.sqrt(dx * dx + dy * dy) / ((F.col("_b.t") - F.col("_a.t")) / fps)
     sign = F.when(F.abs(wrap_degrees(direction - F.col(body))) > 90, -1).otherwise(1)
     before = F.lag("_dir").over(w)
     df = df.withColumn(f"{part}_speed", size * sign).withColumn("_dir", direction).withColumn(f"{part}_direction", wrap_degrees(F.col("_dir") - before) * fps)

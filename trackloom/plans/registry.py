@@ -68,6 +68,11 @@ def rounded(c, n: int = 6):
     return F.round(c, n)
 
 
+def signed(c, n: int):
+    """A double rounded as SQL does it: what comes to zero from below is -0.0, which Spark's rounding makes 0.0."""
+    return F.when(F.round(c, n) == 0, c * F.lit(0.0)).otherwise(F.round(c, n))
+
+
 def frames(t) -> DataFrame:
     """Events with an integer frame for each row of a track, and a signal with gaps (values under 20 are missing)."""
     e = t("events").withColumn("frame", F.row_number().over(EVENTS.window()))

@@ -14,7 +14,7 @@ from trackloom.operators import features as X
 from trackloom.operators import images as P
 from trackloom.operators import summary as A
 from trackloom.operators import tracking as K
-from trackloom.plans.registry import FRAMES, frames, query, rounded
+from trackloom.plans.registry import FRAMES, frames, query, rounded, signed
 from trackloom.plans.route_queries import _P, POSES, TRACK, _poses, _rounded, _take
 from trackloom.sources import images as I
 from trackloom.sources.export import shared_folder
@@ -402,7 +402,7 @@ def crawling_bends(t):
     """WIN-29, EVT-14: waves in windows that zero crossings bound, by peaks between low troughs of their spectra."""
     df = frames(t).select("user_id", "frame", "event_id", (F.col("value") - 50).alias("bend"))
     out = E.crawling_bends(df, TRACK, "bend", 25.0, "bend", seconds=(0.2, 1.0), samples=64)
-    return out.select("event_id", rounded(F.col("bend_amplitude"), 5).alias("amplitude"), rounded(F.col("bend_frequency"), 6).alias("frequency"))
+    return out.select("event_id", signed(F.col("bend_amplitude"), 5).alias("amplitude"), signed(F.col("bend_frequency"), 6).alias("frequency"))
 
 
 # ---- files of images ------------------------------------------------------------------------------------------------
