@@ -171,3 +171,9 @@ def test_noisy_blocks_stay_and_reversed_ones_turn(spark):
     assert kernels.confirmed_blocks(np.array([[1, 2, 3.0]] * 4 + [[3, 2, 1.0]] * 3 + [[1, 2, 3.0]] * 4), [(4, 7)], 4) == [(4, 7)]
     assert kernels.confirmed_blocks(np.array([[3, 2, 1.0]] * 11), [(4, 7)], 4) == []
     assert tracking.orient_by_intensity(df.limit(0), Track(), "profile", 3).agg(F.count("*")).first()[0] == 0
+
+
+def test_sides_of_windows_near_zero():
+    """Numpy's mean of these is 0, their sum one by one is not."""
+    v = np.array([6.1, -26.3, -8.6, 2.6, -14.8, 47.5, 36.7, 9.1, -13.9, -38.4])
+    assert np.nanmean(v) == 0 and waves.side(v) == 1.0

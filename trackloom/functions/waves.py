@@ -70,6 +70,11 @@ def greedy_apart(height: np.ndarray, at: np.ndarray, apart: int) -> np.ndarray:
     return np.sort(np.array(taken, np.int64))
 
 
+def side(view: np.ndarray) -> float:
+    """The sign of a window's mean, added up value by value: numpy's own order of sums gives another one to means near 0."""
+    return float(np.sign(np.cumsum(np.nan_to_num(view))[-1]))
+
+
 def bend_waves(x: np.ndarray, fps: float, paused: np.ndarray | None = None, seconds: tuple[float, float] = (0.5, 15.0), samples: int = SAMPLES, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(amplitude, frequency) of the wave around each sample, with the sign of the window's mean; NaN where it is unclear.
 
@@ -93,7 +98,7 @@ def bend_waves(x: np.ndarray, fps: float, paused: np.ndarray | None = None, seco
             for row, view, spectrum in zip(some.tolist(), views, spectra, strict=True):
                 top = spectrum_peak(spectrum, size, low, high)
                 if top > 0:
-                    sign = np.sign(np.nanmean(view))
+                    sign = side(view)
                     amplitude[row], frequency[row] = 2 * spectrum[top] / size * sign, step * top * sign
     return amplitude, frequency
 
