@@ -27,6 +27,8 @@ RELATIVE_TO = {
     "tail_base": ("tail_tip",), "midbody": (), "head_tip": (), "tail_tip": (),
 }
 PATH_PARTS = ("body", "tail", "midbody", "head")
+#: Most poses that a worker draws at once.
+POSES_AT_ONCE = 256
 
 
 def morphology(df: DataFrame) -> DataFrame:
@@ -42,11 +44,12 @@ def morphology(df: DataFrame) -> DataFrame:
 def skeletons(df: DataFrame, n: int = 49, points: int = 200) -> DataFrame:
     """Adds skeleton and widths, from the contour sides ventral and dorsal (head to tail); NULL without both.
 
-    Sides are drawn anew with ``points`` points.  Batches of poses are worked on as arrays (``bodies.skeletons_from_sides``).
+    Sides are drawn anew with ``points`` points.  Batches of poses are worked on as arrays (``bodies.skeletons_from_sides``),
+    some hundred at a time, so that a worker's memory does not depend on how many poses come in a batch.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[i : i + POSES_AT_ONCE] for b in batches for i in range(0, len(b), POSES_AT_ONCE)):
             lines, widths = [None] * len(pdf), [None] * len(pdf)
             good = np.flatnonzero([all(s is not None and len(s) > 2 for s in sides) for sides in zip(pdf["ventral"], pdf["dorsal"], strict=True)])
             if len(good):
