@@ -279,3 +279,18 @@ def test_gap_links_equal_brute_force(spark):
                 best[p[0], min(near)[1]] = max(p[1], best.get((p[0], min(near)[1]), -1))
     got = joins.gap_links(df, ["file_id"], "w", 12, (0.5, 2.0)).collect()
     assert {(r.file_id, r.w): r.previous for r in got} == best and len(got) == len(best) > 100
+
+
+def test_calibration_is_read_in_one_pass(spark):
+    """What each path of XPath finds, from one reading of a document: each path was a reading of its own."""
+    unit = "<i><microns-per-unit><x>{}</x><y>{}</y></microns-per-unit></i>"
+    documents = [unit.format(*v) for v in ((" 1.25 ", "1e3"), ("-0", "+5"), ("5.", ".5"), ("&#49;2", "1<![CDATA[7]]>2"), ("1<!--c-->2", "1<b>9</b>2"), ("<b/>3", "Infinity"), ("1 2", "\n3\t"), ("1.2.3", ""))]
+    documents += ["<i xmlns='u'><a><q:microns-per-unit xmlns:q='v'><x>4</x></q:microns-per-unit></a></i>", "<i><pixels-per-unit><w><x>1</x></w><x/></pixels-per-unit><pixels-per-unit><x>3</x><y>-2</y></pixels-per-unit></i>", "<i/>", "", None]
+    df = spark.createDataFrame([(d,) for d in documents], "xml string")
+    numbers = ingest.calibration(F.col("xml"))
+    paths = {f"{unit}_{axis}": F.xpath_double("xml", F.lit(f"//{unit}-per-unit/{axis}/text()")) for unit in ("microns", "pixels") for axis in "xy"}
+    assert numbers.keys() == paths.keys()
+    out = df.select(F.array(*numbers.values()).alias("got"), F.array(*paths.values()).alias("want"))
+    assert all(repr(r.got) == repr(r.want) for r in out.collect())
+    plan = df.select(*numbers.values())._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("ArrowEvalPython") == 1 and "XPath" not in plan

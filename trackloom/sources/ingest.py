@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,10 +118,52 @@ def stage_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", get("real time").alias("real_time"), clock_seconds(get("media time")).alias("stage_time"), get("stage position x").cast("double").alias("stage_x"), get("stage position y").cast("double").alias("stage_y"))
 
 
+#: The unit and axis of each number of a calibration document.
+CALIBRATION = {"microns_x": ("microns-per-unit", "x"), "microns_y": ("microns-per-unit", "y"), "pixels_x": ("pixels-per-unit", "x"), "pixels_y": ("pixels-per-unit", "y")}
+
+
+def calibration_numbers(xml: str) -> list[float]:
+    """The numbers that the paths ``//unit/axis/text()`` of ``CALIBRATION`` have in XPath, all in one pass: those of the
+    first text that each path finds, NaN where there is none or it is no number.  Prefixes of names do not count."""
+    names = {v: k for k, v in enumerate(CALIBRATION.values())}
+    stack, found, text = [], {}, []
+
+    def text_ends() -> None:
+        if text:
+            found.setdefault(tuple(stack[-2:]), "".join(text))
+            text.clear()
+
+    def start(name: str, _: dict) -> None:
+        text_ends()
+        stack.append(name.rpartition(":")[2])
+
+    def end(_: str) -> None:
+        text_ends()
+        stack.pop()
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = lambda *_: text_ends()
+    parser.Parse(xml, True)
+    out = [math.nan] * len(names)
+    for path, k in names.items():
+        value = found.get(path, "").strip(" \t\r\n")
+        if re.fullmatch(r"-?([0-9]+\.?[0-9]*|\.[0-9]+)", value):
+            out[k] = float(value)
+    return out
+
+
 def calibration(xml: Column) -> dict[str, Column]:
-    """Microns per step and pixel from a calibration document."""
-    at = lambda p: F.xpath_double(xml, F.lit(p))
-    return {"microns_x": at("//microns-per-unit/x/text()"), "microns_y": at("//microns-per-unit/y/text()"), "pixels_x": at("//pixels-per-unit/x/text()"), "pixels_y": at("//pixels-per-unit/y/text()")}
+    """Microns per step and pixel from a calibration document; NaN where it has none."""
+
+    @F.arrow_udf(", ".join(f"{c} double" for c in CALIBRATION))
+    def numbers(documents: pa.Array) -> pa.Array:
+        rows = [calibration_numbers(d) if d else None for d in documents.to_pylist()]
+        columns = zip(*(r or [None] * len(CALIBRATION) for r in rows), strict=True) if rows else [()] * len(CALIBRATION)
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], list(CALIBRATION))
+
+    all_ = numbers(xml)
+    return {c: all_[c] for c in CALIBRATION}
 
 
 def sidecars(files: DataFrame, others: DataFrame, suffix: str) -> DataFrame:
