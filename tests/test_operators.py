@@ -294,3 +294,44 @@ def test_calibration_is_read_in_one_pass(spark):
     assert all(repr(r.got) == repr(r.want) for r in out.collect())
     plan = df.select(*numbers.values())._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.count("ArrowEvalPython") == 1 and "XPath" not in plan
+
+
+def test_smoothed_positions_against_plain_ones(spark):
+    """Positions of tracks with gaps, missing values and ends by a plain version; dense rows are not shuffled or sorted."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for track, n in ((1, 1), (2, 2), (3, 40), (4, 60), (5, 6)):
+        for f in np.cumsum(rng.integers(1, 2 + 5 * (track % 2), n)):
+            x = [None if rng.random() < 0.3 or (track == 5 and c == 2) else float(rng.integers(0, 99)) for c in range(4)]
+            rows.append((track, int(f), *x, float(rng.integers(9)), float(rng.integers(9))))
+    df = spark.createDataFrame(rows, "k int, frame_number long, coord_x double, coord_y double, area double, threshold double, box_length double, box_width double")
+    for window in (1, 4, 5, 9):
+        want = {}
+        for k in range(1, 6):
+            mine = {r[1]: r for r in rows if r[0] == k}
+            frames = np.arange(min(mine), max(mine) + 1)
+            lines = []
+            for c in range(2, 6):
+                known = [f for f in mine if mine[f][c] is not None]
+                y = np.interp(frames, known, [mine[f][c] for f in known]) if known else np.full(len(frames), np.nan)
+                h = window // 2 if c < 5 else 0
+                lines.append([np.median(y[max(0, i - h) : i + h + 1]) for i in range(len(y))])
+            for i, f in enumerate(frames):
+                want[k, f] = (*(line[i] for line in lines), max(max(r[6:8]) for r in mine.values()) + 10)
+        out = features.smooth_track_positions(df, ["k"], window=window)
+        got = out.collect()
+        assert out.columns == ["k", "frame_number", "coord_x", "coord_y", "area", "threshold", "roi_size"]
+        assert len(got) == len(want)
+        for r in got:
+            np.testing.assert_allclose([np.nan if v is None else v for v in r[2:]], want[r.k, r.frame_number], atol=1e-9)
+    plan = features.smooth_track_positions(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert plan.index("Generate explode") < plan.index("Sort ")
+
+
+def test_filled_tracks_are_made_from_their_rows(spark):
+    """Rows between those that are there, which were a table of their own to join."""
+    df = spark.createDataFrame([(1, 3, "a"), (1, 4, None), (1, 7, "c"), (2, 5, "d"), (2, None, "e"), (None, 1, "f"), (None, 3, "g")], "k int, i int, v string").repartition(3)
+    out = joins.dense_fill(df, ["k"], "i")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(1, 3, "a"), (1, 4, None), (1, 5, None), (1, 6, None), (1, 7, "c"), (2, 5, "d"), (None, 1, None), (None, 2, None), (None, 3, None)], key=repr)
+    assert "Join" not in joins.dense_fill(df, ["k"], "i")._jdf.queryExecution().executedPlan().toString()

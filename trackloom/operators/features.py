@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from trackloom.functions import geometry as G
 from trackloom.functions import kernels
 from trackloom.functions.bodies import skeletons_from_sides
-from trackloom.functions.timeseries import Track, bfill, central_difference, delta_frames, ffill, lerp
+from trackloom.functions.timeseries import Track, bfill, central_difference, delta_frames, ffill
 from trackloom.operators.events import behaviour
 from trackloom.operators.joins import dense_fill, in_polygon, point_in_rectangle, small
 from trackloom.operators.selection import pad_columns
@@ -489,17 +489,45 @@ def moved_by_stage(df: DataFrame, stage: DataFrame, keys: Sequence[str], at: str
 
 
 def smooth_track_positions(df: DataFrame, keys: Sequence[str], frame: str = "frame_number", window: int = 5) -> DataFrame:
-    """Tracks on a dense frame axis: positions and sizes interpolated, medians over ``window`` frames, roi_size added."""
-    cols = ("coord_x", "coord_y", "area", "threshold")
-    roi = df.groupBy(*keys).agg((F.max(F.greatest("box_length", "box_width")) + 10).alias("roi_size"))
-    dense = dense_fill(df.select(*keys, frame, *cols), keys, frame)
-    w = Window.partitionBy(*keys).orderBy(frame)
-    dense = dense.withColumns({c: lerp(F.col(c), F.col(frame), Track(tuple(keys), (frame,))) for c in cols})
-    half = window // 2
-    # Lists are columns of their own first, so that each is gathered and sorted once.
-    smoothed = ("coord_x", "coord_y", "area")
-    dense = dense.withColumns({f"_{c}": F.collect_list(c).over(w.rowsBetween(-half, half)) for c in smoothed})
-    dense = dense.withColumns({f"_{c}": F.array_sort(f"_{c}") for c in smoothed})
-    middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2 + 1).cast("int"))) / 2
-    dense = dense.withColumns({c: middle(F.col(f"_{c}")) for c in smoothed}).drop(*(f"_{c}" for c in smoothed))
-    return dense.join(roi, list(keys))
+    """Tracks on a dense frame axis: positions and sizes interpolated, medians over ``window`` frames, roi_size added.
+
+    All windows run over the rows that are there.  Each stands for its own frame and those up to the next row's, and
+    knows the values around these, so that dense rows are made in the end and neither shuffled nor sorted.
+    """
+    cols, smoothed, half = ("coord_x", "coord_y", "area", "threshold"), ("coord_x", "coord_y", "area"), window // 2
+    track = Track(tuple(keys), (frame,))
+    w, back, at = track.window(), track.backwards(), F.col(frame)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = {c: F.when(F.col(c).isNotNull() & at.isNotNull(), F.struct(at.alias("t"), F.col(c).alias("v"))) for c in cols}
+    rows = df.dropna(subset=list(keys)).select(*keys, frame, *cols, F.greatest("box_length", "box_width").alias("_box"))
+    rows = rows.withColumns({f"_b_{c}": F.last(k, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)) for c, k in known.items()})
+    rows = rows.withColumns({f"_a_{c}": ffill(k, w) for c, k in known.items()} | {"_upto": F.greatest(at, F.lead(at).over(w) - 1), "roi_size": F.max("_box").over(whole) + 10}).where(at.isNotNull())
+
+    def value(c: str, f: Column) -> Column:
+        """Of a frame from this row's up to the next one's: lines between values, the nearest one at a track's ends."""
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        inner = a["v"] + (b["v"] - a["v"]) * (f - a["t"]) / (b["t"] - a["t"])
+        return F.when((f == at) & F.col(c).isNotNull(), F.col(c)).when(a.isNotNull() & b.isNotNull(), inner).otherwise(F.coalesce(a["v"], b["v"]))
+
+    if half:
+        values = lambda first, last: F.transform(F.sequence(first, last), lambda f: F.struct(*(value(c, f).alias(c) for c in smoothed)))
+        rows = rows.withColumns({"_head": values(at, F.least("_upto", at + half - 1)), "_tail": values(F.greatest(at, F.col("_upto") - half + 1), F.col("_upto"))})
+        rows = rows.withColumns({"_before": F.flatten(F.collect_list("_tail").over(w.rowsBetween(-half, -1))), "_after": F.flatten(F.collect_list("_head").over(w.rowsBetween(1, half)))})
+    dense = rows.withColumn("_f", F.explode(F.sequence(at, F.col("_upto"))))
+    f = F.col("_f")
+    left, right = f - at, F.col("_upto") - f
+
+    def around(c: str) -> Column:
+        """The values of the frames around, sorted; those beyond a track's ends are NULL and come first."""
+        out = [value(c, f)]
+        for k in range(1, half + 1):
+            out.append(F.when(left >= k, value(c, f - k)).otherwise(F.get("_before", (F.size("_before") + left - k).cast("int"))[c]))
+            out.append(F.when(right >= k, value(c, f + k)).otherwise(F.get("_after", (k - right - 1).cast("int"))[c]))
+        return F.sort_array(F.array(*out))
+
+    n = F.lit(1) + (F.least(F.lit(half), F.size("_before") + left) + F.least(F.lit(half), F.size("_after") + right) if half else 0)
+    # Lists and their lengths are columns of their own first, so that each is made once.
+    dense = dense.select(*keys, f.alias(frame), *(around(c).alias(f"_{c}") for c in smoothed), value("threshold", f).alias("threshold"), "roi_size", n.cast("int").alias("_n"))
+    first = 2 * half + 1 - F.col("_n")
+    middle = lambda a: (F.get(a, (first + (F.col("_n") - 1) / 2).cast("int")) + F.get(a, (first + F.col("_n") / 2).cast("int"))) / 2
+    return dense.select(*keys, frame, *(middle(F.col(f"_{c}")).alias(c) for c in smoothed), "threshold", "roi_size")

@@ -190,9 +190,16 @@ def as_of(df: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, facts_a
 
 
 def dense_fill(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """A row for every position between a track's first and last; new rows have NULLs."""
-    axis = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b")).alias(at))
-    return axis.join(df, [*keys, at], "left")
+    """A row for every position between a track's first and last; new rows have NULLs.
+
+    Each row also makes those up to the next one's, so that only rows that are there are shuffled and sorted.
+    """
+    upto = F.greatest(F.col(at), F.lead(at).over(Window.partitionBy(*keys).orderBy(at)) - 1)
+    rows = df.where(F.col(at).isNotNull()).withColumn("_upto", upto).withColumn("_at", F.explode(F.sequence(at, "_upto")))
+    own = F.col("_at") == F.col(at)
+    for k in keys:
+        own &= F.col(k).isNotNull()
+    return rows.select(*keys, F.col("_at").alias(at), *(F.when(own, F.col(c)).alias(c) for c in df.columns if c not in (*keys, at)))
 
 
 def missing_cells(cells: DataFrame, row: str, col: str) -> DataFrame:
