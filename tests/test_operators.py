@@ -335,3 +335,34 @@ def test_filled_tracks_are_made_from_their_rows(spark):
     out = joins.dense_fill(df, ["k"], "i")
     assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(1, 3, "a"), (1, 4, None), (1, 5, None), (1, 6, None), (1, 7, "c"), (2, 5, "d"), (None, 1, None), (None, 2, None), (None, 3, None)], key=repr)
     assert "Join" not in joins.dense_fill(df, ["k"], "i")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_single_animal_across_batches(spark):
+    """One animal a file by a plain version, whatever rows come in one batch, with equal distances and places that are
+    missing: whole files were in memory, and a missing place hid the frame's others."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for file in range(3):
+        for f in range(40):
+            for _ in range(int(rng.integers(1, 12))):
+                x, y = (None if rng.random() < 0.1 else float(rng.integers(0, 30)) / 10 for _ in range(2))
+                rows.append((file, f, len(rows), x, y, float(rng.integers(1, 4))))
+    want = []
+    for file in range(3):
+        at = None
+        for f in range(40):
+            here = [r for r in rows if r[:2] == (file, f) and None not in r[3:5]]
+            far = [(math.sqrt((r[3] - (at or (1, 1))[0]) ** 2 + (r[4] - (at or (1, 1))[1]) ** 2) / (1 if at else math.sqrt(r[5])), r[2]) for r in here]
+            if far and (at is None or min(far)[0] <= 0.4):
+                want.append(min(far)[1])
+                at = next(r[3:5] for r in here if r[2] == want[-1])
+    df = spark.createDataFrame(rows, "file_id int, frame_number int, row_id long, coord_x double, coord_y double, area double").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            out = tracking.pick_single_animal(df, centre=(1.0, 1.0), max_distance=0.4)
+            assert sorted(r.row_id for r in out.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()

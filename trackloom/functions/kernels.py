@@ -523,30 +523,6 @@ def confirmed_blocks(profiles: np.ndarray, blocks: list[tuple[int, int]], around
     return out
 
 
-def single_animal(frames: np.ndarray, x: np.ndarray, y: np.ndarray, area: np.ndarray, centre: tuple[float, float], max_distance: float) -> np.ndarray:
-    """Mask of one detection a frame: from the largest near the centre in the first frame, the nearest to the one before.
-
-    Detections farther than ``max_distance`` from it are skipped; frames without one have none.
-    """
-    frames, x, y, area = (np.asarray(v) for v in (frames, x, y, area))
-    out = np.zeros(len(frames), bool)
-    if not len(frames):
-        return out
-    order = np.argsort(frames, kind="stable")
-    cuts = np.flatnonzero(np.diff(frames[order])) + 1
-    groups = np.split(order, cuts)
-    first = groups[0]
-    far = np.hypot(x[first] - centre[0], y[first] - centre[1])
-    seed = first[int(np.argmin(far / np.sqrt(np.maximum(area[first], 1e-9))))]
-    out[seed], at = True, (x[seed], y[seed])
-    for g in groups[1:]:
-        d = np.hypot(x[g] - at[0], y[g] - at[1])
-        k = int(np.argmin(d))
-        if d[k] <= max_distance:
-            out[g[k]], at = True, (x[g[k]], y[g[k]])
-    return out
-
-
 def smooth_polygon(points: np.ndarray, n: int = 1000, window: int | None = None) -> np.ndarray:
     """A closed polygon resampled to ``n`` points and smoothed by a cubic Savitzky-Golay filter that wraps around."""
     points = np.asarray(points, float)

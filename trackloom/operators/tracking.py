@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trackloom.functions import kernels, stage
@@ -119,14 +120,56 @@ def consistent_flips(df: DataFrame, track: Track, pose: str, name: str = "flip")
     return df.withColumn(name, F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1).drop("_turn")
 
 
-def pick_single_animal(points: DataFrame, keys: Sequence[str] = ("file_id",), frame: str = "frame_number", row: str = "row_id", centre: tuple[float, float] = (0.0, 0.0), max_distance: float = 50.0) -> DataFrame:
-    """The detections of one animal in every file, by :func:`kernels.single_animal`."""
+def _followed(batches: Iterator[pd.DataFrame], keys: Sequence[str], frame: str, row: str, centre: tuple[float, float], max_distance: float) -> Iterator[pd.DataFrame]:
+    """(keys, row) of one detection a frame, from batches of sorted rows that may end anywhere: only the animal's place
+    and the best detection of the frame so far are kept."""
+    before, at, limit = None, None, np.inf
+    far, place, pick = np.inf, None, None  # of the best detection of the frame; pick is a number in this batch, or its row
+    for pdf in batches:
+        out, numbers = [], []
+        x, y, area = (pdf[c].to_numpy(float) for c in ("coord_x", "coord_y", "area"))
+        both = pdf[[*keys, frame]] if before is None else pd.concat([before, pdf[[*keys, frame]]])
+        other = (both.ne(both.shift()) & ~(both.isna() & both.shift().isna())).to_numpy()[len(both) - len(pdf) :]
+        if before is None and len(pdf):
+            other[0] = True
+        before = both.iloc[-1:].copy()
+        new_file, new_frame = other[:, :-1].any(axis=1), other.any(axis=1)
+        cuts = np.unique([0, *np.flatnonzero(new_frame), len(pdf)])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if new_frame[a]:
+                if place is not None and far <= limit:
+                    (out if isinstance(pick, pd.DataFrame) else numbers).append(pick)
+                    at = place
+                limit, far, place = max_distance, np.inf, None
+                if new_file[a]:
+                    at, limit = None, np.inf
+            u, v = (x[a:b] - centre[0], y[a:b] - centre[1]) if at is None else (x[a:b] - at[0], y[a:b] - at[1])
+            d = np.sqrt(u * u + v * v)
+            if at is None:
+                d = d / np.sqrt(np.maximum(area[a:b], 1e-9))
+            d[np.isnan(d)] = np.inf
+            k = int(np.argmin(d))
+            if d[k] < far or (at is None and place is None):
+                far, place, pick = d[k], (x[a + k], y[a + k]), a + k
+        if place is not None and not isinstance(pick, pd.DataFrame):
+            pick = pdf[[*keys, row]].iloc[[pick]]
+        yield pd.concat([*out, pdf[[*keys, row]].iloc[numbers]])
+    if place is not None and far <= limit:
+        yield pick
 
-    def run(pdf):
-        return {"is_animal": kernels.single_animal(pdf[frame], pdf["coord_x"].to_numpy(float), pdf["coord_y"].to_numpy(float), pdf["area"].to_numpy(float), centre, max_distance)}
 
-    picked = kernels.per_track(points, keys, (frame, row), ["coord_x", "coord_y", "area"], run, {"is_animal": "boolean"})
-    return points.join(picked.where("is_animal").select(*keys, row), [*keys, row], "left_semi")
+def pick_single_animal(points: DataFrame, keys: Sequence[str] = ("file_id",), frame: str = "frame_number", row: str = "row_id", centre: tuple[float, float] = (0.0, 0.0), max_distance: float = 50.0) -> DataFrame:
+    """The detections of one animal in every file: from the one nearest to the centre by its size in the first frame, the
+    nearest to the one before; the first row counts where several are.
+
+    Detections farther than ``max_distance`` from it are skipped; frames without one have none.  Each step hangs on the
+    one before, so that a file's rows are gone through in order, by batches, in one task: no file is ever in memory.
+    """
+    kinds = {f.name: f.dataType for f in points.schema}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*keys, row)])
+    rows = points.select(*keys, frame, row, "coord_x", "coord_y", "area").repartition(*keys).sortWithinPartitions(*keys, F.col(frame).asc_nulls_last(), row)
+    picked = rows.mapInPandas(lambda batches: _followed(batches, keys, frame, row, centre, max_distance), schema)
+    return points.join(picked, [*keys, row], "left_semi")
 
 
 def orient_by_intensity(df: DataFrame, track: Track, profile: str, min_rows: int, around: int = 10) -> DataFrame:
