@@ -23,7 +23,7 @@ def stage_logs(t):
     o = t("orders")
     clock = F.concat_ws(":", *((F.col(c) % n).cast("string") for c, n in (("o_custkey", 3), ("o_orderkey", 60), ("o_custkey", 60))))
     head = F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":00,"), clock)
-    line = F.when(F.col("o_orderkey") % 10 == 0, head).otherwise(F.concat(head, F.lit(","), F.round("o_totalprice", 1).cast("decimal(20,1)").cast("string"), F.lit(","), F.col("o_custkey").cast("string")))
+    line = F.when(F.col("o_orderkey") % 10 == 0, head).otherwise(F.concat(head, F.lit(","), rounded(F.col("o_totalprice"), 1).cast("decimal(20,1)").cast("string"), F.lit(","), F.col("o_custkey").cast("string")))
     # A log holds some ten thousand lines, so that more orders make more logs, not longer ones.
     logs = o.groupBy(F.floor(F.col("o_orderkey") / 20_000).alias("part")).agg(F.array_join(F.collect_list(line), "\n").alias("rows"))
     text = F.concat(F.lit("made by hand\nReal Time,Media Time,Stage Position X,Stage Position Y\n"), "rows")

@@ -548,7 +548,7 @@ def short_time_spectrum(t):
         return {"frequency": f, "amplitude": a}
 
     out = kernels.with_tracks(_frames(t).select("user_id", "frame", "event_id", "value"), track.keys, track.order, ["value"], run, {"frequency": "double", "amplitude": "double"})
-    return out.select("event_id", _r(F.col("frequency")).alias("frequency"), F.round("amplitude", 5).alias("amplitude"))
+    return out.select("event_id", _r(F.col("frequency")).alias("frequency"), _r(F.col("amplitude"), 5).alias("amplitude"))
 
 
 @query()

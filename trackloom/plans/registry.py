@@ -65,12 +65,13 @@ def query(sql: str | None = None):
 
 
 def rounded(c, n: int = 6):
-    return F.round(c, n)
+    """A double rounded as SQL does it: scaled, rounded half away from zero and scaled back, so that zero keeps its sign.
 
-
-def signed(c, n: int):
-    """A double rounded as SQL does it: what comes to zero from below is -0.0, which Spark's rounding makes 0.0."""
-    return F.when(F.round(c, n) == 0, c * F.lit(0.0)).otherwise(F.round(c, n))
+    Spark's own rounding goes by a double's shortest decimal, which is another number next to a tie, and has one zero.
+    """
+    x = c * F.lit(10.0**n)
+    whole = F.rint(x)
+    return F.when(F.abs(x - whole) == 0.5, x + F.signum(x) * 0.5).otherwise(whole) / F.lit(10.0**n)
 
 
 def frames(t) -> DataFrame:
