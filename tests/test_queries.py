@@ -82,6 +82,11 @@ def test_turns_that_round_to_zero_from_below(against_sql):
     against_sql("legacy_velocity", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i::INT) AS ts, 1::BIGINT AS user_id, 20.1 + i * 0.37::DOUBLE AS value, {EVENT} FROM range(60) r(i)")
 
 
+def test_headings_that_are_equal_but_for_the_last_bit(against_sql):
+    """Straight ways with gaps: a heading comes from steps of several lengths, so that only rounding changes it."""
+    against_sql("legacy_velocity", events=f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i::INT) AS ts, (i // 40)::BIGINT AS user_id, (CASE WHEN i % 9 = 0 OR i % 7 = 1 THEN 0 ELSE 20.1 + i % 40 * (0.13 + i // 40 * 0.07) END)::DOUBLE AS value, {EVENT} FROM range(1600) r(i)")
+
+
 def test_numbers_next_to_ties(against_sql):
     """Each group is one p that ends in a five; whether it is rounded up hangs on the last bit of its product with 10^6."""
     against_sql("q_values_by_group", events="SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i::INT) AS ts, 1::BIGINT AS user_id, i::VARCHAR AS event_type, (60.00005 + i * 0.0001)::DOUBLE AS value, '{}' AS props FROM range(300) r(i)")

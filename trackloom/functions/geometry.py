@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +89,19 @@ def angle_of(v: Column) -> Column:
     return F.atan2(v["x"], v["y"])
 
 
+def heading(y: Column, x: Column) -> Column:
+    """atan2(y, x) as the C library has it, like SQL, for angles that are compared with each other to the last bit.
+
+    Java's differs in that bit for one angle in seven.
+    """
+
+    @F.arrow_udf("double")
+    def angles(ys: pa.Array, xs: pa.Array) -> pa.Array:
+        return pa.array([None if b is None or a is None else math.atan2(b, a) for b, a in zip(ys.to_pylist(), xs.to_pylist(), strict=True)], pa.float64())
+
+    return angles(y, x)
+
+
 def tangent_angles(pose: Column) -> Column:
     """Unwrapped tangent angles atan2(x, y) along a pose, less their mean."""
     raw = F.transform(steps(pose), lambda v: F.atan2(v["x"], v["y"]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions import kernels, waves
-from trackloom.functions.geometry import bend_angles
+from trackloom.functions.geometry import bend_angles, heading
 from trackloom.functions.timeseries import Track, bfill, ffill, fill_both, nearest_valid, rolling_max, rolling_mean, rolling_min, wrap_degrees
 from trackloom.operators.islands import drop_near_runs, drop_short_runs, merge_runs, with_run_id
 
@@ -196,13 +196,14 @@ def legacy_velocity(df: DataFrame, track: Track, x: str, y: str, body: str, fps:
     df = df.withColumn("_at", F.row_number().over(w)).withColumn("_p", point)
     a, b = nearest_valid(F.col("_p"), F.col("_at"), w, half)
     df = df.withColumn("_a", a).withColumn("_b", b)
-    dx, dy = F.col("_b.v")[x] - F.col("_a.v")[x], F.col("_b.v")[y] - F.col("_a.v")[y]
-    direction = F.degrees(F.atan2(dy, dx))
-    size = F.sqrt(dx * dx + dy * dy) / ((F.col("_b.t") - F.col("_a.t")) / fps)
-    sign = F.when(F.abs(wrap_degrees(direction - F.col(body))) > 90, -1).otherwise(1)
-    before = F.lag("_dir").over(w)
-    df = df.withColumn(f"{part}_speed", size * sign).withColumn("_dir", direction).withColumn(f"{part}_direction", wrap_degrees(F.col("_dir") - before) * fps)
-    return df.drop("_at", "_p", "_a", "_b", "_dir")
+    df = df.withColumns({"_dx": F.col("_b.v")[x] - F.col("_a.v")[x], "_dy": F.col("_b.v")[y] - F.col("_a.v")[y]})
+    # Angles come after all windows: rows that come back from Python would be shuffled anew for one.
+    df = df.withColumns({"_dx0": F.lag("_dx").over(w), "_dy0": F.lag("_dy").over(w)})
+    df = df.withColumns({"_dir": F.degrees(heading(F.col("_dy"), F.col("_dx"))), "_dir0": F.degrees(heading(F.col("_dy0"), F.col("_dx0")))})
+    size = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) / ((F.col("_b.t") - F.col("_a.t")) / fps)
+    sign = F.when(F.abs(wrap_degrees(F.col("_dir") - F.col(body))) > 90, -1).otherwise(1)
+    df = df.withColumn(f"{part}_speed", size * sign).withColumn(f"{part}_direction", wrap_degrees(F.col("_dir") - F.col("_dir0")) * fps)
+    return df.drop("_at", "_p", "_a", "_b", "_dx", "_dy", "_dx0", "_dy0", "_dir", "_dir0")
 
 
 def kinks(pose: Column, least: float = 10.0) -> Column:
