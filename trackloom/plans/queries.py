@@ -192,7 +192,8 @@ SELECT event_id, round(x + sum(CASE WHEN abs(s) < pi() THEN 0 ELSE coalesce(CASE
 def unwrap_phase(t):
     """WIN-05."""
     e = t("events").select("event_id", "user_id", "ts", (F.col("value") / 16 - 3).alias("x"))
-    return S.unwrap(e, "x", EVENTS, "unwrapped").select("event_id", _r(F.col("unwrapped"), 9).alias("unwrapped"))
+    # The SQL adds up in an order of its own, on which the sign of a zero hangs: there is one zero.
+    return S.unwrap(e, "x", EVENTS, "unwrapped").select("event_id", (_r(F.col("unwrapped"), 9) + F.lit(0.0)).alias("unwrapped"))
 
 
 @query(f"SELECT event_id, CASE WHEN count(value) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS m FROM events WINDOW w AS ({BY_EVENT} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
